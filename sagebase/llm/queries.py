@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from sagebase.llm import sharding
+from sagebase.llm import mixing, sharding
 
 QUERIES = {
+    "op2_mix_to_weights": mixing.op2_mix_to_weights,
     "op8_byte_shards": sharding.op8_byte_shards,
 }
 
 ORACLE_SQL = {
+    "op2_mix_to_weights": mixing.OP2_SQL,
     "op8_byte_shards": sharding.OP8_SQL,
 }
