@@ -16,8 +16,8 @@ import pyarrow.compute as pc
 
 from sagebase.llm.common import ragged, strings
 
-#: Distinct units whose values a worker keeps; when full, the cache starts anew. Results don't depend on it.
-CACHE_UNITS, CACHE_CHARS = 200_000, 64
+#: Units whose values a worker keeps, twice at most, and their longest.
+CACHE_UNITS, CACHE_CHARS = 400_000, 64
 
 
 def ends(off: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -56,7 +56,10 @@ def units(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     stop = np.append(at[1:], len(flat))
     odd = np.flatnonzero(stop - at > 1)
     codes = codes[at]
-    used, codes = np.unique(codes, return_inverse=True)
+    seen = np.zeros(2 * len(words), bool)
+    seen[codes] = True
+    used = np.flatnonzero(seen)
+    codes = (np.cumsum(seen) - 1)[codes]
     names = [" " + words[u >> 1] if u & 1 else words[u >> 1] for u in used.tolist()]
     if len(odd):
         whole = {}
@@ -70,21 +73,28 @@ def units(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
 
 
 class Memo:
-    """Values of units, by a function of a list of units; kept between batches up to a bound."""
+    """Values of keys, by a function of a list of new keys.
 
-    def __init__(self, compute: Callable[[list[str]], Sequence]):
-        self.compute, self.known = compute, {}
+    Two generations bound it: when the young one is full it becomes the old one, so keys in use stay. Results
+    don't depend on what is kept.
+    """
+
+    def __init__(self, compute: Callable[[list[str]], Sequence], size: int = CACHE_UNITS):
+        self.compute, self.size, self.young, self.old = compute, size, {}, {}
 
     def __call__(self, names: list[str]) -> list:
-        known = self.known
-        new = [u for u in names if u not in known]
-        if not new:
-            return [known[u] for u in names]
-        fresh = dict(zip(new, self.compute(new), strict=True))
-        out = [known[u] if u in known else fresh[u] for u in names]
-        if len(known) + len(fresh) > CACHE_UNITS:
-            known.clear()
-        known.update((u, v) for u, v in fresh.items() if len(u) <= CACHE_CHARS)
+        young, old = self.young, self.old
+        out = [young[u] if u in young else old.get(u) for u in names]
+        new = [u for u, v in zip(names, out, strict=True) if v is None]
+        if new:
+            found = dict.fromkeys(new)
+            found.update(zip(found, self.compute(list(found)), strict=True))
+            out = [found[u] if v is None else v for u, v in zip(names, out, strict=True)]
+        for u, v in zip(names, out, strict=True):
+            if len(u) <= CACHE_CHARS:
+                young[u] = v
+        if len(young) > self.size:
+            self.young, self.old = {}, young
         return out
 
 

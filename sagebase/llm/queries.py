@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from sagebase.llm import mixing, sharding
+from sagebase.llm import mixing, sharding, tokencount
 
 QUERIES = {
     "op2_mix_to_weights": mixing.op2_mix_to_weights,
     "op8_byte_shards": sharding.op8_byte_shards,
+    "op10_token_counts": tokencount.op10_token_counts,
 }
 
 ORACLE_SQL = {
