@@ -72,8 +72,9 @@ class Scratch:
 
 
 def scan_bytes(df: DataFrame) -> int:
-    """Bytes that the optimizer expects of a plan: the size of the files for a scan."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Bytes that the optimizer expects of a plan: the size of the files for a scan; else, about 100 bytes a row."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 60 else 100 * df.count()
 
 
 def slots(spark: SparkSession) -> int:

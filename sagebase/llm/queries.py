@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from sagebase.llm import mixing, sharding, tokencount
+from sagebase.llm import mixing, sharding, sstable, tokencount
 
 QUERIES = {
     "op2_mix_to_weights": mixing.op2_mix_to_weights,
+    "op7_token_shards": sstable.op7_token_shards,
     "op8_byte_shards": sharding.op8_byte_shards,
     "op10_token_counts": tokencount.op10_token_counts,
 }
