@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from sagebase.llm import mixing, sharding, sstable, tokencount
+from sagebase.llm import mixing, sharding, sstable, tokencount, toxicity, warc
 
 QUERIES = {
     "op2_mix_to_weights": mixing.op2_mix_to_weights,
+    "op3_warc_round_trip": warc.op3_warc_round_trip,
+    "op5_toxic_segments": toxicity.op5_toxic_segments,
     "op7_token_shards": sstable.op7_token_shards,
     "op8_byte_shards": sharding.op8_byte_shards,
     "op10_token_counts": tokencount.op10_token_counts,
