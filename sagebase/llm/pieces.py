@@ -98,9 +98,9 @@ class Memo:
         return out
 
 
-def gather(values: list[np.ndarray], codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The values of the occurrences one after another, and the length of each."""
-    lengths = np.fromiter(map(len, values), np.int64, len(values))
-    joined = np.concatenate(values) if values else np.zeros(0, np.uint32)
+def gather(values: list[bytes], codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The 32-bit ids of the occurrences one after another, and how many each has."""
+    lengths = np.fromiter(map(len, values), np.int64, len(values)) // 4
+    joined = np.frombuffer(b"".join(values), np.uint32)
     starts = np.cumsum(lengths) - lengths
     return joined[ragged(starts[codes], lengths[codes])], lengths[codes]

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -170,10 +171,10 @@ def encoder(path: str) -> tuple[Memo, int]:
     library.no_truncation()
     library.no_padding()
 
-    def encode(names: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in library.encode_batch(names, add_special_tokens=False)]
+    def encode(names: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in library.encode_batch_fast(names, add_special_tokens=False)]
 
-    return Memo(encode, 150_000), library.get_vocab_size(with_added_tokens=True)
+    return Memo(encode), library.get_vocab_size(with_added_tokens=True)
 
 
 def write_shards(docs: DataFrame, path: str, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> None:
