@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from sagebase.llm import mixing, sharding, sstable, tokencount, toxicity, warc
+from sagebase.llm import decontaminate, mixing, sharding, sstable, tokencount, toxicity, warc
 
 QUERIES = {
+    "op1_benchmark_leaks": decontaminate.op1_benchmark_leaks,
     "op2_mix_to_weights": mixing.op2_mix_to_weights,
     "op3_warc_round_trip": warc.op3_warc_round_trip,
     "op5_toxic_segments": toxicity.op5_toxic_segments,
