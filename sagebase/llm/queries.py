@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from sagebase.llm import decontaminate, mixing, sharding, sstable, tokencount, toxicity, warc
+from sagebase.llm import decontaminate, embeddings, mixing, sharding, sstable, tokencount, toxicity, warc
 
 QUERIES = {
     "op1_benchmark_leaks": decontaminate.op1_benchmark_leaks,
     "op2_mix_to_weights": mixing.op2_mix_to_weights,
     "op3_warc_round_trip": warc.op3_warc_round_trip,
+    "op4_embedding_near_duplicates": embeddings.op4_embedding_near_duplicates,
     "op5_toxic_segments": toxicity.op5_toxic_segments,
     "op7_token_shards": sstable.op7_token_shards,
     "op8_byte_shards": sharding.op8_byte_shards,
