@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sagebase.llm import decontaminate, embeddings, mixing, sharding, sstable, tokencount, toxicity, warc
+from sagebase.llm import decontaminate, embeddings, mixing, sharding, shingles, sstable, tokencount, toxicity, warc
 
 QUERIES = {
     "op1_benchmark_leaks": decontaminate.op1_benchmark_leaks,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_toxic_segments": toxicity.op5_toxic_segments,
     "op7_token_shards": sstable.op7_token_shards,
     "op8_byte_shards": sharding.op8_byte_shards,
+    "op9_shingle_components": shingles.op9_shingle_components,
     "op10_token_counts": tokencount.op10_token_counts,
 }
 
