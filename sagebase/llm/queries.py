@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sagebase.llm import decontaminate, embeddings, mixing, sharding, shingles, sstable, tokencount, toxicity, warc
+from sagebase.llm import decontaminate, embeddings, mixing, sharding, shingles, sstable, substrings, tokencount, toxicity, warc
 
 QUERIES = {
     "op1_benchmark_leaks": decontaminate.op1_benchmark_leaks,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_warc_round_trip": warc.op3_warc_round_trip,
     "op4_embedding_near_duplicates": embeddings.op4_embedding_near_duplicates,
     "op5_toxic_segments": toxicity.op5_toxic_segments,
+    "op6_repeated_substrings": substrings.op6_repeated_substrings,
     "op7_token_shards": sstable.op7_token_shards,
     "op8_byte_shards": sharding.op8_byte_shards,
     "op9_shingle_components": shingles.op9_shingle_components,

@@ -269,6 +269,21 @@ def toxic_segments(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
     return map_arrow(rows, make, f"doc_id {kind}, score double, predicted int, passages array<struct<first:int,last:int,level:double>>")
 
 
+def keep_clean(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows whose text isn't predicted toxic, with all their columns; nothing is joined or shuffled."""
+    small_batches(docs.sparkSession)
+
+    def make():
+        own = Model(model.evidence, model.lam, model.drift, model.weights)
+
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            return batch.filter(pa.array(own.score(own.measure(column(batch, text_col))[0]) < THRESHOLD))
+
+        return step
+
+    return map_arrow(docs, make, docs.schema)
+
+
 def op5_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = fit(docs, labels)
