@@ -1,4 +1,9 @@
-"""Named queries over the test tables, one for each operator of the library."""
+"""Named queries over the test tables, one for each operator or a tight group of them, and their SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from sagebase.plans import retrieval
+
+_GROUPS = (retrieval,)
+QUERIES = {name: f for g in _GROUPS for name, f in g.QUERIES.items()}
+ORACLE_SQL = {name: sql for g in _GROUPS for name, sql in g.ORACLE_SQL.items()}
