@@ -119,10 +119,13 @@ def near_duplicates(chunks: DataFrame) -> DataFrame:
     Candidates share one of the first trigrams in hash order, as many as a pair of that similarity can't all miss, so
     nothing is lost and chunks of a document aren't all paired. Lengths may differ by 30 % of the chunk's own.
     """
-    grams = F.array_sort(F.transform(T.trigrams(F.col("content")), lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("g"))))
+    n = F.length("content")
+    starts = F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1)))
+    # 64-bit hashes stand for the trigrams: set operations on long arrays are hashed.
+    grams = F.when(n < 3, F.array().cast("array<bigint>")).otherwise(F.sort_array(F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.substring(F.col("content"), i, F.lit(3)))))))
     rows = chunks.select("doc_id", "seq", F.length("content").alias("len"), grams.alias("grams")).where(F.size("grams") > 0)
     prefix = F.size("grams") - F.ceil(F.size("grams") * SIMILARITY - 1e-9).cast("int") + 1
-    keyed = rows.withColumn("key", F.explode(F.transform(F.slice("grams", 1, prefix), lambda x: x["h"])))
+    keyed = rows.withColumn("key", F.explode(F.slice("grams", 1, prefix)))
     a = keyed.select("doc_id", "key", "seq", "len")
     b = keyed.select("doc_id", "key", F.col("seq").alias("seq2"), F.col("len").alias("len2"))
     pairs = a.join(b, ["doc_id", "key"]).where((F.col("seq2") < F.col("seq")) & (F.abs(F.col("len") - F.col("len2")) * 10 <= F.col("len") * 3)).select("doc_id", "seq", "seq2").distinct()
