@@ -269,7 +269,8 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
             sets = [values[a:z].tobytes() for a, z in zip(offsets[:-1], offsets[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([column(batch, "region"), column(batch, "doc_id"), pa.array(np.diff(offsets)), pa.array(sets, pa.binary())], names=["region", "doc_id", "n", "shingles"])
 
-    members = source.join(regions.select(F.col("node").alias("doc_id"), F.col("root").alias("region")), "doc_id")
+    # By sort and merge at every size: the candidates grow with the texts.
+    members = source.join(regions.select(F.col("node").alias("doc_id"), F.col("root").alias("region")).hint("merge"), "doc_id")
     members = scratch.write(members.select("region", "doc_id", "text").mapInArrow(shingled, "region long, doc_id long, n long, shingles binary").where("n > 0"), "members")
     links = verified(members, scratch)
     copies = rows.where("same_as is not null and same_as <> doc_id").select(F.col("doc_id").alias("a"), F.col("same_as").alias("b"))
