@@ -28,8 +28,8 @@ WORDS, LINK = 3, 90
 SHARE = 19
 #: Sizes of a band grow by this factor at most; each band has its own classes.
 BAND = 1.5
-#: Keys of one task, and shingles that one task compares.
-KEYS_A_TASK, SHINGLES_A_TASK, ROUNDS = 1 << 20, 4 << 20, 6
+#: Keys of one task (a text gives one link at most for each task that has some of its keys), and shingles that one task compares.
+KEYS_A_TASK, SHINGLES_A_TASK, ROUNDS = 4 << 20, 4 << 20, 6
 U = np.uint64
 
 
