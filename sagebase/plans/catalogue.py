@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from sagebase.plans import analytics, cleaning, retrieval, text
+from sagebase.plans import analytics, cleaning, knowledge, retrieval, text
 
-_GROUPS = (retrieval, cleaning, text, analytics)
+_GROUPS = (retrieval, cleaning, text, analytics, knowledge)
 QUERIES = {name: f for g in _GROUPS for name, f in g.QUERIES.items()}
 ORACLE_SQL = {name: sql for g in _GROUPS for name, sql in g.ORACLE_SQL.items()}
