@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,7 +23,7 @@ from sagebase.llm.common import Scratch, column, mix64, parts_for, ragged, scan_
 
 LENGTH, TRIGGER = 50, 24
 #: Bytes that are hashed at once; longer texts go in pieces that overlap by 49 bytes. Triggers of one task.
-PIECE_BYTES, TRIGGERS_A_TASK = 2 << 20, 2 << 20
+PIECE_BYTES, TRIGGERS_A_TASK = 2 << 20, 6 << 20
 U = np.uint64
 BYTE_HASH = mix64(np.arange(1, 257, dtype=np.uint64) * U(0x9E3779B97F4A7C15))
 
@@ -91,6 +92,16 @@ def joined(data: np.ndarray, group: list) -> tuple[np.ndarray, np.ndarray, np.nd
     return data[ragged(start, end - start)], np.concatenate([[0], np.cumsum(end - start)]), number, inside
 
 
+def packed(*arrays: np.ndarray | bytes) -> list[bytes]:
+    """Each array's bytes as a zstd frame; what is shuffled and written is mostly these."""
+    packer = zstandard.ZstdCompressor(level=1)
+    return [packer.compress(a if isinstance(a, bytes) else a.tobytes()) for a in arrays]
+
+
+def unpacked(blob: pa.Scalar) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(blob.as_buffer())
+
+
 def slot(hashes: np.ndarray, parts: int) -> np.ndarray:
     """Task and 32 bits of a trigger, as one number. Collisions only make more candidates."""
     return (hashes % U(parts)) << U(32) | (hashes // U(parts)) & U(0xFFFFFFFF)
@@ -127,8 +138,10 @@ def ask(parts: int):
                     x = slice(cuts[p], cuts[p + 1])
                     out["part"].append(p)
                     out["base"].append(base)
-                    out["triggers"].append(v[x].astype(np.uint32).tobytes())
-                    out["docs"].append((d[x] - base).astype(np.uint64 if wide else np.uint32).tobytes())
+                    step = np.diff(v[x].astype(np.uint32), prepend=np.uint32(0))
+                    triggers, docs = packed(step, (d[x] - base).astype(np.uint64 if wide else np.uint32))
+                    out["triggers"].append(triggers)
+                    out["docs"].append(docs)
                 d, v = doc[shared], value[shared]
                 order = np.argsort(d, kind="stable")
                 d, v = d[order], v[order]
@@ -150,8 +163,9 @@ def answer(group: pa.Table) -> pa.Table:
         return pa.table({"doc_id": group["base"], "triggers": group["triggers"]})
     triggers, docs = [], []
     for base, t, d in zip(group["base"].to_pylist(), group["triggers"], group["docs"], strict=True):
-        triggers.append(np.frombuffer(t.as_buffer(), np.uint32))
-        docs.append(np.frombuffer(d.as_buffer(), np.uint32 if len(d.as_buffer()) == 4 * len(triggers[-1]) else np.uint64).astype(np.int64) + base)
+        triggers.append(np.cumsum(np.frombuffer(unpacked(t), np.uint32), dtype=np.uint32))
+        raw = unpacked(d)
+        docs.append(np.frombuffer(raw, np.uint32 if len(raw) == 4 * len(triggers[-1]) else np.uint64).astype(np.int64) + base)
     trigger, doc = np.concatenate(triggers), np.concatenate(docs)
     order = np.argsort(trigger, kind="stable")
     trigger, doc = trigger[order], doc[order]
@@ -166,7 +180,7 @@ def answer(group: pa.Table) -> pa.Table:
     return pa.table({"doc_id": pa.array(doc[cuts[:-1]]), "triggers": pa.array([value[a:z].tobytes() for a, z in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())})
 
 
-PHRASES = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("text", pa.string()), ("part", pa.int32()), ("ints", pa.binary()), ("bytes", pa.binary())])
+PHRASES = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("part", pa.int32()), ("ints", pa.binary()), ("bytes", pa.binary())])
 RANGES = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("ranges", pa.binary())])
 
 
@@ -182,15 +196,13 @@ def range_rows(doc: np.ndarray, key: np.ndarray, first: np.ndarray, count: np.nd
 
 
 def dictionary(parts: int):
-    """Texts that have candidate phrases, and these phrases for the tasks of their triggers. Of equal phrases in a batch only the least document's go; the others are covered."""
+    """Candidate phrases of the texts for the tasks of their triggers. Of equal phrases in a batch only the least document's go; the others are covered."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = np.asarray(column(batch, "doc_id"), dtype=np.int64)
             keys = np.asarray(column(batch, "text_key"), dtype=np.int64)
             known = [np.unique(np.concatenate([np.frombuffer(b.as_buffer(), np.uint64) for b in row.values])) for row in column(batch, "triggers")]
-            n = len(ids)
-            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "text_key"), column(batch, "text"), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], schema=PHRASES)
             for data, bounds, number, inside in pieces(column(batch, "text")):
                 owner, first, count, trigger = phrases(data, bounds)
                 value = slot(trigger, parts)
@@ -217,14 +229,14 @@ def dictionary(parts: int):
                 part = (trigger % U(parts)).astype(np.int64)
                 out = []
                 late = low < doc
-                out += [(d, k, None, -1 - d % parts, r, None) for d, k, r in range_rows(doc[late], key[late], start[late], count[late])]
+                out += [(d, k, -1 - d % parts, r, None) for d, k, r in range_rows(doc[late], key[late], start[late], count[late])]
                 go = np.flatnonzero(~late)
                 go = go[np.argsort(part[go], kind="stable")]
                 edges = np.searchsorted(part[go], np.arange(parts + 1))
                 for p in np.flatnonzero(np.diff(edges)).tolist():
                     some = go[edges[p] : edges[p + 1]]
                     ints = np.stack([trigger[some].view(np.int64), doc[some], key[some], start[some], count[some]])
-                    out.append((None, None, None, p, ints.tobytes(), b"".join(body[k] for k in some.tolist())))
+                    out.append((None, None, p, *packed(ints, b"".join(body[k] for k in some.tolist()))))
                 yield pa.RecordBatch.from_pylist([dict(zip(PHRASES.names, r, strict=True)) for r in out], schema=PHRASES)
 
     return run
@@ -234,9 +246,9 @@ def cover(group: pa.Table) -> pa.Table:
     """The strings of each document that a document with a smaller id has, among the phrases of some triggers."""
     if group["part"][0].as_py() < 0:
         return pa.table({"doc_id": group["doc_id"], "text_key": group["text_key"], "ranges": group["ints"]})
-    ints = np.concatenate([np.frombuffer(b.as_buffer(), np.int64).reshape(5, -1) for b in group["ints"]], axis=1)
+    ints = np.concatenate([np.frombuffer(unpacked(b), np.int64).reshape(5, -1) for b in group["ints"]], axis=1)
     trigger, doc, key, start, count = ints
-    data = b"".join(b.as_py() for b in group["bytes"])
+    data = b"".join(map(unpacked, group["bytes"]))
     size = count + LENGTH - 1
     at = np.cumsum(size) - size
     # The parse: phrases by number, and the first document of each.
@@ -343,19 +355,22 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     asked = scratch.write(asked.groupBy("doc_id").agg(F.collect_list("triggers").alias("triggers")), "triggers")
     release(spark)
 
-    found = source.join(asked, "doc_id").select("doc_id", F.xxhash64("text").alias("text_key"), "text", "triggers")
-    found = scratch.write(found.mapInArrow(dictionary(parts), "doc_id long, text_key long, text string, part int, ints binary, bytes binary"), "phrases")
+    # Texts are joined by sort and merge at every size: what they are joined with grows with them.
+    keyed = source.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+    found = keyed.join(asked.hint("merge"), "doc_id").select("doc_id", "text_key", "text", "triggers")
+    found = scratch.write(found.mapInArrow(dictionary(parts), "doc_id long, text_key long, part int, ints binary, bytes binary"), "phrases")
     scratch.drop(asked)
     release(spark)
 
-    covered = found.where("part is not null").groupBy("part").applyInArrow(cover, "doc_id long, text_key long, ranges binary")
+    covered = found.groupBy("part").applyInArrow(cover, "doc_id long, text_key long, ranges binary")
     covered = scratch.write(covered.groupBy("doc_id", "text_key").agg(F.collect_list("ranges").alias("ranges")), "ranges")
+    scratch.drop(found)
     release(spark)
 
-    suspects = found.where("part is null").select("doc_id", "text_key", "text").dropDuplicates(["doc_id", "text_key"])
-    cut = suspects.join(covered, ["doc_id", "text_key"]).select("doc_id", "text_key", "text", "ranges").mapInArrow(remove, "doc_id long, text_key long, n_removed long, n_spans long, kept_sha256 string, kept binary")
-    cut = scratch.write(cut if keep_bytes else cut.drop("kept"), "cut")
-    scratch.drop(found, covered)
+    cut = keyed.join(covered.hint("merge"), ["doc_id", "text_key"]).select("doc_id", "text_key", "text", "ranges").mapInArrow(remove, "doc_id long, text_key long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    # Equal rows of a repeated id give equal cuts; one is joined back to all of them.
+    cut = scratch.write((cut if keep_bytes else cut.drop("kept")).dropDuplicates(["doc_id", "text_key"]), "cut")
+    scratch.drop(covered)
     release(spark)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text.cast("binary"), 256).alias("whole"))
