@@ -121,10 +121,11 @@ def summed(df: DataFrame, work, shape: tuple[int, int]) -> np.ndarray:
 
 
 def weighted(codes: np.ndarray, half: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Words with a weight and their half-passages, each pair once, in the order of the halves."""
+    """Words with a weight and their half-passages, in order; a run of one word counts once."""
     hit = weight[codes] > 0
-    pairs = np.unique(half[hit] * len(weight) + codes[hit])
-    return pairs % len(weight), pairs // len(weight)
+    if len(codes):
+        hit[1:] &= (codes[1:] != codes[:-1]) | (half[1:] != half[:-1])
+    return codes[hit], half[hit]
 
 
 def latent_basis(encoded: DataFrame, items: Items) -> np.ndarray:
@@ -133,19 +134,17 @@ def latent_basis(encoded: DataFrame, items: Items) -> np.ndarray:
     Document frequencies and the sketch Y = A'(A Omega) run over all half-passages and the items. The small problem
     Omega'Y gives the leading right singular vectors and values of A (the Nystrom form of the randomised SVD).
     Each latent axis is scaled by its singular value, else what all texts of a language share would outweigh the rest.
-    A word weighs the square of its IDF, once in a half-passage.
+    A word weighs the square of its IDF times its runs in a half-passage.
     """
     n, kind = len(items.vocab) + 1, items.kind
     _, passages = items.passages()
 
     def frequency(batch: pa.RecordBatch, total: np.ndarray) -> None:
         codes, half, first, _ = halves(column(batch, "codes"), kind)
-        word, _ = weighted(codes, half, everything)
-        total[:, 0] += np.bincount(word, minlength=n)
+        hit = codes > 0
+        total[:, 0] += np.bincount(np.unique(half[hit] * n + codes[hit]) % n, minlength=n)
         total[0, 0] += first[-1]
 
-    everything = np.ones(n)
-    everything[0] = 0
     counts = summed(encoded, frequency, (n, 1))[:, 0]
     passages_in_all = max(counts[0], len(passages))
     counts[0] = passages_in_all
