@@ -19,8 +19,9 @@ from sagebase.llm.toxicity import EDGES, tokens
 
 #: Words of half a passage; passages are two neighbouring halves, so each overlaps the next by one.
 HALF = 32
-RANK, SEED, COSINE = 64, 7, 0.5
-#: Words in a larger share of the passages have no weight in the latent space (they count in the subsequence like any other).
+RANK, AXIS_PASSAGES, SEED, COSINE, SCALING = 64, 8, 7, 0.55, 0.25
+#: Words in a larger share of the passages, and in four times as many as the median word of the items, have no weight in the latent
+#: space (they count in the subsequence like any other).
 COMMON = 0.05
 #: Share of an item's words in order that counts as a leak; the lower one needs the item's last part too.
 LCS_SURE, LCS_PARAPHRASE, ANSWER = 0.8, 0.6, 0.5
@@ -133,7 +134,8 @@ def latent_basis(encoded: DataFrame, items: Items) -> np.ndarray:
 
     Document frequencies and the sketch Y = A'(A Omega) run over all half-passages and the items. The small problem
     Omega'Y gives the leading right singular vectors and values of A (the Nystrom form of the randomised SVD).
-    Each latent axis is scaled by its singular value, else what all texts of a language share would outweigh the rest.
+    Axes are divided by their singular values to the power SCALING: with 0, what all texts of a language share outweighs the rest;
+    with 1, weak axes that only copies of one item span set these copies apart.
     A word weighs the square of its IDF times its runs in a half-passage.
     """
     n, kind = len(items.vocab) + 1, items.kind
@@ -150,9 +152,10 @@ def latent_basis(encoded: DataFrame, items: Items) -> np.ndarray:
     counts[0] = passages_in_all
     for words in passages:
         counts[np.unique(words)] += 1
-    weight = np.where(counts <= max(COMMON * passages_in_all, 2 * len(passages)), np.log((1 + passages_in_all) / (1 + np.minimum(counts, passages_in_all))) ** 2 + 1e-3, 0)
+    weight = np.where(counts <= max(COMMON * passages_in_all, 4 * np.median(counts[1:])), np.log((1 + passages_in_all) / (1 + np.minimum(counts, passages_in_all))) ** 2 + 1e-3, 0)
     weight[0] = 0
-    rank = min(RANK, n - 1)
+    # Far fewer axes than passages: with as many, scaling by singular values would set all passages apart.
+    rank = max(1, min(RANK, n - 1, int(passages_in_all) // AXIS_PASSAGES))
     omega = np.random.default_rng(SEED).standard_normal((n, rank))
     seen = (omega * weight[:, None]).astype(np.float32)
 
@@ -169,7 +172,7 @@ def latent_basis(encoded: DataFrame, items: Items) -> np.ndarray:
     keep = values > max(values[-1], 1e-300) * 1e-10
     u, s, _ = np.linalg.svd(y @ (vectors[:, keep] / np.sqrt(values[keep])), full_matrices=False)
     strong = s > s[0] * 1e-6 if len(s) else np.zeros(0, bool)
-    return (u[:, strong] / s[strong] * weight[:, None]).astype(np.float32)
+    return (u[:, strong] / s[strong] ** SCALING * weight[:, None]).astype(np.float32)
 
 
 def sums_of_rows(codes: np.ndarray, group: np.ndarray, n: int, rows: np.ndarray) -> np.ndarray:
