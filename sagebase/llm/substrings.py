@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 from sagebase.llm.common import Scratch, column, mix64, parts_for, ragged, scan_bytes, small_batches, strings, table
 
 LENGTH, TRIGGER = 50, 24
-#: Bytes that are hashed at once; longer texts go in pieces that overlap by 49 bytes. Triggers of one task.
-PIECE_BYTES, TRIGGERS_A_TASK = 2 << 20, 6 << 20
+#: Bytes that are hashed at once; longer texts go in pieces that overlap by 49 bytes. Triggers of one task, and the tasks for
+#: phrases that take the place of one for triggers: a phrase is ten times as large and a dictionary entry.
+PIECE_BYTES, TRIGGERS_A_TASK, PHRASE_TASKS = 2 << 20, 6 << 20, 12
 U = np.uint64
 BYTE_HASH = mix64(np.arange(1, 257, dtype=np.uint64) * U(0x9E3779B97F4A7C15))
 
@@ -92,9 +93,9 @@ def joined(data: np.ndarray, group: list) -> tuple[np.ndarray, np.ndarray, np.nd
     return data[ragged(start, end - start)], np.concatenate([[0], np.cumsum(end - start)]), number, inside
 
 
-def packed(*arrays: np.ndarray | bytes) -> list[bytes]:
+def packed(*arrays: np.ndarray | bytes, level: int = 1) -> list[bytes]:
     """Each array's bytes as a zstd frame; what is shuffled and written is mostly these."""
-    packer = zstandard.ZstdCompressor(level=1)
+    packer = zstandard.ZstdCompressor(level=level)
     return [packer.compress(a if isinstance(a, bytes) else a.tobytes()) for a in arrays]
 
 
@@ -195,7 +196,7 @@ def range_rows(doc: np.ndarray, key: np.ndarray, first: np.ndarray, count: np.nd
     return [(int(doc[a]), int(key[a]), pairs[a:z].tobytes()) for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
 
 
-def dictionary(parts: int):
+def dictionary(parts: int, tasks: int):
     """Candidate phrases of the texts for the tasks of their triggers. Of equal phrases in a batch only the least document's go; the others are covered."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,17 +227,19 @@ def dictionary(parts: int):
                     if least.setdefault(b, d) > d:
                         least[b] = d
                 low = np.array([least[b] for b in body], np.int64)
-                part = (trigger % U(parts)).astype(np.int64)
+                part = (trigger % U(tasks)).astype(np.int64)
                 out = []
                 late = low < doc
-                out += [(d, k, -1 - d % parts, r, None) for d, k, r in range_rows(doc[late], key[late], start[late], count[late])]
+                out += [(d, k, -1 - d % tasks, r, None) for d, k, r in range_rows(doc[late], key[late], start[late], count[late])]
                 go = np.flatnonzero(~late)
                 go = go[np.argsort(part[go], kind="stable")]
-                edges = np.searchsorted(part[go], np.arange(parts + 1))
+                edges = np.searchsorted(part[go], np.arange(tasks + 1))
                 for p in np.flatnonzero(np.diff(edges)).tolist():
                     some = go[edges[p] : edges[p + 1]]
-                    ints = np.stack([trigger[some].view(np.int64), doc[some], key[some], start[some], count[some]])
-                    out.append((None, None, p, *packed(ints, b"".join(body[k] for k in some.tolist()))))
+                    # 32 bits of a trigger are enough: phrases of two triggers that share them are compared in vain, by content.
+                    short = (trigger[some] // U(tasks)).astype(np.uint32)
+                    ints = np.stack([doc[some], key[some], start[some], count[some]])
+                    out.append((None, None, p, *packed(short.tobytes() + ints.tobytes(), b"".join(body[k] for k in some.tolist()), level=6)))
                 yield pa.RecordBatch.from_pylist([dict(zip(PHRASES.names, r, strict=True)) for r in out], schema=PHRASES)
 
     return run
@@ -246,8 +249,9 @@ def cover(group: pa.Table) -> pa.Table:
     """The strings of each document that a document with a smaller id has, among the phrases of some triggers."""
     if group["part"][0].as_py() < 0:
         return pa.table({"doc_id": group["doc_id"], "text_key": group["text_key"], "ranges": group["ints"]})
-    ints = np.concatenate([np.frombuffer(unpacked(b), np.int64).reshape(5, -1) for b in group["ints"]], axis=1)
-    trigger, doc, key, start, count = ints
+    raw = [unpacked(b) for b in group["ints"]]
+    trigger = np.concatenate([np.frombuffer(b, np.uint32, len(b) // 36) for b in raw])  # 4 bytes, then four numbers of 8
+    doc, key, start, count = np.concatenate([np.frombuffer(b, np.int64, offset=len(b) // 9).reshape(4, -1) for b in raw], axis=1)
     data = b"".join(map(unpacked, group["bytes"]))
     size = count + LENGTH - 1
     at = np.cumsum(size) - size
@@ -358,7 +362,7 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # Texts are joined by sort and merge at every size: what they are joined with grows with them.
     keyed = source.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
     found = keyed.join(asked.hint("merge"), "doc_id").select("doc_id", "text_key", "text", "triggers")
-    found = scratch.write(found.mapInArrow(dictionary(parts), "doc_id long, text_key long, part int, ints binary, bytes binary"), "phrases")
+    found = scratch.write(found.mapInArrow(dictionary(parts, PHRASE_TASKS * parts), "doc_id long, text_key long, part int, ints binary, bytes binary"), "phrases")
     scratch.drop(asked)
     release(spark)
 
