@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import gc
 import hashlib
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -331,9 +332,11 @@ def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of finished steps."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark's cleaner drop the shuffle files of finished steps: it acts on what two collections have found unreachable."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_bytes: bool = False) -> DataFrame:
@@ -362,13 +365,11 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # Texts are joined by sort and merge at every size: what they are joined with grows with them.
     keyed = source.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
     found = keyed.join(asked.hint("merge"), "doc_id").select("doc_id", "text_key", "text", "triggers")
-    found = scratch.write(found.mapInArrow(dictionary(parts, PHRASE_TASKS * parts), "doc_id long, text_key long, part int, ints binary, bytes binary"), "phrases")
-    scratch.drop(asked)
-    release(spark)
-
+    found = found.mapInArrow(dictionary(parts, PHRASE_TASKS * parts), "doc_id long, text_key long, part int, ints binary, bytes binary")
     covered = found.groupBy("part").applyInArrow(cover, "doc_id long, text_key long, ranges binary")
     covered = scratch.write(covered.groupBy("doc_id", "text_key").agg(F.collect_list("ranges").alias("ranges")), "ranges")
-    scratch.drop(found)
+    del found
+    scratch.drop(asked)
     release(spark)
 
     cut = keyed.join(covered.hint("merge"), ["doc_id", "text_key"]).select("doc_id", "text_key", "text", "ranges").mapInArrow(remove, "doc_id long, text_key long, n_removed long, n_spans long, kept_sha256 string, kept binary")
