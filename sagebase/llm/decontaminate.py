@@ -233,17 +233,30 @@ class Verifier:
         self.masks = [masks_of(w) for w in items.words]
         self.last = [w[-max(3, len(w) // 4) :] for w in items.words]
         self.last_masks = [masks_of(w) for w in self.last]
+        self.most = max((int(w.max()) for w in self.words), default=0)
+        self.members: dict[int, np.ndarray] = {}
+
+    def member(self, item: int) -> np.ndarray:
+        """Which word numbers an item has; few items' tables are held at once."""
+        found = self.members.get(item)
+        if found is None:
+            if len(self.members) >= 512:
+                self.members.clear()
+            found = self.members[item] = np.zeros(self.most + 1, bool)
+            found[self.words[item]] = True
+        return found
 
     def check(self, item: int, codes: np.ndarray, at: int) -> tuple[float, float]:
         """Shares of the item's words and of its last part's that stand in order near word `at` of a text; (0, 0) if that is no leak."""
         words, m = self.words[item], len(self.words[item])
-        near = codes[max(0, at - m - HALF) : at + 2 * HALF + m + HALF].tolist()
+        near = codes[max(0, at - m - HALF) : at + 2 * HALF + m + HALF]
         if m < SHORT_ITEM:
-            want = words.tolist()
+            want, near = words.tolist(), near.tolist()
             return (1.0, 1.0) if any(near[i : i + m] == want for i in range(len(near) - m + 1)) else (0.0, 0.0)
         masks = self.masks[item]
-        if sum(w in masks for w in near) < LCS_PARAPHRASE * m:
+        if np.count_nonzero(self.member(item)[near]) < LCS_PARAPHRASE * m:
             return 0.0, 0.0
+        near = near.tolist()
         share = common_length(masks, m, near) / m
         if share < LCS_PARAPHRASE:
             return 0.0, 0.0
