@@ -23,11 +23,13 @@ from pyspark.sql import functions as F
 from sagebase.llm.common import Scratch, column, mix64, parts_for, ragged, scan_bytes, small_batches, table
 from sagebase.llm.graph import components, roots
 
+#: Words of a shingle and least similarity in hundredths, as operator 9 has them; both are parameters of near_duplicate_components.
+#: A link needs 100 * intersection >= link * union; then two sets differ by at most (|x| + |y|) * (100 - link) / (100 + link) shingles.
 WORDS, LINK = 3, 90
-#: A link needs 100 * intersection >= LINK * union; then two sets differ by at most (|x| + |y|) / SHARE shingles.
-SHARE = 19
-#: Sizes of a band grow by this factor at most; each band has its own classes.
+#: Sizes of a band grow by about this factor, below LINK by 100 / link, the least that holds; each band has its own classes.
 BAND = 1.5
+#: Chance that two sets within the radius share no key.
+MISS = 1e-7
 #: Keys of one task (a text gives one link at most for each task that has some of its keys), and shingles that one task compares.
 KEYS_A_TASK, SHINGLES_A_TASK, ROUNDS = 4 << 20, 4 << 20, 6
 U = np.uint64
@@ -68,34 +70,46 @@ def shingle_sets(texts: pa.Array, k: int = WORDS) -> tuple[np.ndarray, np.ndarra
     return value, np.searchsorted(text, np.arange(len(n) + 1))
 
 
-def bands(most: int) -> np.ndarray:
-    """Least sizes of the bands, from 10, the least that links with another set. A set of a band's least size has partners in the band below at most."""
-    out = [10]
-    while out[-1] <= most:
-        out.append(int(out[-1] * BAND) + 2)
+def bands(most: int, link: int = LINK) -> np.ndarray:
+    """Least sizes of the bands, from the least set that links with a smaller one (10 at 90), to two bands above most. A set of a band's least size has partners in the band below at most."""
+    out, grow = [-(-100 // (100 - link))], BAND if link >= LINK else 100 / link
+    while len(out) < 3 or out[-3] <= most:
+        out.append(int(out[-1] * grow) + 2)
     return np.array(out)
 
 
-def keys_of(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def classes(differ: int, least: int, link: int = LINK) -> int:
+    """Classes of a band of this least size whose sets may differ by so many shingles.
+
+    Linked sets that differ by d shingles share link * d / (100 - link) or more, and are missed if all of these lie in the d classes of the others.
+    Below LINK classes hold few shingles, and each class more makes larger regions of texts that share a line: no more than MISS needs.
+    """
+    if link >= LINK:
+        return differ + 7 + differ // 4
+    d = np.arange(1, differ + 1)
+    both = np.maximum(-(-link * d // (100 - link)), -(-link * least // 100))
+    return max(differ + 1, int(np.ceil(d * MISS ** (-1 / both)).max()))
+
+
+def keys_of(values: np.ndarray, offsets: np.ndarray, link: int = LINK) -> tuple[np.ndarray, np.ndarray]:
     """Region keys of each set (and the number of the set that each belongs to).
 
-    Sets of fewer than 9 shingles get none: they link with equal ones only. Where only one shingle may differ, the keys are the set and the set without each
-    shingle. Else a band whose sets may differ by t has more than t classes: sets within the radius agree on a
-    class that isn't empty, but for a chance below 1e-7 that nearly all shingles of a small set share a class.
+    Sets too small to link with a smaller or larger one get none (fewer than 9 shingles at 90): they link with equal ones only. Where only one shingle may
+    differ, the keys are the set and the set without each shingle. Else a band whose sets may differ by t has more than t classes: sets within the
+    radius agree on a class that isn't empty, but for a chance below 1e-7 that nearly all shingles of a small set share a class.
     """
     n = np.diff(offsets)
-    least = bands(int(n.max(initial=0)))
-    own = np.searchsorted(least, n, "right") - 1
+    edge = bands(int(n.max(initial=0)), link)
+    own = np.searchsorted(edge, n, "right") - 1
     keys, owners = [], []
     for up in (0, 1):
         b = own + up
         ok = (b >= 0) & (n > 0)
         b = np.where(ok, b, 0)
-        edge = np.append(least, [int(least[-1] * BAND) + 2, int(least[-1] * BAND * BAND) + 4])
         if up:  # as the smaller one of a pair: only if a set of the next band can be within the radius
-            ok &= 100 * n >= LINK * edge[b]
+            ok &= 100 * n >= link * edge[b]
         top = edge[b + 1] - 1
-        differ = 2 * top // SHARE
+        differ = 2 * top * (100 - link) // (100 + link)
         some = np.flatnonzero(ok)
         if not len(some):
             continue
@@ -111,7 +125,8 @@ def keys_of(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
         owners += [some[single], some[place[one]]]
         many = ~one
         if many.any():
-            m = (differ[some] + 1 + 6 + differ[some] // 4).astype(np.int64)
+            used, first, which = np.unique(b[some], return_index=True, return_inverse=True)
+            m = np.array([classes(d, e, link) for d, e in zip(differ[some[first]], edge[used], strict=True)], np.int64)[which]
             start = np.cumsum(m) - m
             cls = (value[many] >> U(33)).astype(np.int64) % m[place[many]]
             slot = start[place[many]] + cls
@@ -137,7 +152,7 @@ def first_of_equal(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.where(n > 0, first[group.ravel()], np.arange(len(n)))
 
 
-def linked(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def linked(sets: list[np.ndarray], link: int = LINK) -> tuple[np.ndarray, np.ndarray]:
     """Links that connect what the sets' links connect, exactly: place of a set, and place of another.
 
     Sets serve as pivots one after the other. A set is compared with those that aren't connected with it yet, whose size
@@ -149,10 +164,10 @@ def linked(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     label = np.arange(len(sets))
     mark = np.zeros(int(flat.max(initial=-1)) + 1, np.int64)
     near: list[np.ndarray] = []
-    radius = 1 - LINK / 100 + 1e-9
+    radius = 1 - link / 100 + 1e-9
     out_a, out_b = [], []
     for x in range(len(sets)):
-        maybe = (label != label[x]) & (100 * np.minimum(n, n[x]) >= LINK * np.maximum(n, n[x]))
+        maybe = (label != label[x]) & (100 * np.minimum(n, n[x]) >= link * np.maximum(n, n[x]))
         everything = len(near) < 8 and maybe.any()
         for d in near:
             maybe &= np.abs(d - d[x]) <= radius
@@ -167,7 +182,7 @@ def linked(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         union = n[some] + n[x] - both
         if everything:
             near.append(1 - both / union)
-        hit = some[(100 * both >= LINK * union) & (some != x)]
+        hit = some[(100 * both >= link * union) & (some != x)]
         for y in hit[label[hit] != label[x]].tolist():
             if label[y] != label[x]:
                 out_a.append(x)
@@ -176,21 +191,21 @@ def linked(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.array(out_a, np.int64), np.array(out_b, np.int64)
 
 
-def region_links(members: DataFrame, keys: list[str]) -> DataFrame:
+def region_links(members: DataFrame, keys: list[str], link: int = LINK) -> DataFrame:
     def join(group: pa.Table) -> pa.Table:
         ids = np.asarray(group["doc_id"].combine_chunks(), dtype=np.int64)
         sets = [np.frombuffer(s.as_buffer(), np.uint64) for s in group["shingles"]]
-        a, b = linked(sets)
+        a, b = linked(sets, link)
         x, y = roots(ids[a], ids[b]) if len(a) else (ids[:0], ids[:0])
         return pa.table({"a": pa.array(x), "b": pa.array(y)})
 
     return members.select(*keys, "doc_id", "shingles").groupBy(*keys).applyInArrow(join, "a long, b long")
 
 
-def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles and component_id of every text under links of Jaccard similarity LINK / 100 or more.
+def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, link: int = LINK) -> DataFrame:
+    """doc_id, n_shingles and component_id of every text under links of Jaccard similarity link / 100 or more (link below 100).
 
-    A text's set holds its distinct shingles of WORDS words (A-Z in lower case); a text of fewer words has its whole
+    A text's set holds its distinct shingles of so many words (A-Z in lower case); a text of fewer words has its whole
     sequence as one shingle. Components are exact: no link between different texts is left out that would connect two of them.
 
     Edge cases: texts without words (null, empty or blank) have size 0 and are their own components, as have rows with a null id
@@ -201,8 +216,8 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     small_batches(spark)
     scratch = Scratch(spark, "shingles")
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    # About one key for five words; words from the bytes of the files.
-    parts = parts_for(spark, scan_bytes(docs) / 12, KEYS_A_TASK)
+    # About one key for five words at 90, and in proportion to what may differ; words from the bytes of the files.
+    parts = parts_for(spark, scan_bytes(docs) / 12 * 19 * (100 - link) / (100 + link), KEYS_A_TASK)
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("same_as", pa.int64()), ("part", pa.int32()), ("keys", pa.binary()), ("docs", pa.binary())])
     ddl = "doc_id long, n_shingles long, same_as long, part int, keys binary, docs binary"
 
@@ -223,7 +238,7 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
 
         for batch in batches:
             ids = column(batch, "doc_id")
-            values, offsets = shingle_sets(column(batch, "text"))
+            values, offsets = shingle_sets(column(batch, "text"), words)
             n = np.diff(offsets)
             known = np.asarray(ids.is_valid())
             number = np.asarray(pc.fill_null(ids, 0), dtype=np.int64)
@@ -238,7 +253,7 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
             rep = np.union1d(rep, np.flatnonzero(known & ~known[same] & (n > 0)))
             v = values[ragged(offsets[:-1][rep], n[rep])]
             o = np.concatenate([[0], np.cumsum(n[rep])])
-            key, owner = keys_of(v, o)
+            key, owner = keys_of(v, o, link)
             if len(rep):
                 whole = mix64(np.add.reduceat(mix64(v ^ U(0x2545F4914F6CDD1D)), o[:-1]) + n[rep].astype(np.uint64))
                 held.append((np.concatenate([key, whole]), number[rep][np.concatenate([owner, np.arange(len(rep))])]))
@@ -265,27 +280,27 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values, offsets = shingle_sets(column(batch, "text"))
+            values, offsets = shingle_sets(column(batch, "text"), words)
             sets = [values[a:z].tobytes() for a, z in zip(offsets[:-1], offsets[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([column(batch, "region"), column(batch, "doc_id"), pa.array(np.diff(offsets)), pa.array(sets, pa.binary())], names=["region", "doc_id", "n", "shingles"])
 
     # By sort and merge at every size: the candidates grow with the texts.
     members = source.join(regions.select(F.col("node").alias("doc_id"), F.col("root").alias("region")).hint("merge"), "doc_id")
     members = scratch.write(members.select("region", "doc_id", "text").mapInArrow(shingled, "region long, doc_id long, n long, shingles binary").where("n > 0"), "members")
-    links = verified(members, scratch)
+    links = verified(members, scratch, link)
     copies = rows.where("same_as is not null and same_as <> doc_id").select(F.col("doc_id").alias("a"), F.col("same_as").alias("b"))
     tree = components(links.unionByName(copies), scratch)
     out = rows.where("part is null").select("doc_id", "n_shingles").join(tree, F.col("doc_id") == F.col("node"), "left")
     return out.select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
 
 
-def verified(members: DataFrame, scratch: Scratch) -> DataFrame:
+def verified(members: DataFrame, scratch: Scratch, link: int = LINK) -> DataFrame:
     """Exact links inside regions, as many as connect what belongs together."""
     found, active = [], members
     for turn in range(ROUNDS + 1):
         sizes = scratch.write(active.groupBy("region").agg(F.sum("n").alias("total"), F.min("doc_id").alias("pivot"), F.count("*").alias("rows")), "sizes")
         small = sizes.where(F.col("total") <= SHINGLES_A_TASK).where("rows > 1").select("region")
-        found.append(scratch.write(region_links(active.join(small, "region"), ["region"]), "links"))
+        found.append(scratch.write(region_links(active.join(small, "region"), ["region"], link), "links"))
         large = sizes.where(F.col("total") > SHINGLES_A_TASK).where("rows > 1")
         if not large.limit(1).count():
             break
@@ -294,13 +309,13 @@ def verified(members: DataFrame, scratch: Scratch) -> DataFrame:
             blocks = active.withColumn("blocks", F.ceil(2 * F.col("total") / SHINGLES_A_TASK).cast("int"))
             blocks = blocks.withColumn("mine", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
             blocks = blocks.withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other"))
-            found.append(scratch.write(region_links(blocks, ["region", "i", "j"]), "links"))
+            found.append(scratch.write(region_links(blocks, ["region", "i", "j"], link), "links"))
             break
         pivots = active.where("doc_id = pivot").groupBy("region").agg(F.first("shingles").alias("center"))
 
         def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                far, link = [], []
+                far, near = [], []
                 for s, c, n in zip(column(batch, "shingles"), column(batch, "center"), column(batch, "n").to_pylist(), strict=True):
                     center = np.frombuffer(c.as_buffer(), np.uint64)
                     own = np.frombuffer(s.as_buffer(), np.uint64)
@@ -308,14 +323,14 @@ def verified(members: DataFrame, scratch: Scratch) -> DataFrame:
                     both = int((center[at] == own).sum())
                     union = n + len(center) - both
                     far.append(1 - both / union)
-                    link.append(100 * both >= LINK * union)
-                yield pa.RecordBatch.from_arrays([*(column(batch, c) for c in ("region", "doc_id", "n", "shingles", "pivot")), pa.array(far), pa.array(link)], names=["region", "doc_id", "n", "shingles", "pivot", "far", "linked"])
+                    near.append(100 * both >= link * union)
+                yield pa.RecordBatch.from_arrays([*(column(batch, c) for c in ("region", "doc_id", "n", "shingles", "pivot")), pa.array(far), pa.array(near)], names=["region", "doc_id", "n", "shingles", "pivot", "far", "linked"])
 
         measured = active.drop("total").join(pivots, "region").select("region", "doc_id", "n", "shingles", "pivot", "center")
         measured = scratch.write(measured.mapInArrow(measure, "region long, doc_id long, n long, shingles binary, pivot long, far double, linked boolean"), "measured")
         found.append(measured.where("linked and doc_id <> pivot").select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")))
         # Unlinked texts go on; of the linked ones those that an unlinked text can still reach.
-        radius = 1 - LINK / 100 + 1e-9
+        radius = 1 - link / 100 + 1e-9
         nearest = measured.where("not linked").groupBy("region").agg(F.min("far").alias("nearest"))
         active = measured.join(nearest, "region").where(F.col("linked").eqNullSafe(F.lit(False)) | ((F.col("nearest") <= 2 * radius) & (F.col("far") >= F.col("nearest") - radius) & (F.col("doc_id") != F.col("pivot"))))
         active = scratch.write(active.select("region", "doc_id", "n", "shingles"), "active")
