@@ -254,15 +254,24 @@ class Verifier:
             want, near = words.tolist(), near.tolist()
             return (1.0, 1.0) if any(near[i : i + m] == want for i in range(len(near) - m + 1)) else (0.0, 0.0)
         masks = self.masks[item]
-        if np.count_nonzero(self.member(item)[near]) < LCS_PARAPHRASE * m:
+        places = np.flatnonzero(self.member(item)[near])
+        if len(places) < LCS_PARAPHRASE * m:
             return 0.0, 0.0
-        near = near.tolist()
-        share = common_length(masks, m, near) / m
-        if share < LCS_PARAPHRASE:
+        near = near[places].tolist()
+        most = common_length(masks, m, near)
+        if most < LCS_PARAPHRASE * m:
             return 0.0, 0.0
-        # The words have to stand together: in one stretch of one and a half times the item's length.
-        width = m + m // 2 + 4
-        share = max(common_length(masks, m, near[a : a + width]) for a in range(0, max(1, len(near) - width + 1), max(1, m // 8))) / m
+        # The words have to stand together: in one stretch of one and a half times the item's length. Every stretch counts; one that begins
+        # between two of the item's words or ends where the one before does has no more of them than its neighbour.
+        ends = np.searchsorted(places, places + m + m // 2 + 4).tolist()
+        best, before = 0, 0
+        for a, z in enumerate(ends):
+            if z > before and z - a > best:
+                best = max(best, common_length(masks, m, near[a:z]))
+                if best == most:
+                    break
+            before = z
+        share = best / m
         last = self.last[item]
         answer = common_length(self.last_masks[item], len(last), near) / len(last)
         return (share, answer) if share >= LCS_SURE or share >= LCS_PARAPHRASE and answer >= ANSWER else (0.0, 0.0)

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 
-from sagebase.llm import shingles
+from sagebase.llm import decontaminate, shingles
 
 
 # ---- near duplicates of the pipeline ----
@@ -65,3 +66,59 @@ def test_components_at_other_thresholds(spark, words, link):
     rows = edited(12)
     got = shingles.near_duplicate_components(spark.createDataFrame(rows, "doc_id long, text string"), words=words, link=link)
     assert {r.doc_id: r.component_id for r in got.collect()} == brute_groups(rows, words, link)
+
+
+# ---- paraphrases at the end of a text ----
+
+
+def common(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        row, old = [0] * (len(b) + 1), row
+        for j, y in enumerate(b):
+            row[j + 1] = old[j] + 1 if x == y else max(row[j], old[j + 1])
+    return row[-1]
+
+
+def test_every_stretch_counts():
+    rng, ends = random.Random(6), 0
+    for turn in range(150):
+        m = rng.randint(8, 60)
+        item = [rng.randint(1, 80) for _ in range(m)]
+        kept = sorted(rng.sample(range(m), rng.randint(m // 2, m)))
+        copy = [x for k in kept for x in [0] * rng.choice([0, 0, 0, 1, 2]) + [item[k]]]
+        text = [rng.choice([0, 0, 0, rng.randint(1, 80)]) for _ in range(rng.randint(60, 140))] + copy + [0] * rng.choice([0, 0, 3])
+        items = decontaminate.Items([])
+        items.words = [np.array(item), np.arange(1, 81)]
+        at = (len(text) - len(copy)) // decontaminate.HALF * decontaminate.HALF
+        near = text[max(0, at - m - decontaminate.HALF) : at + 3 * decontaminate.HALF + m]
+        width = m + m // 2 + 4
+        share = max(common(item, near[a : a + width]) for a in range(max(1, len(near) - width + 1))) / m
+        last = item[-max(3, m // 4) :]
+        answer = common(last, near) / len(last)
+        want = (share, answer) if share >= 0.8 or share >= 0.6 and answer >= 0.5 else (0.0, 0.0)
+        assert decontaminate.Verifier(items).check(0, np.array(text), at) == want, turn
+        ends += want != (0.0, 0.0)
+    assert 30 < ends < 150
+
+
+def test_paraphrase_at_the_end_of_a_text():
+    rng = random.Random(7)
+    words = ["".join(rng.choice("abcdefghiklmnoprstu") for _ in range(rng.randint(3, 9))) for _ in range(900)]
+    items = [[rng.choice(words) for _ in range(59)] for _ in range(12)]
+    docs = []
+    for k in range(240):
+        text = [rng.choice(words) for _ in range(rng.randint(60, 150))]
+        if k % 4 == 0:  # 36 of 59 words, of which 14 at the item's end, spread over 92
+            item = items[k // 4 % 12]
+            kept = [item[j] for j in [*sorted(rng.sample(range(45), 22)), *range(45, 59)]]
+            gaps = sorted(rng.sample(range(1, 91), 34))
+            own = dict(zip([0, *gaps, 91], kept, strict=True))
+            text += [own.get(j, f"other{k}x{j}") for j in range(92)]
+        docs.append((k, " ".join(text)))
+    encoded = decontaminate.Items([(k, " ".join(t)) for k, t in enumerate(items)])
+    verify = decontaminate.Verifier(encoded)
+    for k, t in docs:
+        if k % 4 == 0:
+            codes = np.array([encoded.vocab.get(decontaminate.normal(w), 0) for w in t.split()])
+            assert verify.check(k // 4 % 12, codes, (len(codes) - 92) // decontaminate.HALF * decontaminate.HALF) != (0.0, 0.0), k
