@@ -41,7 +41,7 @@ def recursive_chunks(spark, sf):
 
 
 def code_fences(spark, sf):
-    text = F.concat(F.lit("intro\n```py\n"), F.substring("text", 1, 200), F.lit("\n```\nend"))
+    text = F.concat(F.lit("intro\n```py\n"), "text", F.lit("\n```\nend"))
     return S.segmented(frame(spark, sf, "documents").select("doc_id", text.alias("text")), "doc_id", "text", S.fences)
 
 
