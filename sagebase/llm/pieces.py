@@ -3,12 +3,13 @@
 The pre-tokenizer never puts a space behind a non-space character into the same piece as that character. So
 a text may be cut before every single space that stands between two non-space characters; units such as
 " word" repeat, and a batch is encoded by encoding its distinct units. Where white space of other kinds or
-runs of it stand at a cut, the cut is left out: a unit may be longer, the ids are the same.
+runs of it stand at a cut, the cut is left out: a unit may be longer, the ids are the same. For the same reason units that
+begin and end so can be put one after another and encoded as one text.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -16,17 +17,17 @@ import pyarrow.compute as pc
 
 from sagebase.llm.common import ragged, strings
 
-#: Units whose values a worker keeps, twice at most, and their longest.
-CACHE_UNITS, CACHE_CHARS = 400_000, 64
+#: Units and bytes that a worker keeps, besides those of one batch; bytes of units that are encoded as one text.
+CACHE_UNITS, CACHE_BYTES, JOINED_BYTES = 600_000, 40 << 20, 16 << 10
 
 
-def ends(off: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def ends(start: np.ndarray, stop: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Whether the first and the last character of each non-empty segment are surely no white space."""
-    full = off[1:] > off[:-1]
+    full = stop > start
     first, last = np.zeros(len(full), bool), np.zeros(len(full), bool)
     if not full.any():
         return first, last
-    a, z = off[:-1][full], off[1:][full] - 1
+    a, z = start[full], stop[full] - 1
     lead = data[a]
     first[full] = (lead > 0x20) & (lead != 0xC2) & ~((lead >= 0xE1) & (lead <= 0xE3))  # the leads of all wider white space
     tail, two, three = data[z], data[np.maximum(z - 1, 0)], data[np.maximum(z - 2, 0)]
@@ -35,72 +36,95 @@ def ends(off: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, last
 
 
-def units(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+def units(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Distinct units, the unit number of each occurrence, and the offsets of the texts' occurrences."""
-    texts = pc.fill_null(texts, "").cast(pa.large_string())
-    lists = pc.split_pattern(texts, " ")
+    lists = pc.split_pattern(pc.fill_null(texts, "").cast(pa.large_string()), " ")
     bounds = np.asarray(lists.offsets, dtype=np.int64)
     bounds, flat = bounds - bounds[0], lists.flatten()
     if isinstance(flat, pa.ChunkedArray):
         flat = flat.combine_chunks()
     off, data = strings(flat)
-    first, last = ends(off, data)
+    first, last = ends(off[:-1], off[1:], data)
     starts = np.zeros(len(flat), bool)
     starts[bounds[:-1]] = True
     head = starts.copy()  # the first unit of a text has no space before it
     head[1:] |= last[:-1] & first[1:]
-    encoded = flat.dictionary_encode()
-    words = encoded.dictionary.to_pylist()
-    codes = np.asarray(encoded.indices, dtype=np.int64) * 2 + ~starts
     at = np.flatnonzero(head)
     stop = np.append(at[1:], len(flat))
-    odd = np.flatnonzero(stop - at > 1)
-    codes = codes[at]
-    seen = np.zeros(2 * len(words), bool)
-    seen[codes] = True
-    used = np.flatnonzero(seen)
-    codes = (np.cumsum(seen) - 1)[codes]
-    names = [" " + words[u >> 1] if u & 1 else words[u >> 1] for u in used.tolist()]
-    if len(odd):
-        whole = {}
-        joined = []
-        for k in odd.tolist():
-            text = ("" if starts[at[k]] else " ") + " ".join(flat[at[k] : stop[k]].to_pylist())
-            joined.append(whole.setdefault(text, len(names) + len(whole)))
-        codes[odd] = joined
-        names += whole
-    return names, codes, np.searchsorted(at, bounds)
-
-
-class Memo:
-    """Values of keys, by a function of a list of new keys.
-
-    Two generations bound it: when the young one is full it becomes the old one, so keys in use stay. Results
-    don't depend on what is kept.
+    lead, odd = starts[at], stop - at > 1
+    encoded = flat.dictionary_encode()
+    word = np.asarray(encoded.indices, dtype=np.int64)[at]
+    codes = np.empty(len(at), np.int64)
+    found, total = [], 0
+    for some, before in ((~lead & ~odd, " "), (lead & ~odd, "")):  # a word with its space; a text's first word
+        seen = np.zeros(len(encoded.dictionary), bool)
+        seen[word[some]] = True
+        codes[some] = (np.cumsum(seen) - 1 + total)[word[some]]
+        names = encoded.dictionary.take(pa.array(np.flatnonzero(seen)))
+        found.append(pc.binary_join_element_wise(pa.scalar("", names.type), names, pa.scalar(before, names.type)) if before else names)
+        total += len(names)
+    if odd.any():
+        whole: dict[str, int] = {}
+        numbers = []
+        for k in np.flatnonzero(odd).tolist():
+            text = ("" if lead[k] else " ") + " ".join(flat[at[k] : stop[k]].to_pylist())
+            numbers.append(whole.setdefault(text, total + len(whole)))
+        codes[odd] = numbers
+        found.append(pa.array(list(whole), pa.large_string()))
+    return pa.concat_arrays([x.cast(pa.large_string()) for x in found]), codes, np.searchsorted(at, bounds)
+
+
+def joinable(names: pa.Array) -> np.ndarray:
+    """Which units begin with a space before a non-space and end in a non-space, so that no token crosses from one to the next."""
+    off, data = strings(names)
+    size = np.diff(off)
+    first, last = ends(np.minimum(off[:-1] + 1, off[1:]), off[1:], data)
+    space = np.zeros(len(size), bool)
+    space[size > 1] = data[off[:-1][size > 1]] == 0x20
+    return space & first & last
+
+
+def joined(names: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Joinable units one after another in texts of about JOINED_BYTES, the number of each unit's text, and its last byte's end there."""
+    off, data = strings(names)
+    text = (off[1:] - 1 - off[0]) // JOINED_BYTES if len(names) else np.zeros(0, np.int64)
+    cuts = np.append(np.flatnonzero(np.diff(text, prepend=-1)), len(names))
+    raw = [data[off[a] : off[z]].tobytes().decode() for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+    number = np.repeat(np.arange(len(raw)), np.diff(cuts))
+    return raw, number, off[1:] - off[cuts[:-1]][number]
+
+
+class Store:
+    """Values of units, each unit's worked out once and kept in flat arrays.
+
+    Beyond CACHE_UNITS or CACHE_BYTES the next batch starts with an empty store; results don't depend on what is kept.
     """
 
-    def __init__(self, compute: Callable[[list[str]], Sequence], size: int = CACHE_UNITS):
-        self.compute, self.size, self.young, self.old = compute, size, {}, {}
-
-    def __call__(self, names: list[str]) -> list:
-        young, old = self.young, self.old
-        out = [young[u] if u in young else old.get(u) for u in names]
-        new = [u for u, v in zip(names, out, strict=True) if v is None]
-        if new:
-            found = dict.fromkeys(new)
-            found.update(zip(found, self.compute(list(found)), strict=True))
-            out = [found[u] if v is None else v for u, v in zip(names, out, strict=True)]
-        for u, v in zip(names, out, strict=True):
-            if len(u) <= CACHE_CHARS:
-                young[u] = v
-        if len(young) > self.size:
-            self.young, self.old = {}, young
-        return out
-
-
-def gather(values: list[bytes], codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The 32-bit ids of the occurrences one after another, and how many each has."""
-    lengths = np.fromiter(map(len, values), np.int64, len(values)) // 4
-    joined = np.frombuffer(b"".join(values), np.uint32)
-    starts = np.cumsum(lengths) - lengths
-    return joined[ragged(starts[codes], lengths[codes])], lengths[codes]
+    def __init__(self, compute: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]], kind: type):
+        self.compute, self.kind = compute, kind
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys = pa.array([], pa.large_string())
+        self.flat, self.starts, self.lengths = np.zeros(0, self.kind), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def __call__(self, names: pa.Array) -> np.ndarray:
+        """The place of each unit; `starts` and `lengths` there give its values in `flat`, until the next call."""
+        if len(self.keys) > CACHE_UNITS or self.keys.nbytes + self.flat.nbytes + 16 * len(self.keys) > CACHE_BYTES:
+            self.clear()
+        place = np.asarray(pc.fill_null(pc.index_in(names, value_set=self.keys), -1), dtype=np.int64)
+        lost = place < 0
+        if lost.any():
+            new = names.filter(pa.array(lost))
+            flat, lengths = self.compute(new)
+            place[lost] = len(self.keys) + np.arange(len(new))
+            self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
+            self.lengths = np.concatenate([self.lengths, lengths])
+            self.flat = np.concatenate([self.flat, flat.astype(self.kind)])
+            self.keys = pa.concat_arrays([self.keys, new])
+        return place
+
+    def gather(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The values of the occurrences one after another, and how many each has."""
+        lengths = self.lengths[places]
+        return self.flat[ragged(self.starts[places], lengths)], lengths
