@@ -189,27 +189,67 @@ def test_units_encode_like_the_text():
     texts = odd_texts(300, 4)
     names, codes, bounds = pieces.units(pa.array([*texts, None]))
     for s, a, z in zip([*texts, ""], bounds[:-1], bounds[1:], strict=True):
-        parts = [names[k] for k in codes[a:z]]
+        parts = names.take(pa.array(codes[a:z])).to_pylist()
         assert "".join(parts) == s
         assert [i for p in parts for i in lib.encode(p, add_special_tokens=False).ids] == lib.encode(s, add_special_tokens=False).ids
 
 
+def test_pairs_survive_like_merging():
+    counter, rng = tokencount.counter(tokencount.public_vocabulary()), random.Random(8)
+
+    def merged(word):
+        parts = list(word)
+        while True:
+            ranks = [(counter.rank[p], i) for i, p in enumerate(zip(parts, parts[1:])) if p in counter.rank]  # noqa: B905
+            if not ranks:
+                return parts
+            i = min(ranks)[1]
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+
+    tokens = sorted(counter.vocab)
+    short = [t for t in tokens if len(t) < 4]
+    for k in range(4000):
+        a, b = (rng.choice(tokens), rng.choice(tokens)) if k % 2 else (rng.choice(short), rng.choice(short)) if k % 4 else (rng.choice(short),) * 2
+        assert counter.apart(a, b, 1 << 60) == (merged(a + b) == [a, b]), (a, b)
+
+
+def test_encoded_together_like_alone():
+    lib, rng = library(), random.Random(12)
+    texts = [*odd_texts(200, 5), *(" ".join("".join(rng.choice("abcdé.,1<|>'") for _ in range(rng.randint(1, 12))) for _ in range(60)) for _ in range(40)), "a <|endoftext|> b", "y" * 40_000 + " z", None]
+    flat, at = sstable.Encoder(tokencount.public_vocabulary())(pa.array(texts))
+    for t, a, z in zip(texts, at[:-1], at[1:], strict=True):
+        assert flat[a:z].tolist() == lib.encode(t or "", add_special_tokens=False).ids, t
+
+
+def token_rows():
+    rng = random.Random(13)
+    plain = [" ".join("".join(rng.choice("abcdefgst.,-12") for _ in range(rng.randint(1, 9))) for _ in range(30)) for _ in range(20)]
+    texts = [*odd_texts(60), *plain, None, "", "word " * 3000, "x" * 5000, "ab" * 9000 + " c", " " * 300 + "\n" * 300, "<|endoftext|>" * 3]
+    return [*enumerate(texts), (None, "a"), (0, texts[0])]
+
+
 def test_token_counts(spark):
-    texts = [*odd_texts(40), None, "", "word " * 3000, "x" * 5000]
-    df = spark.createDataFrame([(k, t, 1) for k, t in enumerate(texts)] + [(None, "a", 1), (0, texts[0], 1)], "doc_id long, text string, n_bytes int")
-    want = [(k, len((t or "").encode()), n := len(library().encode(t or "", add_special_tokens=False).ids), n > 1024) for k, t in [*enumerate(texts), (None, "a"), (0, texts[0])]]
-    assert rows_of(tokencount.token_counts(df, tokencount.public_vocabulary())) == sorted(want, key=str)
-    assert tokencount.token_counts(df.limit(0), tokencount.public_vocabulary()).count() == 0
+    rows, lib = token_rows(), library()
+    df = spark.createDataFrame([(k, t, 1) for k, t in rows], "doc_id long, text string, n_bytes int")
+    want = [(k, len((t or "").encode()), n := len(lib.encode(t or "", add_special_tokens=False).ids), n > 1024) for k, t in rows]
+    assert rows_of(tokencount.token_counts(tokencount.prefix_tables(df, tokencount.public_vocabulary()))) == sorted(want, key=str)
+    assert tokencount.prefix_tables(df.limit(0), tokencount.public_vocabulary()).count() == 0
 
 
-def test_budget(spark):
-    count = tokencount.counter(tokencount.public_vocabulary())
-    texts = [*odd_texts(60, 9), "the quick brown fox jumps", ""]
+@pytest.mark.parametrize("budget", [0, 1, 2, 3, 4, 6, 40])
+def test_budget(spark, budget):
+    lib = library()
+    texts = [t or "" for _, t in token_rows() if len(t or "") < 400]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    for r in tokencount.fit_budget(df, tokencount.public_vocabulary(), 4).collect():
-        table = count.table(texts[r.doc_id])
-        best = max(i for i, n in enumerate(table) if n <= 4)
-        assert r.n_tokens <= 4 and abs(r.n_chars - best) <= 2 and table[r.n_chars] == r.n_tokens
+    tables = Scratch(spark, "t").write(tokencount.prefix_tables(df, tokencount.public_vocabulary()), "tables")
+    for r in tables.collect():
+        if budget == 0:
+            want = [len(lib.encode(texts[r.doc_id][:i], add_special_tokens=False).ids) for i in range(len(texts[r.doc_id]) + 1)]
+            assert tokencount.counts_of(r.steps, r.n_chars).tolist() == want, texts[r.doc_id]
+    for r in tokencount.fit_budget(tables, budget).collect():
+        counts = [len(lib.encode(texts[r.doc_id][:i], add_special_tokens=False).ids) for i in range(len(texts[r.doc_id]) + 1)]
+        best = max(i for i, n in enumerate(counts) if n <= budget)
+        assert (r.n_chars, r.n_tokens) == (best, counts[best])
 
 
 def test_token_shards(spark):
@@ -271,22 +311,97 @@ def test_byte_shards(spark):
     assert sharding.shard_by_bytes(spark.createDataFrame([], "doc_id long, text string"), 5).count() == 0
 
 
-def test_mix(spark):
+def brute_mix(rows, weights=(3, 1, 2), share=1.5, cap=2, seed=20):
+    """(doc_id, size) -> copies, by plain loops; shards by the leaves' quotas, drawn in the blocks' order."""
+    docs = [(i, s, len(re.findall(r"[^\x20\x09-\x0D]+", t or "")), hashlib.md5("|".join([*([] if i is None else [str(i)]), str(seed)]).encode()).hexdigest()) for i, t, s in rows]
+    names = sorted({s for _, s, _, _ in docs}, key=lambda s: (s is None, s or ""))
+    size = {s: sum(n for _, t, n, _ in docs if t == s) for s in names}
+    weight = {s: weights[k % len(weights)] for k, s in enumerate(names)}
+    capped, target = set(), {}
+    while True:
+        free = [s for s in names if s not in capped]
+        left = share * sum(size.values()) - sum(cap * size[s] for s in capped)
+        target = {s: float(cap * size[s]) if s in capped else weight[s] * left / sum(weight[x] for x in free) for s in names}
+        more = {s for s in free if target[s] > cap * size[s]}
+        if not more:
+            break
+        capped |= more
+    own, draws = {}, []
+    for s in names:
+        order = sorted((x for x in docs if x[1] == s), key=lambda x: (x[3], x[0], x[2]))
+        passes = int(target[s] // size[s]) if size[s] else 0
+        rest, at, rows_ = target[s] - passes * size[s], 0, []
+        for i, _, n, key in order:
+            rows_.append({"id": i, "n": n, "block": key[:2], "start": at, "copies": passes, "last": rest > 0 and at + n <= rest})
+            at += n
+        begins = {}
+        for r in rows_:
+            begins.setdefault(r["block"], r["start"])
+        partly = [b for b in begins if begins[b] < rest]
+        sequence = [*begins] * passes + partly
+        gap = rest - max((r["start"] + r["n"] for r in rows_ if r["last"]), default=0)
+        left = [r for r in rows_ if not r["last"] and r["n"]] if partly else []
+        for _ in range(mixing.FILLS):
+            total, fit = 0, [r for r in left if r["n"] <= gap]
+            for r in fit:
+                total += r["n"]
+                if total <= gap:
+                    r["fill"] = True
+            gap -= sum(r["n"] for r in left if r.get("fill"))
+            left = [r for r in left if not r.get("fill")]
+        best = min((r for r in left if abs(r["n"] - gap) < gap), key=lambda r: (abs(r["n"] - gap), r["start"]), default=None)
+        if best:
+            best["fill"] = True
+        own[s] = rows_, sequence, passes, begins
+        draws.append(len(sequence))
+    leaves = [q for _, q in mixing.split(np.array(draws), np.diff(np.arange(17) * sum(draws) // 16), np.random.default_rng(seed))]
+    out = []
+    for k, s in enumerate(names):
+        rows_, sequence, passes, _ = own[s]
+        shard = [j for j, q in enumerate(leaves) for _ in range(int(q[k]))]
+        assert len(shard) == len(sequence)
+        for r in rows_:
+            places = [j for b, j in zip(sequence, shard, strict=True) if b == r["block"]]
+            mine = places[: passes + (1 if r["last"] else 0)] + ([shard[-1]] if r.get("fill") else [])
+            out.append((r["id"], r["n"], size[s], round(target[s], 6), r["n"] * len(mine), len(mine), mine))
+    return sorted(out, key=str)
+
+
+def mix_rows():
     rng = random.Random(4)
-    rows = [(k, " ".join(["w"] * rng.randint(0, 40)), f"s{rng.choice('aaabcde')}" if k % 50 else None, 1) for k in range(400)] + [(None, "x y", "sa", 1), (3, None, "sa", 1)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, source string, rank int")
+    rows = [(k, " ".join(["w"] * rng.randint(0, 40)), f"s{rng.choice('aaabcde')}" if k % 50 else None) for k in range(400)]
+    return [*rows, (None, "x y", "sa"), (3, None, "sa"), (900, "w " * 5000, "sf"), *[(901 + k, "w " * (60 + k), "sf") for k in range(40)], (990, "", "empty")]
+
+
+def test_mix(spark):
+    rows = mix_rows()
+    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, source string, rank int")
     got = mixing.mix(df).collect()
-    assert len(got) == len(rows) and sorted(map(str, got)) == sorted(map(str, mixing.mix(df.repartition(3)).collect()))
+    assert sorted(((r.doc_id, r.size, r.source_size, round(r.target, 6), r.taken, r.copies, r.shards) for r in got), key=str) == brute_mix(rows)
+    assert sorted(map(str, got)) == sorted(map(str, mixing.mix(df.repartition(3)).collect()))
     by = collections.defaultdict(list)
     for r in got:
         assert r.taken <= 2 * r.size and len(r.shards) == r.copies and all(0 <= s < 16 for s in r.shards)
         by[r.source_size, r.target].append(r)
     assert abs(sum(t for _, t in by) - 1.5 * sum(s for s, _ in by)) < 1e-6
     for (_, target), own in by.items():
-        assert abs(sum(r.taken for r in own) - target) <= max(r.size for r in own)
+        spare = [r.size for r in own if r.size and r.copies == min(x.copies for x in own if x.size)] or [0]
+        assert abs(sum(r.taken for r in own) - target) <= min(max(0.02 * target + 20, min(spare)), max(r.size for r in own))
     assert mixing.mix(df.limit(0)).count() == 0
 
 
+def test_the_tree_decides_the_shards(spark, monkeypatch):
+    rows = mix_rows()[:300]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    first = {(r.doc_id, r.size): r for r in mixing.mix(df).collect()}
+    real = mixing.split
+    # Another tree, which leaves half of the shards empty.
+    monkeypatch.setattr(mixing, "quotas", lambda n, seed: lambda batches: (x.assign(dealt=[[0] * (n // 2) + [int(d)] * (n // 2) for d in x["draws"]])[["rank", "dealt"]] for x in batches))
+    other = mixing.mix(df).collect()
+    assert mixing.split is real and all(s == 8 for r in other for s in r.shards)
+    assert any(r.shards != first[r.doc_id, r.size].shards for r in other) and all(r.copies == first[r.doc_id, r.size].copies for r in other)
+
+
 def test_splitting_tree_is_exact():
     counts, room = np.array([50, 0, 7, 300]), np.array([60, 59, 60, 59, 60, 59])
     leaves = list(mixing.split(counts, room, np.random.default_rng(1)))
