@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sagebase.llm.common import column, map_arrow, small_batches, table
+from sagebase.llm.common import Scratch, column, map_arrow, small_batches, table, tidied
 
 #: Labelled rows that are learnt from at most (those with the least hashes of their ids); the documented bound of the sample.
 TRAIN_ROWS = 20_000
@@ -27,60 +27,73 @@ PSEUDO_TOKENS, THRESHOLD = 50, 0.3
 UNSEEN, CLEAN_TOKENS = 0.05, 300
 
 
-def features(word: str) -> list[str]:
-    """The word in lower case without signs at its ends, and its first 4, 5 and 6 letters where it is longer."""
-    core = word.strip(EDGES).lower()
-    return [core, *(core[:n] + "*" for n in PREFIXES if len(core) > n)] if core else []
-
-
-def tokens(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+def tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Distinct words, the word number of each occurrence, and the texts' offsets. Empty strings at the ends stay as words without features."""
     lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
     bounds = np.asarray(lists.offsets, dtype=np.int64)
     encoded = lists.flatten().dictionary_encode()
-    return encoded.dictionary.to_pylist(), np.asarray(encoded.indices, dtype=np.int64), bounds - bounds[0]
+    return encoded.dictionary, np.asarray(encoded.indices, dtype=np.int64), bounds - bounds[0]
+
+
+def normal(words: pa.Array) -> pa.Array:
+    """Words in lower case without signs or digits at their ends."""
+    return pc.utf8_lower(pc.utf8_trim(words, characters=EDGES))
+
+
+def features(words: pa.Array) -> list[pa.Array]:
+    """The words in normal form, and their first 4, 5 and 6 letters where they are longer (else null)."""
+    core = normal(words).cast(pa.string())
+    size = pc.utf8_length(core)
+    none = pa.scalar(None, pa.string())
+    begins = [pc.if_else(pc.greater(size, n), pc.binary_join_element_wise(pc.utf8_slice_codeunits(core, 0, n), "*", ""), none) for n in PREFIXES]
+    return [pc.if_else(pc.greater(size, 0), core, none), *begins]
 
 
-def documents_with(texts: pa.Array, wanted: dict[str, int] | None) -> tuple[list[str], np.ndarray, np.ndarray]:
+def numbered(words: pa.Array, wanted: pa.Array | None) -> tuple[pa.Array, np.ndarray]:
+    """Feature names, and for each word the numbers of its features (-1 for none)."""
+    kinds = features(words)
+    if wanted is None:
+        encoded = pa.concat_arrays(kinds).dictionary_encode()
+        return encoded.dictionary, np.asarray(pc.fill_null(encoded.indices, -1), dtype=np.int64).reshape(len(kinds), -1).T
+    found = [pc.fill_null(pc.index_in(k, value_set=wanted, skip_nulls=True), -1) for k in kinds]
+    return wanted, np.stack([np.asarray(f, dtype=np.int64) for f in found], axis=1)
+
+
+def documents_with(texts: pa.Array, wanted: pa.Array | None) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Feature names, and pairs of text number and feature number, each pair once."""
     words, codes, bounds = tokens(texts)
-    numbers: dict[str, int] = {} if wanted is None else wanted
-    flat, sizes = [], []
-    for w in words:
-        own = [numbers.setdefault(f, len(numbers)) if wanted is None else numbers[f] for f in features(w) if wanted is None or f in numbers]
-        flat += own
-        sizes.append(len(own))
-    sizes = np.array(sizes, np.int64)
-    starts = np.cumsum(sizes) - sizes
-    text = np.repeat(np.arange(len(texts)), np.diff(bounds))
-    pairs = np.unique(text * len(words) + codes) if len(words) else np.zeros(0, np.int64)
-    text, code = (pairs // len(words), pairs % len(words)) if len(words) else (pairs, pairs)
-    n = sizes[code]
-    at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n - starts[code], n)
-    both = np.unique(np.repeat(text, n) * max(1, len(numbers)) + np.array(flat, np.int64)[at]) if len(at) else np.zeros(0, np.int64)
-    return list(numbers), both // max(1, len(numbers)), both % max(1, len(numbers))
-
-
-def count_features(docs: DataFrame, wanted: dict[str, int] | None) -> DataFrame:
+    names, own = numbered(words, wanted)
+    if not len(codes) or not len(names):
+        return names, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    some = np.flatnonzero((own >= 0).any(axis=1)[codes])
+    text = np.searchsorted(bounds, some, "right") - 1
+    pairs = np.unique(text * len(words) + codes[some])
+    number = own[pairs % len(words)]
+    text = np.repeat(pairs // len(words), (number >= 0).sum(axis=1))
+    both = np.unique(text * len(names) + number[number >= 0])
+    return names, both // len(names), both % len(names)
+
+
+def count_features(docs: DataFrame, wanted: list[str] | None) -> DataFrame:
     """feature, toxic and clean documents that have it; with `wanted`, only those and without regard to labels (as clean)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only = None if wanted is None else pa.array(wanted, pa.string())
         total = np.zeros((2, len(wanted)), np.int64) if wanted is not None else None
         for batch in batches:
             label = np.asarray(column(batch, "toxic"), dtype=np.int64)
-            names, text, number = documents_with(column(batch, "text"), wanted)
+            names, text, number = documents_with(column(batch, "text"), only)
             toxic = label[text] == 1
             counts = np.stack([np.bincount(number[toxic], minlength=len(names)), np.bincount(number[~toxic], minlength=len(names))])
             if total is not None:
                 total += counts
                 continue
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(counts[0]), pa.array(counts[1])], names=["feature", "toxic", "clean"])
+            yield pa.RecordBatch.from_arrays([names, pa.array(counts[0]), pa.array(counts[1])], names=["feature", "toxic", "clean"])
         if total is not None and total.any():
             some = np.flatnonzero(total.sum(0))
-            names = list(wanted)
-            yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in some], pa.string()), pa.array(total[0][some]), pa.array(total[1][some])], names=["feature", "toxic", "clean"])
+            yield pa.RecordBatch.from_arrays([pa.array([wanted[i] for i in some], pa.string()), pa.array(total[0][some]), pa.array(total[1][some])], names=["feature", "toxic", "clean"])
 
-    rows = docs.select("text", "toxic").mapInArrow(run, "feature string, toxic long, clean long")
+    rows = docs.select("text", "toxic").mapInArrow(tidied(run), "feature string, toxic long, clean long")
     return rows.groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
@@ -92,6 +105,15 @@ def log_odds(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int, s
     return ratio, np.sqrt(1 / t + 1 / c)
 
 
+def possible(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int, weight: float) -> np.ndarray:
+    """Which features can be evidence at any share in the corpus: only these need to be counted there."""
+    found = np.zeros(len(toxic), bool)
+    for share in np.geomspace(1e-9, 1, 200):
+        ratio, error = log_odds(toxic, clean, n_toxic, n_clean, np.full(len(toxic), share), weight)
+        found |= ratio - 2 * error >= EVIDENCE - 0.1
+    return found
+
+
 def decay(scores: np.ndarray, rates: np.ndarray, drift: float) -> float:
     """Lambda of the extreme-value law: the positive root of E[exp(lambda * score)] = 1 over clean tokens."""
     rest = max(1e-6, 1 - rates.sum())
@@ -131,10 +153,11 @@ class Model:
 
     def __init__(self, evidence: dict[str, float], lam: float, drift: float = DRIFT, weights: tuple[float, float] = (0.0, 0.0)):
         self.evidence, self.lam, self.drift, self.weights = evidence, lam, drift, weights
-        self.known: dict[str, float] = {}
 
-    def word(self, word: str) -> float:
-        return max((self.evidence[f] for f in features(word) if f in self.evidence), default=0.0)
+    def scores(self, words: pa.Array) -> np.ndarray:
+        """Each word's largest evidence, 0 if it has none."""
+        names, own = numbered(words, pa.array(list(self.evidence), pa.string()))
+        return np.concatenate([np.fromiter(self.evidence.values(), np.float64, len(names)), [0.0]])[own].max(axis=1, initial=0.0)
 
     def measure(self, texts: pa.Array) -> tuple[np.ndarray, list[list[tuple[int, int, float]]]]:
         """Of each text: how unlikely its segments are in a clean text, and the significant ones.
@@ -143,10 +166,7 @@ class Model:
         its best segment and those of all other significant segments (with a level over 0) together.
         """
         words, codes, bounds = tokens(texts)
-        known = self.known
-        if len(known) > 500_000:
-            known.clear()
-        own = np.array([known[w] if w in known else known.setdefault(w, self.word(w)) for w in words])
+        own = self.scores(words)
         score = own[codes] if len(codes) else np.zeros(0)
         size = np.log(np.diff(bounds) + PSEUDO_TOKENS)
         total, spans = -size, [[] for _ in range(len(size))]
@@ -195,40 +215,50 @@ def held_out(doc_id) -> F.Column:
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Learn from a bounded sample of labelled rows that aren't held out, and from the whole corpus for the prior.
 
-    docs: doc_id, text; labels: doc_id, toxic. Where ids repeat in labels, any toxic row makes the id toxic.
+    docs: doc_id, text; labels: doc_id, toxic. Where ids repeat in labels, any toxic row makes the id toxic. Rows of a repeated id with
+    different texts are documents of their own with the id's label; rows with equal id and text count once in the sample.
     """
     spark = docs.sparkSession
+    small_batches(spark)
+    scratch = Scratch(spark, "toxicity")
     sample = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
     sample = sample.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS)
     # TRAIN_ROWS ids at most, on the driver and in the broadcast.
     drawn = [(int(r.doc_id), int(r.toxic)) for r in sample.collect()]
-    if not drawn:
-        return Model({}, 1.0, weights=(-3.0, 0.0))
     sample = spark.createDataFrame(drawn, "doc_id long, toxic int")
-    train = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id")
-    rows = count_features(train, None).where(F.col("toxic") >= LEAST_TOXIC).collect()  # bounded by the sample's words
-    n_toxic = max(1, sum(y for _, y in drawn))
-    n_clean = max(1, len(drawn) - n_toxic)
-    rows.sort(key=lambda r: r.feature)
-    wanted = {r.feature: i for i, r in enumerate(rows)}
-    everywhere = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.lit(0).alias("toxic"))
+    text = F.coalesce("text", F.lit(""))
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), text.alias("text")).join(F.broadcast(sample), "doc_id")
+    # Different texts of an id are different documents, equal ones are one; an id may have any number of either.
+    few = keyed.groupBy("doc_id", "key").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id", "key"), "doc_id", "key").limit(TRAIN_ROWS).collect()
+    if not few:
+        return Model({}, 1.0, weights=(-3.0, 0.0))
+    picked = spark.createDataFrame([(r.doc_id, r.key) for r in few], "doc_id long, key long")
+    train = scratch.write(keyed.join(F.broadcast(picked), ["doc_id", "key"]).dropDuplicates(["doc_id", "key"]).select("text", "toxic"), "train")
+    n_toxic = sum(int(r.toxic) for r in few)
+    n_clean = len(few) - n_toxic
+    weight = max(PRIOR_DOCS, PRIOR_SHARE * len(few))
+    rows = count_features(train, None).where(F.col("toxic") >= LEAST_TOXIC).orderBy("feature").toArrow()  # bounded by the sample's words
+    toxic, clean = (np.asarray(rows[k].combine_chunks(), dtype=np.float64) for k in ("toxic", "clean"))
+    some = np.flatnonzero(possible(toxic, clean, n_toxic, n_clean, weight))
+    toxic, clean = toxic[some], clean[some]
+    names = rows["feature"].take(pa.array(some)).to_pylist()
+    everywhere = docs.select(text.alias("text"), F.lit(0).alias("toxic"))
     n_docs = max(1, docs.count())
-    seen = np.zeros(len(rows))
-    for r in count_features(everywhere, wanted).collect():  # one row a feature at most
-        seen[wanted[r.feature]] = r.clean
-    toxic, clean = (np.array([r[k] for r in rows], float) for k in ("toxic", "clean"))
-    weight = max(PRIOR_DOCS, PRIOR_SHARE * len(drawn))
+    place, seen = {f: i for i, f in enumerate(names)}, np.zeros(len(names))
+    for r in count_features(everywhere, names).collect() if names else ():  # one row a feature at most
+        seen[place[r.feature]] = r.clean
     ratio, error = log_odds(toxic, clean, n_toxic, n_clean, seen / n_docs, weight)
     strong = np.flatnonzero(ratio - 2 * error >= EVIDENCE)
     gain = np.minimum(MOST, (ratio - error)[strong])
-    evidence = {rows[i].feature: float(g) for i, g in zip(strong, gain, strict=True)}
+    evidence = {names[i]: float(g) for i, g in zip(strong, gain, strict=True)}
     rates = (clean[strong] + UNSEEN) / (n_clean + 1) / CLEAN_TOKENS
     rates *= min(1.0, 0.5 / max(1e-9, rates.sum()))
     drift = min(DRIFT, -2 * float((rates * gain).sum()))
     lam = decay(gain, rates, drift)
     model = Model(evidence, lam, drift)
     measured = measure(train, model).collect()  # TRAIN_ROWS rows of two numbers
-    weights = logistic(np.array([[r.level] for r in measured]), np.array([r.toxic for r in measured], float)) if measured else (-3.0, 0.0)
+    weights = logistic(np.array([[r.level] for r in measured]), np.array([r.toxic for r in measured], float))
+    scratch.drop(train)
     return Model(evidence, lam, drift, weights)
 
 
