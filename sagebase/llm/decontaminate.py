@@ -11,11 +11,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sagebase.llm.common import Scratch, column, small_batches, table
-from sagebase.llm.toxicity import EDGES, tokens
+from sagebase.llm.common import Scratch, column, small_batches, table, tidied
+from sagebase.llm.toxicity import normal as normal_words
+from sagebase.llm.toxicity import tokens
 
 #: Words of half a passage; passages are two neighbouring halves, so each overlaps the next by one.
 HALF = 32
@@ -25,34 +27,36 @@ RANK, AXIS_PASSAGES, SEED, COSINE, SCALING = 64, 8, 7, 0.55, 0.25
 COMMON = 0.05
 #: Share of an item's words in order that counts as a leak; the lower one needs the item's last part too.
 LCS_SURE, LCS_PARAPHRASE, ANSWER = 0.8, 0.6, 0.5
-#: Items with fewer words are found only where all of them stand one after another.
+#: Items with fewer words leak only where all of them stand one after another; these are looked up word by word, not through the latent space.
 SHORT_ITEM = 8
-#: Items that one round over the corpus looks for; more items take more rounds.
-ITEMS_A_ROUND = 20_000
+#: Items, and words of items, that one round over the corpus looks for; more take more rounds.
+ITEMS_A_ROUND, WORDS_A_ROUND = 20_000, 2_000_000
 
 
 def normal(word: str) -> str:
-    return word.strip(EDGES).lower()
+    return normal_words(pa.array([word]))[0].as_py()
 
 
 class Items:
-    """A round's items as word numbers (from 1; 0 is any other word)."""
+    """A round's items as word numbers (from 1; 0 is any other word). Words that are signs or digits alone don't count, here and in documents."""
 
     def __init__(self, rows: list[tuple[int | None, str]]):
+        words, codes, bounds = tokens(pa.array([text for _, text in rows], pa.string()))
+        names = normal_words(words).to_pylist()
         self.vocab: dict[str, int] = {}
         self.ids, self.words = [], []
-        for item_id, text in rows:
-            words = [self.vocab.setdefault(n, len(self.vocab) + 1) for w in (text or "").split() if (n := normal(w))]
-            if words:
+        for (item_id, _), a, z in zip(rows, bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            own = [self.vocab.setdefault(n, len(self.vocab) + 1) for k in codes[a:z].tolist() if (n := names[k])]
+            if own:
                 self.ids.append(item_id)
-                self.words.append(np.array(words, np.int64))
+                self.words.append(np.array(own, np.int64))
         self.kind = np.uint16 if len(self.vocab) < 1 << 16 else np.uint32
 
     def passages(self) -> tuple[np.ndarray, list[np.ndarray]]:
-        """Item numbers and words of the items' passages of up to 2 * HALF words."""
+        """Item numbers and words of the longer items' passages of up to 2 * HALF words."""
         owner, out = [], []
         for i, words in enumerate(self.words):
-            for a in range(0, max(1, len(words) - HALF), HALF):
+            for a in () if len(words) < SHORT_ITEM else range(0, max(1, len(words) - HALF), HALF):
                 owner.append(i)
                 out.append(words[a : a + 2 * HALF])
         return np.array(owner, np.int64), out
@@ -63,19 +67,22 @@ def encode(docs: DataFrame, items: Items) -> DataFrame:
     kind, vocab = items.kind, docs.sparkSession.sparkContext.broadcast(items.vocab)  # a round's words: bounded by ITEMS_A_ROUND
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, known = vocab.value, {}
+        numbers = pa.array(list(vocab.value), pa.string())
         for batch in batches:
             words, codes, bounds = tokens(column(batch, "text"))
-            if len(known) > 500_000:
-                known = {}
-            own = np.array([known[w] if w in known else known.setdefault(w, numbers.get(normal(w), 0)) for w in words], kind)
-            flat = own[codes] if len(codes) else np.zeros(0, kind)
-            ids = column(batch, "doc_id").to_pylist()
-            rows = [(i, flat[a:z]) for i, a, z in zip(ids, bounds[:-1], bounds[1:], strict=True)]
-            rows = [(i, c.tobytes()) for i, c in rows if c.any()]
-            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int64()), pa.array([c for _, c in rows], pa.binary())], names=["doc_id", "codes"])
+            names = normal_words(words).cast(pa.string())
+            own = (np.asarray(pc.fill_null(pc.index_in(names, value_set=numbers), -1), dtype=np.int64) + 1).astype(kind)
+            real = np.asarray(pc.greater(pc.binary_length(names), 0).cast(pa.int8()), dtype=np.int8).astype(bool)
+            keep = real[codes] if len(codes) else np.zeros(0, bool)
+            flat = own[codes[keep]] if len(codes) else np.zeros(0, kind)
+            at = np.concatenate([[0], np.cumsum(keep)])[bounds]
+            any_ = np.concatenate([[0], np.cumsum(flat > 0)])
+            some = np.flatnonzero(any_[at[1:]] > any_[at[:-1]])
+            size, raw = flat.itemsize, flat.tobytes()
+            blobs = [raw[a * size : z * size] for a, z in zip(at[some].tolist(), at[some + 1].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([column(batch, "doc_id").take(pa.array(some)), pa.array(blobs, pa.binary())], names=["doc_id", "codes"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "doc_id long, codes binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(tidied(run), "doc_id long, codes binary")
 
 
 def halves(blobs: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -112,7 +119,7 @@ def summed(df: DataFrame, work, shape: tuple[int, int]) -> np.ndarray:
         for part, m in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([m.tobytes()], pa.binary())], names=["part", "matrix"])
 
-    partial = df.mapInArrow(run, "part long, matrix binary")
+    partial = df.mapInArrow(tidied(run), "part long, matrix binary")
     # First within groups of tasks, then by part: no task adds more than the square root of all, about.
     grouped = partial.withColumn("salt", F.spark_partition_id() % 16).repartition(16, "part", "salt").select("part", "matrix").mapInArrow(add, "part long, matrix binary")
     out = np.zeros(shape)
@@ -144,11 +151,12 @@ def latent_basis(encoded: DataFrame, items: Items) -> np.ndarray:
     def frequency(batch: pa.RecordBatch, total: np.ndarray) -> None:
         codes, half, first, _ = halves(column(batch, "codes"), kind)
         hit = codes > 0
-        total[:, 0] += np.bincount(np.unique(half[hit] * n + codes[hit]) % n, minlength=n)
+        keys = half[hit] * n + codes[hit]
+        total[:, 0] += np.bincount(np.unique(keys.astype(np.uint32) if first[-1] * n < 1 << 32 else keys) % n, minlength=n)
         total[0, 0] += first[-1]
 
     counts = summed(encoded, frequency, (n, 1))[:, 0]
-    passages_in_all = max(counts[0], len(passages))
+    passages_in_all = max(counts[0], len(passages), 1)
     counts[0] = passages_in_all
     for words in passages:
         counts[np.unique(words)] += 1
@@ -165,7 +173,7 @@ def latent_basis(encoded: DataFrame, items: Items) -> np.ndarray:
 
     y = summed(encoded, sketch, (n, rank))
     sizes = np.fromiter(map(len, passages), np.int64, len(passages))
-    own = weighted(np.concatenate(passages), np.repeat(np.arange(len(passages)), sizes), weight)
+    own = weighted(np.concatenate([np.zeros(0, np.int64), *passages]), np.repeat(np.arange(len(passages)), sizes), weight)
     add_outer(*own, len(passages), seen, weight, y)
     inner = omega.T @ y
     values, vectors = np.linalg.eigh((inner + inner.T) / 2)
@@ -234,29 +242,31 @@ class Verifier:
         self.last = [w[-max(3, len(w) // 4) :] for w in items.words]
         self.last_masks = [masks_of(w) for w in self.last]
         self.most = max((int(w.max()) for w in self.words), default=0)
-        self.members: dict[int, np.ndarray] = {}
+        self.members: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
-    def member(self, item: int) -> np.ndarray:
-        """Which word numbers an item has; few items' tables are held at once."""
+    def member(self, item: int) -> tuple[np.ndarray, np.ndarray]:
+        """The place of each word number among the item's distinct words (the last for others), and how often it has these; few items' tables are held at once."""
         found = self.members.get(item)
         if found is None:
             if len(self.members) >= 512:
                 self.members.clear()
-            found = self.members[item] = np.zeros(self.most + 1, bool)
-            found[self.words[item]] = True
+            own, times = np.unique(self.words[item], return_counts=True)
+            table_ = np.full(self.most + 1, len(own), np.int16 if len(own) < 1 << 15 else np.int32)
+            table_[own] = np.arange(len(own))
+            found = self.members[item] = table_, times
         return found
 
     def check(self, item: int, codes: np.ndarray, at: int) -> tuple[float, float]:
         """Shares of the item's words and of its last part's that stand in order near word `at` of a text; (0, 0) if that is no leak."""
         words, m = self.words[item], len(self.words[item])
         near = codes[max(0, at - m - HALF) : at + 2 * HALF + m + HALF]
-        if m < SHORT_ITEM:
-            want, near = words.tolist(), near.tolist()
-            return (1.0, 1.0) if any(near[i : i + m] == want for i in range(len(near) - m + 1)) else (0.0, 0.0)
         masks = self.masks[item]
-        places = np.flatnonzero(self.member(item)[near])
-        if len(places) < LCS_PARAPHRASE * m:
+        table_, times = self.member(item)
+        local = table_[near]
+        # A common subsequence has each word as often as both have it, at most.
+        if np.minimum(np.bincount(local, minlength=len(times))[: len(times)], times).sum() < LCS_PARAPHRASE * m:
             return 0.0, 0.0
+        places = np.flatnonzero(local < len(times))
         near = near[places].tolist()
         most = common_length(masks, m, near)
         if most < LCS_PARAPHRASE * m:
@@ -277,12 +287,43 @@ class Verifier:
         return (share, answer) if share >= LCS_SURE or share >= LCS_PARAPHRASE and answer >= ANSWER else (0.0, 0.0)
 
 
-def search(encoded: DataFrame, items: Items, basis: np.ndarray) -> DataFrame:
+class Phrases:
+    """Short items, found wherever all their words stand one after another."""
+
+    def __init__(self, items: list[np.ndarray]):
+        self.at: dict[int, tuple[np.ndarray, dict[tuple, list[int]]]] = {}
+        for m in range(1, SHORT_ITEM):
+            wanted: dict[tuple, list[int]] = {}
+            for i, words in enumerate(items):
+                if len(words) == m:
+                    wanted.setdefault(tuple(words.tolist()), []).append(i)
+            if wanted:
+                first = np.zeros(max(w[0] for w in wanted) + 2, bool)
+                first[[w[0] for w in wanted]] = True
+                last = np.zeros(max(w[-1] for w in wanted) + 2, bool)
+                last[[w[-1] for w in wanted]] = True
+                self.at[m] = first, last, wanted
+
+    def __call__(self, codes: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """Text, item and first word of each place."""
+        for m, (first, last, wanted) in self.at.items():
+            if len(codes) < m:
+                continue
+            a, z = codes[: len(codes) - m + 1], codes[m - 1 :]
+            places = np.flatnonzero(first[np.minimum(a, len(first) - 1)] & last[np.minimum(z, len(last) - 1)])
+            text = np.searchsorted(bounds, places, "right") - 1
+            whole = places + m <= bounds[text + 1]
+            for p, d in zip(places[whole].tolist(), text[whole].tolist(), strict=True):
+                for i in wanted.get(tuple(codes[p : p + m].tolist()), ()):
+                    yield d, i, p - int(bounds[d])
+
+
+def search(encoded: DataFrame, items: Items, basis: np.ndarray, cosine: float = COSINE) -> DataFrame:
     """doc_id, item_id, cosine, lcs, answer and first word of the best leak for each pair, over all passages of all texts."""
     owner, passages = items.passages()
     sizes = np.fromiter(map(len, passages), np.int64, len(passages))
     weight = np.abs(basis).sum(axis=1)
-    own = weighted(np.concatenate(passages), np.repeat(np.arange(len(passages)), sizes), weight)
+    own = weighted(np.concatenate([np.zeros(0, np.int64), *passages]), np.repeat(np.arange(len(passages)), sizes), weight)
     targets = unit(sums_of_rows(*own, len(passages), basis))
     kind, ids = items.kind, items.ids
     # Bounded by a round's items: their words, the basis over these words and one vector a passage.
@@ -292,7 +333,7 @@ def search(encoded: DataFrame, items: Items, basis: np.ndarray) -> DataFrame:
         words, rows, near, of = shared.value
         own = Items([])
         own.words = words
-        verify = Verifier(own)
+        verify, phrases = Verifier(own), Phrases(words)
         for batch in batches:
             codes, half, first, bounds = halves(column(batch, "codes"), kind)
             n = int(first[-1])
@@ -304,9 +345,11 @@ def search(encoded: DataFrame, items: Items, basis: np.ndarray) -> DataFrame:
             both = unit(both)
             text = np.searchsorted(first, np.arange(n), "right") - 1
             found: dict[tuple[int, int], tuple] = {}
-            for a in range(0, n, 4096):
+            for d, i, at in phrases(codes, bounds):
+                found.setdefault((d, i), (1.0, 1.0, 1.0, at))
+            for a in range(0, n if len(near) else 0, 4096):
                 cos = both[a : a + 4096] @ near.T
-                for p, j in np.argwhere(cos >= COSINE).tolist():
+                for p, j in np.argwhere(cos >= cosine).tolist():
                     h, i = a + p, int(of[j])
                     d = int(text[h])
                     at = (h - int(first[d])) * HALF
@@ -318,22 +361,24 @@ def search(encoded: DataFrame, items: Items, basis: np.ndarray) -> DataFrame:
             yield pa.RecordBatch.from_pylist(out, schema=schema)
 
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("cosine", pa.float64()), ("lcs", pa.float64()), ("answer", pa.float64()), ("first_word", pa.int64())])
-    return encoded.mapInArrow(run, "doc_id long, item_id long, cosine double, lcs double, answer double, first_word long")
+    return encoded.mapInArrow(tidied(run), "doc_id long, item_id long, cosine double, lcs double, answer double, first_word long")
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE) -> DataFrame:
     """Pairs of a document and a benchmark item that it repeats or paraphrases; docs: doc_id, text; benchmark: item_id, text.
 
-    Words are compared in lower case without signs or digits at their ends. A document leaks an item if at least LCS_SURE of
+    Words are compared in lower case without signs or digits at their ends (words that are nothing else don't count; first_word counts the others).
+    A document leaks an item if at least LCS_SURE of
     the item's words stand in it in order and together, or LCS_PARAPHRASE of them and at least ANSWER of the item's last
-    quarter. Candidates are passages whose latent cosine with a passage of the item is COSINE or more, however many.
+    quarter. Candidates are passages whose latent cosine with a passage of the item is `cosine` or more, however many; at -1 every passage
+    is a candidate for every item, and the search is exhaustive. Items of fewer than SHORT_ITEM words leak only as a whole, and are looked up exactly.
 
-    Edge cases: null or empty texts and items give nothing; items shorter than SHORT_ITEM words need all words one after another;
-    long texts are searched whole; repeated rows give repeated pairs; an empty table on either side gives no rows.
+    Edge cases: null or empty texts and items give nothing; long texts are searched whole; repeated rows give repeated pairs; a null
+    doc_id or item_id is found like any other; an empty table on either side gives no rows; further columns, of whatever names, aren't read.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    scratch, out, block = Scratch(spark, "leaks"), None, []
+    scratch, out, block, words = Scratch(spark, "leaks"), None, [], 0
 
     def round_of(rows: list) -> DataFrame | None:
         items = Items(rows)
@@ -341,17 +386,19 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             return None
         encoded = scratch.write(encode(docs, items), "codes")
         basis = latent_basis(encoded, items)
-        found = scratch.write(search(encoded, items, basis), "pairs")
+        found = scratch.write(search(encoded, items, basis, cosine), "pairs")
         scratch.drop(encoded)
         return found
 
-    for r in benchmark.select("item_id", "text").toLocalIterator():
+    def add(found: DataFrame | None) -> DataFrame | None:
+        return found if out is None else out if found is None else out.unionByName(found)
+
+    for r in benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").toLocalIterator():
         block.append((r.item_id, r.text))
-        if len(block) == ITEMS_A_ROUND:
-            found, block = round_of(block), []
-            out = found if out is None else out if found is None else out.unionByName(found)
-    found = round_of(block) if block else None
-    out = found if out is None else out if found is None else out.unionByName(found)
+        words += len(r.text or "") // 6
+        if len(block) == ITEMS_A_ROUND or words >= WORDS_A_ROUND:
+            out, block, words = add(round_of(block)), [], 0
+    out = add(round_of(block)) if block else out
     return spark.createDataFrame([], "doc_id long, item_id long, cosine double, lcs double, answer double, first_word long") if out is None else out
 
 

@@ -38,6 +38,55 @@ def test_toxic_documents_are_found(spark):
     assert not any(r.predicted for r in toxicity.toxic_segments(docs, toxicity.fit(docs, labels.limit(0))).collect())
 
 
+def test_repeated_ids_spoil_no_model(spark):
+    """50 toxic documents stand eight times each; the clean ones stay clean, and both count by rows."""
+    rng, texts = corpus(200, 6)
+    rows = []
+    for k, t in enumerate(texts):
+        w = t.split()
+        for _ in range(4 if k < 50 else 0):
+            w.insert(rng.randrange(len(w)), rng.choice(["vilezz", "awfulq", "nastyro"]))
+        rows += [(k, " ".join(w))] * (8 if k < 50 else 1)
+    rows += [(60, " ".join(rng.choice(texts).split()[::-1])) for _ in range(300)]  # many texts of one clean id
+    docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, toxic string, key int")
+    labels = spark.createDataFrame([(k, int(k < 50), 0) for k in range(200)] + [(5, 0, 0), (70, 0, 0)], "doc_id long, toxic int, quality int")
+    got = toxicity.toxic_segments(docs, toxicity.fit(docs, labels)).collect()
+    assert len(got) == len(rows)
+    assert not any(r.predicted for r in got if r.doc_id >= 50) and sum(r.predicted for r in got if r.doc_id < 50) >= 0.97 * 400
+    assert toxicity.keep_clean(docs, toxicity.fit(docs, labels)).count() <= len(rows) - 0.97 * 400
+
+
+def test_very_long_texts_are_scanned_whole(spark):
+    rng, texts = corpus(300, 7)
+    rows = [(k, f"{t} vilezz {t} vilezz" if k % 5 == 0 else t) for k, t in enumerate(texts)]
+    rows += [(1000, " ".join(texts[:300])), (1001, " ".join([*texts[:300], "vilezz vilezz vilezz vilezz", *texts[:10]]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 5 == 0)) for k in range(300)], "doc_id long, toxic int")
+    got = {r.doc_id: r for r in toxicity.toxic_segments(docs, toxicity.fit(docs, labels)).collect()}
+    assert not got[1000].passages and any(s.first > 30_000 for s in got[1001].passages)
+
+
+def test_maximal_segments_by_brute_force():
+    """A maximal segment: every proper prefix and suffix has a positive sum, and no larger stretch has that too."""
+    import numpy as np
+
+    rng = random.Random(9)
+    for _ in range(300):
+        n, drift = rng.randint(1, 24), rng.choice([-1.0, -0.5, -2.0])
+        values = [rng.choice([1.0, 2.0, 3.5]) if rng.random() < 0.4 else drift for _ in range(n)]
+        good = set()
+        for a in range(n):
+            for z in range(a, n):
+                part = values[a : z + 1]
+                if all(sum(part[: k + 1]) > 0 and sum(part[len(part) - 1 - k :]) > 0 for k in range(len(part))):
+                    good.add((a, z))
+        want = {(a, z) for a, z in good if not any((x, y) != (a, z) and x <= a and z <= y for x, y in good)}
+        at = np.flatnonzero(np.array(values) > 0)
+        found = toxicity.maximal_segments(at, np.array(values)[at], drift)
+        assert {(a, z) for a, z, _ in found} == want, values
+        assert all(abs(s - sum(values[a : z + 1])) < 1e-9 for a, z, s in found)
+
+
 def test_maximal_segments():
     # 5, -3 (three words), 4, then far away 2: the first two join, the last stays alone.
     import numpy as np
@@ -69,6 +118,49 @@ def test_leaks(spark):
     assert decontaminate.leaks(df, bench.limit(0)).count() == 0
 
 
+def test_short_items_verbatim(spark):
+    """Items of 1 to 7 words, planted as they are into texts of 20 to 200 words: all are found, and nothing else is."""
+    rng, texts = corpus(300, 8)
+    items = [" ".join(f"q{rng.randrange(60)}z" for _ in range(n)) for n in range(1, 8) for _ in range(6)]
+    items[-1] += " 42 -"
+    rows, plain = [], [t.lower().split() for t in items]
+    plain[-1] = plain[-1][:-2]
+    for k, t in enumerate(texts):
+        w = t.split()
+        if k % 3 == 0:
+            at = rng.randrange(len(w))
+            w[at:at] = [x.upper() + "," for x in items[k // 3 % len(items)].split()]
+        rows.append((k, " ".join(w)))
+    rows += [(400, " ".join([*texts[0].split() * 300, items[20]])), (400, items[20]), (None, items[21])]
+    bench = spark.createDataFrame([(k, t, 3) for k, t in enumerate(items)] + [(None, items[20], 3)], "item_id long, text string, doc_id int")
+    df = spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, codes int, item_id int")
+    got = sorted(((r.doc_id, r.item_id) for r in decontaminate.leaks(df, bench).collect()), key=str)
+    want = []
+    for i, t in rows:
+        words = [x for w in t.split() if (x := decontaminate.normal(w))]
+        want += [(i, None if j == len(items) else j) for j, p in enumerate([*plain, plain[20]]) if any(words[k : k + len(p)] == p for k in range(len(words)))]
+    assert got == sorted(want, key=str)
+
+
+def test_recall_of_the_latent_search(spark):
+    """Against the exhaustive search (every passage with every item): paraphrases with a third of the words changed or left out."""
+    rng, texts = corpus(400, 9)
+    _, items = corpus(30, 10)
+    items = [" ".join(t.split()[: rng.randint(8, 60)]) for t in items]
+    rows = []
+    for k, t in enumerate(texts):
+        w = t.split()
+        if k % 2 == 0:
+            item = [x for x in items[k // 2 % 30].split() if rng.random() > 0.15]
+            item = [rng.choice(w) if rng.random() < 0.15 else x for x in item]
+            at = rng.randrange(len(w))
+            w[at:at] = item
+        rows.append((k, " ".join(w)))
+    df, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got, all_ = ({(r.doc_id, r.item_id) for r in decontaminate.leaks(df, bench, cosine=c).collect()} for c in (decontaminate.COSINE, -1.0))
+    assert got <= all_ and len(all_) > 100 and len(got) >= 0.95 * len(all_)
+
+
 def test_leaks_in_rounds(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "ITEMS_A_ROUND", 2)
     _, texts = corpus(60, 4)
