@@ -18,6 +18,5 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
-    "op2_mix_to_weights": mixing.OP2_SQL,
     "op8_byte_shards": sharding.OP8_SQL,
 }
