@@ -1,17 +1,18 @@
 """Removal of repeated 50-byte strings by prefix-free parsing (operator 6).
 
-Rolling-hash triggers cut texts into phrases: the trigger of a 50-byte string is its TRIGGER-byte substring of least hash, so it
-depends on the string alone, and successive strings with the same trigger make a phrase. Phrases overlap by 49 bytes: each
-50-byte string lies in exactly one phrase of a text, and equal strings always have equal triggers. The
-dictionary holds the distinct phrases whose trigger occurs in several documents; phrases of one trigger are suffix-sorted to the depth of 50
-bytes, and the parse (which documents hold a phrase) gives each string its first document.
+Two levels of rolling-hash triggers. The outer ones deal the corpus out: the outer trigger of a 50-byte string is its TRIGGER-byte substring of
+least hash, so it depends on the string alone, and successive strings with the same trigger make a stretch. Stretches overlap by 49 bytes: each
+50-byte string lies in exactly one stretch of a text, and equal strings always have equal triggers, hence the same task. Only stretches whose trigger
+occurs in several documents move.
+
+Inside a task the distinct stretches of some triggers are a small, highly repetitive corpus, which is parsed prefix-free (`corpus_order`): inner triggers
+cut it into phrases, the suffixes of the dictionary of distinct phrases and the suffixes of the parse are sorted, and both ranks together give the
+order of all places in that corpus. Equal strings are neighbours in it, and the least document of each run of equal strings is their first.
 """
 
 from __future__ import annotations
 
-import gc
 import hashlib
-import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,9 +24,11 @@ from pyspark.sql import functions as F
 from sagebase.llm.common import Scratch, column, mix64, parts_for, ragged, scan_bytes, small_batches, strings, table
 
 LENGTH, TRIGGER = 50, 24
+#: Bytes of an inner trigger, and the share of places that are one (1 in so many).
+INNER, EVERY = 8, 16
 #: Bytes that are hashed at once; longer texts go in pieces that overlap by 49 bytes. Triggers of one task, and the tasks for
-#: phrases that take the place of one for triggers: a phrase is ten times as large and a dictionary entry.
-PIECE_BYTES, TRIGGERS_A_TASK, PHRASE_TASKS = 2 << 20, 6 << 20, 12
+#: stretches that take the place of one for triggers: a stretch is ten times as large. Strings that are sorted at once, about.
+PIECE_BYTES, TRIGGERS_A_TASK, STRETCH_TASKS, STRINGS_A_STEP = 2 << 20, 6 << 20, 12, 1 << 18
 U = np.uint64
 BYTE_HASH = mix64(np.arange(1, 257, dtype=np.uint64) * U(0x9E3779B97F4A7C15))
 
@@ -43,8 +46,88 @@ def trigger_hashes(data: np.ndarray) -> np.ndarray:
     return mix64(wide[:n] * U(0xA0761D6478BD642F) + half[16 : 16 + n])
 
 
-def phrases(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Text number, first 50-byte string, number of strings, and trigger hash of each phrase of some texts.
+def inner_triggers(data: np.ndarray) -> np.ndarray:
+    """Which places begin an inner trigger: a matter of their INNER bytes alone."""
+    h = BYTE_HASH[data]
+    for n in (1, 2, 4):
+        h = h[:-n] * U(0x9FB21C651E98DF25) + h[n:]
+        h ^= h >> U(31)
+    return mix64(h) % U(EVERY) == 0
+
+
+def corpus_order(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of all 50-byte strings of the texts data[start:start + size], in the order of the strings, and which are equal to the one before.
+
+    Phrases run from a trigger to the end of the next, so neighbours overlap by INNER bytes. A place belongs to the phrase that goes on for more than
+    INNER bytes from it; what follows it is a suffix of that phrase and then a suffix of the parse. No such suffix that a trigger ends begins
+    another, and the end of a text comes before every byte, so sorting by both ranks sorts by content, as far as LENGTH bytes decide.
+    """
+    if not len(size):
+        return np.zeros(0, np.int64), np.zeros(0, bool)
+    flat = data[ragged(start, size)]
+    first = np.cumsum(size) - size
+    text = np.repeat(np.arange(len(size)), size)
+    cut = np.zeros(len(flat), bool)
+    if len(flat) >= INNER:
+        cut[: len(flat) - INNER + 1] = inner_triggers(flat)
+    cut &= np.arange(len(flat)) + INNER < (first + size)[text]  # the next phrase has more than the trigger
+    cut[first] = True
+    begin = np.flatnonzero(cut)
+    last = np.append(text[begin[1:]] != text[begin[:-1]], True)
+    end = np.where(last, (first + size)[text[begin]], np.append(begin[1:], 0) + INNER)
+    # The dictionary.
+    raw, numbers = flat.tobytes(), {}
+    word = np.array([numbers.setdefault(raw[a:z], len(numbers)) for a, z in zip(begin.tolist(), end.tolist(), strict=True)], np.int64)
+    lengths = np.fromiter(map(len, numbers), np.int64, len(numbers))
+    words = np.frombuffer(b"".join(numbers) + b"\0" * LENGTH, np.uint8)
+    at = np.cumsum(lengths) - lengths
+    # Its suffix array, to LENGTH bytes: rows of bytes, 0 behind a phrase's end, and the length where these tie.
+    n = np.maximum(lengths - INNER, 1)
+    place, own = ragged(at, n), np.repeat(np.arange(len(n)), n)
+    left = np.minimum((at + lengths)[own] - place, LENGTH)
+    rows = np.lib.stride_tricks.sliding_window_view(words, LENGTH)[place] * (np.arange(LENGTH) < left[:, None])
+    keys = [np.ascontiguousarray(rows[:, k : k + 8]).view(">u8").ravel() for k in range(0, LENGTH - 2, 8)]
+    keys.append(np.ascontiguousarray(rows[:, LENGTH - 2 :]).view(">u2").ravel().astype(np.uint64) << U(8) | left.astype(np.uint64))
+    order = np.lexsort(keys[::-1])
+    new = np.zeros(len(order), bool)
+    for k in keys:
+        new[1:] |= k[order[1:]] != k[order[:-1]]
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.cumsum(new)
+    base = np.cumsum(n) - n  # where each phrase's suffixes begin
+    # The parse's suffix array by doubling, until it covers LENGTH bytes everywhere; the end of a text ranks lowest.
+    parse = rank[base[word]] + 1
+    depth = 1
+    fresh = np.where(last, LENGTH, lengths[word] - INNER)
+    covered = fresh.copy()
+    while True:
+        follows = np.zeros(len(parse), np.int64)
+        ok = np.arange(len(parse)) + depth < len(parse)
+        ok[ok] = text[begin[:-depth]] == text[begin[depth:]]
+        if not ok.any() or (covered >= LENGTH).all():
+            break
+        follows[ok] = parse[np.flatnonzero(ok) + depth]
+        _, parse = np.unique(parse * (int(parse.max()) + 1) + follows, return_inverse=True)
+        parse += 1
+        covered[ok] += covered[np.flatnonzero(ok) + depth]
+        covered[~ok] = LENGTH
+        depth *= 2
+    # Both ranks for each place that begins a string.
+    some = np.flatnonzero(np.arange(len(flat)) + LENGTH <= (first + size)[text])
+    phrase = np.searchsorted(begin, some, "right") - 1
+    after = np.append(parse[1:], 0)
+    after[last] = 0
+    order = some[np.lexsort((after[phrase], rank[base[word[phrase]] + some - begin[phrase]]))]
+    same = np.zeros(len(order), bool)
+    table_ = np.lib.stride_tricks.sliding_window_view(flat, LENGTH)
+    for a in range(1, len(order), 1 << 16):
+        z = min(len(order), a + (1 << 16))
+        same[a:z] = (table_[order[a:z]] == table_[order[a - 1 : z - 1]]).all(axis=1)
+    return (start[text] + np.arange(len(flat)) - first[text])[order], same
+
+
+def stretches(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text number, first 50-byte string, number of strings, and trigger hash of each stretch of some texts.
 
     Texts are data[bounds[i]:bounds[i + 1]], less than 2 ** 24 bytes together; strings never cross texts.
     """
@@ -117,7 +200,7 @@ def ask(parts: int):
         for batch in batches:
             ids = np.asarray(column(batch, "doc_id"), dtype=np.int64)
             for data, bounds, number, _ in pieces(column(batch, "text")):
-                owner, _, _, trigger = phrases(data, bounds)
+                owner, _, _, trigger = stretches(data, bounds)
                 if not len(owner):
                     continue
                 value, doc = slot(trigger, parts), ids[number[owner]]
@@ -182,7 +265,7 @@ def answer(group: pa.Table) -> pa.Table:
     return pa.table({"doc_id": pa.array(doc[cuts[:-1]]), "triggers": pa.array([value[a:z].tobytes() for a, z in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())})
 
 
-PHRASES = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("part", pa.int32()), ("ints", pa.binary()), ("bytes", pa.binary())])
+STRETCHES = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("part", pa.int32()), ("ints", pa.binary()), ("bytes", pa.binary())])
 RANGES = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("ranges", pa.binary())])
 
 
@@ -198,7 +281,7 @@ def range_rows(doc: np.ndarray, key: np.ndarray, first: np.ndarray, count: np.nd
 
 
 def dictionary(parts: int, tasks: int):
-    """Candidate phrases of the texts for the tasks of their triggers. Of equal phrases in a batch only the least document's go; the others are covered."""
+    """Candidate stretches of the texts for the tasks of their triggers. Of equal stretches in a batch only the least document's go; the others are covered."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -206,7 +289,7 @@ def dictionary(parts: int, tasks: int):
             keys = np.asarray(column(batch, "text_key"), dtype=np.int64)
             known = [np.unique(np.concatenate([np.frombuffer(b.as_buffer(), np.uint64) for b in row.values])) for row in column(batch, "triggers")]
             for data, bounds, number, inside in pieces(column(batch, "text")):
-                owner, first, count, trigger = phrases(data, bounds)
+                owner, first, count, trigger = stretches(data, bounds)
                 value = slot(trigger, parts)
                 keep = np.zeros(len(owner), bool)
                 cuts = np.searchsorted(owner, np.arange(len(bounds)))
@@ -237,17 +320,17 @@ def dictionary(parts: int, tasks: int):
                 edges = np.searchsorted(part[go], np.arange(tasks + 1))
                 for p in np.flatnonzero(np.diff(edges)).tolist():
                     some = go[edges[p] : edges[p + 1]]
-                    # 32 bits of a trigger are enough: phrases of two triggers that share them are compared in vain, by content.
+                    # 32 bits of a trigger are enough: stretches of two triggers that share them are compared in vain, by content.
                     short = (trigger[some] // U(tasks)).astype(np.uint32)
                     ints = np.stack([doc[some], key[some], start[some], count[some]])
                     out.append((None, None, p, *packed(short.tobytes() + ints.tobytes(), b"".join(body[k] for k in some.tolist()), level=6)))
-                yield pa.RecordBatch.from_pylist([dict(zip(PHRASES.names, r, strict=True)) for r in out], schema=PHRASES)
+                yield pa.RecordBatch.from_pylist([dict(zip(STRETCHES.names, r, strict=True)) for r in out], schema=STRETCHES)
 
     return run
 
 
 def cover(group: pa.Table) -> pa.Table:
-    """The strings of each document that a document with a smaller id has, among the phrases of some triggers."""
+    """The strings of each document that a document with a smaller id has, among the stretches of some triggers."""
     if group["part"][0].as_py() < 0:
         return pa.table({"doc_id": group["doc_id"], "text_key": group["text_key"], "ranges": group["ints"]})
     raw = [unpacked(b) for b in group["ints"]]
@@ -256,49 +339,46 @@ def cover(group: pa.Table) -> pa.Table:
     data = b"".join(map(unpacked, group["bytes"]))
     size = count + LENGTH - 1
     at = np.cumsum(size) - size
-    # The parse: phrases by number, and the first document of each.
+    # Stretches by number, and the first document of each.
     numbers: dict[bytes, int] = {}
-    phrase = np.array([numbers.setdefault(data[a : a + s], len(numbers)) for a, s in zip(at.tolist(), size.tolist(), strict=True)], np.int64)
+    stretch = np.array([numbers.setdefault(data[a : a + s], len(numbers)) for a, s in zip(at.tolist(), size.tolist(), strict=True)], np.int64)
     first = np.full(len(numbers), np.iinfo(np.int64).max)
-    np.minimum.at(first, phrase, doc)
-    late = doc > first[phrase]
+    np.minimum.at(first, stretch, doc)
+    late = doc > first[stretch]
     rows = range_rows(doc[late], key[late], start[late], count[late])
-    # A first document's phrase is compared string by string if its trigger has other phrases.
-    _, example = np.unique(phrase, return_index=True)
+    # A first document's stretch is compared string by string if its trigger has other stretches: in the order of their corpus.
+    _, example = np.unique(stretch, return_index=True)
     _, kind, many = np.unique(trigger[example], return_inverse=True, return_counts=True)
     mixed = many[kind] > 1
     some = np.flatnonzero(mixed)
     if len(some):
+        some = some[np.argsort(kind[some], kind="stable")]
         n = count[example[some]]
-        where = ragged(at[example[some]], n)
+        begin = np.cumsum(n) - n
+        own, least = np.repeat(first[some], n), np.empty(int(n.sum()), np.int64)
         raw = np.frombuffer(data, np.uint8)
-        # The dictionary's suffixes, sorted to the depth that decides; equal neighbours share their first document.
-        table_ = np.lib.stride_tricks.sliding_window_view(raw, LENGTH)
-        least = np.empty(len(where), np.int64)
-        own = np.repeat(first[some], n)
-        group_of = np.repeat(kind[some], n)
-        order = np.argsort(group_of, kind="stable")
-        cuts = np.searchsorted(group_of[order], np.arange(len(many) + 1))
-        step, a = 1 << 18, 0
-        while a < len(many):
-            z = max(a + 1, int(np.searchsorted(cuts, cuts[a] + step, "right")) - 1)
-            pick = order[cuts[a] : cuts[z]]
-            if len(pick):
-                suffix = np.ascontiguousarray(table_[where[pick]]).view(f"S{LENGTH}").ravel()
-                # By trigger first; suffixes that differ in trigger are never equal strings.
-                _, equal = np.unique(suffix, return_inverse=True)
-                low = np.full(int(equal.max()) + 1, np.iinfo(np.int64).max)
-                np.minimum.at(low, equal, own[pick])
-                least[pick] = low[equal]
-            a = z
+        # About STRINGS_A_STEP strings at once, with all stretches of their triggers.
+        edge = np.append(np.flatnonzero(np.diff(kind[some], prepend=-1)), len(some))
+        step = np.searchsorted(np.append(begin, int(n.sum()))[edge[:-1]], np.arange(0, int(n.sum()), STRINGS_A_STEP))
+        bounds = np.unique(np.append(edge[step], len(some)))
+        for a, z in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            start_ = at[example[some[a:z]]]
+            places, same = corpus_order(raw, start_, n[a:z] + LENGTH - 1)
+            # Stretches lie one after another in `raw` in the order of their numbers, not of their triggers.
+            by = np.argsort(start_)
+            which = by[np.searchsorted(start_[by], places, "right") - 1]
+            index = begin[a:z][which] + places - start_[which]
+            equal = np.cumsum(~same) - 1
+            low = np.full(int(equal[-1]) + 1, np.iinfo(np.int64).max)
+            np.minimum.at(low, equal, own[index])
+            least[index] = low[equal]
         hit = least < own
-        begin = np.cumsum(n) - n
         place = np.full(len(numbers), -1, np.int64)
         place[some] = np.arange(len(some))
-        lone = np.flatnonzero(~late & (place[phrase] >= 0))
+        lone = np.flatnonzero(~late & (place[stretch] >= 0))
         d, k, s, c = [], [], [], []
         for i in lone.tolist():
-            p = place[phrase[i]]
+            p = place[stretch[i]]
             flags = hit[begin[p] : begin[p] + n[p]]
             if flags.any():
                 edge = np.flatnonzero(np.diff(np.concatenate([[False], flags, [False]])))
@@ -331,22 +411,14 @@ def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "text_key"), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digests), pa.array(kept_texts, pa.binary())], names=["doc_id", "text_key", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of finished steps: it acts on what two collections have found unreachable."""
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.3)
-
-
 def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_bytes: bool = False) -> DataFrame:
     """Bytes of each text without those in a 50-byte string that also starts in a document with a smaller id.
 
     Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with `keep_bytes`, kept (the bytes left, null where nothing went).
     Texts are UTF-8 bytes; strings are judged on the input; cuts can fall inside a character.
 
-    Steps: triggers of all phrases are counted by tasks that get 8 bytes for each; texts with triggers found elsewhere send these phrases, one
-    document of each batch for each phrase, to the tasks of the triggers; what these find covered goes back to the texts.
+    Steps: triggers of all stretches are counted by tasks that get 8 bytes for each; texts with triggers found elsewhere send these stretches, one
+    document of each batch for each stretch, to the tasks of the triggers; what these find covered goes back to the texts.
 
     Edge cases: a null text is empty; texts of fewer than 50 bytes lose nothing; a null id neither gives nor loses; rows of a repeated
     id don't take from each other; very long texts go in pieces, all of them; an empty table gives no rows; only the named columns are read.
@@ -356,27 +428,23 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     scratch = Scratch(spark, "substrings")
     text = F.coalesce(F.col(text_col), F.lit(""))
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).where("doc_id is not null")
-    # A phrase for every 14 bytes, about; texts take twice their files' bytes.
+    # A stretch for every 14 bytes, about; texts take twice their files' bytes.
     parts = parts_for(spark, scan_bytes(docs) / 7, TRIGGERS_A_TASK)
     asked = source.mapInArrow(ask(parts), "part int, base long, triggers binary, docs binary").groupBy("part").applyInArrow(answer, "doc_id long, triggers binary")
     asked = scratch.write(asked.groupBy("doc_id").agg(F.collect_list("triggers").alias("triggers")), "triggers")
-    release(spark)
 
     # Texts are joined by sort and merge at every size: what they are joined with grows with them.
     keyed = source.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
     found = keyed.join(asked.hint("merge"), "doc_id").select("doc_id", "text_key", "text", "triggers")
-    found = found.mapInArrow(dictionary(parts, PHRASE_TASKS * parts), "doc_id long, text_key long, part int, ints binary, bytes binary")
+    found = found.mapInArrow(dictionary(parts, STRETCH_TASKS * parts), "doc_id long, text_key long, part int, ints binary, bytes binary")
     covered = found.groupBy("part").applyInArrow(cover, "doc_id long, text_key long, ranges binary")
     covered = scratch.write(covered.groupBy("doc_id", "text_key").agg(F.collect_list("ranges").alias("ranges")), "ranges")
-    del found
     scratch.drop(asked)
-    release(spark)
 
     cut = keyed.join(covered.hint("merge"), ["doc_id", "text_key"]).select("doc_id", "text_key", "text", "ranges").mapInArrow(remove, "doc_id long, text_key long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     # Equal rows of a repeated id give equal cuts; one is joined back to all of them.
     cut = scratch.write((cut if keep_bytes else cut.drop("kept")).dropDuplicates(["doc_id", "text_key"]), "cut")
     scratch.drop(covered)
-    release(spark)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text.cast("binary"), 256).alias("whole"))
     rows = rows.join(cut, ["doc_id", "text_key"], "left")

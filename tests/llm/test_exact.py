@@ -119,6 +119,38 @@ def test_repeated_substrings(spark, monkeypatch, piece):
     assert rows_of(substrings.cut_repeats(df)) == brute_substrings(rows)
 
 
+def test_corpus_order_by_brute_force():
+    rng = random.Random(21)
+    for turn in range(60):
+        letters = [b"ab", b"abcdefgh ", b"a", b"\0\1a", bytes(range(256))][turn % 5]
+        bits = [bytes(rng.choice(letters) for _ in range(rng.randint(1, 90))) for _ in range(6)]
+        texts = [b"".join(rng.choice(bits) for _ in range(rng.randint(1, 5)))[: rng.randint(50, 400)].ljust(50, b"a") for _ in range(rng.randint(1, 25))]
+        data = np.frombuffer(b"--".join(texts), np.uint8)
+        size = np.array([len(t) for t in texts])
+        start = np.cumsum(size + 2) - size - 2
+        mixed = rng.sample(range(len(texts)), len(texts))  # in any order
+        places, same = substrings.corpus_order(data, start[mixed], size[mixed])
+        assert sorted(places.tolist()) == sorted(int(a) + k for a, n in zip(start, size, strict=True) for k in range(n - 49))
+        found = [data[p : p + 50].tobytes() for p in places]
+        assert found == sorted(found) and [False, *(x == y for x, y in zip(found, found[1:]))] == same.tolist()  # noqa: B905
+
+
+def test_the_arrays_decide_what_repeats(spark, monkeypatch):
+    rng = random.Random(22)
+    shared = "".join(rng.choice("abcdefgh ") for _ in range(120))
+    rows = [(k, "".join(rng.choice("ijklmnop ") for _ in range(60)) + shared + "".join(rng.choice("ijklmnop ") for _ in range(k))) for k in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    right = rows_of(substrings.cut_repeats(df))
+    assert right == brute_substrings(rows)
+    real = substrings.corpus_order
+    monkeypatch.setattr(substrings, "corpus_order", lambda *a: (real(*a)[0], np.zeros(len(real(*a)[1]), bool)))  # no two strings equal
+    data = "".join(t for _, t in rows).encode()
+    group = pa.table({"doc_id": pa.nulls(1, pa.int64()), "text_key": pa.nulls(1, pa.int64()), "part": pa.array([0], pa.int32()), **dict(zip(("ints", "bytes"), ([x] for x in substrings.packed(np.zeros(12, np.uint32).tobytes() + np.array([[k for k, _ in rows], [0] * 12, [0] * 12, [len(t) - 49 for _, t in rows]]).tobytes(), data)), strict=True))})
+    assert substrings.cover(group).num_rows == 0
+    monkeypatch.setattr(substrings, "corpus_order", real)
+    assert sorted(substrings.cover(group)["doc_id"].to_pylist()) == list(range(1, 12))
+
+
 def test_substrings_of_nothing(spark):
     assert substrings.cut_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
