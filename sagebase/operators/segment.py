@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -16,6 +17,11 @@ SEPARATORS = ("\n## ", "\n### ", "\n#### ", "\n##### ", "\n###### ", "\n# ", "\n
 SENTENCE_END = "(?<=[。！？!?；;])"
 SIZE, OVERLAP, PATH_CHARS, LEVEL_CHARS = 800, 120, 200, 100
 PAGE_MARK = r"<!-- PAGE (\d+) -->"
+TABLE_RULE = r"\|?\s*:?-+:?\s*(\|\s*:?-+:?\s*)*\|?"
+TABLE_CAPTION = r"\*{0,2}表\s*\d+([-.．]\d+)*[^\n]*"
+#: What trimming removes (up to U+0020), and what counts as blank: no-break spaces do not.
+TRIM = "".join(map(chr, range(33)))
+BLANK = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2008\u2009\u200a\u2028\u2029\u205f\u3000"
 
 
 def fixed_width(rows: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
@@ -64,16 +70,20 @@ def forward_fill(cells: DataFrame, keys: list[str], order: str, value: str) -> D
 # ---- one document's text in plain Python; the segmenters below run it on Arrow batches ----
 
 
+def blank(text: str) -> bool:
+    return not text.strip(BLANK)
+
+
 def heading(line: str) -> tuple[int, str] | None:
-    t = line.strip("".join(map(chr, range(33))))
-    if re.fullmatch(T.MD_HEADING[1:-1], t):
+    t = line.strip(TRIM)
+    if re.fullmatch(T.MD_HEADING[1:-1], t, re.ASCII):
         marks = len(t) - len(t.lstrip("#"))
-        return marks, t[marks:].strip()
+        return marks, t[marks:].strip(TRIM)
     for pattern, level in ((T.CN_CHAPTER, 1), (T.CN_ITEM, 2)):
-        if re.fullmatch(pattern[1:-1], t):
+        if re.fullmatch(pattern[1:-1], t, re.ASCII):
             return level, t
-    if re.fullmatch(T.NUM_ITEM[1:-1], t):
-        return min(max(1, len(re.findall(r"\d{1,3}", re.match(T.NUM_PREFIX, t)[0]))), T.LEVELS), t
+    if re.fullmatch(T.NUM_ITEM[1:-1], t, re.ASCII):
+        return min(max(1, len(re.findall(r"\d{1,3}", re.match(T.NUM_PREFIX, t, re.ASCII)[0], re.ASCII))), T.LEVELS), t
     return None
 
 
@@ -112,42 +122,62 @@ def fences(text: str) -> list[tuple[str, str]]:
 
 
 def cells_of(line: str) -> list[str]:
-    return [c.strip() for c in line.strip().strip("|").split("|")]
+    line = line.strip(TRIM)
+    return [c.strip(TRIM) for c in line.removeprefix("|").removesuffix("|").split("|")]
 
 
 def is_rule(line: str) -> bool:
-    return "-" in line and "|" in line and all(re.fullmatch(r":?-+:?", c) for c in cells_of(line))
+    return "-" in line and re.fullmatch(TABLE_RULE, line.strip(TRIM), re.ASCII) is not None
+
+
+def caption_at(plain: list[str]) -> int | None:
+    """Where the lines before a table end in a caption; blank lines may stand between."""
+    last = next((k for k in range(len(plain) - 1, -1, -1) if plain[k]), None)
+    return last if last is not None and re.fullmatch(TABLE_CAPTION, plain[last], re.ASCII) else None
+
+
+def table_of(caption: str, header: list[str], rows: list[list[str]]) -> tuple[str, list[str], list[list[str]]]:
+    """Rows of one width; unnamed columns get a number, blank cells what stands above."""
+    width = max(len(header), *map(len, rows))
+    names = [(header[c] if c < len(header) else "") for c in range(width)]
+    above, filled = [""] * width, []
+    for row in rows:
+        above = [a if blank(c) else c for c, a in zip(row + [""] * (width - len(row)), above, strict=True)]
+        filled.append(above)
+    return caption, [f"列{c + 1}" if blank(n) else n for c, n in enumerate(names)], filled
 
 
 def tables(text: str) -> list[tuple[str, object]]:
-    """("text", text) and ("table", (caption, header, rows)): runs of lines with bars that have a rule; the caption line above joins its table."""
-    lines, out, plain, i = text.split("\n"), [], [], 0
+    """("text", text) and ("table", (caption, header, rows)).
+
+    A table is a run of lines with a bar in front, one of them a rule, with rows below it; the line just above the rule is its header (none if the rule is
+    the first), what stands higher in the run is dropped, and a caption above joins it. Lines of text are trimmed, runs without a table are not.
+    """
+    lines, out, plain, i = re.split(r"\r?\n", text), [], [], 0
+
+    def flush() -> None:
+        if not blank(body := "\n".join(plain)):
+            out.append(("text", body))
+        plain.clear()
+
+    barred = [len(t := x.strip(TRIM)) > 1 and t[0] == "|" for x in lines]
     while i < len(lines):
-        j = i
-        while j < len(lines) and lines[j].strip().startswith("|"):
-            j += 1
-        rule = next((k for k in range(i, j) if is_rule(lines[k])), None)
-        if rule is None or rule == i or j - rule < 2:
-            plain += lines[i : max(j, i + 1)]
-            i = max(j, i + 1)
+        if not barred[i]:
+            plain.append(lines[i].strip(TRIM))
+            i += 1
             continue
-        caption = plain.pop() if plain and re.match(r"\s*表\s*\d+", plain[-1]) else ""
-        if any(p.strip() for p in plain):
-            out.append(("text", "\n".join(plain)))
-        plain = []
-        body = [cells_of(x) for x in lines[i:rule]] + [cells_of(x) for x in lines[rule + 1 : j] if not is_rule(x)]
-        width = max(map(len, body))
-        body = [r + [""] * (width - len(r)) for r in body]
-        header = [c or f"列{k + 1}" for k, c in enumerate(body[0])]
-        last = [""] * width
-        rows = []
-        for r in body[1:]:
-            last = [c or above for c, above in zip(r, last, strict=True)]
-            rows.append(list(last))
-        out.append(("table", (caption.strip(), header, rows)))
+        j = next((k for k in range(i, len(lines)) if not barred[k]), len(lines))
+        rule = next((k for k in range(i, j) if is_rule(lines[k])), j)
+        if rule + 1 >= j:
+            plain += lines[i:j]
+        else:
+            at = caption_at(plain)
+            caption = "" if at is None else plain[at]
+            del plain[len(plain) if at is None else at :]
+            flush()
+            out.append(("table", table_of(caption, cells_of(lines[rule - 1]) if rule > i else [], [cells_of(x) for x in lines[rule + 1 : j]])))
         i = j
-    if any(p.strip() for p in plain):
-        out.append(("text", "\n".join(plain)))
+    flush()
     return out
 
 
@@ -156,45 +186,59 @@ def bar(row: list[str]) -> str:
 
 
 def table_pieces(table: tuple, size: int) -> list[str]:
-    """A table whole if it fits, else groups of rows that each repeat caption and header."""
+    """A table whole if it fits, else groups of rows that each repeat caption and header, a line end behind each row."""
     caption, header, rows = table
-    head = ([caption] if caption else []) + [bar(header), bar(["---"] * len(header))]
-    out, group = [], []
-    for row in map(bar, rows):
-        if group and len("\n".join([*head, *group, row])) > size:
-            out.append("\n".join([*head, *group]))
-            group = []
-        group.append(row)
-    return [*out, "\n".join([*head, *group])] if group or not out else out
+    head = ([] if blank(caption) else [caption]) + [bar(header), bar(["---"] * len(header))]
+    bars = list(map(bar, rows))
+    if len(whole := "\n".join([*head, *bars]).strip(TRIM)) <= size:
+        return [whole]
+    out: list[list[str]] = []
+    room = size - sum(len(x) + 1 for x in head)
+    used = 0
+    for row in bars:
+        if not out or used + len(row) + 1 > room:
+            out.append([])
+            used = 0
+        out[-1].append(row)
+        used += len(row) + 1
+    return ["\n".join([*head, *g]).strip(TRIM) for g in out]
 
 
 def code_pieces(block: str, size: int) -> list[str]:
-    """A code block whole if it fits, else groups of lines that each have the fences, cut at the last blank line where there is one."""
-    if len(block) <= size:
-        return [block]
+    """A code block whole if it fits, else groups of lines that each have the fences: cut at the last blank line of a full group where there is one,
+    without blank lines at their ends. A block of blank lines is none."""
     lines = block.split("\n")
     start = lines[0]
     mark = re.match(r"\s*(`{3,}|~{3,})", start)[1]
-    body = lines[1:-1] if lines[-1].strip() == mark else lines[1:]
-    room, out, group = size - len(start) - len(mark) - 2, [], []
-    for line in body:
-        if group and len("\n".join([*group, line])) > room:
-            at = next((k for k in range(len(group) - 1, 0, -1) if not group[k].strip()), len(group))
-            out.append(group[:at])
-            group = group[at:]
-        group.append(line)
-    out.append(group)
-    return ["\n".join([start, *g, mark]) for g in out if any(x.strip() for x in g)]
+    body = lines[1:-1] if len(lines) > 1 and lines[-1].strip() == mark else lines[1:]
+    if all(map(blank, body)):
+        return []
+    if len(block) <= size:
+        return [block]
+    room, out, at = max(1, size - len(start) - len(mark) - 2), [], 0
+    while True:
+        at = next((k for k in range(at, len(body)) if not blank(body[k])), len(body))
+        if at == len(body):
+            return out
+        sizes = itertools.accumulate(len(x) + 1 for x in body[at:])
+        end = at + max(1, sum(1 for n in sizes if n <= room))
+        if end < len(body):
+            end = next((k for k in range(end - 1, at, -1) if blank(body[k])), end)
+        group = "\n".join(body[at:end]).rstrip(BLANK)
+        out.append(f"{start}\n{group}\n{mark}")
+        at += group.count("\n") + 1
 
 
 def recursive(text: str, size: int, level: int = 0) -> list[str]:
     """Pieces of up to `size` characters: at the first separator by priority that occurs, longer pieces at later ones; a hard cut ends it."""
-    text = text.strip()
+    if blank(text):
+        return []
+    text = text.strip(TRIM)
     if len(text) <= size:
-        return [text] if text else []
+        return [text]
     at = next((i for i in range(level, len(SEPARATORS)) if SEPARATORS[i] in text), None)
     if at is None:
-        return [p for i in range(0, len(text), size) if (p := text[i : i + size].strip())]
+        return [p for i in range(0, len(text), size) if (p := text[i : i + size].strip(TRIM))]
     return [p for part in text.split(SEPARATORS[at]) for p in recursive(part, size, at + 1)]
 
 
@@ -204,12 +248,12 @@ def chunk_page(text: str, size: int = SIZE, overlap: int = OVERLAP, carry: str =
     Code and tables are pieces of their own; prose is packed into windows that keep the last `overlap` characters of the one before. The tail of the
     page before goes in front unless the page starts with a heading.
     """
-    if not text or not text.strip():
+    if not text or blank(text):
         return [], carry, stack
     text = text.removeprefix("﻿")
     overlap = max(0, min(overlap, size // 2))
-    first = next((x for x in text.split("\n") if x.strip()), "")
-    carry = "" if heading(first) else carry.strip()
+    first = next((x for x in text.split("\n") if x.strip(TRIM)), "")
+    carry = "" if heading(first) or blank(carry) else carry.strip(TRIM)
     out: list[tuple[str, str]] = []
     window = ""
 
@@ -217,9 +261,9 @@ def chunk_page(text: str, size: int = SIZE, overlap: int = OVERLAP, carry: str =
         nonlocal window, stack
         if not window:
             return
-        block = window.strip()
-        for line in block.splitlines():
-            if line.strip() and (found := heading(line)):
+        block = window.strip(TRIM)
+        for line in re.split(r"\r?\n", block):
+            if line.strip(TRIM) and (found := heading(line)):
                 stack = pushed(stack, found)
         if block:
             out.append((path(stack), block))
@@ -240,35 +284,73 @@ def chunk_page(text: str, size: int = SIZE, overlap: int = OVERLAP, carry: str =
                     flush()
                 window += piece + "\n"
     flush()
-    return out, window.strip(), stack
+    return out, window.strip(TRIM), stack
 
 
-def paragraphs(text: str, size: int = SIZE) -> list[str]:
-    """Plain text: paragraphs by blank lines packed up to `size`; a heading starts a piece; long paragraphs go by sentences."""
-    out, window = [], ""
-    for para in re.split(r"\n\s*\n", text):
-        para = para.strip()
-        if not para:
-            continue
-        parts = [para] if len(para) <= size else sentences(para, size)
-        for part in parts:
-            if window and (len(window) + len(part) + 1 > size or heading(part.split("\n")[0])):
-                out.append(window)
-                window = ""
-            window = f"{window}\n{part}" if window else part
-    return [*out, window] if window else out
+def plain_pieces(text: str, size: int = SIZE, overlap: int = OVERLAP, carry: str = "") -> tuple[list[tuple[str, str]], str]:
+    """(title, content) of plain text's pieces and the tail for the next page.
+
+    Lines are trimmed; blank lines end paragraphs, which are packed into windows of `size`; long ones go by sentences. A heading ends paragraph and window, drops the
+    tail of the page before and names what follows. A window keeps the last `overlap` characters of the one before; where these and the next paragraph exceed
+    `size`, its beginning goes.
+    """
+    if not text or blank(text):
+        return [], carry
+    overlap = max(0, min(overlap, size // 2))
+    out: list[tuple[str, str]] = []
+    window, para, stack = "", [], ()
+    carry = carry.strip(TRIM)
+
+    def flush() -> None:
+        nonlocal window
+        if block := window.strip(TRIM):
+            out.append((path(stack), block))
+        window = window[-overlap:] + "\n" if overlap and len(window) > overlap else ""
+
+    def add(part: str) -> None:
+        nonlocal window, carry
+        if carry:
+            part, carry = f"{carry}\n{part}", ""
+        if window and len(window) + len(part) > size:
+            flush()
+        window = f"{window}{part}\n"[-size:]
+
+    def end_paragraph() -> None:
+        if para:
+            whole = "\n".join(para)
+            for part in sentences(whole, size) if len(whole) > size else [whole]:
+                add(part)
+            para.clear()
+
+    for line in re.split(r"\r?\n", text.removeprefix("﻿")):
+        line = line.strip(TRIM)
+        found = heading(line) if line else None
+        if found or not line:
+            end_paragraph()
+        else:
+            para.append(line)
+        if found:
+            carry = ""
+            flush()
+            stack = pushed(stack, found)
+            add(line)
+    end_paragraph()
+    flush()
+    return out, window.strip(TRIM)
 
 
 def sentences(text: str, size: int = SIZE) -> list[str]:
-    """Sentences packed up to `size`; longer ones are cut hard."""
+    """Sentences packed up to `size`; a longer one is cut hard into pieces of its own."""
     out, window = [], ""
     for s in re.split(SENTENCE_END, text):
-        for part in [s[i : i + size] for i in range(0, len(s), size)]:
-            if window and len(window) + len(part) > size:
-                out.append(window)
-                window = ""
-            window += part
-    return [p for x in [*out, window] if (p := x.strip())]
+        if window and len(window) + len(s) > size:
+            out.append(window)
+            window = ""
+        if len(s) > size:
+            out += [s[i : i + size] for i in range(0, len(s), size)]
+        else:
+            window += s
+    return [p for x in [*out, window] if (p := x.strip(TRIM))]
 
 
 def segmented(rows: DataFrame, id_col: str, text_col: str, split) -> DataFrame:

@@ -33,7 +33,7 @@ def sentence_chunks(spark, sf):
 
 
 def paragraph_chunks(spark, sf):
-    return S.segmented(frame(spark, sf, "documents"), "doc_id", "text", lambda t: [("", p) for p in S.paragraphs(t)])
+    return S.segmented(frame(spark, sf, "documents"), "doc_id", "text", lambda t: S.plain_pieces(t)[0])
 
 
 def recursive_chunks(spark, sf):

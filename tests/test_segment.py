@@ -65,7 +65,52 @@ def test_headings():
 def test_html():
     page = "<html><body><nav>n</nav><main><h2>T</h2><p>a&nbsp;b</p><ul><li>x</li></ul><ol><li>y</li></ol><pre>c\nd</pre><img alt='p'><table><tr><th>h</th></tr><tr><td>1</td></tr></table></main></body></html>"
     out = html.to_markdown(page)
-    assert out.startswith("## T\n\na b")
+    assert out.startswith("## T\na b\n")  # blocks end one line, not two
     assert "- x" in out and "1. y" in out and "```\nc\nd\n```" in out and "[图片: p]" in out
     assert "| h |\n| --- |\n| 1 |" in out
     assert html.to_markdown(None) == ""
+
+
+def test_rule_as_first_line_names_columns():
+    assert segment.tables("|---|\n| 值 |") == [("table", ("", ["列1"], [["值"]]))]
+    assert segment.tables("| a | b |\n|---|---|") == [("text", "| a | b |\n|---|---|")]
+    assert segment.tables("| x | y |\n| a | b |\n|---|---|\n| 1 |\n| --- | --- |") == [("table", ("", ["a", "b"], [["1", ""], ["---", "---"]]))]
+
+
+def test_captions_join_over_blank_lines():
+    (kind, (caption, _, _)), = segment.tables("表1-1 设备清单\n\n| 设备 |\n|------|\n| 路由 |")
+    assert (kind, caption) == ("table", "表1-1 设备清单")
+    assert segment.tables("**表 2 参数说明**\n\n| x |\n|---|\n| 1 |")[0][1][0] == "**表 2 参数说明**"
+    assert segment.tables("表1-1 设备清单\n\n  正文描述。") == [("text", "表1-1 设备清单\n\n正文描述。")]
+
+
+def test_trimming_keeps_wide_spaces():
+    assert segment.recursive("　甲。\n", 100) == ["　甲。"]
+    assert segment.heading("１２ 标题") is None and segment.heading("12 标题") == (1, "12 标题")
+
+
+def test_plain_text_follows_headings():
+    out, _ = segment.plain_pieces("# 员工手册\n考勤需每日打卡。\n## 报销规则\n报销需提供发票。\n## 年假规定\n入职满一年享五天年假。", 800, 0)
+    assert [t for t, _ in out] == ["员工手册", "员工手册 > 报销规则", "员工手册 > 年假规定"]
+    assert segment.plain_pieces("第一条知识内容。\n\n第二条知识内容，需要被正确分块。")[0] == [("", "第一条知识内容。\n第二条知识内容，需要被正确分块。")]
+    assert segment.plain_pieces("   \n  ", carry="x") == ([], "x")
+
+
+def test_plain_text_carries_its_tail():
+    text = "\n\n".join(f"第{i}段，这是第一页的内容，用于制造多个分块。" for i in range(40))
+    out, carry = segment.plain_pieces(text, 150, 40)
+    assert len(out) > 1 and all(len(c) <= 150 for _, c in out) and carry and out[-1][1].endswith(carry)
+    assert segment.plain_pieces("第二页正文。", 150, 40, carry)[0][0][1].startswith(carry)
+    assert segment.plain_pieces("# 新章\n\n正文。", 150, 40, carry)[0][0][1].startswith("# 新章")
+
+
+def test_code_groups_have_no_blank_ends():
+    body = "\n".join("" if i % 8 == 7 else f"int value{i} = {i};" for i in range(40))
+    pieces = segment.code_pieces(f"```java\n{body}\n```", 200)
+    assert all(len(p) <= 200 and p.startswith("```java\nint") and not p.endswith("\n\n```") for p in pieces)
+    assert "\n".join(x for p in pieces for x in p.split("\n")[1:-1] if x) == "\n".join(x for x in body.split("\n") if x)
+    assert segment.code_pieces("```\n\n \n```", 200) == []
+
+
+def test_long_sentences_stand_alone():
+    assert segment.sentences("短。" + "长" * 25 + "。又短。", 10) == ["短。", "长" * 10, "长" * 10, "长" * 5 + "。", "又短。"]
