@@ -78,3 +78,34 @@ def session_title(text: Column, most: int = 20) -> Column:
     line = jtrim(F.regexp_replace(line, r"\s+", " "))
     line = F.regexp_replace(line, "^[\"'“”「」『』]+|[\"'“”「」『』]+$", "")
     return F.when(blank(text), F.lit("新会话")).otherwise(cut(line, most, "…"))
+
+
+# Phrases that image readers put in front, and error texts as they are shown.
+READER_PREFIXES = ("以下是识别结果：", "以下为识别内容：", "图片内容：", "页面内容：", "识别结果：", "转写结果：", "Markdown：")
+CALL_NAMES = {"text 调用": "文本生成 调用", "stream 调用": "文本生成(流式) 调用", "vision 调用": "识图 调用", "embedding 调用": "向量化 调用"}
+SHOWN_AS_IT_IS = "超时|繁忙|稍后重试|请检查"
+TIMED_OUT = r"(?i)^.*(timed out|timeout|i/o error|request was interrupted|connection (reset|refused|closed)|read timed out|failed to fetch).*$"
+FAILED, TIMED_OUT_TEXT = "问答失败，请稍后重试", "模型服务调用超时或连接中断，请稍后重试"
+
+
+def reader_markdown(text: Column) -> Column:
+    """An image reader's reply as markdown: without the fence around it and a phrase in front, headings on lines of their own, one blank line at most."""
+    t = jtrim(F.coalesce(text, F.lit("")))
+    rest = F.when(t.contains("\n"), F.regexp_replace(t, r"(?s)^[^\n]*\n", "")).otherwise(F.substring(t, 4, 1 << 30))
+    t = F.when(t.startswith("```"), jtrim(F.regexp_replace(rest, r"(?s)^(.*)```.*$", "$1"))).otherwise(t)
+    t = jtrim(F.regexp_replace(t, f"^({'|'.join(READER_PREFIXES)})", ""))
+    t = F.regexp_replace(t, r"(?<!^)(?<![\r\n])#{1,6}\s+", "\n$0")
+    return jtrim(F.regexp_replace(t, r"\n\s*\n\s*\n+", "\n\n"))
+
+
+def text_poor(markdown: Column, least: int = 50) -> Column:
+    """Whether a page says too little by its text, so that its picture is to be read."""
+    return blank(markdown) | (F.length(jtrim(markdown)) < least)
+
+
+def friendly_error(message: Column) -> Column:
+    """An error as users see it."""
+    t = message
+    for old, new in CALL_NAMES.items():
+        t = F.replace(t, F.lit(old), F.lit(new))
+    return F.when(blank(message), FAILED).when(t.rlike(SHOWN_AS_IT_IS), t).when(t.rlike(TIMED_OUT), TIMED_OUT_TEXT).otherwise(t)

@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Labels of the dislike reasons; an answer without one has its own label.
-REASONS = {"NOT_ON_TARGET": "答非所问", "OUTDATED": "内容过时", "WRONG_CITATION": "引用错误"}
+REASONS = {"NOT_ON_TARGET": "没答到点上", "OUTDATED": "信息过时", "WRONG_CITATION": "引用不对", "TOO_VERBOSE": "太啰嗦", "OTHER": "其它"}
 NO_REASON = "未填写原因"
+# The least and most days of a report, and characters of a feedback note and of what an answer says is missing.
+DAYS, NOTE_CHARS, MISSING_CHARS = (1, 365), 200, 480
 
 
 def ratio(part: Column, whole: Column) -> Column:
@@ -99,3 +101,70 @@ def summary_due(counts: DataFrame, rounds: int) -> DataFrame:
     """Whether a session has grown by 2 * rounds messages since its last summary, and how many the next one reads."""
     delta = F.col("message_count") - F.col("summarised")
     return counts.withColumn("due", delta >= 2 * rounds).withColumn("reads", F.least(delta, F.lit(60)) + F.when(F.col("summarised") > 0, 4).otherwise(0))
+
+
+def clamped_days(days: Column) -> Column:
+    return F.least(F.greatest(days, F.lit(DAYS[0])), F.lit(DAYS[1]))
+
+
+def suspect_queue(chunks: DataFrame) -> DataFrame:
+    """Chunks to review, by document and place."""
+    return chunks.where("clean_status = 'SUSPECT'").orderBy("doc_id", "seq")
+
+
+def counts_by(chunks: DataFrame) -> DataFrame:
+    """Chunks of each base, of each document, and of each document by state and by verdict, in one pass: kind, key, value and n."""
+    doc, kb = F.col("doc_id").cast("long"), F.col("kb_id").cast("long")
+    mark = lambda kind, key, value: F.struct(F.lit(kind).alias("kind"), key.alias("key"), value.alias("value"))
+    state = lambda c: F.coalesce(c, F.lit(""))
+    marks = F.array(mark("kb", kb, F.lit("")), mark("doc", doc, F.lit("")), mark("status", doc, state("status")), mark("clean", doc, state("clean_status")))
+    return chunks.select(F.explode(marks).alias("m")).groupBy("m.kind", "m.key", "m.value").agg(F.count("*").alias("n"))
+
+
+def titled_if_auto(sessions: DataFrame, titles: DataFrame) -> DataFrame:
+    """Sessions with new titles (id, new_title) where the title isn't the user's own."""
+    rows = sessions.join(titles, "id", "left")
+    return rows.withColumn("title", F.when(F.col("title_auto") & F.col("new_title").isNotNull(), F.col("new_title")).otherwise(F.col("title"))).drop("new_title")
+
+
+def pending_again(documents: DataFrame) -> DataFrame:
+    """Documents that are parsed again: those not yet waiting or at work lose their error, their count and their curation."""
+    go = ~F.col("parse_status").isin("PENDING", "PARSING")
+    return documents.select("id", F.when(go, "PENDING").otherwise(F.col("parse_status")).alias("parse_status"), F.when(~go, F.col("error_msg")).alias("error_msg"), F.when(go, 0).otherwise(F.col("chunk_count")).alias("chunk_count"), F.when(~go, F.col("curate_status")).alias("curate_status"))
+
+
+def rated(messages: DataFrame, ratings: DataFrame) -> DataFrame:
+    """Outcome and stored values of ratings (id, rating, reason, note): answers only, UP, DOWN or NONE; reason and note belong to DOWN."""
+    rows = ratings.join(messages.select("id", "role"), "id", "left")
+    down = F.col("rating") == "DOWN"
+    given = ~F.coalesce(F.trim("reason") == "", F.lit(True))
+    refused = (
+        F.when(F.col("role").isNull(), "missing").when(F.col("role") != "ASSISTANT", "not an answer").when(~F.coalesce(F.col("rating").isin("UP", "DOWN", "NONE"), F.lit(False)), "rating")
+        .when(down & given & ~F.col("reason").isin(*REASONS), "reason")
+    )
+    ok = refused.isNull()
+    note = F.regexp_replace("note", r"^[\x00-\x20]+|[\x00-\x20]+$", "")
+    return rows.select("id", refused.alias("refused"), F.when(ok & (F.col("rating") != "NONE"), F.col("rating")).alias("feedback"), F.when(ok & down & given, F.col("reason")).alias("feedback_reason"), F.when(ok & down & (note != ""), F.substring(note, 1, NOTE_CHARS)).alias("feedback_note"))
+
+
+def persisted(turns: DataFrame) -> DataFrame:
+    """Messages of finished turns: the question, and the answer unless the turn broke off before any text came (answer null and interrupted).
+
+    turns: session_id, turn, question, answer, interrupted, refs, verify_score, missing_info. An interrupted answer has no references and no scores.
+    """
+    kept = turns.where(F.col("answer").isNotNull() | ~F.col("interrupted"))
+    broken = F.col("interrupted")
+    user = turns.select("session_id", "turn", F.lit("USER").alias("role"), F.col("question").alias("content"), F.lit(None).cast("string").alias("refs"), F.lit(None).cast("double").alias("verify_score"), F.lit(None).cast("string").alias("missing_info"), F.lit(False).alias("interrupted"))
+    answer = kept.select("session_id", "turn", F.lit("ASSISTANT").alias("role"), F.coalesce("answer", F.lit("")).alias("content"), F.when(broken, "[]").otherwise(F.col("refs")).alias("refs"), F.when(~broken, F.col("verify_score")).alias("verify_score"), F.when(~broken, F.substring("missing_info", 1, MISSING_CHARS)).alias("missing_info"), "interrupted")
+    return user.unionByName(answer)
+
+
+def message_counts(sessions: DataFrame, messages: DataFrame) -> DataFrame:
+    """Sessions (id, message_count) after messages (session_id) were added."""
+    more = messages.groupBy(F.col("session_id").alias("id")).agg(F.count("*").alias("more"))
+    return sessions.join(more, "id", "left").select("id", (F.col("message_count") + F.coalesce("more", F.lit(0))).alias("message_count"))
+
+
+def without_keys(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """Rows without those of some keys."""
+    return rows.join(gone.select(key).distinct(), key, "left_anti")

@@ -168,3 +168,22 @@ def numbered(chunks: DataFrame) -> DataFrame:
     """Kept chunks numbered from 1, dropped ones behind them."""
     dropped = (F.col("disposition") == "AUTO_DROP").cast("int")
     return chunks.withColumn("new_seq", F.row_number().over(Window.partitionBy("doc_id").orderBy(dropped, "seq")))
+
+
+# Fixed texts of the rules' reasons.
+REASONS = {
+    "A1": "A1 空白碎片", "A2": "A2 纯符号碎片", "A3": "A3 纯 URL", "A4": f"A4 超短碎片（<{SHORT} 字且无中文/无数字）", "A5": "A5 OCR 乱码",
+    "B1": f"B1 孤立图题（≤{FIGURE_TITLE_CHARS} 字）", "B2": "B2 孤立表格标题", "B3": "B3 纯图片引用",
+    "C1": f"C1 页眉页脚模板（出现率≥{TEMPLATE_SHARE}，保留首个）", "C2": f"C2 近重复（3-gram Jaccard≥{SIMILARITY}，保留首个）", "C3": f"C3 跨 chunk 长重复（≥{LONG_LINE} 字，保留首个）",
+}
+
+
+def reason(rule: Column, content: Column) -> Column:
+    """Why a chunk was marked: the rule's text and the beginning of the chunk."""
+    names = F.create_map(*[F.lit(x) for kv in REASONS.items() for x in kv])
+    return F.when(rule.isNotNull(), F.concat(F.coalesce(F.try_element_at(names, rule), rule), F.lit("：「"), T.cut(T.jtrim(F.coalesce(content, F.lit(""))), 30, "…"), F.lit("」")))
+
+
+def failed_documents(documents: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Documents of which neither a kept chunk nor an outcome of the rules came: their parsing failed. chunks: doc_id, one row for each piece that was judged."""
+    return documents.join(chunks.select("doc_id").distinct(), "doc_id", "left_anti")

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sagebase.functions import text as T
+from sagebase.operators import clean as C
+from sagebase.operators import segment as S
 
 
 def latest(rows: DataFrame, key: list[str], order: list) -> DataFrame:
@@ -102,16 +104,30 @@ def task_rollup(results: DataFrame) -> DataFrame:
     return out.select("task_id", F.floor(F.col("processed") * 100 / F.col("total")).cast("int").alias("progress"), F.when((failed > 0) & (F.col("succeeded") > 0), "PARTIAL_FAILED").when(failed > 0, "FAILED").otherwise("SUCCESS").alias("status"))
 
 
-def merged_neighbours(chunks: DataFrame, merges: DataFrame) -> DataFrame:
-    """Merges (doc_id, seq) join a chunk with the next one: the first gets both texts and waits for review, the second is filtered."""
-    m = merges.select(F.col("doc_id").alias("of"), F.col("seq").alias("at"))
-    nxt = F.lead("content").over(Window.partitionBy("doc_id").orderBy("seq"))
-    after = F.lead("seq").over(Window.partitionBy("doc_id").orderBy("seq"))
-    rows = chunks.withColumn("next_content", F.when(after == F.col("seq") + 1, nxt))
-    first = rows.join(m, (F.col("doc_id") == F.col("of")) & (F.col("seq") == F.col("at")), "left")
-    first = first.withColumn("hit", F.col("at").isNotNull() & F.col("next_content").isNotNull())
-    gone = F.coalesce(F.lag("hit").over(Window.partitionBy("doc_id").orderBy("seq")), F.lit(False))
-    return first.withColumn("gone", gone).select("doc_id", "seq", F.when(F.col("hit"), F.concat("content", F.lit("\n"), "next_content")).otherwise(F.col("content")).alias("content"), F.when(F.col("gone"), "FILTERED").when(F.col("hit"), "SUSPECT").otherwise(F.col("clean_status")).alias("clean_status"))
+def merged_chunks(chunks: DataFrame, merges: DataFrame, indexed: bool = False) -> DataFrame:
+    """Merges (doc_id, source, target: places that differ by one, none twice): the target gets both texts in their order and the lower page, the source is filtered.
+
+    Before indexing both have to wait for it (status EMBEDDING, no entry), and the target is suspect until it is reviewed; with `indexed` neither may be
+    filtered, and the target is kept and embedded again. Other merges change nothing. chunks: doc_id, seq, page_num, content, status, clean_status, entry.
+    """
+    columns = ["page_num", "content", "status", "clean_status", "entry"]
+    side = lambda name: chunks.select("doc_id", F.col("seq").alias(name), F.struct(*columns).alias(f"{name}_row"))
+    both = merges.where(F.abs(F.col("source") - F.col("target")) == 1).join(side("source"), ["doc_id", "source"]).join(side("target"), ["doc_id", "target"])
+    free = lambda r: ~F.col(r)["clean_status"].eqNullSafe("FILTERED") if indexed else (F.col(r)["status"] == "EMBEDDING") & F.col(r)["entry"].isNull()
+    both = both.where(free("source_row") & free("target_row"))
+    first = F.col("source") < F.col("target")
+    text = F.concat(F.when(first, F.col("source_row.content")).otherwise(F.col("target_row.content")), F.lit("\n"), F.when(first, F.col("target_row.content")).otherwise(F.col("source_row.content")))
+    page = F.least(F.coalesce("source_row.page_num", F.lit(0)), F.coalesce("target_row.page_num", F.lit(0)))
+    both = both.withColumn("text", text).where(~T.blank(F.col("text")))
+    into = both.select("doc_id", F.col("target").alias("seq"), "text", page.alias("page"), F.lit(True).alias("into"))
+    changes = into.unionByName(both.select("doc_id", F.col("source").alias("seq"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("int").alias("page"), F.lit(False).alias("into")))
+    hit, out = F.col("into").isNotNull(), chunks.join(changes, ["doc_id", "seq"], "left")
+    return out.select(
+        "doc_id", "seq", F.coalesce("page", "page_num").alias("page_num"), F.coalesce("text", "content").alias("content"),
+        F.when(F.col("into"), "EMBEDDING").when(hit, "FILTERED").otherwise(F.col("status")).alias("status"),
+        F.when(F.col("into"), "KEEP" if indexed else "SUSPECT").when(hit, "FILTERED").otherwise(F.col("clean_status")).alias("clean_status"),
+        F.when(~hit, F.col("entry")).alias("entry"),
+    )
 
 
 def inserted(chunks: DataFrame, new: DataFrame) -> DataFrame:
@@ -156,3 +172,82 @@ def chunk_transition(status: Column, clean: Column, action: Column) -> Column:
         .when((action == "unkeep") & (clean == "KEEP"), F.struct(F.lit("EMBEDDING").alias("status"), F.lit("SUSPECT").alias("clean_status")))
         .otherwise(F.struct(status.alias("status"), clean.alias("clean_status")))
     )
+
+
+def edited_chunk(content: Column, title: Column, clean: Column, new_content: Column, new_title: Column) -> Column:
+    """(content, title, clean_status, ok) after an edit: blank texts and filtered chunks are refused, else the chunk is kept with the new text and title."""
+    ok = ~T.blank(new_content) & ~clean.eqNullSafe("FILTERED")
+    return F.struct(F.when(ok, new_content).otherwise(content).alias("content"), F.when(ok, new_title).otherwise(title).alias("title"), F.when(ok, "KEEP").otherwise(clean).alias("clean_status"), ok.alias("ok"))
+
+
+def batch_review(chunks: DataFrame, actions: DataFrame) -> DataFrame:
+    """Outcome of each action (id, action): keep and drop succeed on chunks that exist, also where they change nothing."""
+    known = chunks.select("id", "status", "clean_status", F.lit(True).alias("known"))
+    rows = actions.join(known, "id", "left")
+    after = chunk_transition(F.col("status"), F.col("clean_status"), F.col("action"))
+    ok = F.col("known").isNotNull() & F.col("action").isin("keep", "drop")
+    return rows.select("id", "action", ok.alias("success"), F.when(F.col("known").isNull(), "missing").when(~F.col("action").isin("keep", "drop"), "action").alias("reason"), F.when(ok, after["clean_status"]).alias("clean_status"))
+
+
+def listed(entries: DataFrame, status: str | None = None) -> DataFrame:
+    """Entries that aren't deleted, of one status if one is given, newest first."""
+    rows = entries.where("not deleted")
+    return (rows if not status else rows.where(F.col("status") == status)).orderBy(F.desc("id"))
+
+
+def created(requests: DataFrame) -> DataFrame:
+    """New entries: drafts of version 1, each in a group of its own that its request names (id)."""
+    return requests.select("*", F.concat(F.lit("g-"), F.col("id").cast("string")).alias("history_group_id"), F.lit(1).alias("version"), F.lit("DRAFT").alias("status"), F.lit(False).alias("deleted"))
+
+
+def normalized(reply: Column) -> Column:
+    """(question, synonyms) of a model's reply: of the outermost JSON object in it."""
+    obj = F.from_json(F.regexp_extract(reply, r"(?s)\{.*\}", 0), "normalized string, synonyms array<string>")
+    return F.struct(obj["normalized"].alias("question"), F.coalesce(obj["synonyms"], F.array().cast("array<string>")).alias("synonyms"))
+
+
+def json_fields(reply: Column) -> Column:
+    """The outermost JSON object of a text as a map of texts; what can't be read is empty."""
+    return F.coalesce(F.from_json(F.regexp_extract(reply, r"(?s)\{.*\}", 0), "map<string,string>"), F.create_map().cast("map<string,string>"))
+
+
+def without_drafts(entries: DataFrame, documents: DataFrame) -> DataFrame:
+    """Live drafts that came from some documents (doc_id) are deleted softly, before these are extracted again."""
+    again = documents.select(F.col("doc_id").alias("source_doc_id")).distinct().withColumn("again", F.lit(True))
+    rows = entries.join(again, "source_doc_id", "left")
+    return rows.withColumn("deleted", F.col("deleted") | (F.col("again").isNotNull() & (F.col("status") == "DRAFT"))).drop("again")
+
+
+def replaced_uploads(documents: DataFrame, uploads: DataFrame) -> DataFrame:
+    """The newest document of the same name (in any case) that each upload (kb_id, file_name) replaces: kb_id, file_name, id."""
+    held = documents.select("kb_id", F.lower("file_name").alias("key"), "id").groupBy("kb_id", "key").agg(F.max("id").alias("id"))
+    return uploads.withColumn("key", F.lower("file_name")).join(held, ["kb_id", "key"]).select("kb_id", "file_name", "id")
+
+
+def rename_verdicts(documents: DataFrame, renames: DataFrame) -> DataFrame:
+    """What becomes of each rename (id, new_name): extension and name have to differ as they should, and no other document of the base may have the name."""
+    extension = lambda c: F.lower(F.regexp_extract(c, r"\.([^.]*)$", 1))
+    rows = renames.join(documents.select("id", "kb_id", "file_name"), "id")
+    held = documents.select("kb_id", F.lower("file_name").alias("key"), F.col("id").alias("other"))
+    counts = held.groupBy("kb_id", "key").agg(F.count("*").alias("n"))
+    rows = rows.withColumn("key", F.lower("new_name")).join(counts, ["kb_id", "key"], "left")
+    others = F.coalesce("n", F.lit(0)) - (F.lower("file_name") == F.col("key")).cast("int")
+    return rows.select("id", F.when(extension(F.col("new_name")) != extension(F.col("file_name")), "extension").when(F.col("new_name") == F.col("file_name"), "same").when(others > 0, "duplicate").otherwise("renamed").alias("verdict"))
+
+
+def rechunked(text: DataFrame, versions_: DataFrame, size: int = S.SIZE, overlap: int = S.OVERLAP) -> tuple[DataFrame, DataFrame]:
+    """Edited markdown (doc_id, text) as a new version of pages and as judged chunks.
+
+    The text is split at its page marks, leading noise pages and running headers go; pages get the version behind the last (versions_: doc_id, version), and
+    the pages' chunks are judged and numbered, kept ones first.
+    """
+    pages = text.select("doc_id", F.explode(S.page_split(F.col("text"))).alias("p")).select("doc_id", "p.page_num", "p.markdown")
+    noise = C.head_noise(pages).select("doc_id", "page_num")
+    kept = pages.join(noise, ["doc_id", "page_num"], "left_anti")
+    lines = C.strip_headers(kept.select("doc_id", "page_num", F.posexplode(F.split("markdown", "\n")).alias("line_no", "line")))
+    body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n")
+    clean = lines.groupBy("doc_id", "page_num").agg(body.alias("markdown"))
+    last = versions_.groupBy("doc_id").agg(F.max("version").alias("version"))
+    numbered = clean.join(last, "doc_id", "left").select("doc_id", (F.coalesce("version", F.lit(0)) + 1).alias("version"), "page_num", "markdown")
+    chunks = C.numbered(C.judged(S.chunk_documents(clean, size=size, overlap=overlap).select("doc_id", "seq", "page_num", "title", "content"), "title"))
+    return numbered, chunks

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -15,7 +15,7 @@ from sagebase.functions import text as T
 K1, B, RRF_K = 1.2, 0.75, 60
 FIELDS = {"content": 1.0, "title": 2.0, "doc_name": 0.5}
 SOURCE_QUOTA = {"CHUNK": 15, "BUSINESS": 8, "QA": 8}
-RERANK_CHUNKS, RERANK_OTHERS = 6, 4
+RERANK_CHUNKS, RERANK_OTHERS, RERANK_DOCS = 6, 4, 20
 #: Query vectors that go to the tasks at once.
 QUERY_BLOCK = 4096
 
@@ -137,6 +137,38 @@ def quota_by_group(evidence: DataFrame, key: list[str]) -> DataFrame:
     return ranked.where(F.col("rank") <= F.when(F.col("part") == "CHUNK", RERANK_CHUNKS).otherwise(RERANK_OTHERS))
 
 
+def reranked(evidence: DataFrame, key: list[str], scorer: Callable[[list[str]], list[float]], max_docs: int = RERANK_DOCS) -> DataFrame:
+    """Evidence by an outside scorer: of each group (chunks, others) within its quota all by score; else the `max_docs` best are scored as texts with
+    their names in front, and the quota's best stay. Rows come with their new score and their rank in the group.
+
+    The scorer gets texts in batches; nothing but a group's best rows reaches it.
+    """
+    group = F.when(F.col("source_type") == "CHUNK", "CHUNK").otherwise("OTHER")
+    w = Window.partitionBy(*key, "part")
+    quota = F.when(F.col("part") == "CHUNK", RERANK_CHUNKS).otherwise(RERANK_OTHERS)
+    rows = evidence.withColumn("part", group).withColumn("old", F.row_number().over(w.orderBy(F.desc("score"), "pos"))).withColumn("n", F.count("*").over(w)).where(F.col("old") <= max_docs)
+    few = F.col("n") <= F.least(quota, F.lit(max_docs))
+    text = F.concat(rerank_prefix(F.col("doc_name"), F.col("title")), F.coalesce("content", F.lit("")))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf.assign(score=scorer(pdf["rerank_text"].tolist()))
+
+    wide = rows.where(~few).withColumn("score", F.col("score").cast("double")).withColumn("rerank_text", text)
+    scored = wide.mapInPandas(run, wide.schema).drop("rerank_text")
+    both = rows.where(few).withColumn("score", F.col("score").cast("double")).unionByName(scored)
+    return both.withColumn("rank", F.row_number().over(w.orderBy(F.desc("score"), "old"))).where(F.col("rank") <= quota).drop("old", "n")
+
+
+def rerank_scores(reply: Column, size: Column) -> Column:
+    """Scores of a reranker's reply in the order of its documents: output.results, data or results hold (index, relevance_score or score); what is missing is 0."""
+    item = "array<struct<index:int,relevance_score:double,score:double>>"
+    parsed = F.from_json(reply, f"output struct<results:{item}>, data {item}, results {item}")
+    items = F.coalesce(parsed["output"]["results"], parsed["data"], parsed["results"])
+    value = lambda x: F.coalesce(x["relevance_score"], x["score"], F.lit(0.0))
+    return F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.coalesce(F.try_element_at(F.transform(F.filter(items, lambda x: x["index"] == i), value), F.lit(-1)), F.lit(0.0)))
+
+
 def rerank_prefix(doc_name: Column, title: Column) -> Column:
     name, head = F.coalesce(T.jtrim(doc_name), F.lit("")), F.coalesce(T.jtrim(title), F.lit(""))
     text = F.concat(F.when(name != "", F.concat(F.lit("文档："), name, F.lit("；"))).otherwise(""), F.when((head != "") & (head != name), F.concat(F.lit("章节："), head, F.lit("；"))).otherwise(""))

@@ -118,7 +118,7 @@ _EST = r"coalesce((length({0}) - length(regexp_replace({0}, '[一-鿿㐀-䶿　-
 ORACLE_SQL = {
     "feedback_overview": oracle(_OVER),
     "feedback_rates": oracle(f"with o as ({_OVER}) select kb_id, case when up + down > 0 then round(down / (up + down), 4) else 0.0 end as dislike_rate, case when scored > 0 then round(no_evidence / scored, 4) else 0.0 end as no_evidence_rate from o"),
-    "dislike_reasons": oracle("select feedback_reason, count(*) as n, case feedback_reason when 'NOT_ON_TARGET' then '答非所问' when 'OUTDATED' then '内容过时' when 'WRONG_CITATION' then '引用错误' else '未填写原因' end as label from v_message where feedback = 'DOWN' group by feedback_reason"),
+    "dislike_reasons": oracle("select feedback_reason, count(*) as n, case feedback_reason when 'NOT_ON_TARGET' then '没答到点上' when 'OUTDATED' then '信息过时' when 'WRONG_CITATION' then '引用不对' else '未填写原因' end as label from v_message where feedback = 'DOWN' group by feedback_reason"),
     "dislike_page": oracle("select id, created_at, substring(content, 1, 200) as content from v_message where feedback = 'DOWN' order by created_at desc, id desc limit 20 offset 5"),
     "question_of_answer": oracle("select a.id, (select max(q.id) from v_message q where q.session_id = a.session_id and q.role = 'USER' and q.id < a.id) as question_id from v_message a where a.role = 'ASSISTANT'"),
     "last_message_per_session": oracle("select session_id, max(created_at) as at, max(id) as id from v_message group by session_id"),

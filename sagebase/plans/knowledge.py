@@ -67,11 +67,6 @@ def task_status_rollup(spark, sf):
     return K.task_rollup(rows)
 
 
-def merge_adjacent_chunks(spark, sf):
-    rows = frame(spark, sf, "v_chunk_state")
-    return K.merged_neighbours(rows, rows.where("seq = 1").select("doc_id", "seq")).select("doc_id", "seq", F.md5(F.col("content").cast("binary")).alias("digest"), "clean_status")
-
-
 def insert_chunk_shift(spark, sf):
     rows = frame(spark, sf, "v_chunk")
     new = frame(spark, sf, "documents").where("doc_id % 2 = 0").select("doc_id", F.lit(1).alias("seq"), F.lit("new").alias("content"))
@@ -79,8 +74,11 @@ def insert_chunk_shift(spark, sf):
 
 
 def md_version_diff(spark, sf):
-    pages = frame(spark, sf, "v_line").groupBy("doc_id", "page_num").agg(F.max("line").alias("markdown"))
-    after = pages.where("(doc_id + page_num) % 5 > 0").withColumn("markdown", F.when(F.col("page_num") % 3 == 0, F.lit("x")).otherwise(F.col("markdown")))
+    """Whole pages of two versions: some are missing on either side, some changed."""
+    from sagebase.plans.text import _pages
+
+    pages = _pages(spark, sf)
+    after = pages.where("(doc_id + page_num) % 5 > 0").withColumn("markdown", F.when(F.col("page_num") % 3 == 0, F.concat("markdown", F.lit("."))).otherwise(F.col("markdown")))
     return K.page_diff(pages.where("(doc_id + page_num) % 7 > 0"), after)
 
 
@@ -145,18 +143,18 @@ def model_config_resolution(spark, sf):
 
 def effective_question(spark, sf):
     rows = frame(spark, sf, "v_answer")
-    return rows.select("id", Q.effective_question(F.when(F.col("retry") == 1, F.lit(" ")).when(F.col("retry") == 2, F.lit("r")), F.when(F.col("n_refs") > 2, F.lit("b")), F.substring("answer", 1, 8)).alias("question"))
+    return rows.select("id", Q.effective_question(F.when(F.col("retry") == 1, F.lit(" ")).when(F.col("retry") == 2, F.lit("r")), F.when(F.col("n_refs") > 2, F.lit("b")), F.col("answer")).alias("question"))
 
 
 def fragment_aggregate(spark, sf):
-    rows = frame(spark, sf, "conversations").select("conv_id", "turn", F.substring("text", 1, 12).alias("text"), F.when(F.col("role") == "user", "BUSINESS").otherwise("CHITCHAT").alias("intent"), ((F.col("conv_id") + F.col("turn")) % 7 == 0).alias("injection"))
+    rows = frame(spark, sf, "conversations").select("conv_id", "turn", "text", F.when(F.col("role") == "user", "BUSINESS").otherwise("CHITCHAT").alias("intent"), ((F.col("conv_id") + F.col("turn")) % 7 == 0).alias("injection"))
     join = lambda c: F.array_join(F.transform(F.sort_array(F.collect_list(F.when(c, F.struct("turn", "text")))), lambda x: x["text"]), " ")
     out = rows.groupBy("conv_id").agg(join(F.col("intent") == "BUSINESS").alias("business"), join((F.col("intent") != "BUSINESS") & ~F.col("injection")).alias("chitchat"), F.max("injection").alias("injection"))
     return out.withColumn("next", F.when(F.trim("business") != "", "QUERY_REWRITE").otherwise("CHAT_ONLY"))
 
 
 def rewrite_parse(spark, sf):
-    reply = F.concat(F.lit("- "), F.substring("text", 1, 20), F.lit("\n* "), F.substring("text", 21, 20), F.lit("\n\n1. "), F.substring("text", 1, 20))
+    reply = F.concat(F.lit("- "), F.substring("text", 1, 20), F.lit("\n* "), F.col("text"), F.lit("\n\n1. "), F.substring("text", 1, 20), F.lit("\n 2、•"), F.substring("text", 21, 30))
     return frame(spark, sf, "benchmark").select("item_id", F.array_join(Q.rewritten(F.when(F.col("item_id") % 5 > 0, reply).otherwise(F.lit(" ")), F.lit("q")), "|").alias("queries"))
 
 
@@ -189,7 +187,7 @@ def evidence_delta(spark, sf):
     return rows.select("question", F.array_join(F.transform(F.sort_array(F.array_except("now", "before")), lambda x: x.cast("string")), ",").alias("new"))
 
 
-QUERIES = {f.__name__: f for f in (draft_dedup, version_latest, version_history, edit_version, rollback_version, review_transitions, term_merge_aliases, index_text_qa, index_text_term, index_sync_actions, extract_json_items, task_status_rollup, merge_adjacent_chunks, insert_chunk_shift, md_version_diff, confirm_guard, chunk_review_transitions, rename_propagates, detach_source, effective_permission, visible_kbs, group_grants_in_workspace, grant_upsert_latest, role_counts, grantee_names, model_config_resolution, effective_question, fragment_aggregate, rewrite_parse, injection_patterns, claim_faithfulness, retry_decision, merge_decision, score_parse, evidence_delta)}
+QUERIES = {f.__name__: f for f in (draft_dedup, version_latest, version_history, edit_version, rollback_version, review_transitions, term_merge_aliases, index_text_qa, index_text_term, index_sync_actions, extract_json_items, task_status_rollup, insert_chunk_shift, md_version_diff, confirm_guard, chunk_review_transitions, rename_propagates, detach_source, effective_permission, visible_kbs, group_grants_in_workspace, grant_upsert_latest, role_counts, grantee_names, model_config_resolution, effective_question, fragment_aggregate, rewrite_parse, injection_patterns, claim_faithfulness, retry_decision, merge_decision, score_parse, evidence_delta)}
 
 _PERM = """own as (select kb_id, grantee_id as user_id, max(case permission when 'EDIT' then 2 else 1 end) as r from v_grant where grantee_type = 'USER' group by all),
   grp as (select g.kb_id, p.workspace_id, m.user_id, max(case g.permission when 'EDIT' then 2 else 1 end) as r from v_grant g join v_group p on g.grantee_id = p.group_id join v_group_member m on m.group_id = p.group_id where g.grantee_type = 'GROUP' group by all),
@@ -213,11 +211,9 @@ ORACLE_SQL = {
     "extract_json_items": "select item_id as id, 0 as pos, 'q' || item_id::varchar as question, 'a' as answer from benchmark",
     "task_status_rollup": oracle("""with r as (select id % 20 as task_id, case when id % 9 > 0 then id % (id % 20 + 1) > 0 end as ok from v_document), a as (select task_id, count(*) as n, count(ok) as p, sum(case when ok then 1 else 0 end) as s from r group by task_id)
       select task_id, floor(p * 100 / n)::int as progress, case when p > s and s > 0 then 'PARTIAL_FAILED' when p > s then 'FAILED' else 'SUCCESS' end as status from a"""),
-    "merge_adjacent_chunks": oracle("""with c as (select *, lead(content) over (partition by doc_id order by seq) as nx, max(seq) over (partition by doc_id) as top from v_chunk_state)
-      select doc_id, seq, md5(case when seq = 1 and nx is not null then content || chr(10) || nx else content end) as digest, case when seq = 2 then 'FILTERED' when seq = 1 and nx is not null then 'SUSPECT' else clean_status end as clean_status from c"""),
     "insert_chunk_shift": oracle("select doc_id, case when doc_id % 2 = 0 and seq >= 1 then seq + 1 else seq end as seq, length(content) as n from v_chunk union all select doc_id, 1, 3 from documents where doc_id % 2 = 0"),
-    "md_version_diff": oracle("""with p as (select doc_id, page_num, max(line) as md from v_line group by all), f as (select *, (doc_id + page_num) % 7 > 0 as a, (doc_id + page_num) % 5 > 0 as b from p)
-      select doc_id, page_num, case when not a then 'ADDED' when not b then 'REMOVED' else 'CHANGED' end as change from f where (a or b) and (not a or not b or (page_num % 3 = 0 and md <> 'x'))"""),
+    "md_version_diff": oracle("""with p as (select doc_id, page_num, string_agg(line, chr(10) order by line_no) as md from v_line group by all), f as (select *, (doc_id + page_num) % 7 > 0 as a, (doc_id + page_num) % 5 > 0 as b from p)
+      select doc_id, page_num, case when not a then 'ADDED' when not b then 'REMOVED' else 'CHANGED' end as change from f where (a or b) and (not a or not b or page_num % 3 = 0)"""),
     "confirm_guard": oracle("select doc_id, not bool_or(coalesce(clean_status, '') = 'SUSPECT') and bool_or(coalesce(clean_status, '') <> 'FILTERED') as ok from v_chunk_state group by doc_id"),
     "chunk_review_transitions": oracle("""with a as (select *, (doc_id + seq) % 3 as a from v_chunk_state) select doc_id, seq,
       case when a = 0 and clean_status = 'SUSPECT' then 'EMBEDDING' when a = 1 and coalesce(clean_status, '') <> 'FILTERED' then 'FILTERED' when a = 2 and clean_status = 'KEEP' then 'EMBEDDING' else status end as status,
@@ -233,14 +229,13 @@ ORACLE_SQL = {
     "model_config_resolution": oracle("""with w as (select distinct workspace_id, model_type, u as usage_name from v_model cross join (values ('ROUTE'), ('GENERATE'), ('JUDGE')) t(u)),
       r as (select w.*, m.id, row_number() over (partition by w.workspace_id, w.model_type, w.usage_name order by case when m.usage_name = w.usage_name then 0 when m.usage_name is null then 1 when m.is_default then 2 else 3 end, m.id) as k from w join v_model m on m.workspace_id = w.workspace_id and m.model_type = w.model_type and m.enabled)
       select workspace_id, model_type, usage_name, id from r where k = 1"""),
-    "effective_question": oracle("select id, case when retry = 2 then 'r' when n_refs > 2 then 'b' else substring(answer, 1, 8) end as question from v_answer"),
-    "fragment_aggregate": """with r as (select conv_id, turn, substring(text, 1, 12) as text, role = 'user' as b, (conv_id + turn) % 7 = 0 as inj from conversations),
+    "effective_question": oracle("select id, case when retry = 2 then 'r' when n_refs > 2 then 'b' else answer end as question from v_answer"),
+    "fragment_aggregate": """with r as (select conv_id, turn, text, role = 'user' as b, (conv_id + turn) % 7 = 0 as inj from conversations),
       a as (select conv_id, coalesce(string_agg(case when b then text end, ' ' order by turn), '') as business, coalesce(string_agg(case when not b and not inj then text end, ' ' order by turn), '') as chitchat, bool_or(inj) as injection from r group by conv_id)
       select *, case when trim(business) <> '' then 'QUERY_REWRITE' else 'CHAT_ONLY' end as next from a""",
-    "rewrite_parse": r"""with s as (select item_id, regexp_replace(substring(text, 1, 20), '^[\x00-\x20]+|[\x00-\x20]+$', '', 'g') as a, regexp_replace(substring(text, 21, 20), '^[\x00-\x20]+|[\x00-\x20]+$', '', 'g') as b, text from benchmark),
-      l as (select item_id, list_transform(string_split('- ' || substring(text, 1, 20) || chr(10) || '* ' || substring(text, 21, 20) || chr(10) || chr(10) || '1. ' || substring(text, 1, 20), chr(10)), lambda x: regexp_replace(regexp_replace(x, '^[\x00-\x20]+|[\x00-\x20]+$', '', 'g'), '^([-*•]|\d+[.)、])\s*', '')) as q from s),
-      d as (select item_id, list_filter(q, lambda x: x <> '') as q from l)
-      select item_id, case when item_id % 5 > 0 then array_to_string(list_filter(q, lambda x, i: list_position(q, x) = i)[1:5], '|') else 'q' end as queries from d""",
+    "rewrite_parse": r"""with l as (select item_id, list_transform(string_split('- ' || substring(text, 1, 20) || chr(10) || '* ' || text || chr(10) || chr(10) || '1. ' || substring(text, 1, 20) || chr(10) || ' 2、•' || substring(text, 21, 30), chr(10)), lambda x: regexp_replace(regexp_replace(x, '^[\s\x0b\d.、\-*•]+', ''), '^[\x00-\x20]+|[\x00-\x20]+$', '', 'g')) as q from benchmark),
+      d as (select item_id, list_filter(q, lambda x: x <> '' and length(x) <= 200) as q from l)
+      select item_id, case when item_id % 5 > 0 and len(q) > 0 then array_to_string(list_filter(q, lambda x, i: list_position(q, x) = i)[1:5], '|') else 'q' end as queries from d""",
     "injection_patterns": "select item_id, item_id % 4 < 3 or regexp_matches(text, '(?i)system prompt|instructions') as injected from benchmark",
     "claim_faithfulness": """with c as (select conv_id, sum(case when turn % 4 in (0, 1) or (turn % 4 = 2 and conv_id % 2 >= 1) then 1 else 0 end) as v, sum(case when turn % 4 = 0 then 1 else 0 end) as s from conversations group by conv_id)
       select conv_id, case when v > 0 then round(s / v, 6) else 1.0 end as score from c""",

@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 from sagebase.functions import text as T
 from sagebase.operators import html as H
 from sagebase.operators import segment as S
+from sagebase.sources import files as L
 from sagebase.plans.views import frame, oracle
 
 
 def _marked(spark, sf):
     """Lines with heading marks of all kinds in front, by document and line number."""
     mark = F.when(F.col("line_no") % 7 == 0, F.lit("## ")).when(F.col("line_no") % 7 == 1, F.lit("第3章 ")).when(F.col("line_no") % 7 == 2, F.lit("一、")).when(F.col("line_no") % 7 == 3, F.lit("1.2 ")).when(F.col("line_no") % 7 == 4, F.lit("3 ")).otherwise(F.lit(""))
-    return frame(spark, sf, "v_line").select("doc_id", "line_no", F.concat(mark, F.substring("line", 1, 30)).alias("line"))
+    return frame(spark, sf, "v_line").select("doc_id", "line_no", F.concat(mark, "line").alias("line"))
 
 
 def _pages(spark, sf):
@@ -50,7 +51,7 @@ def tables_extracted(spark, sf):
 
 
 def _cells(spark, sf):
-    return frame(spark, sf, "v_line").select("doc_id", "line_no", (F.col("line_no") % 3).alias("col"), F.when((F.col("doc_id") + F.col("line_no")) % 4 == 0, F.substring("line", 1, 8)).otherwise(F.lit(" ")).alias("value"))
+    return frame(spark, sf, "v_line").select("doc_id", "line_no", (F.col("line_no") % 3).alias("col"), F.when((F.col("doc_id") + F.col("line_no")) % 4 == 0, F.col("line")).otherwise(F.lit(" ")).alias("value"))
 
 
 def table_forward_fill(spark, sf):
@@ -71,15 +72,41 @@ def missing_pages(spark, sf):
     return S.missing_pages(pages, "doc_id")
 
 
+def _slides(spark, sf):
+    """Pages as slides: most begin with the heading that the deck shares, the others with one of their own; every ninth is blank."""
+    head = F.when(F.col("page_num") % 4 > 0, F.lit("## 目录页\n")).otherwise(F.concat(F.lit("# p"), F.col("page_num").cast("string"), F.lit("\n")))
+    return _pages(spark, sf).select("doc_id", "page_num", F.when(F.col("page_num") % 9 == 0, F.lit(" \n ")).otherwise(F.concat(head, "markdown")).alias("markdown"))
+
+
 def slide_footer(spark, sf):
-    """The most frequent first heading of a deck's slides, if short and frequent enough."""
-    from pyspark.sql import Window
+    """The heading that a deck's slides share."""
+    return L.footers(_slides(spark, sf)).select("doc_id", F.col("footer").alias("head"), "times")
+
+
+def slide_chunks(spark, sf):
+    """Slides with the path of their own headings as title."""
+    return L.slide_pieces(_slides(spark, sf)).select("doc_id", "page_num", "title", F.md5(F.col("content").cast("binary")).alias("digest"))
+
+
+def file_dispatch(spark, sf):
+    kind = F.element_at(F.array(*map(F.lit, ("txt", "MD", "Html", "pdf", "docx", "pptx", "xlsx", "xls", "zip"))), (F.col("id") % 9 + 1).cast("int"))
+    return frame(spark, sf, "v_document").select("id", L.route(kind).alias("route"))
+
+
+def blob_paths(spark, sf):
+    store = F.when(F.col("id") % 3 == 0, "minio").when(F.col("id") % 3 == 1, "local")
+    return frame(spark, sf, "v_document").select("id", L.storage_path(store, F.col("file_name"), {"local": "/data", "minio": "s3://bucket"}).alias("path"))
+
+
+def reader_markdown(spark, sf):
+    """Replies of an image reader made of whole documents."""
+    text = F.concat(F.lit("以下是识别结果："), "text", F.lit(" ## head\n\n \n\nend"))
+    reply = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("```markdown\n"), text, F.lit("\n```"))).otherwise(text)
+    return frame(spark, sf, "documents").select("doc_id", F.md5(T.reader_markdown(reply).cast("binary")).alias("digest"))
+
 
-    first = frame(spark, sf, "v_line").where("line_no % 10 = 0").select("doc_id", "page_num", F.substring(F.when(F.col("page_num") % 4 > 0, F.lit("目录页")).otherwise(F.col("line")), 1, 12).alias("head"))
-    n = first.groupBy("doc_id").agg(F.count("*").alias("pages"))
-    counted = first.groupBy("doc_id", "head").agg(F.count("*").alias("times")).join(n, "doc_id").where("pages >= 3 and length(head) <= 8 and times >= greatest(3, pages / 10)")
-    w = Window.partitionBy("doc_id").orderBy(F.desc("times"), "head")
-    return counted.withColumn("k", F.row_number().over(w)).where("k = 1").select("doc_id", "head", "times")
+def text_poor_pages(spark, sf):
+    return _pages(spark, sf).where(T.text_poor(F.col("markdown"))).select("doc_id", "page_num")
 
 
 def html_to_markdown(spark, sf):
@@ -112,27 +139,28 @@ def embed_text(spark, sf):
     return chunks.select("doc_id", "seq", F.md5(F.when(T.blank(F.col("title")), F.col("content")).otherwise(F.concat_ws("\n", "title", "content")).cast("binary")).alias("digest"))
 
 
-QUERIES = {f.__name__: f for f in (heading_level, fixed_width_chunks, sentence_chunks, paragraph_chunks, recursive_chunks, code_fences, tables_extracted, table_forward_fill, page_assemble, page_mark_split, missing_pages, slide_footer, html_to_markdown, token_estimate, router_cap, content_hash, parse_cache_lookup, embed_text)}
+QUERIES = {f.__name__: f for f in (heading_level, fixed_width_chunks, sentence_chunks, paragraph_chunks, recursive_chunks, code_fences, tables_extracted, table_forward_fill, page_assemble, page_mark_split, missing_pages, slide_footer, slide_chunks, file_dispatch, blob_paths, reader_markdown, text_poor_pages, html_to_markdown, token_estimate, router_cap, content_hash, parse_cache_lookup, embed_text)}
 
 _TRIM = r"regexp_replace({}, '^[\x00-\x20]+|[\x00-\x20]+$', '', 'g')"
 _PAGES = "pg as (select doc_id, page_num, string_agg(line, chr(10) order by line_no) as md from v_line group by doc_id, page_num)"
 _EST = r"coalesce((length({0}) - length(regexp_replace({0}, '[一-鿿㐀-䶿　-〿＀-￯]', '', 'g')) + ceil(length(regexp_replace(regexp_replace({0}, '[一-鿿㐀-䶿　-〿＀-￯]', '', 'g'), '[\s\x0b]', '', 'g')) / 4.0))::int, 0)"
 
 ORACLE_SQL = {
-    "heading_level": oracle(rf"""with x as (select doc_id, line_no, case line_no % 7 when 0 then '## ' when 1 then '第3章 ' when 2 then '一、' when 3 then '1.2 ' when 4 then '3 ' else '' end || substring(line, 1, 30) as line from v_line), y as (select *, {_TRIM.format('line')} as t from x)
+    "heading_level": oracle(rf"""with x as (select doc_id, line_no, case line_no % 7 when 0 then '## ' when 1 then '第3章 ' when 2 then '一、' when 3 then '1.2 ' when 4 then '3 ' else '' end || line as line from v_line), y as (select *, {_TRIM.format('line')} as t from x)
       select doc_id, line_no, case when regexp_matches(t, '^#{{1,6}}\s+\S[^。！？!?；;]*$') then length(regexp_extract(t, '^(#+)', 1))
         when regexp_matches(t, '^第[0-9一二三四五六七八九十百千]+[章节篇部分条款][^。！？!?；;]*$') then 1 when regexp_matches(t, '^[一二三四五六七八九十]+[、.．][^。！？!?；;]*$') then 2
         when regexp_matches(t, '^\d{{1,3}}([.．、]\d{{1,3}})*[.．、]?\s*\S[^。！？!?；;]*$') then least(greatest(len(regexp_extract_all(regexp_extract(t, '^\d{{1,3}}([.．、]\d{{1,3}})*'), '\d{{1,3}}')), 1), 6) end::int as level from y"""),
     "fixed_width_chunks": oracle("select doc_id, seq, content from v_chunk"),
-    "table_forward_fill": oracle(f"""with x as (select doc_id, line_no, line_no % 3 as col, case when (doc_id + line_no) % 4 = 0 then substring(line, 1, 8) else ' ' end as value from v_line)
+    "table_forward_fill": oracle(f"""with x as (select doc_id, line_no, line_no % 3 as col, case when (doc_id + line_no) % 4 = 0 then line else ' ' end as value from v_line)
       select doc_id, line_no, last_value(case when {_TRIM.format('value')} <> '' then value end ignore nulls) over (partition by doc_id, col order by line_no rows unbounded preceding) as filled from x"""),
     "page_assemble": oracle(f"with {_PAGES}, t as (select doc_id, string_agg('<!-- PAGE ' || page_num::varchar || ' -->' || chr(10) || md, chr(10) || chr(10) order by page_num) as text from pg group by doc_id) select doc_id, md5(text) as digest, length(text) as n from t"),
     "page_mark_split": oracle(f"with {_PAGES} select doc_id, page_num, {_TRIM.format('md')} as markdown from pg where {_TRIM.format('md')} <> ''"),
     "missing_pages": oracle(f"""with {_PAGES}, x as (select doc_id, page_num, case when (doc_id + page_num) % 3 = 0 then ' ' else md end as md from pg), n as (select doc_id, max(page_num) as n from x group by doc_id)
       select doc_id, g::int as page_num from n, unnest(range(1, n + 1)) u(g) where not exists (select 1 from x where x.doc_id = n.doc_id and x.page_num = g and {_TRIM.format('x.md')} <> '')"""),
-    "slide_footer": oracle("""with f as (select doc_id, page_num, substring(case when page_num % 4 > 0 then '目录页' else line end, 1, 12) as head from v_line where line_no % 10 = 0), n as (select doc_id, count(*) as pages from f group by doc_id),
-      c as (select doc_id, head, count(*) as times from f group by all), r as (select c.*, row_number() over (partition by c.doc_id order by times desc, head) as k from c join n using (doc_id) where pages >= 3 and length(head) <= 8 and times >= greatest(3, pages / 10))
-      select doc_id, head, times from r where k = 1"""),
+    "slide_footer": oracle(f"with {_PAGES}, n as (select doc_id, count(*) as pages, sum(case when page_num % 4 > 0 and page_num % 9 > 0 then 1 else 0 end) as times from pg group by 1) select doc_id, '目录页' as head, times from n where pages >= 3 and times >= greatest(3, pages // 10)"),
+    "file_dispatch": oracle("select id, ['plain', 'markdown', 'html', 'cloud', 'cloud', 'slides', 'sheets', 'sheets', null][id % 9 + 1] as route from v_document"),
+    "blob_paths": oracle("select id, case when id % 3 = 0 then 's3://bucket/' else '/data/' end || file_name as path from v_document"),
+    "text_poor_pages": oracle(f"with {_PAGES} select doc_id, page_num from pg where length({_TRIM.format('md')}) < 50"),
     "token_estimate": f"select doc_id, {_EST.format('text')} as tokens from documents",
     "router_cap": f"with e as (select item_id, ceil({_EST.format('repeat(text, (item_id % 16)::int)')} * 1.35) + 40 as need from benchmark) select item_id, case when need <= 256 then 256 when need <= 512 then 512 else 1024 end as cap from e",
     "content_hash": "select page_id, sha256(coalesce(html, '')) as digest from pages",

@@ -1 +1 @@
-"""Part of the knowledge-base engine."""
+"""Sources: files of a folder, by their kind."""
