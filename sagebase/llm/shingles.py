@@ -1,12 +1,14 @@
 """Exact Jaccard join of word shingles in metric space (operator 9).
 
-Unrelated texts share no shingle, so every text is at distance 1 from nearly every other text and texts alone are
-poor pivots for a first cut. The first pivots are therefore sets of shingles: hash classes of the shingle universe. The part of
-a text in each class is its position towards that pivot; two texts within the radius differ in few shingles, so
-(by the triangle inequality for set differences) they agree exactly on at least one of enough classes. Texts that agree on a class
-go to the same Voronoi region, boundary sizes to two bands. Inside a region texts are the pivots: what
-lies within the radius of a pivot is linked, windows of the triangle inequality choose what is still compared, and
-regions too large for one task are cut again by pivots, then by blocks.
+Two texts link within a radius r of the Jaccard distance 1 - |x & y| / |x | y|. Unrelated texts are at distance 1 of nearly all others, so texts alone
+can't cut space at first; the first pivots are single shingles. In any fixed order of all shingles, two texts within the radius share one of the
+first n - ceil(t * n) + 1 shingles of each (t = 1 - r; of the shingles they share, t * n of either text at least, the first stands that far in front in both).
+So each text goes to the regions of that many pivots, in its band of sizes, and no link is lost. The order has frequent shingles last, so regions are small.
+Regions that share texts are joined to one.
+
+A region is then cut by texts as pivots, recursively: a text lives in the Voronoi region of its nearest pivot (or with the rest, if none is near), windows of the
+triangle inequality replicate it to the regions where it may have partners, and texts within the radius of a pivot are linked by it and not compared
+with each other again. What fits a task is joined there exactly.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sagebase.llm.common import Scratch, column, mix64, parts_for, ragged, scan_bytes, small_batches, table
+from sagebase.llm.common import Scratch, column, mix64, parts_for, ragged, scan_bytes, small_batches, table, tidied
 from sagebase.llm.graph import components, roots
 
 #: Words of a shingle and least similarity in hundredths, as operator 9 has them; both are parameters of near_duplicate_components.
@@ -28,10 +30,12 @@ from sagebase.llm.graph import components, roots
 WORDS, LINK = 3, 90
 #: Sizes of a band grow by about this factor, below LINK by 100 / link, the least that holds; each band has its own classes.
 BAND = 1.5
-#: Chance that two sets within the radius share no key.
-MISS = 1e-7
+#: Documents of the sample that the order of shingles comes from, about; shingles of it that count as frequent, at most, and from how many documents on.
+SAMPLE_DOCS, FREQUENT, FREQUENT_FROM = 20_000, 200_000, 3
 #: Keys of one task (a text gives one link at most for each task that has some of its keys), and shingles that one task compares.
-KEYS_A_TASK, SHINGLES_A_TASK, ROUNDS = 4 << 20, 4 << 20, 6
+KEYS_A_TASK, SHINGLES_A_TASK = 2 << 20, 1 << 16
+#: Turns of cutting by pivots, pivots of one region in a turn (about) and their bytes in all, and the distance up to which a pivot is near.
+ROUNDS, PIVOTS, PIVOT_BYTES, NEAR = 6, 16, 32 << 20, 0.7
 U = np.uint64
 
 
@@ -78,112 +82,127 @@ def bands(most: int, link: int = LINK) -> np.ndarray:
     return np.array(out)
 
 
-def classes(differ: int, least: int, link: int = LINK) -> int:
-    """Classes of a band of this least size whose sets may differ by so many shingles.
+def ordered_last(sample: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Frequent shingles of a sample of texts, by hash, and their places in the order: the more frequent the later. Any order is exact; this one keeps regions small."""
 
-    Linked sets that differ by d shingles share link * d / (100 - link) or more, and are missed if all of these lie in the d classes of the others.
-    Below LINK classes hold few shingles, and each class more makes larger regions of texts that share a line: no more than MISS needs.
-    """
-    if link >= LINK:
-        return differ + 7 + differ // 4
-    d = np.arange(1, differ + 1)
-    both = np.maximum(-(-link * d // (100 - link)), -(-link * least // 100))
-    return max(differ + 1, int(np.ceil(d * MISS ** (-1 / both)).max()))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values, n = np.unique(shingle_sets(column(batch, "text"), words)[0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(n)], names=["shingle", "n"])
 
+    counted = sample.mapInArrow(tidied(run), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT_FROM)
+    found = counted.orderBy(F.desc("n"), "shingle").limit(FREQUENT).toArrow()  # FREQUENT rows of two numbers
+    values = np.asarray(found["shingle"].combine_chunks(), dtype=np.int64).view(np.uint64)
+    place = len(values) - np.arange(len(values))
+    order = np.argsort(values)
+    return values[order], place[order]
 
-def keys_of(values: np.ndarray, offsets: np.ndarray, link: int = LINK) -> tuple[np.ndarray, np.ndarray]:
-    """Region keys of each set (and the number of the set that each belongs to).
 
-    Sets too small to link with a smaller or larger one get none (fewer than 9 shingles at 90): they link with equal ones only. Where only one shingle may
-    differ, the keys are the set and the set without each shingle. Else a band whose sets may differ by t has more than t classes: sets within the
-    radius agree on a class that isn't empty, but for a chance below 1e-7 that nearly all shingles of a small set share a class.
+def prefixes(values: np.ndarray, offsets: np.ndarray, link: int, last: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The first n - ceil(link / 100 * n) + 1 shingles of each set in the fixed order (frequent ones last, else by hash), and their sets. Sets ascend by hash."""
+    n = np.diff(offsets)
+    want = np.where(n > 0, n + link * n // -100 + 1, 0)
+    owner = np.repeat(np.arange(len(n)), n)
+    seldom = np.ones(len(values), bool)
+    if len(last[0]) and len(values):
+        at = np.minimum(np.searchsorted(last[0], values), len(last[0]) - 1)
+        seldom = last[0][at] != values
+    before = np.concatenate([[0], np.cumsum(seldom)])
+    taken = seldom & (before[1:] - before[offsets[:-1]][owner] <= want[owner])
+    # Sets with too few seldom shingles go on with frequent ones, the less frequent first.
+    short = want - (before[offsets[1:]] - before[offsets[:-1]])
+    some = np.flatnonzero(~seldom & (short > 0)[owner])
+    if len(some):
+        some = some[np.lexsort((last[1][at[some]], owner[some]))]
+        head = np.flatnonzero(np.diff(owner[some], prepend=-1))
+        nth = np.arange(len(some)) - np.repeat(head, np.diff(np.append(head, len(some))))
+        taken[some[nth < short[owner[some]]]] = True
+    return values[taken], owner[taken]
+
+
+def keys_of(values: np.ndarray, offsets: np.ndarray, link: int = LINK, last: tuple[np.ndarray, np.ndarray] = (np.zeros(0, np.uint64), np.zeros(0, np.int64))) -> tuple[np.ndarray, np.ndarray]:
+    """Region keys of each set, and the number of the set that each belongs to: a pivot shingle and a band of sizes.
+
+    A set keys for its own band, and for the next one if a set of that can be within the radius; bands are wide enough that no others can. Sets too small to
+    link with a smaller or larger one get none (fewer than 9 shingles at 90): they link with equal ones only.
     """
     n = np.diff(offsets)
     edge = bands(int(n.max(initial=0)), link)
     own = np.searchsorted(edge, n, "right") - 1
-    keys, owners = [], []
-    for up in (0, 1):
-        b = own + up
-        ok = (b >= 0) & (n > 0)
-        b = np.where(ok, b, 0)
-        if up:  # as the smaller one of a pair: only if a set of the next band can be within the radius
-            ok &= 100 * n >= link * edge[b]
-        top = edge[b + 1] - 1
-        differ = 2 * top * (100 - link) // (100 + link)
-        some = np.flatnonzero(ok)
-        if not len(some):
-            continue
-        value = values[ragged(offsets[:-1][some], n[some])]
-        place = np.repeat(np.arange(len(some)), n[some])
-        seed = mix64(b[some].astype(np.uint64) + U(17))
-        single = differ[some] <= 1
-        # One difference: leave-one-out keys.
-        add = mix64(value ^ U(0x5851F42D4C957F2D))
-        total = np.add.reduceat(add, np.cumsum(n[some]) - n[some])
-        one = single[place]
-        keys += [mix64(total[single] + seed[single]), mix64(total[place[one]] - add[one] + seed[place[one]])]
-        owners += [some[single], some[place[one]]]
-        many = ~one
-        if many.any():
-            used, first, which = np.unique(b[some], return_index=True, return_inverse=True)
-            m = np.array([classes(d, e, link) for d, e in zip(differ[some[first]], edge[used], strict=True)], np.int64)[which]
-            start = np.cumsum(m) - m
-            cls = (value[many] >> U(33)).astype(np.int64) % m[place[many]]
-            slot = start[place[many]] + cls
-            order = np.argsort(slot, kind="stable")
-            slot, part = slot[order], add[many][order]
-            first = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1]]))
-            content = np.add.reduceat(part, first)
-            who = place[many][order][first]
-            keys.append(mix64(content + mix64((slot[first] - start[who]).astype(np.uint64) + seed[who])))
-            owners.append(some[who])
-    if not keys:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    return np.concatenate(keys), np.concatenate(owners)
-
-
-def first_of_equal(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """For each set, the first set of the batch that equals it (by a 128-bit sum); itself for empty sets."""
-    n = np.diff(offsets)
+    value, owner = prefixes(values, offsets, link, last)
+    band = own[owner]
+    up = (n[owner] > 0) & (100 * n[owner] >= link * edge[band + 1])
+    here = band >= 0
+    key = lambda v, b: mix64(v ^ mix64(b.astype(np.uint64) + U(17)))
+    return np.concatenate([key(value[here], band[here]), key(value[up], band[up] + 1)]), np.concatenate([owner[here], owner[up]])
+
+
+def set_hashes(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of each set, by sums."""
     a = np.concatenate([[U(0)], np.cumsum(mix64(values ^ U(0xA0761D6478BD642F)), dtype=np.uint64)])
     b = np.concatenate([[U(0)], np.cumsum(mix64(values ^ U(0xE7037ED1A0B428DB)), dtype=np.uint64)])
-    sums = np.stack([a[offsets[1:]] - a[offsets[:-1]], b[offsets[1:]] - b[offsets[:-1]], n.astype(np.uint64)], axis=1)
-    _, first, group = np.unique(sums, axis=0, return_index=True, return_inverse=True)
+    return a[offsets[1:]] - a[offsets[:-1]], b[offsets[1:]] - b[offsets[:-1]]
+
+
+def first_of_equal(one: np.ndarray, two: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """For each set, the first set of the batch that equals it; itself for empty sets."""
+    _, first, group = np.unique(np.stack([one, two, n.astype(np.uint64)], axis=1), axis=0, return_index=True, return_inverse=True)
     return np.where(n > 0, first[group.ravel()], np.arange(len(n)))
 
 
-def linked(sets: list[np.ndarray], link: int = LINK) -> tuple[np.ndarray, np.ndarray]:
+def linked(sets: list[np.ndarray], link: int = LINK, anchors: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Links that connect what the sets' links connect, exactly: place of a set, and place of another.
 
-    Sets serve as pivots one after the other. A set is compared with those that aren't connected with it yet, whose size
-    allows a link, and whose distances to the first pivots differ from its own by the radius at most.
+    Sets serve as pivots one after the other. A set is compared with those behind it that share one of its first shingles (seldom ones of this region first), aren't
+    connected with it yet, are of a size that allows a link, and whose distances to the first pivots differ from its own by the radius at most. Sets with
+    the same anchor (-1: none) are connected from the start.
     """
     n = np.fromiter(map(len, sets), np.int64, len(sets))
-    bounds = np.concatenate([[0], np.cumsum(n)])
-    _, flat = np.unique(np.concatenate(sets), return_inverse=True)
     label = np.arange(len(sets))
-    mark = np.zeros(int(flat.max(initial=-1)) + 1, np.int64)
+    if anchors is not None:
+        held = anchors >= 0
+        _, first, group = np.unique(anchors[held], return_index=True, return_inverse=True)
+        label[held] = np.flatnonzero(held)[first][group]
+    if len(sets) < 2 or len(np.unique(label)) < 2:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    owner = np.repeat(np.arange(len(sets)), n)
+    _, flat, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    by = np.empty(len(times), np.int64)
+    by[np.argsort(times, kind="stable")] = np.arange(len(times))
+    flat = by[flat]
+    flat = flat[np.lexsort((flat, owner))]
+    bounds = np.concatenate([[0], np.cumsum(n)])
+    # The first shingles of each set, as lists of the sets that have each.
+    front = np.arange(len(flat)) - bounds[owner] < (n + link * n // -100 + 1)[owner]
+    token, of = flat[front], owner[front]
+    order = np.argsort(token, kind="stable")
+    token, of = token[order], of[order]
+    posting = np.searchsorted(token, np.arange(len(times) + 1))
     near: list[np.ndarray] = []
+    mark = np.zeros(len(times), bool)
     radius = 1 - link / 100 + 1e-9
     out_a, out_b = [], []
     for x in range(len(sets)):
-        maybe = (label != label[x]) & (100 * np.minimum(n, n[x]) >= link * np.maximum(n, n[x]))
-        everything = len(near) < 8 and maybe.any()
+        own = flat[bounds[x] : bounds[x + 1]]
+        heads = own[: n[x] + link * n[x] // -100 + 1]
+        start = posting[heads]
+        some = of[ragged(start, posting[heads + 1] - start)]
+        some = some[(some > x) & (label[some] != label[x])]
+        some = some[100 * np.minimum(n[some], n[x]) >= link * np.maximum(n[some], n[x])]
         for d in near:
-            maybe &= np.abs(d - d[x]) <= radius
-        maybe[: x + 1] = False
-        some = np.arange(len(sets)) if everything else np.flatnonzero(maybe)
+            some = some[np.abs(d[some] - d[x]) <= radius]
         if not len(some):
             continue
-        own = flat[bounds[x] : bounds[x + 1]]
-        mark[own] = 1
-        both = np.add.reduceat(mark[flat[ragged(bounds[:-1][some], n[some])]], np.cumsum(n[some]) - n[some])
-        mark[own] = 0
-        union = n[some] + n[x] - both
-        if everything:
+        some = np.unique(some)
+        measured = np.arange(len(sets)) if len(near) < 8 and len(some) > 32 else some  # a pivot's distances to all
+        mark[own] = True
+        both = np.add.reduceat(mark[flat[ragged(bounds[:-1][measured], n[measured])]], np.cumsum(n[measured]) - n[measured], dtype=np.int64)
+        mark[own] = False
+        union = n[measured] + n[x] - both
+        if len(measured) > len(some):
             near.append(1 - both / union)
-        hit = some[(100 * both >= link * union) & (some != x)]
-        for y in hit[label[hit] != label[x]].tolist():
+            both, union = both[some], union[some]
+        for y in some[100 * both >= link * union].tolist():
             if label[y] != label[x]:
                 out_a.append(x)
                 out_b.append(y)
@@ -194,12 +213,28 @@ def linked(sets: list[np.ndarray], link: int = LINK) -> tuple[np.ndarray, np.nda
 def region_links(members: DataFrame, keys: list[str], link: int = LINK) -> DataFrame:
     def join(group: pa.Table) -> pa.Table:
         ids = np.asarray(group["doc_id"].combine_chunks(), dtype=np.int64)
+        anchors = np.asarray(group["anchor"].combine_chunks().fill_null(-1), dtype=np.int64) if "anchor" in group.column_names else None
         sets = [np.frombuffer(s.as_buffer(), np.uint64) for s in group["shingles"]]
-        a, b = linked(sets, link)
+        a, b = linked(sets, link, anchors)
         x, y = roots(ids[a], ids[b]) if len(a) else (ids[:0], ids[:0])
         return pa.table({"a": pa.array(x), "b": pa.array(y)})
 
-    return members.select(*keys, "doc_id", "shingles").groupBy(*keys).applyInArrow(join, "a long, b long")
+    return members.select(*keys, "doc_id", "shingles", *(c for c in ("anchor",) if c in members.columns)).groupBy(*keys).applyInArrow(join, "a long, b long")
+
+
+KEY_BITS = 40
+
+
+def packed_keys(key: np.ndarray, parts: int) -> bytes:
+    """Keys of one task, 40 bits each: bits that differ beyond only make more candidates."""
+    rest = (key // U(parts)) & U((1 << KEY_BITS) - 1)
+    return (rest & U(255)).astype(np.uint8).tobytes() + (rest >> U(8)).astype("<u4").tobytes()
+
+
+def unpacked_keys(blob: pa.Scalar) -> np.ndarray:
+    raw = blob.as_buffer()
+    n = len(raw) // 5
+    return np.frombuffer(raw, np.uint8, n).astype(np.uint64) | np.frombuffer(raw, "<u4", n, n).astype(np.uint64) << U(8)
 
 
 def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, link: int = LINK) -> DataFrame:
@@ -216,10 +251,12 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     small_batches(spark)
     scratch = Scratch(spark, "shingles")
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    # About one key for five words at 90, and in proportion to what may differ; words from the bytes of the files.
-    parts = parts_for(spark, scan_bytes(docs) / 12 * 19 * (100 - link) / (100 + link), KEYS_A_TASK)
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("same_as", pa.int64()), ("part", pa.int32()), ("keys", pa.binary()), ("docs", pa.binary())])
-    ddl = "doc_id long, n_shingles long, same_as long, part int, keys binary, docs binary"
+    last = ordered_last(source.where(F.rand(9) < SAMPLE_DOCS / max(1, docs.count())), words)
+    shared = spark.sparkContext.broadcast(last)  # FREQUENT pairs of numbers at most
+    # A word for every four bytes of the files, about; the band above takes a quarter more.
+    parts = parts_for(spark, scan_bytes(docs) * 0.3 * (100 - link) / 100, KEYS_A_TASK)
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("part", pa.int32()), ("base", pa.int64()), ("keys", pa.binary()), ("docs", pa.binary())])
+    ddl = "doc_id long, n_shingles long, k1 long, k2 long, part int, base long, keys binary, docs binary"
 
     def dissect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -228,45 +265,46 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
             key, doc = np.concatenate([k for k, _ in held]), np.concatenate([d for _, d in held])
             held.clear()
             part = (key % U(parts)).astype(np.int64)
-            order = np.lexsort((key, part))
+            order = np.argsort(part, kind="stable")
             key, doc, part = key[order], doc[order], part[order]
             cuts = np.searchsorted(part, np.arange(parts + 1))
             some = np.flatnonzero(np.diff(cuts))
-            blobs = [[x[cuts[p] : cuts[p + 1]].tobytes() for p in some] for x in (key, doc)]
+            base = int(doc.min())
+            doc = (doc - base).astype("<u4" if int(doc.max()) - base < 1 << 32 else "<i8")
+            blobs = [packed_keys(key[cuts[p] : cuts[p + 1]], parts) for p in some], [doc[cuts[p] : cuts[p + 1]].tobytes() for p in some]
             none = pa.nulls(len(some), pa.int64())
-            return pa.RecordBatch.from_arrays([none, none, none, pa.array(some, pa.int32()), pa.array(blobs[0], pa.binary()), pa.array(blobs[1], pa.binary())], schema=schema)
+            return pa.RecordBatch.from_arrays([none, none, none, none, pa.array(some, pa.int32()), pa.array([base] * len(some), pa.int64()), pa.array(blobs[0], pa.binary()), pa.array(blobs[1], pa.binary())], schema=schema)
 
         for batch in batches:
             ids = column(batch, "doc_id")
             values, offsets = shingle_sets(column(batch, "text"), words)
             n = np.diff(offsets)
-            known = np.asarray(ids.is_valid())
-            number = np.asarray(pc.fill_null(ids, 0), dtype=np.int64)
-            same = first_of_equal(values, np.concatenate([[0], np.cumsum(n)]))
-            linkable = known & known[same] & (n > 0)
-            also = pa.array(number[same], pa.int64(), mask=~linkable)
+            one, two = set_hashes(values, offsets)
             empty = pa.nulls(len(ids), pa.binary())
-            yield pa.RecordBatch.from_arrays([ids, pa.array(n), also, pa.nulls(len(ids), pa.int32()), empty, empty], schema=schema)
-            # Of equal sets in a batch the first gets keys. All sets get the key of the whole set, for equal sets elsewhere.
-            rep = np.flatnonzero((same == np.arange(len(n))) & known & (n > 0))
-            # A repeated set whose first row has no id keeps its own keys.
-            rep = np.union1d(rep, np.flatnonzero(known & ~known[same] & (n > 0)))
-            v = values[ragged(offsets[:-1][rep], n[rep])]
-            o = np.concatenate([[0], np.cumsum(n[rep])])
-            key, owner = keys_of(v, o, link)
-            if len(rep):
-                whole = mix64(np.add.reduceat(mix64(v ^ U(0x2545F4914F6CDD1D)), o[:-1]) + n[rep].astype(np.uint64))
-                held.append((np.concatenate([key, whole]), number[rep][np.concatenate([owner, np.arange(len(rep))])]))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(n), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.nulls(len(ids), pa.int32()), pa.nulls(len(ids), pa.int64()), empty, empty], schema=schema)
+            # Of equal sets in a batch with ids the first gets keys; equal sets elsewhere have the same ones.
+            known = np.flatnonzero(np.asarray(ids.is_valid()) & (n > 0))
+            rep = known[np.unique(first_of_equal(one[known], two[known], n[known]))]
+            if not len(rep):
+                continue
+            number = np.asarray(pc.fill_null(ids, 0), dtype=np.int64)
+            key, owner = keys_of(values[ragged(offsets[:-1][rep], n[rep])], np.concatenate([[0], np.cumsum(n[rep])]), link, shared.value)
+            if len(key):
+                held.append((key, number[rep][owner]))
             if sum(len(k) for k, _ in held) >= 1 << 20:
                 yield dealt()
         if held:
             yield dealt()
 
-    rows = scratch.write(source.mapInArrow(dissect, ddl), "rows")
+    rows = scratch.write(source.mapInArrow(tidied(dissect), ddl), "rows")
 
     def stars(group: pa.Table) -> pa.Table:
-        key = np.concatenate([np.frombuffer(b.as_buffer(), np.uint64) for b in group["keys"]])
-        doc = np.concatenate([np.frombuffer(b.as_buffer(), np.int64) for b in group["docs"]])
+        key = np.concatenate([unpacked_keys(b) for b in group["keys"]])
+        doc = []
+        for base, k, d in zip(group["base"].to_pylist(), group["keys"], group["docs"], strict=True):
+            narrow = len(d.as_buffer()) // 4 == len(k.as_buffer()) // 5
+            doc.append(np.frombuffer(d.as_buffer(), "<u4" if narrow else "<i8").astype(np.int64) + base)
+        doc = np.concatenate(doc)
         order = np.argsort(key, kind="stable")
         key, doc = key[order], doc[order]
         run = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
@@ -275,8 +313,15 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
         a, b = roots(doc[other], least[other])
         return pa.table({"a": pa.array(a), "b": pa.array(b)})
 
-    candidates = rows.where("part is not null").select("part", "keys", "docs").groupBy("part").applyInArrow(stars, "a long, b long")
+    candidates = rows.where("part is not null").select("part", "base", "keys", "docs").groupBy("part").applyInArrow(stars, "a long, b long")
     regions = components(candidates, scratch)
+    slim = scratch.write(rows.where("part is null").select("doc_id", "n_shingles", "k1", "k2"), "slim")
+    scratch.drop(rows)
+
+    # Of equal sets the one with the least id stands for all.
+    least = slim.where("n_shingles > 0 and doc_id is not null").groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
+    copies = slim.where("n_shingles > 0").select("k1", "k2", "n_shingles", F.col("doc_id").alias("a")).join(least, ["k1", "k2", "n_shingles"]).where("a <> b").select("a", "b")
+    copies = scratch.write(copies.distinct(), "copies")
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -285,55 +330,96 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([column(batch, "region"), column(batch, "doc_id"), pa.array(np.diff(offsets)), pa.array(sets, pa.binary())], names=["region", "doc_id", "n", "shingles"])
 
     # By sort and merge at every size: the candidates grow with the texts.
-    members = source.join(regions.select(F.col("node").alias("doc_id"), F.col("root").alias("region")).hint("merge"), "doc_id")
-    members = scratch.write(members.select("region", "doc_id", "text").mapInArrow(shingled, "region long, doc_id long, n long, shingles binary").where("n > 0"), "members")
+    kept = regions.select(F.col("node").alias("doc_id"), F.col("root").alias("region")).join(copies.select(F.col("a").alias("doc_id")), "doc_id", "left_anti")
+    several = kept.groupBy("region").agg(F.count("*").alias("n")).where("n > 1").select("region")
+    kept = scratch.write(kept.join(several, "region"), "kept")
+    members = source.join(kept.hint("merge"), "doc_id")
+    members = scratch.write(members.select("region", "doc_id", "text").mapInArrow(tidied(shingled), "region long, doc_id long, n long, shingles binary").where("n > 0"), "members")
     links = verified(members, scratch, link)
-    copies = rows.where("same_as is not null and same_as <> doc_id").select(F.col("doc_id").alias("a"), F.col("same_as").alias("b"))
     tree = components(links.unionByName(copies), scratch)
-    out = rows.where("part is null").select("doc_id", "n_shingles").join(tree, F.col("doc_id") == F.col("node"), "left")
+    out = slim.select("doc_id", "n_shingles").join(tree, F.col("doc_id") == F.col("node"), "left")
     return out.select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
 
 
+class Pivots:
+    """The pivots of some regions: which regions a text belongs to."""
+
+    def __init__(self, pivots: dict[int, list[tuple[int, np.ndarray]]], link: int):
+        self.pivots, self.link, self.radius = pivots, link, 1 - link / 100 + 1e-9
+
+    def place(self, cell: int, own: np.ndarray) -> Iterator[tuple[int, bool]]:
+        """The pivots (-1: the rest) to whose regions a set goes, and whether it is within the radius of each."""
+        ids = [p for p, _ in self.pivots[cell]]
+        both = np.array([int((c[np.minimum(np.searchsorted(c, own), len(c) - 1)] == own).sum()) for _, c in self.pivots[cell]])
+        union = np.array([len(c) for _, c in self.pivots[cell]]) + len(own) - both
+        far, near = 1 - both / union, 100 * both >= self.link * union
+        least = far.min(initial=2.0)
+        if least > NEAR:
+            yield -1, False
+        # Whoever lives at a pivot (the nearest, within NEAR) has all partners within these windows; two that live with the rest meet there.
+        for k in np.flatnonzero(far <= min(NEAR + self.radius, least + 2 * self.radius)).tolist():
+            yield ids[k], bool(near[k])
+
+
 def verified(members: DataFrame, scratch: Scratch, link: int = LINK) -> DataFrame:
-    """Exact links inside regions, as many as connect what belongs together."""
-    found, active = [], members
+    """Exact links inside regions, as many as connect what belongs together: small regions in a task each, larger ones cut by pivots turn by turn."""
+    spark, found = members.sparkSession, []
+    ddl = "cell long, doc_id long, n long, shingles binary, anchor long, now boolean"
+    active = members.select(F.col("region").alias("cell"), "doc_id", "n", "shingles", F.lit(None).cast("long").alias("anchor"))
     for turn in range(ROUNDS + 1):
-        sizes = scratch.write(active.groupBy("region").agg(F.sum("n").alias("total"), F.min("doc_id").alias("pivot"), F.count("*").alias("rows")), "sizes")
-        small = sizes.where(F.col("total") <= SHINGLES_A_TASK).where("rows > 1").select("region")
-        found.append(scratch.write(region_links(active.join(small, "region"), ["region"], link), "links"))
-        large = sizes.where(F.col("total") > SHINGLES_A_TASK).where("rows > 1")
+        # Texts that one pivot links need no comparison with each other.
+        sizes = active.groupBy("cell").agg(F.sum("n").alias("total"), F.count("*").alias("rows"), F.sum(F.col("anchor").isNull().cast("long")).alias("loose")).where("rows > 1 and loose > 0")
+        sizes = scratch.write(sizes, "sizes")
+        small = sizes.where(F.col("total") <= SHINGLES_A_TASK).select("cell")
+        found.append(scratch.write(region_links(active.join(small, "cell"), ["cell"], link), "links"))
+        large = sizes.where(F.col("total") > SHINGLES_A_TASK)
         if not large.limit(1).count():
             break
-        active = active.join(large.select("region", "pivot", "total"), "region")
+        active = active.join(large.select("cell", "total", "loose"), "cell")
         if turn == ROUNDS:  # what pivots don't cut: every pair of blocks is a task
             blocks = active.withColumn("blocks", F.ceil(2 * F.col("total") / SHINGLES_A_TASK).cast("int"))
             blocks = blocks.withColumn("mine", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
             blocks = blocks.withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other"))
-            found.append(scratch.write(region_links(blocks, ["region", "i", "j"], link), "links"))
+            found.append(scratch.write(region_links(blocks, ["cell", "i", "j"], link), "links"))
             break
-        pivots = active.where("doc_id = pivot").groupBy("region").agg(F.first("shingles").alias("center"))
-
-        def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Pivots are loose texts drawn by hash, and always the one with the least.
+        draw = F.xxhash64("doc_id", F.lit(turn))
+        loose = active.where("anchor is null").withColumn("draw", draw)
+        always = loose.groupBy("cell").agg(F.min("draw").alias("least"))
+        drawn = loose.join(always, "cell").where((F.col("draw") == F.col("least")) | (F.pmod("draw", F.ceil(F.col("loose") / PIVOTS).cast("long")) == 0))
+        drawn = scratch.write(drawn.select("cell", "doc_id", "shingles", "n", (F.col("draw") == F.col("least")).alias("always")), "pivots")
+        room = drawn.agg(F.sum("n")).first()[0] * 8
+        if room > PIVOT_BYTES:
+            drawn = drawn.where("always")
+            room = drawn.agg(F.sum("n")).first()[0] * 8
+        columns = ["cell", "doc_id", "n", "shingles", "anchor"]
+        if room <= PIVOT_BYTES:
+            pivots: dict[int, list[tuple[int, np.ndarray]]] = {}
+            for r in drawn.collect():  # PIVOT_BYTES at most
+                pivots.setdefault(r.cell, []).append((r.doc_id, np.frombuffer(bytes(r.shingles), np.uint64)))
+            shared = spark.sparkContext.broadcast(pivots)
+            rows, near = active.select(*columns), lambda batch, shared=shared: Pivots(shared.value, link)
+        else:  # too many regions for a broadcast: their one pivot each comes by a join
+            center = drawn.groupBy("cell").agg(F.first(F.struct("doc_id", "shingles")).alias("pivot"))
+            rows = active.select(*columns).join(center.hint("merge"), "cell").select(*columns, F.col("pivot.doc_id").alias("pivot"), F.col("pivot.shingles").alias("center"))
+            near = lambda batch: Pivots({c: [(p, np.frombuffer(s.as_buffer(), np.uint64))] for c, p, s in zip(column(batch, "cell").to_pylist(), column(batch, "pivot").to_pylist(), column(batch, "center"), strict=True)}, link)
+
+        def measure(batches: Iterator[pa.RecordBatch], near=near) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                far, near = [], []
-                for s, c, n in zip(column(batch, "shingles"), column(batch, "center"), column(batch, "n").to_pylist(), strict=True):
-                    center = np.frombuffer(c.as_buffer(), np.uint64)
-                    own = np.frombuffer(s.as_buffer(), np.uint64)
-                    at = np.minimum(np.searchsorted(center, own), len(center) - 1)
-                    both = int((center[at] == own).sum())
-                    union = n + len(center) - both
-                    far.append(1 - both / union)
-                    near.append(100 * both >= link * union)
-                yield pa.RecordBatch.from_arrays([*(column(batch, c) for c in ("region", "doc_id", "n", "shingles", "pivot")), pa.array(far), pa.array(near)], names=["region", "doc_id", "n", "shingles", "pivot", "far", "linked"])
-
-        measured = active.drop("total").join(pivots, "region").select("region", "doc_id", "n", "shingles", "pivot", "center")
-        measured = scratch.write(measured.mapInArrow(measure, "region long, doc_id long, n long, shingles binary, pivot long, far double, linked boolean"), "measured")
-        found.append(measured.where("linked and doc_id <> pivot").select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")))
-        # Unlinked texts go on; of the linked ones those that an unlinked text can still reach.
-        radius = 1 - link / 100 + 1e-9
-        nearest = measured.where("not linked").groupBy("region").agg(F.min("far").alias("nearest"))
-        active = measured.join(nearest, "region").where(F.col("linked").eqNullSafe(F.lit(False)) | ((F.col("nearest") <= 2 * radius) & (F.col("far") >= F.col("nearest") - radius) & (F.col("doc_id") != F.col("pivot"))))
-        active = scratch.write(active.select("region", "doc_id", "n", "shingles"), "active")
+                pivots, take, cells, anchors, now = near(batch), [], [], [], []
+                for i, (cell, anchor, blob) in enumerate(zip(column(batch, "cell").to_pylist(), column(batch, "anchor").to_pylist(), column(batch, "shingles"), strict=True)):
+                    for pivot, linked_ in pivots.place(cell, np.frombuffer(blob.as_buffer(), np.uint64)):
+                        take.append(i)
+                        cells.append((cell * 0x9E3779B97F4A7C15 + pivot + 1) & (1 << 64) - 1)
+                        anchors.append(pivot if linked_ else anchor)  # what an earlier pivot links stays connected
+                        now.append(linked_)
+                rows_ = [column(batch, c).take(pa.array(take, pa.int64())) for c in ("doc_id", "n", "shingles")]
+                cells = mix64(np.array(cells, np.uint64)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(cells), *rows_, pa.array(anchors, pa.int64()), pa.array(now, pa.bool_())], names=["cell", "doc_id", "n", "shingles", "anchor", "now"])
+
+        measured = scratch.write(rows.mapInArrow(tidied(measure), ddl), "measured")
+        found.append(measured.where("now and anchor <> doc_id").select(F.col("doc_id").alias("a"), F.col("anchor").alias("b")))
+        active = measured.drop("now")
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
