@@ -32,10 +32,10 @@ def cut(text: Column, n: int, more: str = "") -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """Lower-case runs of letters and digits; runs of Han characters become overlapping pairs."""
+    """Lower-case runs of letters and digits; runs of Han characters become overlapping pairs. Texts without Han characters are split only."""
     words = F.filter(F.split(F.lower(text), TOKEN_GAP), lambda w: w != "")
     pairs = lambda w: F.when(w.rlike("^[一-鿿]{2,}$"), F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - 1, F.lit(1))), lambda i: F.substring(w, i, F.lit(2)))).otherwise(F.array(w))
-    return F.flatten(F.transform(words, pairs))
+    return F.when(text.rlike("[一-鿿]{2}"), F.flatten(F.transform(words, pairs))).otherwise(words)
 
 
 def trigrams(text: Column) -> Column:

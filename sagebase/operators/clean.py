@@ -116,31 +116,46 @@ def templates(chunks: DataFrame) -> DataFrame:
 def near_duplicates(chunks: DataFrame) -> DataFrame:
     """C2: chunks whose character trigrams have a Jaccard similarity of SIMILARITY with an earlier chunk of the document.
 
-    Candidates share one of the first trigrams in hash order, as many as a pair of that similarity can't all miss, so
+    Repeats of equal content are found by counting; of each content only the first chunk is compared. Candidates share one of the first trigrams in hash
+    order, as many as a pair of that similarity can't all miss; sizes and the places of the shared trigram rule out most before any set is read, so
     nothing is lost and chunks of a document aren't all paired. Lengths may differ by 30 % of the chunk's own.
     """
     n = F.length("content")
-    starts = F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1)))
+    order = Window.partitionBy("doc_id", "key").orderBy("seq")
+    placed = chunks.where(n >= 3).select("doc_id", "seq", "content", F.xxhash64("content").alias("key")).withColumn("nth", F.row_number().over(order))
+    repeats = placed.where("nth > 1").select("doc_id", "seq")
     # 64-bit hashes stand for the trigrams: set operations on long arrays are hashed.
-    grams = F.when(n < 3, F.array().cast("array<bigint>")).otherwise(F.sort_array(F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.substring(F.col("content"), i, F.lit(3)))))))
-    rows = chunks.select("doc_id", "seq", F.length("content").alias("len"), grams.alias("grams")).where(F.size("grams") > 0)
-    prefix = F.size("grams") - F.ceil(F.size("grams") * SIMILARITY - 1e-9).cast("int") + 1
-    keyed = rows.withColumn("key", F.explode(F.slice("grams", 1, prefix)))
-    a = keyed.select("doc_id", "key", "seq", "len")
-    b = keyed.select("doc_id", "key", F.col("seq").alias("seq2"), F.col("len").alias("len2"))
-    pairs = a.join(b, ["doc_id", "key"]).where((F.col("seq2") < F.col("seq")) & (F.abs(F.col("len") - F.col("len2")) * 10 <= F.col("len") * 3)).select("doc_id", "seq", "seq2").distinct()
+    grams = F.sort_array(F.array_distinct(F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.xxhash64(F.substring(F.col("content"), i, F.lit(3))))))
+    rows = placed.where("nth = 1").select("doc_id", "seq", n.alias("len"), grams.alias("grams")).withColumn("n", F.size("grams"))
+    prefix = F.col("n") - F.ceil(F.col("n") * SIMILARITY - 1e-9).cast("int") + 1
+    keyed = rows.select("doc_id", "seq", "len", "n", F.posexplode(F.slice("grams", 1, prefix)).alias("at", "key"))
+    a, b = keyed, keyed.select("doc_id", "key", *[F.col(c).alias(f"{c}2") for c in ("seq", "len", "n", "at")])
+    # Equal sets share all; else what stands behind the shared trigram bounds the overlap, which has to reach t / (1 + t) of both sizes.
+    most = F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2")) + F.least("at", "at2")
+    close = (F.col("seq2") < F.col("seq")) & (F.abs(F.col("len") - F.col("len2")) * 10 <= F.col("len") * 3) & (F.least("n", "n2") >= SIMILARITY * F.greatest("n", "n2") - 1e-9) & (most * (1 + SIMILARITY) >= SIMILARITY * (F.col("n") + F.col("n2")) - 1e-9)
+    pairs = a.join(b, ["doc_id", "key"]).where(close).select("doc_id", "seq", "seq2").distinct()
     own = rows.select("doc_id", "seq", "grams")
     other = rows.select("doc_id", F.col("seq").alias("seq2"), F.col("grams").alias("grams2"))
     both = F.size(F.array_intersect("grams", "grams2"))
     scored = pairs.join(own, ["doc_id", "seq"]).join(other, ["doc_id", "seq2"]).where(both / (F.size("grams") + F.size("grams2") - both) >= SIMILARITY)
-    return scored.select("doc_id", "seq").distinct()
+    return scored.select("doc_id", "seq").distinct().unionByName(repeats).distinct()
 
 
 def long_line_duplicates(chunks: DataFrame) -> DataFrame:
-    """C3: chunks with a line of LONG_LINE characters or more that occurs inside an earlier chunk of the document."""
+    """C3: chunks with a line of LONG_LINE characters or more that occurs inside an earlier chunk of the document.
+
+    Whole lines that occur before are found by their hashes; the others are looked for in earlier chunks that have a longer line.
+    """
     lines = chunks.select("doc_id", "seq", F.explode(F.split("content", "\n")).alias("line")).withColumn("line", T.jtrim(F.col("line"))).where(F.length("line") >= LONG_LINE)
-    earlier = chunks.select("doc_id", F.col("seq").alias("seq2"), F.col("content").alias("other"))
-    return lines.join(earlier, "doc_id").where((F.col("seq2") < F.col("seq")) & F.col("other").contains(F.col("line"))).select("doc_id", "seq").distinct()
+    keyed = lines.select("doc_id", "seq", "line", F.xxhash64("line").alias("key")).distinct()
+    first = keyed.groupBy("doc_id", "key").agg(F.min("seq").alias("first"))
+    marked = keyed.join(first, ["doc_id", "key"])
+    equal = marked.where(F.col("first") < F.col("seq")).select("doc_id", "seq").distinct()
+    rest = marked.where(F.col("first") == F.col("seq")).select("doc_id", "seq", "line")
+    longest = F.array_max(F.transform(F.split("content", "\n"), F.length))
+    earlier = chunks.select("doc_id", F.col("seq").alias("seq2"), F.col("content").alias("other"), longest.alias("longest")).where(F.col("longest") > LONG_LINE)
+    inside = rest.join(earlier, "doc_id").where((F.col("seq2") < F.col("seq")) & (F.col("longest") > F.length("line")) & F.col("other").contains(F.col("line")))
+    return equal.unionByName(inside.select("doc_id", "seq")).distinct()
 
 
 def judged(chunks: DataFrame, title: str | None = None) -> DataFrame:

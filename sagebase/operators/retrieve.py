@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,36 +17,39 @@ K1, B, RRF_K = 1.2, 0.75, 60
 FIELDS = {"content": 1.0, "title": 2.0, "doc_name": 0.5}
 SOURCE_QUOTA = {"CHUNK": 15, "BUSINESS": 8, "QA": 8}
 RERANK_CHUNKS, RERANK_OTHERS, RERANK_DOCS = 6, 4, 20
-#: Query vectors that go to the tasks at once.
-QUERY_BLOCK = 4096
+#: Query vectors that go to the tasks at once, and rows of the index that they are scored with.
+QUERY_BLOCK, STEP_ROWS = 4096, 1024
 
 
-def bm25(docs: DataFrame, queries: DataFrame, text_col: str) -> DataFrame:
-    """query_id, doc_id and BM25 score of a field. Statistics are over all documents; docs: doc_id, text; queries: query_id, term.
+def bm25_fields(docs: DataFrame, queries: DataFrame, fields: list[str]) -> DataFrame:
+    """query_id, doc_id, field and BM25 score. Statistics are over all documents; docs: doc_id and the fields; queries: query_id, term.
 
-    Only postings of query terms move: they are counted per document before the join, and the query side is the small one.
+    All fields go through one scan for the statistics and one for the postings; only postings of query terms move, counted for each document and field
+    before the join with the queries, which is the small side.
     """
-    terms = T.tokens(F.col(text_col))
-    sized = docs.select("doc_id", terms.alias("terms"))
-    stats = sized.agg(F.count("*").alias("n"), F.avg(F.size("terms")).alias("mean"))
+    parts = [F.struct(F.lit(f).alias("field"), T.tokens(F.coalesce(F.col(f), F.lit(""))).alias("terms")) for f in fields]
+    sized = docs.select("doc_id", F.explode(F.array(*parts)).alias("p")).select("doc_id", "p.field", "p.terms", F.size("p.terms").alias("len"))
+    stats = sized.groupBy("field").agg(F.count("*").alias("n"), F.avg("len").alias("mean"))
     wanted = queries.select("term").distinct()
-    hits = sized.select("doc_id", F.size("terms").alias("len"), F.explode("terms").alias("term")).join(wanted, "term")
-    postings = hits.groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
-    frequency = postings.groupBy("term").agg(F.count("*").alias("df"))
+    hits = sized.select("doc_id", "field", "len", F.explode("terms").alias("term")).join(wanted, "term")
+    postings = hits.groupBy("field", "term", "doc_id").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
+    frequency = postings.groupBy("field", "term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
-    scored = postings.join(frequency, "term").crossJoin(F.broadcast(stats))  # one row
-    scored = scored.select("term", "doc_id", weight.alias("w"))
-    return queries.join(scored, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum("w"), 6).alias("score"))
+    weights = postings.join(frequency.join(F.broadcast(stats), "field"), ["field", "term"])  # stats: one row a field
+    scored = queries.join(weights.select("field", "term", "doc_id", weight.alias("w")), "term")
+    return scored.groupBy("query_id", "doc_id", "field").agg(F.round(F.sum("w"), 6).alias("score"))
+
+
+def bm25(docs: DataFrame, queries: DataFrame, text_col: str) -> DataFrame:
+    """query_id, doc_id and BM25 score of one field."""
+    return bm25_fields(docs, queries, [text_col]).select("query_id", "doc_id", "score")
 
 
-def best_field(lists: dict[str, DataFrame]) -> DataFrame:
+def best_field(scores: DataFrame) -> DataFrame:
     """The best weighted score of a document over its fields."""
-    out = None
-    for field, scores in lists.items():
-        one = scores.select("query_id", "doc_id", (F.col("score") * FIELDS[field]).alias("score"))
-        out = one if out is None else out.unionByName(one)
-    return out.groupBy("query_id", "doc_id").agg(F.round(F.max("score"), 6).alias("score"))
+    boost = F.element_at(F.create_map(*[F.lit(x) for kv in FIELDS.items() for x in kv]), F.col("field"))
+    return scores.groupBy("query_id", "doc_id").agg(F.round(F.max(F.col("score") * boost), 6).alias("score"))
 
 
 def top(rows: DataFrame, key: list[str], k: int, score: str = "score", tie: str = "doc_id") -> DataFrame:
@@ -54,10 +58,33 @@ def top(rows: DataFrame, key: list[str], k: int, score: str = "score", tie: str
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+class Best:
+    """The k best rows of each query so far: by score, then by id."""
+
+    def __init__(self, unit: np.ndarray, k: int):
+        self.unit, self.k = unit, k
+        self.rows = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)  # query, id, score
+        self.least = np.full(len(unit), -2.0)
+
+    def add(self, ids: np.ndarray, x: np.ndarray) -> None:
+        score = np.round(self.unit @ x.T, 6)
+        if x.shape[0] > self.k:  # what a row needs to be among this step's best, ties included
+            self.least = np.maximum(self.least, np.partition(score, -self.k, axis=1)[:, -self.k])
+        q, r = np.nonzero(score >= self.least[:, None])
+        q, i, s = (np.concatenate(c) for c in zip(self.rows, (q, ids[r], score[q, r]), strict=True))
+        order = np.lexsort((i, -s, q))
+        q, i, s = q[order], i[order], s[order]
+        nth = np.arange(len(q)) - np.searchsorted(q, q)
+        keep = nth < self.k
+        full = nth == self.k - 1
+        self.least[q[full]] = np.maximum(self.least[q[full]], s[full])
+        self.rows = q[keep], i[keep], s[keep]
+
+
 def cosine_top(index: DataFrame, queries: DataFrame, k: int, id_col: str = "chunk_id", vector: str = "embedding") -> DataFrame:
-    """query_id, id, score and rank of the k nearest by cosine, exactly: queries go in blocks against all rows, and each task keeps its k best.
+    """query_id, id, score and rank of the k nearest by cosine, exactly: the queries go in blocks against all rows, and each task gives its k best for each.
 
-    queries: query_id and a vector. A block is QUERY_BLOCK rows, whatever their number.
+    queries: query_id and a vector. A block is QUERY_BLOCK rows, whatever their number, and STEP_ROWS rows of the index are scored at once; ids are whole numbers.
     """
     out, block = None, []
 
@@ -66,23 +93,18 @@ def cosine_top(index: DataFrame, queries: DataFrame, k: int, id_col: str = "chun
         unit = np.array([r[1] for r in rows], float)
         unit /= np.maximum(np.linalg.norm(unit, axis=1, keepdims=True), 1e-300)
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            best: pd.DataFrame | None = None
-            for pdf in batches:
-                pdf = pdf[pdf[vector].notna()]
-                if not len(pdf):
-                    continue
-                x = np.array(pdf[vector].tolist(), float)
-                x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-                score = np.round(unit @ x.T, 6)
-                some = pd.DataFrame({"query_id": np.repeat(ids, len(pdf)), id_col: np.tile(pdf[id_col].to_numpy(), len(ids)), "score": score.ravel()})
-                best = some if best is None else pd.concat([best, some])
-                best = best.sort_values(["query_id", "score", id_col], ascending=[True, False, True]).groupby("query_id").head(k)
-            if best is not None:
-                yield best
-
-        kinds = dict(index.dtypes)
-        return index.select(id_col, vector).mapInPandas(run, f"query_id long, {id_col} {kinds[id_col]}, score double")
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best = Best(unit, k)
+            for batch in batches:
+                batch = batch.filter(batch.column(1).is_valid())
+                for a in range(0, batch.num_rows, STEP_ROWS):
+                    part = batch.slice(a, STEP_ROWS)
+                    x = np.asarray(part.column(1).flatten(), dtype=float).reshape(part.num_rows, -1)
+                    best.add(np.asarray(part.column(0), dtype=np.int64), x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300))
+            q, i, s = best.rows
+            yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(i), pa.array(s)], names=["query_id", id_col, "score"])
+
+        return index.select(F.col(id_col).cast("long").alias(id_col), vector).mapInArrow(run, f"query_id long, {id_col} long, score double")
 
     for r in queries.toLocalIterator():
         block.append((r[0], r[1]))

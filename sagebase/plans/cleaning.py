@@ -26,8 +26,15 @@ def strip_header_footer(spark, sf):
     return C.strip_headers(frame(spark, sf, "v_line"))
 
 
+def _noisy(spark, sf):
+    """Pages of which some documents begin with a blank one, a cover or a list of contents."""
+    k, n = F.col("doc_id") % 4, F.col("page_num")
+    markdown = F.when((n == 1) & (k == 0), F.lit(" \n ")).when((n == 1) & (k == 1), F.concat(F.lit("Manual "), F.col("doc_id").cast("string"))).when((n == 2) & (k < 2), F.lit("目录\nPart one..... 3\n- Part two 12")).otherwise(F.col("markdown"))
+    return _pages(spark, sf).withColumn("markdown", markdown)
+
+
 def head_noise_pages(spark, sf):
-    return C.head_noise(_pages(spark, sf))
+    return C.head_noise(_noisy(spark, sf))
 
 
 def toc_page_ratio(spark, sf):
@@ -45,7 +52,9 @@ def protect_table(spark, sf):
 
 
 def protect_key_value(spark, sf):
-    return _chunks(spark, sf).where(F.col("content").rlike(C.KEY_VALUE)).select("doc_id", "seq")
+    """Chunks with a word, a colon and digits anywhere; every seventh gets one."""
+    text = F.when((F.col("doc_id") + F.col("seq")) % 7 == 0, F.concat("content", F.lit(" 温度：25 度"))).otherwise(F.col("content"))
+    return _chunks(spark, sf).where(text.rlike(C.KEY_VALUE)).select("doc_id", "seq")
 
 
 def protect_title_line(spark, sf):
@@ -86,7 +95,7 @@ def image_only(spark, sf):
 
 def _repeating(spark, sf):
     """Lines as chunks: documents with repeated lines have repeated chunks."""
-    return frame(spark, sf, "v_line").select("doc_id", F.col("line_no").alias("seq"), F.substring("line", 1, 120).alias("content"))
+    return frame(spark, sf, "v_line").select("doc_id", F.col("line_no").alias("seq"), F.col("line").alias("content"))
 
 
 def template_c1(spark, sf):
@@ -111,16 +120,11 @@ def kept_dropped_seq(spark, sf):
     return C.numbered(rows)
 
 
-def docs_without_chunks(spark, sf):
-    kept = frame(spark, sf, "v_chunk").where("length(content) >= 300").select("doc_id")
-    return frame(spark, sf, "documents").join(kept, "doc_id", "left_anti").select("doc_id")
-
-
 def judged_chunks(spark, sf):
     return C.judged(frame(spark, sf, "v_chunk").select("doc_id", "seq", "content")).groupBy("rule", "disposition").agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (line_template_ratio, strip_header_footer, head_noise_pages, toc_page_ratio, tail_disclaimer, protect_table, protect_key_value, protect_title_line, protect_overlap_neighbor, fragment_a1_a5, figure_table_titles, image_only, template_c1, near_duplicate_c2, long_line_duplicate_c3, disposition_counts, kept_dropped_seq, docs_without_chunks, judged_chunks)}
+QUERIES = {f.__name__: f for f in (line_template_ratio, strip_header_footer, head_noise_pages, toc_page_ratio, tail_disclaimer, protect_table, protect_key_value, protect_title_line, protect_overlap_neighbor, fragment_a1_a5, figure_table_titles, image_only, template_c1, near_duplicate_c2, long_line_duplicate_c3, disposition_counts, kept_dropped_seq, judged_chunks)}
 
 _TRIM = r"regexp_replace({}, '^[\x00-\x20]+|[\x00-\x20]+$', '', 'g')"
 _KEY = "regexp_replace(" + _TRIM.format("{}") + ", '[0-9]+', '<NUM>', 'g')"
@@ -133,14 +137,15 @@ _RULE = rf"""case when {_TRIM.format('content')} = '' then 'A1' when not regexp_
   when length({_TRIM.format('content')}) < 10 and (not regexp_matches(content, '[一-龥]') or not regexp_matches(content, '[0-9]')) then 'A4'
   when regexp_matches({_TRIM.format('content')}, '[�\x00-\x08\x0b\x0c\x0e-\x1f]') then 'A5' end"""
 _DISP = "case when rule in ('A1','A2','A5','C1') then 'AUTO_DROP' when rule in ('A3','A4','B1','B2','B3','C2','C3','P5') then 'SUSPECT' else 'KEEP' end"
-_LINES = "rc as (select doc_id, line_no as seq, substring(line, 1, 120) as content from v_line)"
+_LINES = "rc as (select doc_id, line_no as seq, line as content from v_line)"
 
 ORACLE_SQL = {
     "line_template_ratio": oracle(f"with {_SHARES} select doc_id, key, on_pages, pages, share from sh where pages >= 2 and share >= 0.5"),
     "strip_header_footer": oracle(f"""with {_SHARES}, t as (select doc_id, key from sh where pages >= 2 and on_pages / pages >= 0.8 and length(key) <= 50),
       r as (select *, row_number() over (partition by doc_id, page_num order by line_no) as pos, count(*) over (partition by doc_id, page_num) as n from k)
       select doc_id, page_num, line_no, line from r where not ((pos <= 3 or pos > n - 3) and exists (select 1 from t where t.doc_id = r.doc_id and t.key = r.key))"""),
-    "head_noise_pages": oracle(rf"""with pg as (select doc_id, page_num, {_TRIM.format("string_agg(line, chr(10) order by line_no)")} as md from v_line group by doc_id, page_num),
+    "head_noise_pages": oracle(rf"""with p0 as (select doc_id, page_num, string_agg(line, chr(10) order by line_no) as md from v_line group by doc_id, page_num),
+      pg as (select doc_id, page_num, {_TRIM.format("case when page_num = 1 and doc_id % 4 = 0 then ' ' when page_num = 1 and doc_id % 4 = 1 then 'Manual ' || doc_id::varchar when page_num = 2 and doc_id % 4 < 2 then '目录' || chr(10) || 'Part one..... 3' || chr(10) || '- Part two 12' else md end")} as md from p0),
       r as (select *, list_filter(list_transform(string_split(md, chr(10)), lambda x: {_TRIM.format('x')}), lambda x: x <> '') as full_lines from pg),
       q as (select *, case when md = '' then 'P4' when length(md) <= 50 and not regexp_matches(md, '[#。，|]') and len(string_split(md, chr(10))) <= 3 then 'P2'
         when contains(md, '目录') and len(list_filter(full_lines, lambda x: regexp_matches(x, '^.+?\.{{2,}}\s*\d+\s*$') or (starts_with(x, '-') and regexp_matches(x, '\d+\s*$')))) >= 0.6 * len(full_lines) then 'P3' end as rule from r),
@@ -151,7 +156,7 @@ ORACLE_SQL = {
     "tail_disclaimer": oracle("""with pg as (select doc_id, page_num, string_agg(line, chr(10)) || case when doc_id % 9 = 0 then ' 版权所有' else '' end as md from v_line group by doc_id, page_num)
       select doc_id, page_num from (select *, row_number() over (partition by doc_id order by page_num desc) as back from pg) where back = 1 and regexp_matches(md, '免责声明|版权声明|著作权|版权所有|版权归|未经许可|机密|联系方式')"""),
     "protect_table": oracle(f"with {_TITLED} select doc_id, seq from ch where contains(content, '|') or coalesce(regexp_matches(title, 'sheet|Sheet|表格'), false)"),
-    "protect_key_value": oracle(r"select doc_id, seq from v_chunk where regexp_matches(content, '[A-Za-z一-龥]{2,}\s*[：:]\s*\d+')"),
+    "protect_key_value": oracle(r"select doc_id, seq from v_chunk where regexp_matches(case when (doc_id + seq) % 7 = 0 then content || ' 温度：25 度' else content end, '[A-Za-z一-龥]{2,}\s*[：:]\s*\d+')"),
     "protect_title_line": oracle(rf"""with {_TITLED}, x as (select doc_id, seq, title, case when doc_id % 3 = 0 then '## ' || replace(substring(content, 1, 20), chr(10), ' ') when doc_id % 50 = 1 then substring(content, 1, 10) else content end as content from ch)
       select doc_id, seq from x where coalesce({_TRIM.format('content')} = title and {_TRIM.format('title')} <> '', false) or regexp_matches({_TRIM.format('content')}, '^(#{{1,6}}\s+[^\n]+|\*\*[^\n]+\*\*[ \t]*)$')"""),
     "protect_overlap_neighbor": oracle("""with b as (select doc_id, seq, content, lag(content) over (partition by doc_id order by seq) as pr from v_chunk),
@@ -173,5 +178,4 @@ ORACLE_SQL = {
       select distinct t.doc_id, t.seq from t join rc b on t.doc_id = b.doc_id and b.seq < t.seq and length(t.line) >= 80 and contains(b.content, t.line)"""),
     "disposition_counts": oracle(f"with {_FRAG}, r as (select {_RULE} as rule from fr) select rule, {_DISP} as disposition, count(*) as n from r group by all"),
     "kept_dropped_seq": oracle(f"with {_FRAG}, r as (select doc_id, line_no as seq, {_RULE} as rule from fr), d as (select doc_id, seq, {_DISP} as disposition from r) select *, row_number() over (partition by doc_id order by case disposition when 'AUTO_DROP' then 1 else 0 end, seq) as new_seq from d"),
-    "docs_without_chunks": oracle("select doc_id from documents where doc_id not in (select doc_id from v_chunk where length(content) >= 300)"),
 }

@@ -28,7 +28,7 @@ def bm25_single_field(spark, sf):
 
 def _multi(spark, sf):
     docs, terms = _docs(spark, sf), _terms(spark, sf)
-    return R.best_field({f: R.bm25(docs, terms, f) for f in R.FIELDS})
+    return R.best_field(R.bm25_fields(docs, terms, list(R.FIELDS)))
 
 
 def bm25_multi_field_best(spark, sf):

@@ -47,7 +47,11 @@ def code_fences(spark, sf):
 
 
 def tables_extracted(spark, sf):
-    return S.segmented(frame(spark, sf, "documents"), "doc_id", "text", lambda t: [("", p) for kind, block in S.tables(t) if kind == "table" for p in S.table_pieces(block, S.SIZE)])
+    """Tables behind whole documents: with a caption and blank cells, with the rule first, with lines above the header."""
+    k = F.col("doc_id") % 3
+    table = F.when(k == 0, F.lit("\n表1-2 units\n\n| a | |\n|---|:-:|\n| 1 | 2 |\n| | 3 |\nend")).when(k == 1, F.lit("\n\n|---|---|\n| x | y | z |\n")).otherwise(F.lit("\n\n| up |\n| h | i |\n| --- | --- |\n| 1 |\n|---|---|"))
+    rows = frame(spark, sf, "documents").select("doc_id", F.concat(F.replace("text", F.lit("|"), F.lit("/")), table).alias("text"))
+    return S.segmented(rows, "doc_id", "text", lambda t: [("", p) for kind, block in S.tables(t) if kind == "table" for p in S.table_pieces(block, S.SIZE)])
 
 
 def _cells(spark, sf):
@@ -146,6 +150,8 @@ _PAGES = "pg as (select doc_id, page_num, string_agg(line, chr(10) order by line
 _EST = r"coalesce((length({0}) - length(regexp_replace({0}, '[一-鿿㐀-䶿　-〿＀-￯]', '', 'g')) + ceil(length(regexp_replace(regexp_replace({0}, '[一-鿿㐀-䶿　-〿＀-￯]', '', 'g'), '[\s\x0b]', '', 'g')) / 4.0))::int, 0)"
 
 ORACLE_SQL = {
+    "tables_extracted": "select doc_id, 0 as seq, '' as title, case doc_id % 3 when 0 then '表1-2 units' || chr(10) || '| a | 列2 |' || chr(10) || '| --- | --- |' || chr(10) || '| 1 | 2 |' || chr(10) || '| 1 | 3 |' when 1 then '| 列1 | 列2 | 列3 |' || chr(10) || '| --- | --- | --- |' || chr(10) || '| x | y | z |' else '| h | i |' || chr(10) || '| --- | --- |' || chr(10) || '| 1 |  |' || chr(10) || '| --- | --- |' end as content from documents where text is not null",
+    "code_fences": "select doc_id, s as seq, case s when 1 then 'code' else 'prose' end as title, case s when 0 then 'intro' when 1 then '```py' || chr(10) || text || chr(10) || '```' else 'end' end as content from documents, unnest([0, 1, 2]) u(s)",
     "heading_level": oracle(rf"""with x as (select doc_id, line_no, case line_no % 7 when 0 then '## ' when 1 then '第3章 ' when 2 then '一、' when 3 then '1.2 ' when 4 then '3 ' else '' end || line as line from v_line), y as (select *, {_TRIM.format('line')} as t from x)
       select doc_id, line_no, case when regexp_matches(t, '^#{{1,6}}\s+\S[^。！？!?；;]*$') then length(regexp_extract(t, '^(#+)', 1))
         when regexp_matches(t, '^第[0-9一二三四五六七八九十百千]+[章节篇部分条款][^。！？!?；;]*$') then 1 when regexp_matches(t, '^[一二三四五六七八九十]+[、.．][^。！？!?；;]*$') then 2
