@@ -13,17 +13,17 @@ def rate_limit_bucket(spark, sf):
 
 
 def rate_limit_first_open(spark, sf):
-    return W.folded(frame(spark, sf, "events").select("user_id", "event_id", "ts"), ["user_id"], ["ts", "event_id"], W.first_open, "user_id long, event_id long, allowed boolean")
+    return W.folded(frame(spark, sf, "events"), ["user_id"], W.RATE, "allowed")
 
 
 def dedup_window(spark, sf):
-    rows = frame(spark, sf, "events").select("user_id", "event_id", "ts", F.sha2(F.col("event_type").cast("binary"), 256).alias("digest"))
-    return W.folded(rows, ["user_id"], ["ts", "event_id"], W.suppressed, "user_id long, event_id long, duplicate boolean")
+    rows = frame(spark, sf, "events").withColumn("digest", F.sha2(F.col("event_type").cast("binary"), 256))
+    return W.folded(rows, ["user_id", "digest"], W.DUPLICATE, "duplicate").drop("digest")
 
 
 def login_lock(spark, sf):
-    rows = frame(spark, sf, "events").where("event_type in ('error', 'signup')").select("user_id", "event_id", "ts", (F.col("event_type") == "error").alias("failed"))
-    return W.folded(rows, ["user_id"], ["ts", "event_id"], W.locked, "user_id long, event_id long, refused boolean")
+    rows = frame(spark, sf, "events").where("event_type in ('error', 'signup')").withColumn("failed", F.col("event_type") == "error")
+    return W.folded(rows, ["user_id"], W.LOCK, "refused", "failed")
 
 
 def event_sessions(spark, sf):

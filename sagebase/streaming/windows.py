@@ -27,83 +27,128 @@ def sessions(events: DataFrame, gap: int = SESSION_GAP) -> DataFrame:
     return events.groupBy("user_id", w.alias("w")).agg(F.count("*").alias("n"), F.min("ts").alias("start"), F.max("ts").alias("end")).select("user_id", "start", "end", "n")
 
 
-def folded(events: DataFrame, key: list[str], order: list[str], fold, schema: str) -> DataFrame:
-    """A fold over each key's events in their order; `fold` takes and gives a frame of one key."""
-    names = [c.split()[0] for c in schema.split(",")]
+# ---- steps: from a key's state, a time and a value to the next state and an answer. A state is a tuple, at first of nulls and zeros ----
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return fold(pdf.sort_values(order))[names]
 
-    return events.groupBy(*key).applyInPandas(run, schema)
+def since(start: pd.Timestamp | None, ts: pd.Timestamp) -> float:
+    return float("inf") if start is None else (ts - start).total_seconds()
 
 
-def first_open(pdf: pd.DataFrame, seconds: int = RATE_SECONDS, limit: int = RATE_LIMIT) -> pd.DataFrame:
-    """Windows that a user's first request opens; within one, requests beyond the limit are refused."""
-    opened, count, allowed = None, 0, []
-    for ts in pdf["ts"]:
-        if opened is None or (ts - opened).total_seconds() >= seconds:
-            opened, count = ts, 0
-        count += 1
-        allowed.append(count <= limit)
-    return pdf.assign(allowed=allowed)
+def rate_step(state: tuple, ts: pd.Timestamp, _=None, seconds: int = RATE_SECONDS, limit: int = RATE_LIMIT) -> tuple[tuple, bool]:
+    """Windows that a user's first request opens; within one, requests beyond the limit are refused. State: opened, count."""
+    opened, count = state if since(state[0], ts) < seconds else (ts, 0)
+    return (opened, count + 1), count < limit
 
 
-def suppressed(pdf: pd.DataFrame, seconds: int = DUPLICATE_SECONDS) -> pd.DataFrame:
-    """Equal requests within `seconds` of an accepted one are duplicates."""
-    last: dict = {}
-    out = []
-    for ts, digest in zip(pdf["ts"], pdf["digest"], strict=True):
-        again = digest in last and (ts - last[digest]).total_seconds() < seconds
-        if not again:
-            last[digest] = ts
-        out.append(again)
-    return pdf.assign(duplicate=out)
+def duplicate_step(state: tuple, ts: pd.Timestamp, _=None, seconds: int = DUPLICATE_SECONDS) -> tuple[tuple, bool]:
+    """Equal requests (the key has their digest) within `seconds` of an accepted one are duplicates. State: last accepted."""
+    again = since(state[0], ts) < seconds
+    return (state if again else (ts,)), again
+
+
+def lock_step(state: tuple, ts: pd.Timestamp, failed: bool) -> tuple[tuple, bool]:
+    """Logins refused by the lock: FAILURES failures within their window lock for LOCK_SECONDS; a success clears the count. State: opened, count, until."""
+    opened, count, until = state
+    if until is not None and ts < until:
+        return state, True
+    if not failed:
+        return (None, 0, None), False
+    opened, count = (opened, count) if since(opened, ts) < FAILURE_SECONDS else (ts, 0)
+    if count + 1 >= FAILURES:
+        return (None, 0, ts + pd.Timedelta(seconds=LOCK_SECONDS)), False
+    return (opened, count + 1, None), False
+
+
+#: Of each step: its first state, the state's schema, and the seconds after which a state is as good as none.
+RATE, DUPLICATE, LOCK = (
+    (rate_step, (None, 0), "opened timestamp, n long", RATE_SECONDS),
+    (duplicate_step, (None,), "last timestamp", DUPLICATE_SECONDS),
+    (lock_step, (None, 0, None), "opened timestamp, n long, until timestamp", max(FAILURE_SECONDS, LOCK_SECONDS)),
+)
+
+
+def folded(events: DataFrame, key: list[str], kind: tuple, answer: str, value: str | None = None) -> DataFrame:
+    """Each key's events (event_id, ts, value) in the order of time, with the step's answer: the key, event_id and the answer.
+
+    Events are dealt by key and sorted; a task walks them batch by batch with the state of one key, however many events that has.
+    """
+    step, first, _, _ = kind
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, state = None, first
+        for pdf in batches:
+            out = []
+            for *own, ts, v in pdf[[*key, "ts", "value_"]].itertuples(index=False):
+                if own != now:
+                    now, state = own, first
+                state, found = step(state, ts, v)
+                out.append(found)
+            pdf[answer] = out
+            yield pdf[[*key, "event_id", answer]]
+
+    rows = events.select(*key, "event_id", "ts", (F.col(value) if value else F.lit(None).cast("boolean")).alias("value_"))
+    kinds = dict(rows.dtypes)
+    rows = rows.repartition(*key).sortWithinPartitions(*key, "ts", "event_id")
+    return rows.mapInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in (*key, "event_id")) + f", {answer} boolean")
+
+
+def replayed(kind: tuple, pdf: pd.DataFrame, value: str | None = None) -> list[bool]:
+    """The answers to one key's events in their order."""
+    step, state, out = kind[0], kind[1], []
+    for ts, v in zip(pdf["ts"], pdf[value] if value else [None] * len(pdf), strict=True):
+        state, found = step(state, ts, v)
+        out.append(found)
+    return out
+
+
+def first_open(pdf: pd.DataFrame) -> pd.DataFrame:
+    return pdf.assign(allowed=replayed(RATE, pdf))
 
 
 def locked(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Logins refused by the lock: FAILURES failures within their window lock for LOCK_SECONDS; a success clears the count."""
-    opened, count, until, out = None, 0, None, []
-    for ts, failed in zip(pdf["ts"], pdf["failed"], strict=True):
-        out.append(until is not None and ts < until)
-        if out[-1]:
-            continue
-        if not failed:
-            opened, count = None, 0
-            continue
-        if opened is None or (ts - opened).total_seconds() >= FAILURE_SECONDS:
-            opened, count = ts, 0
-        count += 1
-        if count >= FAILURES:
-            until, opened, count = ts + pd.Timedelta(seconds=LOCK_SECONDS), None, 0
-    return pdf.assign(refused=out)
-
-
-def rate_limited_stream(events: DataFrame, seconds: int = RATE_SECONDS, limit: int = RATE_LIMIT, late: str = "10 minutes") -> DataFrame:
-    """The streaming form of `first_open`: state is one window start and count a user and ends with the window.
-
-    Events of a micro-batch are taken in the order of their time; user_id, event_id, ts, allowed.
+    return pdf.assign(refused=replayed(LOCK, pdf, "failed"))
+
+
+def stream_folded(events: DataFrame, key: list[str], kind: tuple, answer: str, value: str | None = None, late: str = "10 minutes") -> DataFrame:
+    """The streaming form of `folded`: the state of a key is a few values and ends when it is as good as none.
+
+    Events of a micro-batch are taken in the order of their time: the key, event_id, ts and the answer.
     """
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-    def step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    step, first, state_schema, seconds = kind
+
+    def run(_: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
         rows = pd.concat(list(pdfs)).sort_values(["ts", "event_id"])
-        opened, count = state.get if state.exists else (None, 0)
-        opened = pd.Timestamp(opened) if opened is not None else None
-        allowed = []
-        for ts in rows["ts"]:
-            if opened is None or (ts - opened).total_seconds() >= seconds:
-                opened, count = ts, 0
-            count += 1
-            allowed.append(count <= limit)
-        state.update((opened.to_pydatetime(), count))
-        state.setTimeoutTimestamp(max(int(opened.timestamp() * 1000) + seconds * 1000, state.getCurrentWatermarkMs() + 1))
-        yield rows.assign(allowed=allowed)[["user_id", "event_id", "ts", "allowed"]]
-
-    stream = events.select("user_id", "event_id", "ts").withWatermark("ts", late)
-    return stream.groupBy("user_id").applyInPandasWithState(step, "user_id long, event_id long, ts timestamp, allowed boolean", "opened timestamp, n long", "append", GroupStateTimeout.EventTimeTimeout)
+        now = tuple(pd.Timestamp(v) if isinstance(f, type(None)) and v is not None else v for v, f in zip(state.get, first, strict=True)) if state.exists else first
+        out = []
+        for ts, v in zip(rows["ts"], rows["value_"], strict=True):
+            now, found = step(now, ts, v)
+            out.append(found)
+        state.update(tuple(v.to_pydatetime() if isinstance(v, pd.Timestamp) else v for v in now))
+        last = rows["ts"].iloc[-1] + pd.Timedelta(seconds=seconds)
+        state.setTimeoutTimestamp(max(int(last.timestamp() * 1000), state.getCurrentWatermarkMs() + 1))
+        yield rows.assign(**{answer: out})[[*key, "event_id", "ts", answer]]
+
+    rows = events.select(*key, "event_id", "ts", (F.col(value) if value else F.lit(None).cast("boolean")).alias("value_")).withWatermark("ts", late)
+    kinds = dict(rows.dtypes)
+    schema = ", ".join(f"{c} {kinds[c]}" for c in (*key, "event_id", "ts")) + f", {answer} boolean"
+    return rows.groupBy(*key).applyInPandasWithState(run, schema, state_schema, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def rate_limited_stream(events: DataFrame) -> DataFrame:
+    return stream_folded(events, ["user_id"], RATE, "allowed")
+
+
+def suppressed_stream(events: DataFrame) -> DataFrame:
+    return stream_folded(events, ["user_id", "digest"], DUPLICATE, "duplicate")
+
+
+def locked_stream(events: DataFrame) -> DataFrame:
+    return stream_folded(events, ["user_id"], LOCK, "refused", "failed")
 
 
 def gaps(events: DataFrame, gap: int = SESSION_GAP) -> DataFrame:
