@@ -148,6 +148,21 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+#: Rows from which a key can count as frequent.
+HOT_ROWS = 1000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with their group's values, by an inner join; groups: keys, n (its rows) and more. No key is hot.
+
+    Groups of more than a thousandth of the rows are fewer than a thousand and go by broadcast; the others by an ordinary join.
+    """
+    often = F.col("n") > max(HOT_ROWS, rows.count() // 1000)
+    hot = groups.where(often)
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    return rows.join(F.broadcast(hot), keys).unionByName(rest.join(groups.where(~often), keys))
+
+
 def give_back() -> None:
     """Return freed memory to the system. Python workers live on: without this the next task starts at the peak of the last."""
     pa.default_memory_pool().release_unused()

@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from sagebase.llm.common import Scratch, column, small_batches, table
 from sagebase.llm.graph import components, roots
 
-COSINE, PROBES = 0.9, 3
+COSINE = 0.9
+#: Cells that a vector goes to: so many, and one more for each doubling of the cells beyond 16.
+PROBES = 3
 #: Vectors, and bytes of vectors, that the cells' centres are fitted on; rows of a block of products.
 SAMPLE_ROWS, SAMPLE_BYTES, BLOCK_ROWS, STEP_ROWS = 20_000, 32 << 20, 4000, 1000
 
@@ -40,14 +42,19 @@ def vectors(values: pa.Array, width: int) -> np.ndarray:
     return flat / np.linalg.norm(flat, axis=1, keepdims=True)
 
 
-def near_duplicates(rows: DataFrame, cosine: float = COSINE, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def probes_for(cells: int) -> int:
+    return min(cells, PROBES + max(0, math.ceil(math.log2(max(1, cells))) - 4))
+
+
+def near_duplicates(rows: DataFrame, cosine: float = COSINE, id_col: str = "vec_id", vector_col: str = "embedding", probes: int | None = None) -> DataFrame:
     """Links of cosine `cosine` or more among all vectors: vec_id, n_links, component_id, kept.
 
-    Equal vectors are reduced to one with its number. Every distinct vector goes to the PROBES cells whose centres are
-    nearest; two vectors are compared if they share a cell, and counted in the least cell they share. A cell of
+    Equal vectors are reduced to one with its number. Every distinct vector goes to the `probes` cells whose centres are
+    nearest (by default as many as PROBES says; with 0 all vectors are one cell and every pair is compared: exact, at the square of the
+    rows); two vectors are compared if they share a cell, and counted in the least cell they share. A cell of
     many rows is cut into blocks, and pairs of blocks are tasks. Tasks return link counts and one link for each vector
-    to the least one it reaches there, never pairs. Cells grow in number with the root of the rows; centres are fitted on a
-    bounded sample, all else covers all rows.
+    to the least one it reaches there, never pairs. Cells grow in number with the root of the rows, up to an eighth of the sample; centres are fitted on
+    that bounded sample, all else covers all rows.
 
     Edge cases: a vector that is null, empty or zero or holds null or non-finite components has no links and is its own
     component, as is one with a null id (its component is null and it isn't kept); vectors of different lengths never link; rows of
@@ -70,7 +77,9 @@ def near_duplicates(rows: DataFrame, cosine: float = COSINE, id_col: str = "vec_
     (width, n), = sizes.items()
     bound = max(1, min(SAMPLE_ROWS, SAMPLE_BYTES // (8 * width)))
     drawn = distinct.where(F.col("width") == width).orderBy("k1", "id").limit(bound).select("v").toArrow()
-    at = centres(vectors(drawn["v"].combine_chunks(), width), max(1, math.ceil(math.sqrt(n) / 4)))
+    k = 1 if probes == 0 else max(1, min(math.ceil(math.sqrt(n) / 4), len(drawn) // 8))
+    at = centres(vectors(drawn["v"].combine_chunks(), width), k)
+    own_cells = min(probes or probes_for(len(at)), len(at))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -80,7 +89,7 @@ def near_duplicates(rows: DataFrame, cosine: float = COSINE, id_col: str = "vec_
             usual = np.flatnonzero(lengths == width)
             if len(usual):
                 x = vectors(column(batch, "v").take(pa.array(usual)), width)
-                p = min(PROBES, len(at))
+                p = own_cells
                 cells = np.sort(np.argpartition(-(x @ at.T), p - 1, axis=1)[:, :p], axis=1)
                 for i, c in zip(usual.tolist(), cells, strict=True):
                     picks[i] = c

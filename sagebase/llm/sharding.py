@@ -17,6 +17,9 @@ def shard_by_bytes(docs: DataFrame, n_shards: int = 16, id_col: str = "doc_id",
     give every row its global start, and the row goes to the shard that holds its middle byte.
     Slots number the rows of a shard from 0 without gaps.
 
+    Groups: equal texts are rows like any others. Each goes where its own id stands in the order, so equal texts may lie in different shards; only rows
+    of equal id and text are neighbours (and interchangeable).
+
     Edge cases: a null text has size 1 and crc32 0, like an empty one; a text longer than a shard's
     target makes that shard larger, and some shards may stay empty; an empty table gives no rows. Only the
     named columns are read, so further columns of any name do no harm.

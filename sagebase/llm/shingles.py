@@ -1,10 +1,12 @@
 """Exact Jaccard join of word shingles in metric space (operator 9).
 
 Two texts link within a radius r of the Jaccard distance 1 - |x & y| / |x | y|. Unrelated texts are at distance 1 of nearly all others, so texts alone
-can't cut space at first; the first pivots are single shingles. In any fixed order of all shingles, two texts within the radius share one of the
-first n - ceil(t * n) + 1 shingles of each (t = 1 - r; of the shingles they share, t * n of either text at least, the first stands that far in front in both).
-So each text goes to the regions of that many pivots, in its band of sizes, and no link is lost. The order has frequent shingles last, so regions are small.
-Regions that share texts are joined to one.
+can't cut space at first; the first pivots are classes of shingles by hash, and the part of a text in each class is its position towards that pivot. Sets within the
+radius differ in d shingles at most (by the triangle inequality for set differences). Of more than d / 2 classes one has a single difference at most, and of its
+three parts two agree exactly: the contents of two parts are a key. Texts that agree on a key go to the same region, boundary sizes to two bands. A text
+with two parts filled in more than d / 2 classes surely has such a key with its partners; texts without have their first shingles in hash order as keys
+too: of the shingles that two sets within the radius share, the first is among the first n - ceil(t * n) + 1 of both (t = 1 - r). So no link is lost, and
+none by chance. Regions that share texts are joined to one.
 
 A region is then cut by texts as pivots, recursively: a text lives in the Voronoi region of its nearest pivot (or with the rest, if none is near), windows of the
 triangle inequality replicate it to the regions where it may have partners, and texts within the radius of a pivot are linked by it and not compared
@@ -22,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sagebase.llm.common import Scratch, column, mix64, parts_for, ragged, scan_bytes, small_batches, table, tidied
+from sagebase.llm.common import Scratch, column, join_groups, mix64, parts_for, ragged, scan_bytes, small_batches, table, tidied
 from sagebase.llm.graph import components, roots
 
 #: Words of a shingle and least similarity in hundredths, as operator 9 has them; both are parameters of near_duplicate_components.
@@ -30,12 +32,13 @@ from sagebase.llm.graph import components, roots
 WORDS, LINK = 3, 90
 #: Sizes of a band grow by about this factor, below LINK by 100 / link, the least that holds; each band has its own classes.
 BAND = 1.5
-#: Documents of the sample that the order of shingles comes from, about; shingles of it that count as frequent, at most, and from how many documents on.
-SAMPLE_DOCS, FREQUENT, FREQUENT_FROM = 20_000, 200_000, 3
 #: Keys of one task (a text gives one link at most for each task that has some of its keys), and shingles that one task compares.
-KEYS_A_TASK, SHINGLES_A_TASK = 2 << 20, 1 << 16
-#: Turns of cutting by pivots, pivots of one region in a turn (about) and their bytes in all, and the distance up to which a pivot is near.
-ROUNDS, PIVOTS, PIVOT_BYTES, NEAR = 6, 16, 32 << 20, 0.7
+KEYS_A_TASK, SHINGLES_A_TASK = 2 << 20, 1 << 19
+#: Turns of cutting by pivots, pivots of one region in a turn (about, and further apart than so many radii) and their bytes in all, and the distance up to
+#: which a pivot is near.
+ROUNDS, PIVOTS, APART, PIVOT_BYTES, NEAR = 3, 16, 4, 32 << 20, 0.7
+#: Pivots cut a region if their regions hold so many times its shingles at most.
+REPLICAS = 1.5
 U = np.uint64
 
 
@@ -82,59 +85,71 @@ def bands(most: int, link: int = LINK) -> np.ndarray:
     return np.array(out)
 
 
-def ordered_last(sample: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Frequent shingles of a sample of texts, by hash, and their places in the order: the more frequent the later. Any order is exact; this one keeps regions small."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values, n = np.unique(shingle_sets(column(batch, "text"), words)[0], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(n)], names=["shingle", "n"])
+def first_shingles(values: np.ndarray, offsets: np.ndarray, link: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n - ceil(link / 100 * n) + 1 shingles of each set by hash, and their sets. Sets ascend by hash."""
+    n = np.diff(offsets)
+    want = np.where(n > 0, n + link * n // -100 + 1, 0)
+    return values[ragged(offsets[:-1], want)], np.repeat(np.arange(len(n)), want)
 
-    counted = sample.mapInArrow(tidied(run), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT_FROM)
-    found = counted.orderBy(F.desc("n"), "shingle").limit(FREQUENT).toArrow()  # FREQUENT rows of two numbers
-    values = np.asarray(found["shingle"].combine_chunks(), dtype=np.int64).view(np.uint64)
-    place = len(values) - np.arange(len(values))
-    order = np.argsort(values)
-    return values[order], place[order]
 
+def keys_of(values: np.ndarray, offsets: np.ndarray, link: int = LINK) -> tuple[np.ndarray, np.ndarray]:
+    """Region keys of each set, and the number of the set that each belongs to: the contents of two of a class' three parts, for its own band and for the next
+    one if a set of that can be within the radius.
 
-def prefixes(values: np.ndarray, offsets: np.ndarray, link: int, last: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """The first n - ceil(link / 100 * n) + 1 shingles of each set in the fixed order (frequent ones last, else by hash), and their sets. Sets ascend by hash."""
-    n = np.diff(offsets)
-    want = np.where(n > 0, n + link * n // -100 + 1, 0)
-    owner = np.repeat(np.arange(len(n)), n)
-    seldom = np.ones(len(values), bool)
-    if len(last[0]) and len(values):
-        at = np.minimum(np.searchsorted(last[0], values), len(last[0]) - 1)
-        seldom = last[0][at] != values
-    before = np.concatenate([[0], np.cumsum(seldom)])
-    taken = seldom & (before[1:] - before[offsets[:-1]][owner] <= want[owner])
-    # Sets with too few seldom shingles go on with frequent ones, the less frequent first.
-    short = want - (before[offsets[1:]] - before[offsets[:-1]])
-    some = np.flatnonzero(~seldom & (short > 0)[owner])
-    if len(some):
-        some = some[np.lexsort((last[1][at[some]], owner[some]))]
-        head = np.flatnonzero(np.diff(owner[some], prepend=-1))
-        nth = np.arange(len(some)) - np.repeat(head, np.diff(np.append(head, len(some))))
-        taken[some[nth < short[owner[some]]]] = True
-    return values[taken], owner[taken]
-
-
-def keys_of(values: np.ndarray, offsets: np.ndarray, link: int = LINK, last: tuple[np.ndarray, np.ndarray] = (np.zeros(0, np.uint64), np.zeros(0, np.int64))) -> tuple[np.ndarray, np.ndarray]:
-    """Region keys of each set, and the number of the set that each belongs to: a pivot shingle and a band of sizes.
-
-    A set keys for its own band, and for the next one if a set of that can be within the radius; bands are wide enough that no others can. Sets too small to
-    link with a smaller or larger one get none (fewer than 9 shingles at 90): they link with equal ones only.
+    Sets too small to link with a smaller or larger one get none (fewer than 9 shingles at 90): they link with equal ones only. Where only one shingle may
+    differ, the keys are the set and the set without each shingle.
     """
     n = np.diff(offsets)
     edge = bands(int(n.max(initial=0)), link)
     own = np.searchsorted(edge, n, "right") - 1
-    value, owner = prefixes(values, offsets, link, last)
-    band = own[owner]
-    up = (n[owner] > 0) & (100 * n[owner] >= link * edge[band + 1])
-    here = band >= 0
-    key = lambda v, b: mix64(v ^ mix64(b.astype(np.uint64) + U(17)))
-    return np.concatenate([key(value[here], band[here]), key(value[up], band[up] + 1)]), np.concatenate([owner[here], owner[up]])
+    keys, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for up in (0, 1):
+        b = own + up
+        ok = (b >= 0) & (n > 0)
+        b = np.where(ok, b, 0)
+        if up:  # as the smaller one of a pair
+            ok &= 100 * n >= link * edge[b]
+        differ = 2 * (edge[b + 1] - 1) * (100 - link) // (100 + link)
+        some = np.flatnonzero(ok)
+        if not len(some):
+            continue
+        size, most = n[some], differ[some]
+        value = values[ragged(offsets[:-1][some], size)]
+        place = np.repeat(np.arange(len(some)), size)
+        seed = mix64(b[some].astype(np.uint64) + U(17))
+        add = mix64(value ^ U(0x5851F42D4C957F2D))
+        single = most <= 1
+        one = single[place]
+        total = np.add.reduceat(add, np.cumsum(size) - size)
+        keys += [mix64(total[single] + seed[single]), mix64(total[place[one]] - add[one] + seed[place[one]])]
+        owners += [some[single], some[place[one]]]
+        many = np.flatnonzero(~one)
+        if not len(many):
+            continue
+        m = np.where(single, 0, most // 2 + 3 + most // 16)  # more classes than half the differences, and some that may be nearly empty
+        start = np.cumsum(m) - m
+        v, who = value[many], place[many]
+        slot = (start[who] + ((v >> U(33)) % m[who].astype(np.uint64)).astype(np.int64)) * 3 + ((v >> U(12)) % U(3)).astype(np.int64)
+        order = np.argsort(slot, kind="stable")
+        slot = slot[order]
+        first = np.flatnonzero(np.diff(slot, prepend=-1))
+        content = np.zeros(3 * int(m.sum()), np.uint64)
+        full = np.zeros(len(content), bool)
+        content[slot[first]] = np.add.reduceat(add[many][order], first)
+        full[slot[first]] = True
+        parts, full = mix64(content + np.tile(np.arange(3, dtype=np.uint64), len(content) // 3) * U(0xD6E8FEB86659FD93)).reshape(-1, 3), full.reshape(-1, 3)
+        of = np.repeat(np.arange(len(some)), m)
+        tag = mix64((np.arange(len(of)) - start[of]).astype(np.uint64) + seed[of])
+        for x, y in ((0, 1), (0, 2), (1, 2)):
+            has = full[:, x] | full[:, y]
+            keys.append(mix64(parts[has, x] + parts[has, y] * U(0x9E3779B97F4A7C15) + tag[has]))
+            owners.append(some[of[has]])
+        # Too few classes with two parts filled to be sure of a key.
+        few = np.flatnonzero(~single & (np.bincount(of, full.sum(axis=1) >= 2, len(some)) <= most // 2))
+        head, of = first_shingles(values[ragged(offsets[:-1][some[few]], size[few])], np.concatenate([[0], np.cumsum(size[few])]), link)
+        keys.append(mix64(head ^ mix64(seed[few][of] + U(1))))
+        owners.append(some[few][of])
+    return np.concatenate(keys), np.concatenate(owners)
 
 
 def set_hashes(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -237,6 +252,24 @@ def unpacked_keys(blob: pa.Scalar) -> np.ndarray:
     return np.frombuffer(raw, np.uint8, n).astype(np.uint64) | np.frombuffer(raw, "<u4", n, n).astype(np.uint64) << U(8)
 
 
+def packed_docs(doc: np.ndarray) -> bytes:
+    """Numbers of ascending documents, one for each key: as runs if that is shorter, else plainly, in 4 bytes if they fit. Runs begin with their number; the forms are
+    told apart by their first byte."""
+    kind = "<u4" if not len(doc) or doc[-1] < 1 << 32 else "<i8"
+    head = np.flatnonzero(np.diff(doc, prepend=-1))
+    if kind == "<u4" and 2 * len(head) < len(doc):
+        return b"R" + doc[head].astype(kind).tobytes() + np.diff(np.append(head, len(doc))).astype(kind).tobytes()
+    return (b"N" if kind == "<u4" else b"W") + doc.astype(kind).tobytes()
+
+
+def unpacked_docs(blob: pa.Scalar, n: int) -> np.ndarray:
+    raw = blob.as_py()
+    if raw[:1] == b"R":
+        doc, times = np.frombuffer(raw, "<u4", offset=1).reshape(2, -1)
+        return np.repeat(doc.astype(np.int64), times)
+    return np.frombuffer(raw, "<u4" if raw[:1] == b"N" else "<i8", n, 1).astype(np.int64)
+
+
 def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, link: int = LINK) -> DataFrame:
     """doc_id, n_shingles and component_id of every text under links of Jaccard similarity link / 100 or more (link below 100).
 
@@ -251,12 +284,17 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     small_batches(spark)
     scratch = Scratch(spark, "shingles")
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    last = ordered_last(source.where(F.rand(9) < SAMPLE_DOCS / max(1, docs.count())), words)
-    shared = spark.sparkContext.broadcast(last)  # FREQUENT pairs of numbers at most
-    # A word for every four bytes of the files, about; the band above takes a quarter more.
-    parts = parts_for(spark, scan_bytes(docs) * 0.3 * (100 - link) / 100, KEYS_A_TASK)
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("part", pa.int32()), ("base", pa.int64()), ("keys", pa.binary()), ("docs", pa.binary())])
-    ddl = "doc_id long, n_shingles long, k1 long, k2 long, part int, base long, keys binary, docs binary"
+
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values, offsets = shingle_sets(column(batch, "text"), words)
+            one, two = set_hashes(values, offsets)
+            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(np.diff(offsets)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], names=["doc_id", "n_shingles", "k1", "k2"])
+
+    slim = scratch.write(source.mapInArrow(tidied(measured), "doc_id long, n_shingles long, k1 long, k2 long"), "slim")
+
+    # A word for every four bytes of the files, about; three keys for two shingles that may differ, in two bands. Keys are many, so they move and aren't written.
+    parts = parts_for(spark, scan_bytes(docs) * 1.5 * (100 - link) / (100 + link), KEYS_A_TASK)
 
     def dissect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -265,46 +303,35 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
             key, doc = np.concatenate([k for k, _ in held]), np.concatenate([d for _, d in held])
             held.clear()
             part = (key % U(parts)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
+            order = np.lexsort((doc, part))
             key, doc, part = key[order], doc[order], part[order]
             cuts = np.searchsorted(part, np.arange(parts + 1))
-            some = np.flatnonzero(np.diff(cuts))
+            some = np.flatnonzero(np.diff(cuts)).tolist()
             base = int(doc.min())
-            doc = (doc - base).astype("<u4" if int(doc.max()) - base < 1 << 32 else "<i8")
-            blobs = [packed_keys(key[cuts[p] : cuts[p + 1]], parts) for p in some], [doc[cuts[p] : cuts[p + 1]].tobytes() for p in some]
-            none = pa.nulls(len(some), pa.int64())
-            return pa.RecordBatch.from_arrays([none, none, none, none, pa.array(some, pa.int32()), pa.array([base] * len(some), pa.int64()), pa.array(blobs[0], pa.binary()), pa.array(blobs[1], pa.binary())], schema=schema)
+            blobs = [packed_keys(key[cuts[p] : cuts[p + 1]], parts) for p in some], [packed_docs(doc[cuts[p] : cuts[p + 1]] - base) for p in some]
+            return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([base] * len(some), pa.int64()), pa.array(blobs[0], pa.binary()), pa.array(blobs[1], pa.binary())], names=["part", "base", "keys", "docs"])
 
         for batch in batches:
             ids = column(batch, "doc_id")
             values, offsets = shingle_sets(column(batch, "text"), words)
             n = np.diff(offsets)
             one, two = set_hashes(values, offsets)
-            empty = pa.nulls(len(ids), pa.binary())
-            yield pa.RecordBatch.from_arrays([ids, pa.array(n), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.nulls(len(ids), pa.int32()), pa.nulls(len(ids), pa.int64()), empty, empty], schema=schema)
-            # Of equal sets in a batch with ids the first gets keys; equal sets elsewhere have the same ones.
-            known = np.flatnonzero(np.asarray(ids.is_valid()) & (n > 0))
+            # Of equal sets in a batch the first gets keys; equal sets elsewhere have the same ones.
+            known = np.flatnonzero(n > 0)
             rep = known[np.unique(first_of_equal(one[known], two[known], n[known]))]
             if not len(rep):
                 continue
-            number = np.asarray(pc.fill_null(ids, 0), dtype=np.int64)
-            key, owner = keys_of(values[ragged(offsets[:-1][rep], n[rep])], np.concatenate([[0], np.cumsum(n[rep])]), link, shared.value)
+            key, owner = keys_of(values[ragged(offsets[:-1][rep], n[rep])], np.concatenate([[0], np.cumsum(n[rep])]), link)
             if len(key):
-                held.append((key, number[rep][owner]))
+                held.append((key, np.asarray(ids, dtype=np.int64)[rep][owner]))
             if sum(len(k) for k, _ in held) >= 1 << 20:
                 yield dealt()
         if held:
             yield dealt()
 
-    rows = scratch.write(source.mapInArrow(tidied(dissect), ddl), "rows")
-
     def stars(group: pa.Table) -> pa.Table:
         key = np.concatenate([unpacked_keys(b) for b in group["keys"]])
-        doc = []
-        for base, k, d in zip(group["base"].to_pylist(), group["keys"], group["docs"], strict=True):
-            narrow = len(d.as_buffer()) // 4 == len(k.as_buffer()) // 5
-            doc.append(np.frombuffer(d.as_buffer(), "<u4" if narrow else "<i8").astype(np.int64) + base)
-        doc = np.concatenate(doc)
+        doc = np.concatenate([unpacked_docs(d, len(k.as_buffer()) // 5) + base for base, k, d in zip(group["base"].to_pylist(), group["keys"], group["docs"], strict=True)])
         order = np.argsort(key, kind="stable")
         key, doc = key[order], doc[order]
         run = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
@@ -313,14 +340,14 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
         a, b = roots(doc[other], least[other])
         return pa.table({"a": pa.array(a), "b": pa.array(b)})
 
-    candidates = rows.where("part is not null").select("part", "base", "keys", "docs").groupBy("part").applyInArrow(stars, "a long, b long")
-    regions = components(candidates, scratch)
-    slim = scratch.write(rows.where("part is null").select("doc_id", "n_shingles", "k1", "k2"), "slim")
-    scratch.drop(rows)
+    dealt_keys = source.where("doc_id is not null").mapInArrow(tidied(dissect), "part int, base long, keys binary, docs binary")
+    regions = components(dealt_keys.groupBy("part").applyInArrow(stars, "a long, b long"), scratch)
 
     # Of equal sets the one with the least id stands for all.
-    least = slim.where("n_shingles > 0 and doc_id is not null").groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
-    copies = slim.where("n_shingles > 0").select("k1", "k2", "n_shingles", F.col("doc_id").alias("a")).join(least, ["k1", "k2", "n_shingles"]).where("a <> b").select("a", "b")
+    keys = ["k1", "k2", "n_shingles"]
+    real = slim.where("n_shingles > 0 and doc_id is not null").select(*keys, F.col("doc_id").alias("a"))
+    least = real.groupBy(*keys).agg(F.min("a").alias("b"), F.count("*").alias("n")).where("n > 1")
+    copies = join_groups(real, least, keys).where("a <> b").select("a", "b")
     copies = scratch.write(copies.distinct(), "copies")
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -344,27 +371,45 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
 class Pivots:
     """The pivots of some regions: which regions a text belongs to."""
 
-    def __init__(self, pivots: dict[int, list[tuple[int, np.ndarray]]], link: int):
-        self.pivots, self.link, self.radius = pivots, link, 1 - link / 100 + 1e-9
+    def __init__(self, link: int, pivots: dict[int, list[tuple[int, np.ndarray]]] | None = None):
+        self.pivots, self.link, self.radius = pivots or {}, link, 1 - link / 100 + 1e-9
 
-    def place(self, cell: int, own: np.ndarray) -> Iterator[tuple[int, bool]]:
-        """The pivots (-1: the rest) to whose regions a set goes, and whether it is within the radius of each."""
-        ids = [p for p, _ in self.pivots[cell]]
+    def add(self, cell: int, pivot: int, own: np.ndarray) -> None:
+        """One more pivot, if it is far enough from the region's others: else most texts would lie in the windows of both."""
+        if not self.pivots.setdefault(cell, []) or self.distances(cell, own)[0].min() > APART * self.radius:
+            self.pivots[cell].append((pivot, own))
+
+    def distances(self, cell: int, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distances of a set to the pivots of a region, and whether it is within the radius of each."""
         both = np.array([int((c[np.minimum(np.searchsorted(c, own), len(c) - 1)] == own).sum()) for _, c in self.pivots[cell]])
         union = np.array([len(c) for _, c in self.pivots[cell]]) + len(own) - both
-        far, near = 1 - both / union, 100 * both >= self.link * union
+        return 1 - both / union, 100 * both >= self.link * union
+
+    def place(self, cell: int, own: np.ndarray) -> Iterator[tuple[int, bool, float | None]]:
+        """The pivots (-1: the rest) to whose regions a set goes, whether it is within the radius of each, and its distance."""
+        ids = [p for p, _ in self.pivots[cell]]
+        far, near = self.distances(cell, own)
         least = far.min(initial=2.0)
         if least > NEAR:
-            yield -1, False
+            yield -1, False, None
         # Whoever lives at a pivot (the nearest, within NEAR) has all partners within these windows; two that live with the rest meet there.
         for k in np.flatnonzero(far <= min(NEAR + self.radius, least + 2 * self.radius)).tolist():
-            yield ids[k], bool(near[k])
+            yield ids[k], bool(near[k]), float(far[k])
+
+
+def in_blocks(active: DataFrame, link: int) -> DataFrame:
+    """Exact links of regions that no pivot cuts: every pair of blocks is a task."""
+    blocks = active.withColumn("blocks", F.ceil(2 * F.col("total") / SHINGLES_A_TASK).cast("int"))
+    blocks = blocks.withColumn("mine", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    blocks = blocks.withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other"))
+    return region_links(blocks, ["cell", "i", "j"], link)
 
 
 def verified(members: DataFrame, scratch: Scratch, link: int = LINK) -> DataFrame:
-    """Exact links inside regions, as many as connect what belongs together: small regions in a task each, larger ones cut by pivots turn by turn."""
-    spark, found = members.sparkSession, []
-    ddl = "cell long, doc_id long, n long, shingles binary, anchor long, now boolean"
+    """Exact links inside regions, as many as connect what belongs together: small regions in a task each, larger ones cut by pivots turn by turn; what pivots
+    don't cut (texts about as far from all of them lie in all windows) goes by blocks."""
+    found, before = [], members
+    columns = ["cell", "doc_id", "n", "shingles", "anchor"]
     active = members.select(F.col("region").alias("cell"), "doc_id", "n", "shingles", F.lit(None).cast("long").alias("anchor"))
     for turn in range(ROUNDS + 1):
         # Texts that one pivot links need no comparison with each other.
@@ -376,55 +421,91 @@ def verified(members: DataFrame, scratch: Scratch, link: int = LINK) -> DataFram
         if not large.limit(1).count():
             break
         active = active.join(large.select("cell", "total", "loose"), "cell")
-        if turn == ROUNDS:  # what pivots don't cut: every pair of blocks is a task
-            blocks = active.withColumn("blocks", F.ceil(2 * F.col("total") / SHINGLES_A_TASK).cast("int"))
-            blocks = blocks.withColumn("mine", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-            blocks = blocks.withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other"))
-            found.append(scratch.write(region_links(blocks, ["cell", "i", "j"], link), "links"))
+        if turn == ROUNDS:
+            found.append(scratch.write(in_blocks(active, link), "links"))
             break
-        # Pivots are loose texts drawn by hash, and always the one with the least.
-        draw = F.xxhash64("doc_id", F.lit(turn))
-        loose = active.where("anchor is null").withColumn("draw", draw)
-        always = loose.groupBy("cell").agg(F.min("draw").alias("least"))
-        drawn = loose.join(always, "cell").where((F.col("draw") == F.col("least")) | (F.pmod("draw", F.ceil(F.col("loose") / PIVOTS).cast("long")) == 0))
-        drawn = scratch.write(drawn.select("cell", "doc_id", "shingles", "n", (F.col("draw") == F.col("least")).alias("always")), "pivots")
-        room = drawn.agg(F.sum("n")).first()[0] * 8
-        if room > PIVOT_BYTES:
-            drawn = drawn.where("always")
-            room = drawn.agg(F.sum("n")).first()[0] * 8
-        columns = ["cell", "doc_id", "n", "shingles", "anchor"]
-        if room <= PIVOT_BYTES:
-            pivots: dict[int, list[tuple[int, np.ndarray]]] = {}
-            for r in drawn.collect():  # PIVOT_BYTES at most
-                pivots.setdefault(r.cell, []).append((r.doc_id, np.frombuffer(bytes(r.shingles), np.uint64)))
-            shared = spark.sparkContext.broadcast(pivots)
-            rows, near = active.select(*columns), lambda batch, shared=shared: Pivots(shared.value, link)
-        else:  # too many regions for a broadcast: their one pivot each comes by a join
-            center = drawn.groupBy("cell").agg(F.first(F.struct("doc_id", "shingles")).alias("pivot"))
-            rows = active.select(*columns).join(center.hint("merge"), "cell").select(*columns, F.col("pivot.doc_id").alias("pivot"), F.col("pivot.shingles").alias("center"))
-            near = lambda batch: Pivots({c: [(p, np.frombuffer(s.as_buffer(), np.uint64))] for c, p, s in zip(column(batch, "cell").to_pylist(), column(batch, "pivot").to_pylist(), column(batch, "center"), strict=True)}, link)
-
-        def measure(batches: Iterator[pa.RecordBatch], near=near) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                pivots, take, cells, anchors, now = near(batch), [], [], [], []
-                for i, (cell, anchor, blob) in enumerate(zip(column(batch, "cell").to_pylist(), column(batch, "anchor").to_pylist(), column(batch, "shingles"), strict=True)):
-                    for pivot, linked_ in pivots.place(cell, np.frombuffer(blob.as_buffer(), np.uint64)):
-                        take.append(i)
-                        cells.append((cell * 0x9E3779B97F4A7C15 + pivot + 1) & (1 << 64) - 1)
-                        anchors.append(pivot if linked_ else anchor)  # what an earlier pivot links stays connected
-                        now.append(linked_)
-                rows_ = [column(batch, c).take(pa.array(take, pa.int64())) for c in ("doc_id", "n", "shingles")]
-                cells = mix64(np.array(cells, np.uint64)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(cells), *rows_, pa.array(anchors, pa.int64()), pa.array(now, pa.bool_())], names=["cell", "doc_id", "n", "shingles", "anchor", "now"])
-
-        measured = scratch.write(rows.mapInArrow(tidied(measure), ddl), "measured")
-        found.append(measured.where("now and anchor <> doc_id").select(F.col("doc_id").alias("a"), F.col("anchor").alias("b")))
-        active = measured.drop("now")
+        rows, near, drawn = with_pivots(active, columns, turn, link, scratch)
+        placed = rows.mapInArrow(tidied(place_sizes(near)), "cell long, placed long").groupBy("cell").agg(F.sum("placed").alias("placed"))
+        verdicts = scratch.write(large.join(placed, "cell").select("cell", (F.col("placed") <= REPLICAS * F.col("total")).alias("cut")), "verdicts")
+        if verdicts.where("not cut").limit(1).count():
+            found.append(scratch.write(in_blocks(active.join(verdicts.where("not cut").select("cell"), "cell"), link), "links"))
+        measured = rows.join(verdicts.where("cut").select("cell"), "cell").mapInArrow(tidied(place_rows(near)), "cell long, doc_id long, n long, shingles binary, anchor long, now boolean, far double")
+        measured = scratch.write(measured, "measured")
+        found.append(scratch.write(measured.where("now and anchor <> doc_id").select(F.col("doc_id").alias("a"), F.col("anchor").alias("b")), "links"))
+        # What a pivot links goes on only where a loose text of its region can be within the radius.
+        nearest = measured.where("anchor is null").groupBy("cell").agg(F.min("far").alias("nearest"))
+        reach = ~F.col("now") | (F.col("far") >= F.col("nearest") - (1 - link / 100 + 1e-9))
+        left = scratch.write(measured.join(nearest, "cell").where(reach).select(*columns), "active")
+        scratch.drop(measured, drawn, before)
+        active = before = left
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
     return out
 
 
+def with_pivots(active: DataFrame, columns: list[str], turn: int, link: int, scratch: Scratch):
+    """The rows of large regions, a function from a batch of them to their Pivots, and the table of the texts drawn.
+
+    Pivots are loose texts drawn by hash, and always the one with the least. They go by broadcast if they are few, else each region's one by a join.
+    """
+    spark = active.sparkSession
+    loose = active.where("anchor is null").withColumn("draw", F.xxhash64("doc_id", F.lit(turn)))
+    always = loose.groupBy("cell").agg(F.min("draw").alias("least"))
+    drawn = loose.join(always, "cell").where((F.col("draw") == F.col("least")) | (F.pmod("draw", F.ceil(F.col("loose") / PIVOTS).cast("long")) == 0))
+    drawn = scratch.write(drawn.select("cell", "doc_id", "shingles", "n", (F.col("draw") == F.col("least")).alias("always")), "pivots")
+    chosen, room = drawn, drawn.agg(F.sum("n")).first()[0] * 8
+    if room > PIVOT_BYTES:
+        chosen = drawn.where("always")
+        room = chosen.agg(F.sum("n")).first()[0] * 8
+    if room <= PIVOT_BYTES:
+        own = Pivots(link)
+        for r in chosen.orderBy("cell", F.desc("always"), "doc_id").collect():  # PIVOT_BYTES at most
+            own.add(r.cell, r.doc_id, np.frombuffer(bytes(r.shingles), np.uint64))
+        shared = spark.sparkContext.broadcast(own.pivots)
+        return active.select(*columns), lambda batch: Pivots(link, shared.value), drawn
+    center = chosen.groupBy("cell").agg(F.first(F.struct("doc_id", "shingles")).alias("pivot"))
+    rows = active.select(*columns).join(center.hint("merge"), "cell").select(*columns, F.col("pivot.doc_id").alias("pivot"), F.col("pivot.shingles").alias("center"))
+
+    def near(batch: pa.RecordBatch) -> Pivots:
+        triples = zip(column(batch, "cell").to_pylist(), column(batch, "pivot").to_pylist(), column(batch, "center"), strict=True)
+        return Pivots(link, {c: [(p, np.frombuffer(s.as_buffer(), np.uint64))] for c, p, s in triples})
+
+    return rows, near, drawn
+
+
+def place_sizes(near):
+    """Of each region, the shingles that its pivots' regions would hold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pivots, total = near(batch), {}
+            for cell, n, blob in zip(column(batch, "cell").to_pylist(), column(batch, "n").to_pylist(), column(batch, "shingles"), strict=True):
+                total[cell] = total.get(cell, 0) + n * sum(1 for _ in pivots.place(cell, np.frombuffer(blob.as_buffer(), np.uint64)))
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], names=["cell", "placed"])
+
+    return run
+
+
+def place_rows(near):
+    """The rows in their pivots' regions."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pivots, take, cells, anchors, now, far = near(batch), [], [], [], [], []
+            for i, (cell, anchor, blob) in enumerate(zip(column(batch, "cell").to_pylist(), column(batch, "anchor").to_pylist(), column(batch, "shingles"), strict=True)):
+                for pivot, linked_, distance in pivots.place(cell, np.frombuffer(blob.as_buffer(), np.uint64)):
+                    take.append(i)
+                    cells.append((cell * 0x9E3779B97F4A7C15 + pivot + 1) & (1 << 64) - 1)
+                    anchors.append(pivot if linked_ else anchor)  # what an earlier pivot links stays connected
+                    now.append(linked_)
+                    far.append(distance)
+            rows = [column(batch, c).take(pa.array(take, pa.int64())) for c in ("doc_id", "n", "shingles")]
+            cells = mix64(np.array(cells, np.uint64)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(cells), *rows, pa.array(anchors, pa.int64()), pa.array(now, pa.bool_()), pa.array(far, pa.float64())], names=["cell", "doc_id", "n", "shingles", "anchor", "now", "far"])
+
+    return run
+
+
 def op9_shingle_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_components(table(spark, sf_dir, "documents"))

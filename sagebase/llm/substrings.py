@@ -25,7 +25,7 @@ from sagebase.llm.common import Scratch, column, mix64, parts_for, ragged, scan_
 
 LENGTH, TRIGGER = 50, 24
 #: Bytes of an inner trigger, and the share of places that are one (1 in so many).
-INNER, EVERY = 8, 16
+INNER, EVERY = 8, 32
 #: Bytes that are hashed at once; longer texts go in pieces that overlap by 49 bytes. Triggers of one task, and the tasks for
 #: stretches that take the place of one for triggers: a stretch is ten times as large. Strings that are sorted at once, about.
 PIECE_BYTES, TRIGGERS_A_TASK, STRETCH_TASKS, STRINGS_A_STEP = 2 << 20, 6 << 20, 12, 1 << 18
@@ -81,20 +81,27 @@ def corpus_order(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple
     lengths = np.fromiter(map(len, numbers), np.int64, len(numbers))
     words = np.frombuffer(b"".join(numbers) + b"\0" * LENGTH, np.uint8)
     at = np.cumsum(lengths) - lengths
-    # Its suffix array, to LENGTH bytes: rows of bytes, 0 behind a phrase's end, and the length where these tie.
     n = np.maximum(lengths - INNER, 1)
-    place, own = ragged(at, n), np.repeat(np.arange(len(n)), n)
-    left = np.minimum((at + lengths)[own] - place, LENGTH)
-    rows = np.lib.stride_tricks.sliding_window_view(words, LENGTH)[place] * (np.arange(LENGTH) < left[:, None])
-    keys = [np.ascontiguousarray(rows[:, k : k + 8]).view(">u8").ravel() for k in range(0, LENGTH - 2, 8)]
-    keys.append(np.ascontiguousarray(rows[:, LENGTH - 2 :]).view(">u2").ravel().astype(np.uint64) << U(8) | left.astype(np.uint64))
-    order = np.lexsort(keys[::-1])
-    new = np.zeros(len(order), bool)
-    for k in keys:
-        new[1:] |= k[order[1:]] != k[order[:-1]]
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.cumsum(new)
     base = np.cumsum(n) - n  # where each phrase's suffixes begin
+    # Both ranks are for the places that begin a string; phrases as a whole are needed for the parse.
+    some = np.flatnonzero(np.arange(len(flat)) + LENGTH <= (first + size)[text])
+    phrase = np.searchsorted(begin, some, "right") - 1
+    suffix = base[word[phrase]] + some - begin[phrase]
+    need = np.zeros(int(n.sum()), bool)
+    need[base] = True
+    need[suffix] = True
+    needed = np.flatnonzero(need)
+    # Its suffix array, to LENGTH bytes: rows of bytes, 0 behind a phrase's end, and the length where these tie.
+    own = np.searchsorted(base, needed, "right") - 1
+    place = at[own] + needed - base[own]
+    left = np.minimum((at + lengths)[own] - place, LENGTH)
+    rows = np.empty((len(place), LENGTH + 1), np.uint8)
+    rows[:, :LENGTH] = np.lib.stride_tricks.sliding_window_view(words, LENGTH)[place]
+    short = np.flatnonzero(left < LENGTH)
+    rows[short, :LENGTH] *= np.arange(LENGTH) < left[short, None]
+    rows[:, LENGTH] = left  # never 0, so no row ends in zeros
+    rank = np.zeros(len(need), np.int64)
+    _, rank[needed] = np.unique(rows.view(f"S{LENGTH + 1}").ravel(), return_inverse=True)
     # The parse's suffix array by doubling, until it covers LENGTH bytes everywhere; the end of a text ranks lowest.
     parse = rank[base[word]] + 1
     depth = 1
@@ -112,12 +119,9 @@ def corpus_order(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple
         covered[ok] += covered[np.flatnonzero(ok) + depth]
         covered[~ok] = LENGTH
         depth *= 2
-    # Both ranks for each place that begins a string.
-    some = np.flatnonzero(np.arange(len(flat)) + LENGTH <= (first + size)[text])
-    phrase = np.searchsorted(begin, some, "right") - 1
     after = np.append(parse[1:], 0)
     after[last] = 0
-    order = some[np.lexsort((after[phrase], rank[base[word[phrase]] + some - begin[phrase]]))]
+    order = some[np.lexsort((after[phrase], rank[suffix]))]
     same = np.zeros(len(order), bool)
     table_ = np.lib.stride_tricks.sliding_window_view(flat, LENGTH)
     for a in range(1, len(order), 1 << 16):

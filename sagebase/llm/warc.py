@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sagebase.llm.common import Scratch, column, small_batches, table
+from sagebase.llm.common import Scratch, column, join_groups, small_batches, table, tidied
 
 SEGMENT_BYTES, CHUNK_BYTES, FILE_BYTES, REVISIT_BYTES = 64 << 10, 16 << 10, 16 << 20, 0
 #: Record dates are a parameter of the archive, not the time of the run, so that reruns agree.
@@ -110,9 +110,10 @@ def payload_of(block: bytes) -> bytes:
 
 
 def revisits(pages: DataFrame, least_bytes: int) -> DataFrame:
-    """page_id, sha1 and refers_to of the rows that repeat another page's payload. Only narrow rows are grouped and joined."""
-    first = pages.where(F.col("payload_bytes") >= least_bytes).groupBy("sha1", "payload_bytes").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1 and refers_to is not null")
-    return pages.join(first, ["sha1", "payload_bytes"]).where("page_id > refers_to").select("page_id", "sha1", "refers_to").distinct()
+    """page_id, sha1 and refers_to of the rows that repeat another page's payload. Only narrow rows are grouped and joined, and no payload is a hot key."""
+    keys = ["sha1", "payload_bytes"]
+    first = pages.where(F.col("payload_bytes") >= least_bytes).groupBy(*keys).agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1 and refers_to is not null")
+    return join_groups(pages, first, keys).where("page_id > refers_to").select("page_id", "sha1", "refers_to").distinct()
 
 
 def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", segment_bytes: int = SEGMENT_BYTES, least_bytes: int = REVISIT_BYTES) -> None:
@@ -123,7 +124,8 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), text.alias("html"), F.sha1(text.cast("binary")).alias("sha1"))
     narrow = pages.select(F.col(id_col).cast("long").alias("page_id"), F.octet_length(text).cast("long").alias("payload_bytes"), F.sha1(text.cast("binary")).alias("sha1"))
     # Written first: if few pages repeat, the planner sees that and the wide rows needn't move.
-    again = Scratch(spark, "revisits").write(revisits(narrow, least_bytes), "revisits")
+    scratch = Scratch(spark, "revisits")
+    again = scratch.write(revisits(scratch.write(narrow, "digests"), least_bytes), "revisits")
     rows = rows.join(again, ["page_id", "sha1"], "left").select("page_id", "url", "html", "refers_to")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,7 +145,7 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
         if out:
             yield pa.RecordBatch.from_arrays([pa.array([bytes(out)], pa.binary())], names=["file"])
 
-    rows.mapInArrow(run, "file binary").select(F.col("file").cast("string").alias("value")).write.option("lineSep", "\x00").option("maxRecordsPerFile", 1).text(path)
+    rows.mapInArrow(tidied(run), "file binary").select(F.col("file").cast("string").alias("value")).write.option("lineSep", "\x00").option("maxRecordsPerFile", 1).text(path)
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
@@ -188,7 +190,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
         return pa.Table.from_pylist([{"page_id": rows[0]["page_id"], "payload_bytes": len(payload), "payload_digest": digest(payload), "record_type": "response", "refers_to": None}], schema=pa.schema(list(schema)[:5]))
 
     files = spark.read.format("binaryFile").load(path).select("content")
-    rows = Scratch(spark, "records").write(files.mapInArrow(run, f"{COLUMNS}, origin string, number int, total long, part binary"), "records")
+    rows = Scratch(spark, "records").write(files.mapInArrow(tidied(run), f"{COLUMNS}, origin string, number int, total long, part binary"), "records")
     names = schema.names[:5]
     whole = rows.where("origin is null").select(*names)
     joined = rows.where("origin is not null").select("page_id", "origin", "number", "total", "part").groupBy("origin").applyInArrow(reassemble, COLUMNS)

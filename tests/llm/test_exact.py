@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from sagebase.llm import embeddings, graph, mixing, pieces, sharding, shingles, sstable, substrings, tokencount, warc
+from sagebase.llm import common, embeddings, graph, mixing, pieces, sharding, shingles, sstable, substrings, tokencount, warc
 from sagebase.llm.common import Scratch
 
 rows_of = lambda df: sorted((tuple(r) for r in df.collect()), key=str)
@@ -78,6 +78,7 @@ def test_shingle_components(spark, monkeypatch, small):
     if small:  # large regions: pivots, windows and pairs of blocks
         monkeypatch.setattr(shingles, "SHINGLES_A_TASK", 300)
         monkeypatch.setattr(shingles, "ROUNDS", 1)
+        monkeypatch.setattr(common, "HOT_ROWS", 0)
     rows = shingle_rows()
     df = spark.createDataFrame([(i, t, 9, 1) for i, t in rows], "doc_id long, text string, n int, part int")
     assert rows_of(shingles.near_duplicate_components(df)) == brute_shingles(rows)
@@ -185,6 +186,26 @@ def test_embedding_links(spark, monkeypatch, block):
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_recall_of_the_cells(spark):
+    """6,000 vectors without clusters, a third of them with a partner just above or below the threshold: cells against all pairs."""
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((4000, 24))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    off = rng.standard_normal((2000, 24))
+    off -= (off * x[:2000]).sum(axis=1, keepdims=True) * x[:2000]
+    off /= np.linalg.norm(off, axis=1, keepdims=True)
+    cos = rng.uniform(0.87, 0.99, 2000)[:, None]
+    x = np.concatenate([x, cos * x[:2000] + np.sqrt(1 - cos**2) * off])
+    near = x @ x.T >= 0.9
+    np.fill_diagonal(near, False)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = np.array([r.n_links for r in embeddings.near_duplicates(df).orderBy("vec_id").collect()])
+    assert embeddings.probes_for(20) == 4 < 20  # 20 cells, most of which a vector doesn't visit
+    assert (got <= near.sum(axis=1)).all() and got.sum() >= 0.97 * near.sum() > 2000
+    exact = np.array([r.n_links for r in embeddings.near_duplicates(df, probes=0).orderBy("vec_id").collect()])
+    assert (exact == near.sum(axis=1)).all()
+
+
 def test_components(spark):
     rng = random.Random(1)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(k, k + 1) for k in range(1000, 1060)]
@@ -310,7 +331,9 @@ def test_token_shards(spark):
 # ---- archives ----
 
 
-def test_warc(spark):
+@pytest.mark.parametrize("hot", [1000, 1])
+def test_warc(spark, monkeypatch, hot):
+    monkeypatch.setattr(common, "HOT_ROWS", hot)
     rows = [(1, None), (2, ""), (3, "x" * 200_000 + "é\r\n\r\nWARC/1.1\r\n"), (4, "x" * 200_000 + "é\r\n\r\nWARC/1.1\r\n"), (None, "a"), (None, "a"), (7, "a"), (7, "a"), (9, "a"), (-3, "zz"), (10, "y" * 100_000), (10, "y" * 100_000)]
     df = spark.createDataFrame([(i, None if i == 2 else "http://x\n", h, 5) for i, h in rows], "page_id long, url string, html string, origin int")
     best = {}
@@ -343,6 +366,16 @@ def test_byte_shards(spark):
     assert sharding.shard_by_bytes(spark.createDataFrame([], "doc_id long, text string"), 5).count() == 0
 
 
+def test_equal_texts_go_by_their_ids(spark):
+    """Equal texts scatter by id; a text longer than a shard is a shard of its own; repeated rows are neighbours."""
+    rows = [(k, "same text" if k % 2 else f"text {k:04d}") for k in range(200)] + [(60, "x" * 50_000), (61, "same text"), (61, "same text")]
+    got = sharding.shard_by_bytes(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect()
+    order = sorted(got, key=lambda r: (r.shard, r.slot))
+    assert [(r.doc_id, r.text_crc32) for r in order] == sorted((i, zlib.crc32(t.encode())) for i, t in rows)
+    same = {r.shard for r in got if r.text_crc32 == zlib.crc32(b"same text")}
+    assert len(same) > 1 and sum(r.size for r in got if r.shard == next(x.shard for x in got if x.size > 50_000)) > 50_000
+
+
 def brute_mix(rows, weights=(3, 1, 2), share=1.5, cap=2, seed=20):
     """(doc_id, size) -> copies, by plain loops; shards by the leaves' quotas, drawn in the blocks' order."""
     docs = [(i, s, len(re.findall(r"[^\x20\x09-\x0D]+", t or "")), hashlib.md5("|".join([*([] if i is None else [str(i)]), str(seed)]).encode()).hexdigest()) for i, t, s in rows]
