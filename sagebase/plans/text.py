@@ -138,12 +138,18 @@ def parse_cache_lookup(spark, sf):
     return docs.join(cache, "digest", "left").select("doc_id", "cached_as")
 
 
+def parse_cache_put(spark, sf):
+    """The cache after new parses: the latest of a digest stays, parses without text are none."""
+    docs = frame(spark, sf, "documents").select(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("digest"), (F.col("doc_id") % 7).alias("parsed_at"), F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 5 > 0, F.col("text")).alias("content"))
+    return docs.where(~T.blank(F.col("content"))).groupBy("digest").agg(F.max_by("id", F.struct("parsed_at", "id")).alias("id"))
+
+
 def embed_text(spark, sf):
     chunks = frame(spark, sf, "v_chunk").withColumn("title", F.when(F.col("seq") % 2 == 0, F.concat(F.lit("t"), F.col("doc_id").cast("string"))))
     return chunks.select("doc_id", "seq", F.md5(F.when(T.blank(F.col("title")), F.col("content")).otherwise(F.concat_ws("\n", "title", "content")).cast("binary")).alias("digest"))
 
 
-QUERIES = {f.__name__: f for f in (heading_level, fixed_width_chunks, sentence_chunks, paragraph_chunks, recursive_chunks, code_fences, tables_extracted, table_forward_fill, page_assemble, page_mark_split, missing_pages, slide_footer, slide_chunks, file_dispatch, blob_paths, reader_markdown, text_poor_pages, html_to_markdown, token_estimate, router_cap, content_hash, parse_cache_lookup, embed_text)}
+QUERIES = {f.__name__: f for f in (heading_level, fixed_width_chunks, sentence_chunks, paragraph_chunks, recursive_chunks, code_fences, tables_extracted, table_forward_fill, page_assemble, page_mark_split, missing_pages, slide_footer, slide_chunks, file_dispatch, blob_paths, reader_markdown, text_poor_pages, html_to_markdown, token_estimate, router_cap, content_hash, parse_cache_lookup, parse_cache_put, embed_text)}
 
 _TRIM = r"regexp_replace({}, '^[\x00-\x20]+|[\x00-\x20]+$', '', 'g')"
 _PAGES = "pg as (select doc_id, page_num, string_agg(line, chr(10) order by line_no) as md from v_line group by doc_id, page_num)"
@@ -171,5 +177,6 @@ ORACLE_SQL = {
     "router_cap": f"with e as (select item_id, ceil({_EST.format('repeat(text, (item_id % 16)::int)')} * 1.35) + 40 as need from benchmark) select item_id, case when need <= 256 then 256 when need <= 512 then 512 else 1024 end as cap from e",
     "content_hash": "select page_id, sha256(coalesce(html, '')) as digest from pages",
     "parse_cache_lookup": "with c as (select sha256(text) as digest, max(doc_id) as cached_as from documents where doc_id % 2 = 0 group by 1) select doc_id, cached_as from documents left join c on sha256(text) = digest",
+    "parse_cache_put": f"with c as (select sha256(coalesce(text, '')) as digest, doc_id as id, doc_id % 7 as t from documents where doc_id % 5 > 0 and {_TRIM.format('text')} <> '') select digest, arg_max(id, t * 1000000000 + id) as id from c group by 1",
     "embed_text": oracle("select doc_id, seq, md5(case when seq % 2 = 0 then 't' || doc_id::varchar || chr(10) || content else content end) as digest from v_chunk"),
 }
