@@ -38,9 +38,13 @@ def tokens(text: Column) -> Column:
     return F.when(text.rlike("[一-鿿]{2}"), F.flatten(F.transform(words, pairs))).otherwise(words)
 
 
+def windows(text: Column, n: int) -> Column:
+    """All runs of n characters, in one pass: a substring by place would count from the start each time."""
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), 1)
+
+
 def trigrams(text: Column) -> Column:
-    n = F.length(text)
-    return F.when(n < 3, F.array().cast("array<string>")).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), lambda i: F.substring(text, i, F.lit(3)))))
+    return F.array_distinct(windows(text, 3))
 
 
 def token_estimate(text: Column) -> Column:

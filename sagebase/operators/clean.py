@@ -125,7 +125,7 @@ def near_duplicates(chunks: DataFrame) -> DataFrame:
     placed = chunks.where(n >= 3).select("doc_id", "seq", "content", F.xxhash64("content").alias("key")).withColumn("nth", F.row_number().over(order))
     repeats = placed.where("nth > 1").select("doc_id", "seq")
     # 64-bit hashes stand for the trigrams: set operations on long arrays are hashed.
-    grams = F.sort_array(F.array_distinct(F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.xxhash64(F.substring(F.col("content"), i, F.lit(3))))))
+    grams = F.sort_array(F.array_distinct(F.transform(T.windows(F.col("content"), 3), lambda g: F.xxhash64(g))))
     rows = placed.where("nth = 1").select("doc_id", "seq", n.alias("len"), grams.alias("grams")).withColumn("n", F.size("grams"))
     prefix = F.col("n") - F.ceil(F.col("n") * SIMILARITY - 1e-9).cast("int") + 1
     keyed = rows.select("doc_id", "seq", "len", "n", F.posexplode(F.slice("grams", 1, prefix)).alias("at", "key"))
