@@ -15,7 +15,8 @@ with each other again. What fits a task is joined there exactly.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import itertools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +33,8 @@ from sagebase.llm.graph import components, roots
 WORDS, LINK = 3, 90
 #: Sizes of a band grow by about this factor, below LINK by 100 / link, the least that holds; each band has its own classes.
 BAND = 1.5
-#: Keys of one task (a text gives one link at most for each task that has some of its keys), and shingles that one task compares.
-KEYS_A_TASK, SHINGLES_A_TASK = 2 << 20, 1 << 19
+#: Keys of one task (a text gives one link at most for each task that has some of its keys), shingles that one task compares, and of a pair of blocks.
+KEYS_A_TASK, SHINGLES_A_TASK, BLOCK_SHINGLES = 2 << 20, 1 << 19, 2 << 20
 #: Turns of cutting by pivots, pivots of one region in a turn (about, and further apart than so many radii) and their bytes in all, and the distance up to
 #: which a pivot is near.
 ROUNDS, PIVOTS, APART, PIVOT_BYTES, NEAR = 3, 16, 4, 32 << 20, 0.7
@@ -92,9 +93,12 @@ def first_shingles(values: np.ndarray, offsets: np.ndarray, link: int) -> tuple[
     return values[ragged(offsets[:-1], want)], np.repeat(np.arange(len(n)), want)
 
 
-def keys_of(values: np.ndarray, offsets: np.ndarray, link: int = LINK) -> tuple[np.ndarray, np.ndarray]:
-    """Region keys of each set, and the number of the set that each belongs to: the contents of two of a class' three parts, for its own band and for the next
-    one if a set of that can be within the radius.
+def keys_of(values: np.ndarray, offsets: np.ndarray, link: int = LINK, parts: int = 3, agree: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    """Region keys of each set, and the number of the set that each belongs to: the contents of `agree` of a class' `parts` parts, for its own band and for the
+    next one if a set of that can be within the radius.
+
+    With `agree` parts, a class may have parts - agree differences. So there are more classes than the differences divided by one more, and a set is sure of a
+    key with each partner if that many of its classes have a filled part in every choice.
 
     Sets too small to link with a smaller or larger one get none (fewer than 9 shingles at 90): they link with equal ones only. Where only one shingle may
     differ, the keys are the set and the set without each shingle.
@@ -126,26 +130,27 @@ def keys_of(values: np.ndarray, offsets: np.ndarray, link: int = LINK) -> tuple[
         many = np.flatnonzero(~one)
         if not len(many):
             continue
-        m = np.where(single, 0, most // 2 + 3 + most // 16)  # more classes than half the differences, and some that may be nearly empty
+        worst = most // (parts - agree + 1)  # classes that can have too many differences
+        m = np.where(single, 0, worst + 3 + worst // 8)  # and some that may be nearly empty
         start = np.cumsum(m) - m
         v, who = value[many], place[many]
-        slot = (start[who] + ((v >> U(33)) % m[who].astype(np.uint64)).astype(np.int64)) * 3 + ((v >> U(12)) % U(3)).astype(np.int64)
+        slot = (start[who] + ((v >> U(33)) % m[who].astype(np.uint64)).astype(np.int64)) * parts + ((v >> U(12)) % U(parts)).astype(np.int64)
         order = np.argsort(slot, kind="stable")
         slot = slot[order]
         first = np.flatnonzero(np.diff(slot, prepend=-1))
-        content = np.zeros(3 * int(m.sum()), np.uint64)
+        content = np.zeros(parts * int(m.sum()), np.uint64)
         full = np.zeros(len(content), bool)
         content[slot[first]] = np.add.reduceat(add[many][order], first)
         full[slot[first]] = True
-        parts, full = mix64(content + np.tile(np.arange(3, dtype=np.uint64), len(content) // 3) * U(0xD6E8FEB86659FD93)).reshape(-1, 3), full.reshape(-1, 3)
+        content = mix64(content + np.tile(np.arange(parts, dtype=np.uint64), len(content) // parts) * U(0xD6E8FEB86659FD93)).reshape(-1, parts)
+        full = full.reshape(-1, parts)
         of = np.repeat(np.arange(len(some)), m)
         tag = mix64((np.arange(len(of)) - start[of]).astype(np.uint64) + seed[of])
-        for x, y in ((0, 1), (0, 2), (1, 2)):
-            has = full[:, x] | full[:, y]
-            keys.append(mix64(parts[has, x] + parts[has, y] * U(0x9E3779B97F4A7C15) + tag[has]))
+        for choice in itertools.combinations(range(parts), agree):
+            has = full[:, choice].any(axis=1)
+            keys.append(mix64(content[has][:, choice].sum(axis=1, dtype=np.uint64) + tag[has]))
             owners.append(some[of[has]])
-        # Too few classes with two parts filled to be sure of a key.
-        few = np.flatnonzero(~single & (np.bincount(of, full.sum(axis=1) >= 2, len(some)) <= most // 2))
+        few = np.flatnonzero(~single & (np.bincount(of, full.sum(axis=1) > parts - agree, len(some)) <= worst))
         head, of = first_shingles(values[ragged(offsets[:-1][some[few]], size[few])], np.concatenate([[0], np.cumsum(size[few])]), link)
         keys.append(mix64(head ^ mix64(seed[few][of] + U(1))))
         owners.append(some[few][of])
@@ -270,31 +275,11 @@ def unpacked_docs(blob: pa.Scalar, n: int) -> np.ndarray:
     return np.frombuffer(raw, "<u4" if raw[:1] == b"N" else "<i8", n, 1).astype(np.int64)
 
 
-def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, link: int = LINK) -> DataFrame:
-    """doc_id, n_shingles and component_id of every text under links of Jaccard similarity link / 100 or more (link below 100).
+def candidates(rows: DataFrame, keyed: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray]], parts: int) -> DataFrame:
+    """Links (a, b) between documents that share a key, as stars around the least of each task; `keyed` gives a batch's keys and their documents.
 
-    A text's set holds its distinct shingles of so many words (A-Z in lower case); a text of fewer words has its whole
-    sequence as one shingle. Components are exact: no link between different texts is left out that would connect two of them.
-
-    Edge cases: texts without words (null, empty or blank) have size 0 and are their own components, as have rows with a null id
-    (null component); rows of a repeated id are one node; very long texts are processed whole; an empty table gives no
-    rows; only the named columns are read.
+    Keys are dealt to `parts` tasks; they move, packed, and aren't written.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    scratch = Scratch(spark, "shingles")
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-
-    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values, offsets = shingle_sets(column(batch, "text"), words)
-            one, two = set_hashes(values, offsets)
-            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(np.diff(offsets)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], names=["doc_id", "n_shingles", "k1", "k2"])
-
-    slim = scratch.write(source.mapInArrow(tidied(measured), "doc_id long, n_shingles long, k1 long, k2 long"), "slim")
-
-    # A word for every four bytes of the files, about; three keys for two shingles that may differ, in two bands. Keys are many, so they move and aren't written.
-    parts = parts_for(spark, scan_bytes(docs) * 1.5 * (100 - link) / (100 + link), KEYS_A_TASK)
 
     def dissect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -312,18 +297,9 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
             return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([base] * len(some), pa.int64()), pa.array(blobs[0], pa.binary()), pa.array(blobs[1], pa.binary())], names=["part", "base", "keys", "docs"])
 
         for batch in batches:
-            ids = column(batch, "doc_id")
-            values, offsets = shingle_sets(column(batch, "text"), words)
-            n = np.diff(offsets)
-            one, two = set_hashes(values, offsets)
-            # Of equal sets in a batch the first gets keys; equal sets elsewhere have the same ones.
-            known = np.flatnonzero(n > 0)
-            rep = known[np.unique(first_of_equal(one[known], two[known], n[known]))]
-            if not len(rep):
-                continue
-            key, owner = keys_of(values[ragged(offsets[:-1][rep], n[rep])], np.concatenate([[0], np.cumsum(n[rep])]), link)
+            key, doc = keyed(batch)
             if len(key):
-                held.append((key, np.asarray(ids, dtype=np.int64)[rep][owner]))
+                held.append((key, doc))
             if sum(len(k) for k, _ in held) >= 1 << 20:
                 yield dealt()
         if held:
@@ -340,8 +316,70 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
         a, b = roots(doc[other], least[other])
         return pa.table({"a": pa.array(a), "b": pa.array(b)})
 
-    dealt_keys = source.where("doc_id is not null").mapInArrow(tidied(dissect), "part int, base long, keys binary, docs binary")
-    regions = components(dealt_keys.groupBy("part").applyInArrow(stars, "a long, b long"), scratch)
+    return rows.mapInArrow(tidied(dissect), "part int, base long, keys binary, docs binary").groupBy("part").applyInArrow(stars, "a long, b long")
+
+
+def refined(members: DataFrame, scratch: Scratch, link: int) -> DataFrame:
+    """The members with large regions keyed once more, by four of six parts: what only a common passage joined falls apart. Links keep their ends in one region."""
+    sizes = members.groupBy("region").agg(F.sum("n").alias("total")).where(F.col("total") > SHINGLES_A_TASK)
+    large = scratch.write(sizes, "large")
+    total = large.agg(F.sum("total")).first()[0]
+    if not total:
+        return members
+    big = members.join(large.select("region"), "region")
+
+    def keyed(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        n = np.asarray(column(batch, "n"), dtype=np.int64)
+        values = np.concatenate([np.frombuffer(s.as_buffer(), np.uint64) for s in column(batch, "shingles")])
+        key, owner = keys_of(values, np.concatenate([[0], np.cumsum(n)]), link, 6, 4)
+        region = mix64(np.asarray(column(batch, "region"), dtype=np.int64).view(np.uint64))
+        return mix64(key + region[owner]), np.asarray(column(batch, "doc_id"), dtype=np.int64)[owner]
+
+    parts = parts_for(members.sparkSession, total * 10 * (100 - link) / (100 + link), KEYS_A_TASK)
+    finer = components(candidates(big.select("region", "doc_id", "n", "shingles"), keyed, parts), scratch).select(F.col("node").alias("doc_id"), F.col("root").alias("finer"))
+    out = big.join(finer, "doc_id").select(F.col("finer").alias("region"), "doc_id", "n", "shingles")
+    out = scratch.write(members.join(large.select("region"), "region", "left_anti").select("region", "doc_id", "n", "shingles").unionByName(out), "refined")
+    scratch.drop(members)
+    return out
+
+
+def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, link: int = LINK) -> DataFrame:
+    """doc_id, n_shingles and component_id of every text under links of Jaccard similarity link / 100 or more (link below 100).
+
+    A text's set holds its distinct shingles of so many words (A-Z in lower case); a text of fewer words has its whole
+    sequence as one shingle. Components are exact: no link between different texts is left out that would connect two of them.
+
+    Edge cases: texts without words (null, empty or blank) have size 0 and are their own components, as have rows with a null id
+    (null component); rows of a repeated id are one node; very long texts are processed whole; an empty table gives no
+    rows; only the named columns are read.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
+    scratch = Scratch(spark, "shingles")
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values, offsets = shingle_sets(column(batch, "text"), words)
+            one, two = set_hashes(values, offsets)
+            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(np.diff(offsets)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], names=["doc_id", "n_shingles", "k1", "k2"])
+
+    slim = scratch.write(source.mapInArrow(tidied(measured), "doc_id long, n_shingles long, k1 long, k2 long"), "slim")
+
+    # A word for every four bytes of the files, about; three keys for two shingles that may differ, in two bands. Keys are many, so they move and aren't written.
+    parts = parts_for(spark, scan_bytes(docs) * 1.5 * (100 - link) / (100 + link), KEYS_A_TASK)
+
+    def keyed(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        values, offsets = shingle_sets(column(batch, "text"), words)
+        n = np.diff(offsets)
+        one, two = set_hashes(values, offsets)
+        # Of equal sets in a batch the first gets keys; equal sets elsewhere have the same ones.
+        known = np.flatnonzero(n > 0)
+        rep = known[np.unique(first_of_equal(one[known], two[known], n[known]))] if len(known) else known
+        key, owner = keys_of(values[ragged(offsets[:-1][rep], n[rep])], np.concatenate([[0], np.cumsum(n[rep])]), link)
+        return key, np.asarray(column(batch, "doc_id"), dtype=np.int64)[rep][owner]
+
+    regions = components(candidates(source.where("doc_id is not null"), keyed, parts), scratch)
 
     # Of equal sets the one with the least id stands for all.
     keys = ["k1", "k2", "n_shingles"]
@@ -362,7 +400,7 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     kept = scratch.write(kept.join(several, "region"), "kept")
     members = source.join(kept.hint("merge"), "doc_id")
     members = scratch.write(members.select("region", "doc_id", "text").mapInArrow(tidied(shingled), "region long, doc_id long, n long, shingles binary").where("n > 0"), "members")
-    links = verified(members, scratch, link)
+    links = verified(refined(members, scratch, link), scratch, link)
     tree = components(links.unionByName(copies), scratch)
     out = slim.select("doc_id", "n_shingles").join(tree, F.col("doc_id") == F.col("node"), "left")
     return out.select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
@@ -399,7 +437,7 @@ class Pivots:
 
 def in_blocks(active: DataFrame, link: int) -> DataFrame:
     """Exact links of regions that no pivot cuts: every pair of blocks is a task."""
-    blocks = active.withColumn("blocks", F.ceil(2 * F.col("total") / SHINGLES_A_TASK).cast("int"))
+    blocks = active.withColumn("blocks", F.ceil(2 * F.col("total") / BLOCK_SHINGLES).cast("int"))
     blocks = blocks.withColumn("mine", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     blocks = blocks.withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other"))
     return region_links(blocks, ["cell", "i", "j"], link)

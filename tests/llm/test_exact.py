@@ -77,6 +77,7 @@ def shingle_rows():
 def test_shingle_components(spark, monkeypatch, small):
     if small:  # large regions: pivots, windows and pairs of blocks
         monkeypatch.setattr(shingles, "SHINGLES_A_TASK", 300)
+        monkeypatch.setattr(shingles, "BLOCK_SHINGLES", 300)
         monkeypatch.setattr(shingles, "ROUNDS", 1)
         monkeypatch.setattr(common, "HOT_ROWS", 0)
     rows = shingle_rows()

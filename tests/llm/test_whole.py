@@ -51,6 +51,7 @@ def test_stage_of_near_duplicates(spark, monkeypatch, tmp_path, small):
 
     if small:
         monkeypatch.setattr(shingles, "SHINGLES_A_TASK", 300)
+        monkeypatch.setattr(shingles, "BLOCK_SHINGLES", 300)
         monkeypatch.setattr(shingles, "ROUNDS", 1)
     rows = edited()
     groups = brute_groups(rows, 5, 80)
