@@ -68,12 +68,14 @@ def upserted(index: DataFrame, entries: DataFrame) -> DataFrame:
     return kept.select(entries.columns).unionByName(entries)
 
 
-def written(chunks: DataFrame, failed: DataFrame) -> DataFrame:
-    """Chunks after a write in batches: those whose item failed (failed: id) are FAILED, the others INDEXED under their id."""
+def written(chunks: DataFrame, failed: DataFrame, lost: DataFrame) -> DataFrame:
+    """Chunks after a write in batches of WRITE_BATCH by document and place: those whose item failed (failed: id) or whose whole batch was lost (lost: doc_id, batch)
+    are FAILED, the others INDEXED under their id."""
     bad = failed.select("id", F.lit(True).alias("bad")).distinct()
-    rows = chunks.join(bad, "id", "left")
-    ok = F.col("bad").isNull()
-    return rows.select("id", F.when(ok, "INDEXED").otherwise("FAILED").alias("status"), F.when(ok, F.col("id").cast("string")).alias("entry"))
+    gone = lost.select("doc_id", "batch", F.lit(True).alias("gone")).distinct()
+    rows = chunks.withColumn("batch", batch_of(["doc_id"], ["seq"], WRITE_BATCH)).join(bad, "id", "left").join(gone, ["doc_id", "batch"], "left")
+    ok = F.col("bad").isNull() & F.col("gone").isNull()
+    return rows.select("id", "batch", F.when(ok, "INDEXED").otherwise("FAILED").alias("status"), F.when(ok, F.col("id").cast("string")).alias("entry"))
 
 
 def without_document(index: DataFrame, gone: DataFrame) -> DataFrame:

@@ -52,7 +52,8 @@ def source_upsert(spark, sf):
 
 def bulk_write_states(spark, sf):
     rows = X.waiting(_chunks(spark, sf))
-    return X.written(rows, rows.where("id % 13 = 0").select("id"))
+    lost = frame(spark, sf, "documents").where("doc_id % 11 = 0").select("doc_id", F.lit(0).alias("batch"))
+    return X.written(rows, rows.where("id % 13 = 0").select("id"), lost)
 
 
 def document_chunks_removed(spark, sf):
@@ -79,7 +80,7 @@ ORACLE_SQL = {
     "embed_batches": oracle(f"select doc_id, seq, ((row_number() over (partition by doc_id order by seq) - 1) // 10)::int as batch from v_chunk_state where {_WAIT}"),
     "index_entries": oracle(f"with {_ENTRIES} select entry, doc_id, kb_id, doc_name, page_num, title, 'CHUNK' as source_type, md5(content) as digest, clean_status from en"),
     "source_upsert": oracle(f"with {_ITEMS} select source_type || '-' || id::varchar as entry, doc_id, doc_name, title, source_type, content || case when id % 5 = 0 then ' again' else '' end as content from it where id % 5 < 3"),
-    "bulk_write_states": oracle(f"with {_CHUNKS} select id, case when id % 13 = 0 then 'FAILED' else 'INDEXED' end as status, case when id % 13 > 0 then id::varchar end as entry from ck where {_WAIT}"),
+    "bulk_write_states": oracle(f"with {_CHUNKS}, w as (select *, ((row_number() over (partition by doc_id order by seq) - 1) // 100)::int as batch from ck where {_WAIT}), x as (select *, id % 13 = 0 or (doc_id % 11 = 0 and batch = 0) as bad from w) select id, batch, case when bad then 'FAILED' else 'INDEXED' end as status, case when not bad then id::varchar end as entry from x"),
     "document_chunks_removed": oracle(f"with {_ENTRIES}, t as (select *, case chunk_id % 3 when 0 then 'CHUNK' when 1 then 'QA' end as source_type from en) select entry, doc_id, source_type from t where not (doc_id in (select doc_id from documents where doc_id % 2 = 0) and coalesce(source_type, 'CHUNK') = 'CHUNK')"),
     "bases_removed": oracle(f"with {_ITEMS} select source_type || '-' || id::varchar as entry, kb_id from it where kb_id not in (1, 3)"),
     "retry_failed_chunks": oracle("select doc_id, seq, case when status = 'FAILED' and coalesce(clean_status, '') <> 'FILTERED' then 'EMBEDDING' else status end as status from v_chunk_state"),
