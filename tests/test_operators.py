@@ -180,3 +180,26 @@ def test_references_are_json(spark):
     row = spark.createDataFrame([(1, 2, None, None, None, None, "s")], "chunk_id long, doc_id long, source_type string, doc_name string, page_num int, title string, snippet string").select(qa.refs_json(F.array(F.struct("*"))).alias("j")).first()
     assert json.loads(row.j) == [{"chunkId": 1, "docName": None, "page": 0, "sourceType": "CHUNK", "title": "", "docId": 2, "content": "s"}]
     assert segment.chunk_page("") == ([], "", ())
+
+
+@pytest.mark.parametrize(
+    ("reply", "want"),
+    [
+        (None, ""),
+        ("```markdown\n识别结果：A ## B\n\n \n\nC\n```\nbye", "A \n## B\n\nC"),
+        ("```\nx", "x"),
+        ("页面内容： plain", "plain"),
+        ("# top\ntext", "# top\ntext"),
+    ],
+)
+def test_reader_markdown(spark, reply, want):
+    from sagebase.functions import text
+
+    assert spark.range(1).select(text.reader_markdown(F.lit(reply).cast("string")).alias("x")).first().x == want
+
+
+def test_saved_errors_and_poor_pages(spark):
+    from sagebase.functions import text
+
+    row = spark.range(1).select(text.text_poor(F.lit(" \n")).alias("a"), text.text_poor(F.lit("x" * 50)).alias("b"), text.friendly_error(F.lit("stream 调用 I/O error")).alias("c")).first()
+    assert (row.a, row.b, row.c) == (True, False, "模型服务调用超时或连接中断，请稍后重试")
