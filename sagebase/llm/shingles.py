@@ -34,7 +34,7 @@ WORDS, LINK = 3, 90
 #: Sizes of a band grow by about this factor, below LINK by 100 / link, the least that holds; each band has its own classes.
 BAND = 1.5
 #: Keys of one task (a text gives one link at most for each task that has some of its keys), shingles that one task compares, and of a pair of blocks.
-KEYS_A_TASK, SHINGLES_A_TASK, BLOCK_SHINGLES = 1 << 20, 1 << 19, 1 << 20
+KEYS_A_TASK, SHINGLES_A_TASK, BLOCK_SHINGLES = 2 << 20, 1 << 19, 1 << 20
 #: Turns of cutting by pivots, pivots of one region in a turn (about, and further apart than so many radii) and their bytes in all, and the distance up to
 #: which a pivot is near.
 ROUNDS, PIVOTS, APART, PIVOT_BYTES, NEAR = 3, 16, 4, 32 << 20, 0.7
