@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sagebase.llm import decontaminate, embeddings, mixing, rolling, sharding, shingles, sstable, substrings, tokencount, toxicity, warc
+from sagebase.llm import audit, decontaminate, embeddings, mixing, rolling, sharding, shingles, sstable, substrings, tokencount, toxicity, warc
 
 QUERIES = {
     "op1_benchmark_leaks": decontaminate.op1_benchmark_leaks,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_byte_shards": sharding.op8_byte_shards,
     "op9_shingle_components": shingles.op9_shingle_components,
     "op10_token_counts": tokencount.op10_token_counts,
+    "op11_filter_audit": audit.op11_filter_audit,
     "op13_rolling_median": rolling.op13_rolling_median,
 }
 
 ORACLE_SQL = {
     "op8_byte_shards": sharding.OP8_SQL,
+    "op11_filter_audit": audit.OP11_SQL,
     "op13_rolling_median": rolling.OP13_SQL,
 }
