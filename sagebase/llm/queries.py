@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sagebase.llm import audit, decontaminate, embeddings, mixing, rolling, sharding, shingles, sstable, substrings, tokencount, toxicity, warc
+from sagebase.llm import audit, decontaminate, embeddings, language, mixing, rolling, sharding, shingles, sstable, substrings, tokencount, toxicity, warc
 
 QUERIES = {
     "op1_benchmark_leaks": decontaminate.op1_benchmark_leaks,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_shingle_components": shingles.op9_shingle_components,
     "op10_token_counts": tokencount.op10_token_counts,
     "op11_filter_audit": audit.op11_filter_audit,
+    "op12_byte_languages": language.op12_byte_languages,
     "op13_rolling_median": rolling.op13_rolling_median,
 }
 
