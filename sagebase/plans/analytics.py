@@ -57,7 +57,7 @@ def document_vector_stats(spark, sf):
 
 
 def document_list(spark, sf):
-    stats = A.vector_stats(frame(spark, sf, "v_chunk_state").where("doc_id % 5 > 0"))
+    stats = A.vector_stats(frame(spark, sf, "v_chunk_state"))
     rows = frame(spark, sf, "v_document").join(stats, F.col("id") == F.col("doc_id"), "left")
     return rows.select("id", "file_name", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("indexed", "pending", "failed", "suspect", "total")])
 
@@ -126,7 +126,7 @@ ORACLE_SQL = {
     "session_list_backfilled": oracle("select s.id, s.kb_id, coalesce((select max(m.id) from v_message m where m.session_id = s.id and m.role = 'ASSISTANT'), s.id * 1000) as last_id from v_session s"),
     "chunk_status_counts": oracle("select doc_id, status, clean_status, count(*) as n from v_chunk_state group by all"),
     "document_vector_stats": oracle(_STATS.format("")),
-    "document_list": oracle(f"with st as ({_STATS.format('where doc_id % 5 > 0')}) select id, file_name, coalesce(indexed, 0) as indexed, coalesce(pending, 0) as pending, coalesce(failed, 0) as failed, coalesce(suspect, 0) as suspect, coalesce(total, 0) as total from v_document left join st on id = doc_id"),
+    "document_list": oracle(f"with st as ({_STATS.format('')}) select id, file_name, coalesce(indexed, 0) as indexed, coalesce(pending, 0) as pending, coalesce(failed, 0) as failed, coalesce(suspect, 0) as suspect, coalesce(total, 0) as total from v_document left join st on id = doc_id"),
     "vector_state_summary": oracle(f"""with st as ({_STATS.format('')}) select doc_id, case when pending > 0 or failed > 0 then '向量未完成：已索引 ' || indexed::varchar || '/' || total::varchar || case when failed > 0 then '，失败 ' || failed::varchar else '' end
       || case when pending > 0 then '，待向量化 ' || pending::varchar else '' end || case when suspect > 0 then '；另有 ' || suspect::varchar || ' 块待人工审核' else '' end || '；可在文档列表点「重建向量」修复，无需重新解析' end as summary from st"""),
     "chunk_page": oracle("select doc_id, seq, status from v_chunk_state where kb_id = 2 order by doc_id, seq limit 25 offset 10"),

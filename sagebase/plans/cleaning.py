@@ -15,7 +15,7 @@ def _pages(spark, sf):
 
 
 def _chunks(spark, sf):
-    return frame(spark, sf, "v_chunk").withColumn("title", F.when(F.col("doc_id") % 50 == 0, F.lit("Sheet 1")).when(F.col("doc_id") % 50 == 1, F.substring("content", 1, 10)))
+    return frame(spark, sf, "v_chunk").withColumn("title", F.when(F.col("doc_id") % 50 == 0, F.lit("Sheet 1")).when(F.col("doc_id") % 50 == 1, F.col("content")))
 
 
 def line_template_ratio(spark, sf):
@@ -58,7 +58,7 @@ def protect_key_value(spark, sf):
 
 
 def protect_title_line(spark, sf):
-    short = _chunks(spark, sf).withColumn("content", F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("## "), F.regexp_replace(F.substring("content", 1, 20), "\n", " "))).when(F.col("doc_id") % 50 == 1, F.substring("content", 1, 10)).otherwise(F.col("content")))
+    short = _chunks(spark, sf).withColumn("content", F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("## "), F.regexp_replace("content", "\n", " "))).otherwise(F.col("content")))
     return short.where(C.protect_title(F.col("content"), F.col("title"))).select("doc_id", "seq")
 
 
@@ -75,8 +75,8 @@ def _overlapping(spark, sf):
 
 
 def _fragments(spark, sf):
-    """Short lines, as fragments: from nothing to a few words."""
-    return frame(spark, sf, "v_line").select("doc_id", "line_no", F.when(F.col("doc_id") % 11 == 0, F.lit("https://example.org/a")).when(F.col("doc_id") % 13 == 0, F.lit("--- *** ---")).when(F.col("doc_id") % 17 == 0, F.concat("line", F.lit("�"))).otherwise(F.substring("line", 1, 9)).alias("content"))
+    """Lines as fragments, a third of them short."""
+    return frame(spark, sf, "v_line").select("doc_id", "line_no", F.when(F.col("doc_id") % 11 == 0, F.lit("https://example.org/a")).when(F.col("doc_id") % 13 == 0, F.lit("--- *** ---")).when(F.col("doc_id") % 17 == 0, F.concat("line", F.lit("�"))).when(F.col("line_no") % 3 == 1, F.concat(F.lit("n "), F.col("line_no").cast("string"))).otherwise(F.col("line")).alias("content"))
 
 
 def fragment_a1_a5(spark, sf):
@@ -84,12 +84,12 @@ def fragment_a1_a5(spark, sf):
 
 
 def figure_table_titles(spark, sf):
-    rows = frame(spark, sf, "v_line").select("doc_id", "line_no", F.concat(F.when(F.col("line_no") % 2 == 0, F.lit("图 1 ")).otherwise(F.lit("表 2 ")), F.substring("line", 1, 24)).alias("content"))
+    rows = frame(spark, sf, "v_line").select("doc_id", "line_no", F.concat(F.when(F.col("line_no") % 2 == 0, F.lit("图 1 ")).otherwise(F.lit("表 2 ")), F.when(F.col("line_no") % 3 > 0, F.lit("overview")).otherwise(F.col("line"))).alias("content"))
     return rows.select("doc_id", "line_no", C.caption_rule(F.col("content")).alias("rule"))
 
 
 def image_only(spark, sf):
-    rows = frame(spark, sf, "v_line").select("doc_id", "line_no", F.concat(F.lit("![x](y.png) "), F.when(F.col("line_no") % 2 == 0, F.lit("<img src='a'>")).otherwise(F.substring("line", 1, 5))).alias("content"))
+    rows = frame(spark, sf, "v_line").select("doc_id", "line_no", F.concat(F.lit("![x](y.png) "), F.when(F.col("line_no") % 2 == 0, F.lit("<img src='a'>")).otherwise(F.col("line"))).alias("content"))
     return rows.where(C.caption_rule(F.col("content")) == "B3").select("doc_id", "line_no")
 
 
@@ -128,10 +128,10 @@ QUERIES = {f.__name__: f for f in (line_template_ratio, strip_header_footer, hea
 
 _TRIM = r"regexp_replace({}, '^[\x00-\x20]+|[\x00-\x20]+$', '', 'g')"
 _KEY = "regexp_replace(" + _TRIM.format("{}") + ", '[0-9]+', '<NUM>', 'g')"
-_TITLED = "ch as (select *, case when doc_id % 50 = 0 then 'Sheet 1' when doc_id % 50 = 1 then substring(content, 1, 10) end as title from v_chunk)"
+_TITLED = "ch as (select *, case when doc_id % 50 = 0 then 'Sheet 1' when doc_id % 50 = 1 then content end as title from v_chunk)"
 _SHARES = f"""k as (select *, {_KEY.format('line')} as key from v_line), p as (select doc_id, count(distinct page_num) as pages from k group by doc_id),
   s as (select doc_id, key, count(distinct page_num) as on_pages from k where key <> '' group by doc_id, key), sh as (select *, round(on_pages / pages, 6) as share from s join p using (doc_id))"""
-_FRAG = "fr as (select doc_id, line_no, case when doc_id % 11 = 0 then 'https://example.org/a' when doc_id % 13 = 0 then '--- *** ---' when doc_id % 17 = 0 then line || '�' else substring(line, 1, 9) end as content from v_line)"
+_FRAG = "fr as (select doc_id, line_no, case when doc_id % 11 = 0 then 'https://example.org/a' when doc_id % 13 = 0 then '--- *** ---' when doc_id % 17 = 0 then line || '�' when line_no % 3 = 1 then 'n ' || line_no::varchar else line end as content from v_line)"
 _RULE = rf"""case when {_TRIM.format('content')} = '' then 'A1' when not regexp_matches({_TRIM.format('content')}, '[\p{{L}}\p{{Nd}}]') then 'A2'
   when regexp_matches({_TRIM.format('content')}, '^((https?|ftp)://\S+|www\.\S+)$') then 'A3'
   when length({_TRIM.format('content')}) < 10 and (not regexp_matches(content, '[一-龥]') or not regexp_matches(content, '[0-9]')) then 'A4'
@@ -157,16 +157,16 @@ ORACLE_SQL = {
       select doc_id, page_num from (select *, row_number() over (partition by doc_id order by page_num desc) as back from pg) where back = 1 and regexp_matches(md, '免责声明|版权声明|著作权|版权所有|版权归|未经许可|机密|联系方式')"""),
     "protect_table": oracle(f"with {_TITLED} select doc_id, seq from ch where contains(content, '|') or coalesce(regexp_matches(title, 'sheet|Sheet|表格'), false)"),
     "protect_key_value": oracle(r"select doc_id, seq from v_chunk where regexp_matches(case when (doc_id + seq) % 7 = 0 then content || ' 温度：25 度' else content end, '[A-Za-z一-龥]{2,}\s*[：:]\s*\d+')"),
-    "protect_title_line": oracle(rf"""with {_TITLED}, x as (select doc_id, seq, title, case when doc_id % 3 = 0 then '## ' || replace(substring(content, 1, 20), chr(10), ' ') when doc_id % 50 = 1 then substring(content, 1, 10) else content end as content from ch)
+    "protect_title_line": oracle(rf"""with {_TITLED}, x as (select doc_id, seq, title, case when doc_id % 3 = 0 then '## ' || replace(content, chr(10), ' ') else content end as content from ch)
       select doc_id, seq from x where coalesce({_TRIM.format('content')} = title and {_TRIM.format('title')} <> '', false) or regexp_matches({_TRIM.format('content')}, '^(#{{1,6}}\s+[^\n]+|\*\*[^\n]+\*\*[ \t]*)$')"""),
     "protect_overlap_neighbor": oracle("""with b as (select doc_id, seq, content, lag(content) over (partition by doc_id order by seq) as pr from v_chunk),
       c as (select doc_id, seq, case when doc_id % 4 = 0 and pr is not null then substring(pr, 761, 40) || content else content end as content from b),
       d as (select *, lag(content) over w as pr, lead(content) over w as nx from c window w as (partition by doc_id order by seq))
       select doc_id, seq from d where coalesce(pr <> '' and length(right(pr, 40)) < length(content) and starts_with(content, right(pr, 40)), false) or coalesce(content <> '' and length(right(content, 40)) < length(nx) and starts_with(nx, right(content, 40)), false)"""),
     "fragment_a1_a5": oracle(f"with {_FRAG} select doc_id, line_no, {_RULE} as rule from fr"),
-    "figure_table_titles": oracle(rf"""with x as (select doc_id, line_no, case when line_no % 2 = 0 then '图 1 ' else '表 2 ' end || substring(line, 1, 24) as content from v_line), y as (select *, {_TRIM.format('content')} as t from x)
+    "figure_table_titles": oracle(rf"""with x as (select doc_id, line_no, case when line_no % 2 = 0 then '图 1 ' else '表 2 ' end || case when line_no % 3 > 0 then 'overview' else line end as content from v_line), y as (select *, {_TRIM.format('content')} as t from x)
       select doc_id, line_no, case when regexp_matches(t, '^表\s*\d+') and length(t) <= 20 and not contains(content, '|') then 'B2' when regexp_matches(t, '^(图|Fig\.?|表|Table)\s*\d+[.、:：\-]?\s*\S+') and length(t) <= 30 then 'B1' end as rule from y"""),
-    "image_only": oracle(rf"""with x as (select doc_id, line_no, '![x](y.png) ' || case when line_no % 2 = 0 then '<img src=''a''>' else substring(line, 1, 5) end as content from v_line)
+    "image_only": oracle(rf"""with x as (select doc_id, line_no, '![x](y.png) ' || case when line_no % 2 = 0 then '<img src=''a''>' else line end as content from v_line)
       select doc_id, line_no from x where {_TRIM.format(r"regexp_replace(content, '!\[[^\]]*\]\([^)]*\)|<img[^>]*>', '', 'g')")} = ''"""),
     "template_c1": oracle(f"""with {_LINES}, x as (select doc_id, seq, {_KEY.format("case when doc_id % 5 = 0 and seq % 3 > 0 then 'page ' || seq::varchar else content end")} as key from rc),
       y as (select *, count(*) over (partition by doc_id) as n, count(*) over (partition by doc_id, key) as times, row_number() over (partition by doc_id, key order by seq) as nth from x)

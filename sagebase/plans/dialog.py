@@ -121,7 +121,7 @@ def final_answers(spark, sf):
 
 def prompt_render(spark, sf):
     template = F.concat(F.lit("Q {{ question }} of {{kb|this base}}{{gone}}; {{who | nobody }} {{kb}}"), F.when(F.col("item_id") % 2 == 0, " {{question}}").otherwise(""))
-    values = F.map_from_arrays(F.when(F.col("item_id") % 3 == 0, F.array(F.lit("question"), F.lit("kb"))).otherwise(F.array(F.lit("question"))), F.when(F.col("item_id") % 3 == 0, F.array(F.substring("text", 1, 20), F.lit("{{who}}"))).otherwise(F.array(F.substring("text", 1, 20))))
+    values = F.map_from_arrays(F.when(F.col("item_id") % 3 == 0, F.array(F.lit("question"), F.lit("kb"))).otherwise(F.array(F.lit("question"))), F.when(F.col("item_id") % 3 == 0, F.array(F.col("text"), F.lit("{{who}}"))).otherwise(F.array(F.col("text"))))
     return frame(spark, sf, "benchmark").select("item_id", Q.rendered(template, values).alias("text"))
 
 
@@ -177,7 +177,7 @@ ORACLE_SQL = {
     "partial_answers": oracle(f"select id, '{Q.PARTIAL_PREFIX.strip()}' || chr(10) || case when no_answer then '' else answer end || case when id % 3 = 1 then chr(10) || chr(10) || '{Q.PARTIAL_MISSING.strip()}dates' else '' end as text from v_answer"),
     "final_answers": oracle(f"""with c as (select *, case when contradicted then '{_REFUSED}' when n_chitchat > 0 then 'hello' end as chat from v_answer)
       select id, chat, case when chat is null then answer when retry = 0 then 'merged' else chat || chr(10) || chr(10) || answer end as merged, coalesce(case when n_chitchat > 0 then chat end, case when not no_answer then answer end, '{Q.NO_ANSWER}') as final from c"""),
-    "prompt_render": "select item_id, 'Q ' || substring(text, 1, 20) || ' of ' || case when item_id % 3 = 0 then '{{who}}' else 'this base' end || '; nobody ' || case when item_id % 3 = 0 then '{{who}}' else '' end || case when item_id % 2 = 0 then ' ' || substring(text, 1, 20) else '' end as text from benchmark",
+    "prompt_render": "select item_id, 'Q ' || text || ' of ' || case when item_id % 3 = 0 then '{{who}}' else 'this base' end || '; nobody ' || case when item_id % 3 = 0 then '{{who}}' else '' end || case when item_id % 2 = 0 then ' ' || text else '' end as text from benchmark",
     "prompt_override": "select item_id as id, case when item_id % 3 = 0 then 'stored' else text end as template from benchmark",
     "rerank_response_scores": "select item_id, p as pos, case p when 0 then item_id % 7 / 8.0 when 2 then 0.5 else 0.0 end::double as score from benchmark, unnest([0, 1, 2, 3]) u(p)",
 }

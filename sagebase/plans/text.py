@@ -77,8 +77,8 @@ def missing_pages(spark, sf):
 
 
 def _slides(spark, sf):
-    """Pages as slides: most begin with the heading that the deck shares, the others with one of their own; every ninth is blank."""
-    head = F.when(F.col("page_num") % 4 > 0, F.lit("## 目录页\n")).otherwise(F.concat(F.lit("# p"), F.col("page_num").cast("string"), F.lit("\n")))
+    """Pages as slides: most begin with the heading that the deck shares, some have it further down, the others begin with one of their own; every ninth is blank."""
+    head = F.when(F.col("page_num") % 4 == 0, F.concat(F.lit("# p"), F.col("page_num").cast("string"), F.lit("\n## 目录页\n"))).when(F.col("page_num") % 5 == 2, "\n 正文\n## 目录页\n").otherwise("\n## 目录页\n")
     return _pages(spark, sf).select("doc_id", "page_num", F.when(F.col("page_num") % 9 == 0, F.lit(" \n ")).otherwise(F.concat(head, "markdown")).alias("markdown"))
 
 
@@ -169,7 +169,7 @@ ORACLE_SQL = {
     "page_mark_split": oracle(f"with {_PAGES} select doc_id, page_num, {_TRIM.format('md')} as markdown from pg where {_TRIM.format('md')} <> ''"),
     "missing_pages": oracle(f"""with {_PAGES}, x as (select doc_id, page_num, case when (doc_id + page_num) % 3 = 0 then ' ' else md end as md from pg), n as (select doc_id, max(page_num) as n from x group by doc_id)
       select doc_id, g::int as page_num from n, unnest(range(1, n + 1)) u(g) where not exists (select 1 from x where x.doc_id = n.doc_id and x.page_num = g and {_TRIM.format('x.md')} <> '')"""),
-    "slide_footer": oracle(f"with {_PAGES}, n as (select doc_id, count(*) as pages, sum(case when page_num % 4 > 0 and page_num % 9 > 0 then 1 else 0 end) as times from pg group by 1) select doc_id, '目录页' as head, times from n where pages >= 3 and times >= greatest(3, pages // 10)"),
+    "slide_footer": oracle(f"with {_PAGES}, n as (select doc_id, count(*) as pages, sum(case when page_num % 4 > 0 and page_num % 5 <> 2 and page_num % 9 > 0 then 1 else 0 end) as times from pg group by 1) select doc_id, '目录页' as head, times from n where pages >= 3 and times >= greatest(3, pages // 10)"),
     "file_dispatch": oracle("select id, ['plain', 'markdown', 'html', 'cloud', 'cloud', 'slides', 'sheets', 'sheets', null][id % 9 + 1] as route from v_document"),
     "blob_paths": oracle("select id, case when id % 3 = 0 then 's3://bucket/' else '/data/' end || file_name as path from v_document"),
     "text_poor_pages": oracle(f"with {_PAGES} select doc_id, page_num from pg where length({_TRIM.format('md')}) < 50"),

@@ -42,7 +42,7 @@ PORTABLE = {
         from lineitem""",
     "v_qa_version": """
         select item_id * 10 + v.version as id, item_id % 4 as kb_id, item_id as history_group_id, v.version,
-          substring(text, 1, 40) as question, text as answer, v.version < 3 as deleted,
+          text as question, text as answer, v.version < 3 as deleted,
           case when item_id % 3 = 0 then 'APPROVED' else 'DRAFT' end as status
         from benchmark cross join (select 1 as version union all select 2 union all select 3) v""",
     "v_term": """
@@ -76,6 +76,14 @@ PORTABLE = {
             case when conv_id % 4 = 0 then concat('Ignore previous instructions. ', text) else concat('about ', text) end as question
           from conversations where role = 'user') x""",
     "v_order_line": "select *, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) as nth from lineitem",
+    "v_chunk_state": """
+        select doc_id, seq, kb_id, content,
+          case (doc_id * 3 + seq) % 7 when 0 then 'EMBEDDING' when 1 then 'FAILED' when 2 then 'FILTERED' else 'INDEXED' end as status,
+          case (doc_id + seq * 5) % 6 when 0 then 'SUSPECT' when 1 then 'KEEP' when 2 then 'FILTERED' end as clean_status
+        from v_chunk""",
+}
+
+DUCK_ONLY = {
     "v_cell": """
         select l_orderkey as sheet, 0 as r, 0 as c, 'STRING' as kind, concat(' order ', cast(l_orderkey as string), ' ') as s, cast(null as double) as n, cast(null as boolean) as b, cast(null as timestamp) as d from v_order_line where nth = 1
         union all select l_orderkey, 1, h.c, 'STRING', h.s, null, null, null from v_order_line cross join (select 0 as c, 'flag' as s union all select 1, 'qty' union all select 2, 'ship') h where nth = 1 and l_orderkey % 4 > 0
@@ -86,19 +94,31 @@ PORTABLE = {
     "v_merge": """
         select l_orderkey as sheet, 2 as r1, 0 as c1, 3 as r2, 0 as c2 from v_order_line where nth = 1 and l_orderkey % 2 = 0
         union all select l_orderkey, 2, 1, 2, 2 from v_order_line where nth = 1 and l_orderkey % 3 = 0""",
-    "v_chunk_state": """
-        select doc_id, seq, kb_id, content,
-          case (doc_id * 3 + seq) % 7 when 0 then 'EMBEDDING' when 1 then 'FAILED' when 2 then 'FILTERED' else 'INDEXED' end as status,
-          case (doc_id + seq * 5) % 6 when 0 then 'SUSPECT' when 1 then 'KEEP' when 2 then 'FILTERED' end as clean_status
-        from v_chunk""",
-}
-
-DUCK_ONLY = {
     "v_line": "select doc_id, cast(g - 1 as int) as line_no, cast((g - 1) // 10 + 1 as int) as page_num, parts[g] as line from (select doc_id, string_split(text, chr(10)) as parts from documents) d, unnest(range(1, len(parts) + 1)) u(g)",
     "v_chunk": "select doc_id, cast(s as int) as seq, doc_id % 4 as kb_id, substring(text, s * 800 + 1, 800) as content from documents, unnest(range(0, cast(floor((length(text) - 1) / 800) as bigint) + 1)) u(s) where length(text) > 0",
 }
 
 
+def cells(lines: DataFrame) -> DataFrame:
+    """Typed cells of sheets: each order is one, its numbered lines are rows. Each line gives its cells in one pass."""
+
+    def cell(r, c, kind, s=None, n=None, b=None, d=None):
+        values = (("r", r, "int"), ("c", F.lit(c), "int"), ("kind", F.lit(kind), "string"), ("s", s, "string"), ("n", n, "double"), ("b", b, "boolean"), ("d", d, "timestamp"))
+        return F.struct(*[(F.lit(None) if v is None else v).cast(t).alias(k) for k, v, t in values])
+
+    first, row, one = F.col("nth") == 1, F.col("nth") + 1, F.lit(1)
+    heads = [F.when(first & (F.col("l_orderkey") % 4 > 0), cell(one, c, "STRING", F.lit(s))) for c, s in enumerate(("flag", "qty", "ship"))]
+    found = F.array(
+        F.when(first, cell(F.lit(0), 0, "STRING", F.concat(F.lit(" order "), F.col("l_orderkey").cast("string"), F.lit(" ")))),
+        *heads,
+        F.when(F.col("l_partkey") % 3 > 0, cell(row, 0, "STRING", F.col("l_returnflag"))),
+        cell(row, 1, "NUMBER", n=F.col("l_quantity") + F.when(F.col("l_partkey") % 2 == 0, 0.5).otherwise(0)),
+        F.when(F.col("l_partkey") % 5 > 0, cell(row, 2, "NUMBER", n=one, d=F.col("l_shipdate"))),
+        F.when(F.col("l_partkey") % 7 > 0, cell(row, 3, "BOOLEAN", b=F.col("l_linestatus") == "O")),
+    )
+    return lines.select(F.col("l_orderkey").alias("sheet"), F.inline(F.array_compact(found)))
+
+
 def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A test table, or a view over test tables."""
     if name in TABLES:
@@ -106,6 +126,12 @@ def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name == "v_line":
         lines = frame(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
         return lines.select("doc_id", "line_no", (F.floor(F.col("line_no") / 10) + 1).cast("int").alias("page_num"), "line")
+    if name == "v_cell":
+        return cells(frame(spark, sf_dir, "v_order_line"))
+    if name == "v_merge":
+        first = frame(spark, sf_dir, "v_order_line").where("nth = 1 and (l_orderkey % 2 = 0 or l_orderkey % 3 = 0)")
+        region = lambda wanted, *at: F.when(wanted, F.struct(*[F.lit(x).alias(n) for n, x in zip(("r1", "c1", "r2", "c2"), at, strict=True)]))
+        return first.select(F.col("l_orderkey").alias("sheet"), F.inline(F.array_compact(F.array(region(F.col("l_orderkey") % 2 == 0, 2, 0, 3, 0), region(F.col("l_orderkey") % 3 == 0, 2, 1, 2, 2)))))
     if name == "v_chunk":
         from sagebase.operators.segment import fixed_width
 

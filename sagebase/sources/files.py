@@ -99,11 +99,11 @@ def plain_line(lines: list[str]) -> str | None:
 
 
 def footers(slides: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """A deck's footer: the most frequent markdown heading of its slides (the least of equally frequent ones), if it is short and frequent enough; decks of
-    under three slides have none. slides: id, page_num, markdown."""
-    line = T.jtrim(F.col("line"))
-    lines = slides.select(id_col, F.explode(F.split("markdown", r"\r?\n")).alias("line")).where(line.rlike(r"^#{1,6}\s+.*$"))
-    counted = lines.groupBy(id_col, T.jtrim(F.regexp_replace(line, r"^#{1,6}\s+", "")).alias("footer")).agg(F.count("*").alias("times"))
+    """A deck's footer: the most frequent markdown heading that slides begin with (the least of equally frequent ones), if it is short and frequent enough;
+    decks of under three slides have none. A slide whose first line with text isn't a heading counts for none. slides: id, page_num, markdown."""
+    lines = F.filter(F.transform(F.split("markdown", r"\r?\n"), T.jtrim), lambda x: x != "")
+    firsts = slides.select(id_col, F.get(lines, F.lit(0)).alias("line")).where(F.col("line").rlike(r"^#{1,6}\s+.*$"))
+    counted = firsts.groupBy(id_col, T.jtrim(F.regexp_replace("line", r"^#{1,6}\s+", "")).alias("footer")).agg(F.count("*").alias("times"))
     n = slides.groupBy(id_col).agg(F.count("*").alias("pages")).where("pages >= 3")
     counted = counted.where(F.length("footer") <= FOOTER_CHARS).join(n, id_col).where(F.col("times") >= F.greatest(F.lit(3), F.floor(F.col("pages") / 10)))
     return counted.groupBy(id_col).agg(F.min_by("footer", F.struct(-F.col("times"), "footer")).alias("footer"), F.max("times").alias("times"))

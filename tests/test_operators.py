@@ -113,6 +113,8 @@ def test_footers_and_slides(spark):
     rows = [(1, p, f"# 公司\n## 第{p}页题\n文") for p in range(1, 5)] + [(1, 5, " "), (2, 1, "# 公司\n一"), (2, 2, "# 公司\n二"), (3, 1, "# 一个很长很长的标题\n文"), (3, 2, "# 一个很长很长的标题"), (3, 3, "# 一个很长很长的标题")]
     df = spark.createDataFrame(rows, "doc_id int, page_num int, markdown string")
     assert [(r.doc_id, r.footer) for r in files.footers(df).collect()] == [(1, "公司")]
+    later = [(1, 1, "plain\n# A\n# A"), (1, 2, "plain\n# A"), (1, 3, "# B"), (2, 1, " \r\n# A \r\nx"), (2, 2, "\n\n## A"), (2, 3, "# A"), (2, 4, None), (3, 1, "#A"), (3, 2, "#A"), (3, 3, "#A")]
+    assert [(r.doc_id, r.footer, r.times) for r in files.footers(spark.createDataFrame(later, "doc_id int, page_num int, markdown string")).collect()] == [(2, "A", 3)]
     got = {(r.doc_id, r.page_num): r.title for r in files.slide_pieces(df).collect()}
     assert got[1, 2] == "第2页题" and (1, 5) not in got and got[2, 1] == "公司"
 
