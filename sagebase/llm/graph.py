@@ -42,16 +42,16 @@ def contract(edges: DataFrame) -> DataFrame:
     return edges.mapInArrow(run, "a long, b long")
 
 
-def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch, reduced: bool = False) -> DataFrame:
     """node and root (the least node it reaches) for every node of the links (a, b).
 
     Rounds of hooking and contraction: each node takes its least smaller neighbour as parent, paths are
     shortened by joining parents to parents, links are rewritten to roots, and links that are left go another round.
-    Links of a hot node are reduced to one for each partition before they move, and equal links of several partitions to one.
+    Links of a hot node are reduced to one for each partition before they move (unless they come `reduced` so), and equal links of several partitions to one.
     """
     mapping = None
-    links = contract(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))).distinct()
-    links = scratch.write(contract(links), "links")
+    links = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    links = scratch.write(contract((links if reduced else contract(links)).distinct()), "links")
     while True:
         parents = scratch.write(links.groupBy("a").agg(F.min("b").alias("b")), "parents")
         while True:  # b is a root once no link goes on from it
