@@ -8,9 +8,9 @@ with two parts filled in more than d / 2 classes surely has such a key with its
 too: of the shingles that two sets within the radius share, the first is among the first n - ceil(t * n) + 1 of both (t = 1 - r). So no link is lost, and
 none by chance. Regions that share texts are joined to one.
 
-A region is then cut by texts as pivots, recursively: a text lives in the Voronoi region of its nearest pivot (or with the rest, if none is near), windows of the
-triangle inequality replicate it to the regions where it may have partners, and texts within the radius of a pivot are linked by it and not compared
-with each other again. What fits a task is joined there exactly.
+Every region of more than a few texts is then cut by texts as pivots, recursively: a text lives in the Voronoi region of its nearest pivot (or with the rest, if
+none is near), windows of the triangle inequality replicate it to the regions where it may have partners, and texts within the radius of a pivot are
+linked by it and not compared with each other again. A task does that for regions that fit it (`linked`), Spark for larger ones (`verified`).
 """
 
 from __future__ import annotations
@@ -40,6 +40,8 @@ KEYS_A_TASK, SHINGLES_A_TASK, BLOCK_SHINGLES = 2 << 20, 1 << 19, 1 << 20
 ROUNDS, PIVOTS, APART, PIVOT_BYTES, NEAR = 3, 16, 4, 32 << 20, 0.7
 #: Pivots cut a region if their regions hold so many times its shingles at most.
 REPLICAS = 1.5
+#: Sets that a task compares one by one; the part of a region that its largest Voronoi region may hold, else it isn't cut.
+FEW, CUT = 16, 0.7
 U = np.uint64
 
 
@@ -173,9 +175,10 @@ def first_of_equal(one: np.ndarray, two: np.ndarray, n: np.ndarray) -> np.ndarra
 def linked(sets: list[np.ndarray], link: int = LINK, anchors: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Links that connect what the sets' links connect, exactly: place of a set, and place of another.
 
-    Sets serve as pivots one after the other. A set is compared with those behind it that share one of its first shingles (seldom ones of this region first), aren't
-    connected with it yet, are of a size that allows a link, and whose distances to the first pivots differ from its own by the radius at most. Sets with
-    the same anchor (-1: none) are connected from the start.
+    Sets as pivots, each as far from those before as any, cut the sets into Voronoi regions, recursively: a set lives with its nearest pivot (with the rest, if
+    none is near) and visits each pivot that is within the radius of where its partners can live, by the triangle inequality. A pivot links all sets
+    within the radius, and sets that are connected are not compared. Few sets, or sets that pivots don't cut, are compared one by one. Sets
+    with the same anchor (-1: none) are connected from the start.
     """
     n = np.fromiter(map(len, sets), np.int64, len(sets))
     label = np.arange(len(sets))
@@ -183,51 +186,76 @@ def linked(sets: list[np.ndarray], link: int = LINK, anchors: np.ndarray | None
         held = anchors >= 0
         _, first, group = np.unique(anchors[held], return_index=True, return_inverse=True)
         label[held] = np.flatnonzero(held)[first][group]
-    if len(sets) < 2 or len(np.unique(label)) < 2:
+    out: list[tuple[int, int]] = []
+    if len(sets) < 2:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     owner = np.repeat(np.arange(len(sets)), n)
     _, flat, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     by = np.empty(len(times), np.int64)
-    by[np.argsort(times, kind="stable")] = np.arange(len(times))
+    by[np.argsort(times, kind="stable")] = np.arange(len(times))  # seldom shingles first
     flat = by[flat]
     flat = flat[np.lexsort((flat, owner))]
     bounds = np.concatenate([[0], np.cumsum(n)])
-    # The first shingles of each set, as lists of the sets that have each.
-    front = np.arange(len(flat)) - bounds[owner] < (n + link * n // -100 + 1)[owner]
-    token, of = flat[front], owner[front]
-    order = np.argsort(token, kind="stable")
-    token, of = token[order], of[order]
-    posting = np.searchsorted(token, np.arange(len(times) + 1))
-    near: list[np.ndarray] = []
     mark = np.zeros(len(times), bool)
     radius = 1 - link / 100 + 1e-9
-    out_a, out_b = [], []
-    for x in range(len(sets)):
+
+    def shared(x: int, at: np.ndarray) -> np.ndarray:
+        """Shingles that sets have in common with set x."""
         own = flat[bounds[x] : bounds[x + 1]]
-        heads = own[: n[x] + link * n[x] // -100 + 1]
-        start = posting[heads]
-        some = of[ragged(start, posting[heads + 1] - start)]
-        some = some[(some > x) & (label[some] != label[x])]
-        some = some[100 * np.minimum(n[some], n[x]) >= link * np.maximum(n[some], n[x])]
-        for d in near:
-            some = some[np.abs(d[some] - d[x]) <= radius]
-        if not len(some):
-            continue
-        some = np.unique(some)
-        measured = np.arange(len(sets)) if len(near) < 8 and len(some) > 32 else some  # a pivot's distances to all
         mark[own] = True
-        both = np.add.reduceat(mark[flat[ragged(bounds[:-1][measured], n[measured])]], np.cumsum(n[measured]) - n[measured], dtype=np.int64)
+        both = np.add.reduceat(mark[flat[ragged(bounds[:-1][at], n[at])]], np.cumsum(n[at]) - n[at], dtype=np.int64)
         mark[own] = False
-        union = n[measured] + n[x] - both
-        if len(measured) > len(some):
-            near.append(1 - both / union)
-            both, union = both[some], union[some]
-        for y in some[100 * both >= link * union].tolist():
+        return both
+
+    def join(x: int, some: np.ndarray) -> None:
+        for y in some.tolist():
             if label[y] != label[x]:
-                out_a.append(x)
-                out_b.append(y)
+                out.append((x, y))
                 label[label == label[y]] = label[x]
-    return np.array(out_a, np.int64), np.array(out_b, np.int64)
+
+    def compared(at: np.ndarray) -> None:
+        """Each set with those behind it that share one of its first shingles, aren't connected with it yet and are of a size that allows a link."""
+        most = n + link * n // -100 + 1
+        heads, of = flat[ragged(bounds[:-1][at], most[at])], np.repeat(np.arange(len(at)), most[at])
+        order = np.argsort(heads, kind="stable")
+        token, of = heads[order], of[order]
+        for k, x in enumerate(at.tolist()):
+            own = flat[bounds[x] : bounds[x] + most[x]]
+            low, high = np.searchsorted(token, own, "left"), np.searchsorted(token, own, "right")
+            some = of[ragged(low, high - low)]
+            some = at[np.unique(some[some > k])]
+            some = some[(label[some] != label[x]) & (100 * np.minimum(n[some], n[x]) >= link * np.maximum(n[some], n[x]))]
+            if len(some):
+                both = shared(x, some)
+                join(x, some[100 * both >= link * (n[some] + n[x] - both)])
+
+    todo = [np.flatnonzero(n > 0)]
+    while todo:
+        at = todo.pop()
+        if len(at) < 2 or (label[at] == label[at[0]]).all():
+            continue
+        if len(at) <= FEW:
+            compared(at)
+            continue
+        far, pivot = np.full((PIVOTS, len(at)), 2.0), 0
+        for k in range(PIVOTS):
+            both = shared(int(at[pivot]), at)
+            union = n[at] + n[at[pivot]] - both
+            far[k] = 1 - both / union
+            join(int(at[pivot]), at[100 * both >= link * union])
+            nearest = far.min(axis=0)
+            pivot = int(nearest.argmax())
+            if nearest[pivot] <= radius:
+                break
+        home, rest = far.argmin(axis=0), nearest > NEAR
+        visits = far <= np.minimum(NEAR + radius, nearest + 2 * radius)
+        cells = [at[rest], *(at[visits[k]] for k in range(PIVOTS) if (~rest & (home == k)).any())]
+        if max(map(len, cells)) > CUT * len(at):
+            compared(at)
+        else:
+            todo += cells
+    links = np.array(out, np.int64).reshape(-1, 2)
+    return links[:, 0], links[:, 1]
 
 
 def region_links(members: DataFrame, keys: list[str], link: int = LINK) -> DataFrame:
@@ -336,7 +364,7 @@ def refined(members: DataFrame, scratch: Scratch, link: int) -> DataFrame:
         return mix64(key + region[owner]), np.asarray(column(batch, "doc_id"), dtype=np.int64)[owner]
 
     parts = parts_for(members.sparkSession, total * 10 * (100 - link) / (100 + link), KEYS_A_TASK)
-    finer = components(candidates(big.select("region", "doc_id", "n", "shingles"), keyed, parts), scratch).select(F.col("node").alias("doc_id"), F.col("root").alias("finer"))
+    finer = components(candidates(big.select("region", "doc_id", "n", "shingles"), keyed, parts), scratch, reduced=True).select(F.col("node").alias("doc_id"), F.col("root").alias("finer"))
     out = big.join(finer, "doc_id").select(F.col("finer").alias("region"), "doc_id", "n", "shingles")
     out = scratch.write(members.join(large.select("region"), "region", "left_anti").select("region", "doc_id", "n", "shingles").unionByName(out), "refined")
     scratch.drop(members)
@@ -379,7 +407,7 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
         key, owner = keys_of(values[ragged(offsets[:-1][rep], n[rep])], np.concatenate([[0], np.cumsum(n[rep])]), link)
         return key, np.asarray(column(batch, "doc_id"), dtype=np.int64)[rep][owner]
 
-    regions = components(candidates(source.where("doc_id is not null"), keyed, parts), scratch)
+    regions = components(candidates(source.where("doc_id is not null"), keyed, parts), scratch, reduced=True)
 
     # Of equal sets the one with the least id stands for all.
     keys = ["k1", "k2", "n_shingles"]
@@ -401,7 +429,7 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     members = source.join(kept.hint("merge"), "doc_id")
     members = scratch.write(members.select("region", "doc_id", "text").mapInArrow(tidied(shingled), "region long, doc_id long, n long, shingles binary").where("n > 0"), "members")
     links = verified(refined(members, scratch, link), scratch, link)
-    tree = components(links.unionByName(copies), scratch)
+    tree = components(links.unionByName(copies), scratch, reduced=True)
     out = slim.select("doc_id", "n_shingles").join(tree, F.col("doc_id") == F.col("node"), "left")
     return out.select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
 
