@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sagebase.llm.common import Scratch, column, map_arrow, null_safe_text, small_batches, strings, sums_by_run, table, tidied
+from sagebase.llm.common import HOT_ROWS, Scratch, column, map_arrow, null_safe_text, small_batches, strings, sums_by_run, table, tidied
 
 #: The filters of the query, in the order of their bits. The last one needs the whole table.
 FILTERS = "ABCDE"
@@ -179,14 +179,18 @@ def filter_audit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     small_batches(spark)
     scratch = Scratch(spark, "audit")
     rows = scratch.write(measured(docs, id_col, text_col, part_col), "measured")
-    firsts = rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    firsts = scratch.write(rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1"), "repeated")
+    # Texts of more than a thousandth of the rows are fewer than a thousand and go by broadcast.
+    often = F.col("n") > max(HOT_ROWS, rows.count() // 1000)
+    hot = firsts.where(often).drop("n")
+    seldom = rows.join(F.broadcast(hot.select("h1", "h2")), ["h1", "h2"], "left_anti").join(firsts.where(~often).drop("n").hint("merge"), ["h1", "h2"], "left")
+    found = seldom.unionByName(rows.join(F.broadcast(hot), ["h1", "h2"]))
     marks = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.coalesce(F.col("quality") == 1, F.lit(False))).alias("good"), F.max(F.coalesce(F.col("toxic") == 1, F.lit(False))).alias("toxic"))
-    # Both joins only add to the rows: a text or an id of many rows is split by the adaptive join.
-    joined = rows.join(firsts.hint("merge"), ["h1", "h2"], "left").join(marks.hint("merge"), "doc_id", "left")
+    joined = found.join(marks.hint("merge"), "doc_id", "left")
     again = F.coalesce((F.col("first") < F.col("doc_id")) | (F.col("doc_id").isNull() & F.col("first").isNotNull()), F.lit(False))
     joined = joined.select("part", (F.col("bits") + F.when(again, 16).otherwise(0)).alias("fails"), F.coalesce("good", F.lit(False)).alias("good"), F.coalesce("toxic", F.lit(False)).alias("toxic"))
     counts = scratch.write(subset_counts(joined, len(FILTERS)), "counts")
-    scratch.drop(rows)
+    scratch.drop(rows, firsts)
     found = interactions(counts)
     shares = found.groupBy("part", "filter").agg(F.sum("removed").alias("shapley"))
     return found.join(shares, ["part", "filter"]).select("part", "filter_order", "step", "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley")
