@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+from xml.sax.saxutils import escape
+
+import pandas as pd
 from pyspark.sql import functions as F
 
 from sagebase.operators import grid as G
 from sagebase.plans.views import frame, oracle
+from sagebase.sources import ooxml as O
 
 KEYS = ["sheet"]
 
@@ -61,7 +67,91 @@ def sheet_titles(spark, sf):
     return frame(spark, sf, "v_document").select("id", G.sheet_title(F.when(F.col("id") % 10 > 0, F.col("file_name")), F.concat(F.lit("Sheet"), (F.col("id") % 3).cast("string"))).alias("title"))
 
 
-QUERIES = {f.__name__: f for f in (sheet_cell_text, sheet_header_row, sheet_merged_cells, sheet_filled, sheet_tables, sheet_pieces, sheet_titles)}
+_REL = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+_MAIN = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+
+
+def zipped(parts: dict[str, str]) -> bytes:
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, text in parts.items():
+            z.writestr(name, text)
+    return held.getvalue()
+
+
+def links(kind: str, targets: list[str]) -> str:
+    return "<Relationships>" + "".join(f'<Relationship Id="r{k}" Type="{_REL}/{kind}" Target="{t}"/>' for k, t in enumerate(targets)) + "</Relationships>"
+
+
+def workbook_file(rows: pd.DataFrame) -> bytes:
+    """A workbook of some sheets' typed cells and regions: sheet, r, c, r2, c2, kind, s, n, b, d. Strings are shared, dates have a style."""
+    strings, parts, names = {}, {}, []
+    for sheet, own in rows.sort_values(["sheet", "r", "c"]).groupby("sheet"):
+        lines, merges = {}, []
+        for x in own.itertuples(index=False):
+            ref = f"{chr(65 + int(x.c))}{int(x.r) + 1}"
+            if x.kind == "MERGE":
+                merges.append(f'<mergeCell ref="{ref}:{chr(65 + int(x.c2))}{int(x.r2) + 1}"/>')
+            elif x.kind == "STRING":
+                lines.setdefault(x.r, []).append(f'<c r="{ref}" t="s"><v>{strings.setdefault(x.s, len(strings))}</v></c>')
+            elif x.kind == "BOOLEAN":
+                lines.setdefault(x.r, []).append(f'<c r="{ref}" t="b"><v>{int(x.b)}</v></c>')
+            elif pd.notna(x.d):
+                lines.setdefault(x.r, []).append(f'<c r="{ref}" s="1"><v>{(pd.Timestamp(x.d) - pd.Timestamp(1899, 12, 30)).days}</v></c>')
+            else:
+                lines.setdefault(x.r, []).append(f'<c r="{ref}"><f>1*{x.n}</f><v>{x.n}</v></c>')
+        body = "".join(f'<row r="{int(r) + 1}">{"".join(cells)}</row>' for r, cells in lines.items())
+        parts[f"xl/worksheets/sheet{len(names)}.xml"] = f'<worksheet {_MAIN}><sheetData>{body}</sheetData>' + (f"<mergeCells>{''.join(merges)}</mergeCells>" if merges else "") + "</worksheet>"
+        names.append(sheet)
+    sheets = "".join(f'<sheet name="{n}" sheetId="{k + 1}" r:id="r{k}"/>' for k, n in enumerate(names))
+    parts["xl/workbook.xml"] = f'<workbook {_MAIN} xmlns:r="{_REL}"><sheets>{sheets}</sheets></workbook>'
+    parts["xl/_rels/workbook.xml.rels"] = links("worksheet", [f"worksheets/sheet{k}.xml" for k in range(len(names))])
+    parts["xl/styles.xml"] = f'<styleSheet {_MAIN}><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/></cellXfs></styleSheet>'
+    parts["xl/sharedStrings.xml"] = f"<sst {_MAIN}>" + "".join(f'<si><t xml:space="preserve">{escape(t)}</t></si>' for t in strings) + "</sst>"
+    return zipped(parts)
+
+
+def presentation_file(slides: pd.DataFrame) -> bytes:
+    """A deck: page_num, title, markdown (a paragraph for each line)."""
+    ns = 'xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main" xmlns:p="http://schemas.openxmlformats.org/presentationml/2006/main" xmlns:r="%s"' % _REL
+    shape = lambda lines, ph="": f"<p:sp><p:nvSpPr><p:nvPr>{ph}</p:nvPr></p:nvSpPr><p:txBody>" + "".join(f"<a:p><a:r><a:t>{escape(t)}</a:t></a:r></a:p>" for t in lines) + "</p:txBody></p:sp>"
+    parts, rows = {}, slides.sort_values("page_num")
+    for k, x in enumerate(rows.itertuples(index=False)):
+        body = shape([x.title], '<p:ph type="title"/>') + shape(x.markdown.split("\n"))
+        parts[f"ppt/slides/slide{len(rows) - k}.xml"] = f"<p:sld {ns}><p:cSld><p:spTree>{body}</p:spTree></p:cSld></p:sld>"
+    parts["ppt/presentation.xml"] = f"<p:presentation {ns}><p:sldIdLst>" + "".join(f'<p:sldId id="{256 + k}" r:id="r{k}"/>' for k in range(len(rows))) + "</p:sldIdLst></p:presentation>"
+    parts["ppt/_rels/presentation.xml.rels"] = links("slide", [f"slides/slide{len(rows) - k}.xml" for k in range(len(rows))])
+    return zipped(parts)
+
+
+def _workbooks(spark, sf):
+    """Files of up to 32 orders each, a sheet for each: path, bytes."""
+    cells = _typed(spark, sf).select("sheet", "r", "c", F.lit(None).cast("int").alias("r2"), F.lit(None).cast("int").alias("c2"), "kind", "s", "n", "b", F.to_date("d").alias("d"))
+    merges = _merges(spark, sf).select("sheet", F.col("r1").alias("r"), F.col("c1").alias("c"), "r2", "c2", F.lit("MERGE").alias("kind"), F.lit(None).cast("string").alias("s"), F.lit(None).cast("double").alias("n"), F.lit(None).cast("boolean").alias("b"), F.lit(None).cast("date").alias("d"))
+    rows = cells.unionByName(merges).withColumn("path", F.concat(F.lit("/books/orders-"), F.expr("sheet div 32").cast("string"), F.lit(".xlsx")))
+    return rows.groupBy("path").applyInPandas(lambda g: pd.DataFrame({"path": [g["path"].iloc[0]], "bytes": [workbook_file(g)]}), "path string, bytes binary")
+
+
+def workbook_cells(spark, sf):
+    """Cells of orders after a way through files: written as workbooks, read back from their bytes."""
+    cells, _ = O.sheets(O.parsed(_workbooks(spark, sf), "xlsx"))
+    return cells.select("path", F.col("sheet").cast("long").alias("sheet"), "r", "c", "value")
+
+
+def workbook_pieces(spark, sf):
+    """Pieces of workbooks: regions, headers and fills of all their sheets."""
+    return O.workbook_pieces(O.parsed(_workbooks(spark, sf), "xlsx")).select("path", "seq", "title", "content")
+
+
+def presentation_slides(spark, sf):
+    """Documents after a way through decks of slides, ten lines a slide."""
+    lines = frame(spark, sf, "v_line").groupBy("doc_id", "page_num").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("markdown"))
+    rows = lines.select(F.concat(F.lit("/decks/"), F.col("doc_id").cast("string"), F.lit(".pptx")).alias("path"), "page_num", F.concat(F.lit("p"), F.col("page_num").cast("string")).alias("title"), "markdown")
+    decks = rows.groupBy("path").applyInPandas(lambda g: pd.DataFrame({"path": [g["path"].iloc[0]], "bytes": [presentation_file(g)]}), "path string, bytes binary")
+    return O.parsed(decks, "pptx").select("path", "page_num", F.md5(F.col("markdown").cast("binary")).alias("digest"), "error")
+
+
+QUERIES = {f.__name__: f for f in (workbook_cells, workbook_pieces, presentation_slides, sheet_cell_text, sheet_header_row, sheet_merged_cells, sheet_filled, sheet_tables, sheet_pieces, sheet_titles)}
 
 _TEXT = r"ct as (select sheet, r, c, coalesce(case kind when 'STRING' then regexp_replace(s, '^[\x00-\x20]+|[\x00-\x20]+$', '', 'g') when 'BOOLEAN' then b::varchar when 'NUMBER' then case when d is not null then strftime(d, '%Y-%m-%d') when n = floor(n) then n::bigint::varchar else n::varchar end end, '') as value from v_cell)"
 _GRID = f"""{_TEXT}, ed as (select sheet, max(r) as mr, max(c) as mc from (select sheet, r, c from ct union all select sheet, r2, c2 from v_merge) group by 1),
@@ -74,12 +164,18 @@ _GRID = f"""{_TEXT}, ed as (select sheet, max(r) as mr, max(c) as mc from (selec
   hx as (select sheet, min(r) as h from rw where n_full > 1 group by 1),
   tb as (select hx.sheet, coalesce(arg_max(lone, r) filter (r < h and n_full > 0), '') as caption, max(list_transform(cells, lambda v, i: case when trim(v) = '' then '列' || i::varchar else v end)) filter (r = h) as header, list(cells order by r) filter (r > h and n_full > 0) as rows from rw join hx using (sheet) group by 1)"""
 
+_BOOK = "'/books/orders-' || (sheet // 32)::varchar || '.xlsx'"
+_PIECE = "case when caption <> '' then caption || chr(10) else '' end || '| ' || array_to_string(header, ' | ') || ' |' || chr(10) || '| ' || array_to_string(list_transform(header, lambda x: '---'), ' | ') || ' |' || chr(10) || array_to_string(list_transform(rows, lambda r: '| ' || array_to_string(r, ' | ') || ' |'), chr(10))"
+
 ORACLE_SQL = {
+    "workbook_cells": oracle(f"with {_TEXT} select {_BOOK} as path, sheet, r, c, value from ct"),
+    "workbook_pieces": oracle(f"with {_GRID} select {_BOOK} as path, 0 as seq, 'orders-' || (sheet // 32)::varchar || ' - ' || sheet::varchar as title, {_PIECE} as content from tb where len(rows) > 0"),
+    "presentation_slides": oracle("select '/decks/' || doc_id::varchar || '.pptx' as path, page_num, md5('# p' || page_num::varchar || chr(10) || string_agg(line, chr(10) order by line_no)) as digest, null as error from v_line group by doc_id, page_num"),
     "sheet_cell_text": oracle(f"with {_TEXT} select sheet, r, c, value from ct"),
     "sheet_header_row": oracle(f"with {_GRID} select sheet, header from hd"),
     "sheet_merged_cells": oracle(f"with {_GRID} select sheet, r, c, value, frozen from ex"),
     "sheet_filled": oracle(f"with {_GRID} select sheet, r, c, value from fl"),
     "sheet_tables": oracle(f"with {_GRID} select sheet, caption, array_to_string(header, '|') as header, array_to_string(list_transform(rows, lambda r: array_to_string(r, '|')), chr(10)) as rows from tb where len(rows) > 0"),
-    "sheet_pieces": oracle(f"with {_GRID} select sheet, 0 as seq, case when caption <> '' then caption || chr(10) else '' end || '| ' || array_to_string(header, ' | ') || ' |' || chr(10) || '| ' || array_to_string(list_transform(header, lambda x: '---'), ' | ') || ' |' || chr(10) || array_to_string(list_transform(rows, lambda r: '| ' || array_to_string(r, ' | ') || ' |'), chr(10)) as content from tb where len(rows) > 0"),
+    "sheet_pieces": oracle(f"with {_GRID} select sheet, 0 as seq, {_PIECE} as content from tb where len(rows) > 0"),
     "sheet_titles": oracle("select id, substring(case when id % 10 = 0 then 'Excel' else substring(regexp_replace(file_name, '[.]md$', ''), 1, 80) end || ' - Sheet' || (id % 3)::varchar, 1, 100) as title from v_document"),
 }
