@@ -17,27 +17,38 @@ K1, B, RRF_K = 1.2, 0.75, 60
 FIELDS = {"content": 1.0, "title": 2.0, "doc_name": 0.5}
 SOURCE_QUOTA = {"CHUNK": 15, "BUSINESS": 8, "QA": 8}
 RERANK_CHUNKS, RERANK_OTHERS, RERANK_DOCS = 6, 4, 20
+#: Query terms that go to the tasks inside the plan, at most.
+TERMS = 20_000
 #: Query vectors that go to the tasks at once, and rows of the index that they are scored with.
 QUERY_BLOCK, STEP_ROWS = 4096, 1024
 
 
+def bm25_weight() -> Column:
+    """The weight of a posting (tf, len) of a term that df of n documents have, whose mean length is mean."""
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    return idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
+
+
 def bm25_fields(docs: DataFrame, queries: DataFrame, fields: list[str]) -> DataFrame:
     """query_id, doc_id, field and BM25 score. Statistics are over all documents; docs: doc_id and the fields; queries: query_id, term.
 
-    All fields go through one scan for the statistics and one for the postings; only postings of query terms move, counted for each document and field
-    before the join with the queries, which is the small side.
+    All fields go through one scan for the statistics and one for the postings. Only postings of query terms move, counted for each document and field
+    before the join with the queries, which is the small side; up to TERMS different terms are told inside the rows, before tokens become rows.
     """
     parts = [F.struct(F.lit(f).alias("field"), T.tokens(F.coalesce(F.col(f), F.lit(""))).alias("terms")) for f in fields]
     sized = docs.select("doc_id", F.explode(F.array(*parts)).alias("p")).select("doc_id", "p.field", "p.terms", F.size("p.terms").alias("len"))
     stats = sized.groupBy("field").agg(F.count("*").alias("n"), F.avg("len").alias("mean"))
     wanted = queries.select("term").distinct()
-    hits = sized.select("doc_id", "field", "len", F.explode("terms").alias("term")).join(wanted, "term")
+    few = [r.term for r in wanted.limit(TERMS + 1).collect()]  # TERMS and one at most
+    if len(few) <= TERMS:
+        own = sized.withColumn("terms", F.filter("terms", lambda t: t.isin(few)))
+        hits = own.where(F.size("terms") > 0).select("doc_id", "field", "len", F.explode("terms").alias("term"))
+    else:
+        hits = sized.select("doc_id", "field", "len", F.explode("terms").alias("term")).join(wanted, "term")
     postings = hits.groupBy("field", "term", "doc_id").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
     frequency = postings.groupBy("field", "term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
     weights = postings.join(frequency.join(F.broadcast(stats), "field"), ["field", "term"])  # stats: one row a field
-    scored = queries.join(weights.select("field", "term", "doc_id", weight.alias("w")), "term")
+    scored = queries.join(weights.select("field", "term", "doc_id", bm25_weight().alias("w")), "term")
     return scored.groupBy("query_id", "doc_id", "field").agg(F.round(F.sum("w"), 6).alias("score"))
 
 

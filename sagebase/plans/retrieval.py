@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sagebase.functions import text as T
+from sagebase.operators import postings as P
 from sagebase.operators import retrieve as R
 from sagebase.plans.views import frame, oracle
+from sagebase.sources.store import shared_folder
 
 
 def _docs(spark, sf):
@@ -26,6 +28,27 @@ def bm25_single_field(spark, sf):
     return R.top(R.bm25(_docs(spark, sf), _terms(spark, sf), "content"), ["query_id"], 15)
 
 
+def _kept_index(spark, sf):
+    """An index that was written in parts: all documents with old texts, then a third again and some that go; and merged in between."""
+    docs = _docs(spark, sf).select("doc_id", "content", "title")
+    index = P.Index(spark, shared_folder(spark, "postings"), ["content", "title"])
+    old = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("src1 src2 outdated "), "title")).otherwise(F.col("content"))
+    index.upsert(docs.where("doc_id % 7 > 0").withColumn("content", old))
+    index.delete(docs.where("doc_id % 5 = 1").select("doc_id"))
+    index.compact()
+    index.upsert(docs.where("doc_id % 3 = 0 or doc_id % 5 = 1 or doc_id % 7 = 0"))
+    index.delete(docs.where("doc_id % 11 = 0").select("doc_id"))
+    return index
+
+
+def bm25_kept_index(spark, sf):
+    return R.top(_kept_index(spark, sf).bm25(_terms(spark, sf)).where("field = 'content'").drop("field"), ["query_id"], 15)
+
+
+def bm25_kept_index_top(spark, sf):
+    return _kept_index(spark, sf).top(_terms(spark, sf), "content", 15)
+
+
 def _multi(spark, sf):
     docs, terms = _docs(spark, sf), _terms(spark, sf)
     return R.best_field(R.bm25_fields(docs, terms, list(R.FIELDS)))
@@ -118,13 +141,13 @@ def evidence_index_title_fallback(spark, sf):
     return frame(spark, sf, "v_evidence").select("query_id", F.row_number().over(w).alias("n"), title.alias("title"))
 
 
-QUERIES = {f.__name__: f for f in (bm25_single_field, bm25_multi_field_best, knn_cosine_topk, knn_filtered_by_kb, source_filter_chunk_or_missing, rrf_two_lists, hybrid_search_rrf, multi_source_quota, multi_query_fusion, exclude_accumulated, evidence_dedup_first, rerank_degraded_quota, rerank_prefix, citation_extract, citation_strip_out_of_range, evidence_index_title_fallback)}
+QUERIES = {f.__name__: f for f in (bm25_kept_index, bm25_kept_index_top, bm25_single_field, bm25_multi_field_best, knn_cosine_topk, knn_filtered_by_kb, source_filter_chunk_or_missing, rrf_two_lists, hybrid_search_rrf, multi_source_quota, multi_query_fusion, exclude_accumulated, evidence_dedup_first, rerank_degraded_quota, rerank_prefix, citation_extract, citation_strip_out_of_range, evidence_index_title_fallback)}
 
 _TERMS = r"qt as (select distinct item_id as query_id, unnest(list_filter(string_split_regex(lower(text || ' src' || (item_id % 20)::varchar), '[^\p{L}\p{N}]+'), lambda w: w <> '')) as term from benchmark)"
 
 
-def _bm25(name: str, field: str) -> str:
-    return rf"""{name}_s as (select doc_id, list_filter(string_split_regex(lower({field}), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '') as ts from documents),
+def _bm25(name: str, field: str, where: str = "true") -> str:
+    return rf"""{name}_s as (select doc_id, list_filter(string_split_regex(lower({field}), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '') as ts from documents where {where}),
 {name}_p as (select doc_id, len(ts) as len, unnest(ts) as term from {name}_s),
 {name}_t as (select term, doc_id, count(*) as tf, any_value(len) as len from {name}_p where term in (select term from qt) group by all),
 {name}_d as (select term, count(*) as df from {name}_t group by term),
@@ -149,7 +172,11 @@ _NEAR = """e as (select vec_id, embedding::double[] as x from embeddings), c as
   from e q join benchmark b on b.item_id = q.vec_id cross join e v)"""
 _KEY = "coalesce(source_type, 'CHUNK') || ':' || chunk_id::varchar"
 
+_KEPT = f"with {_TERMS}, {_bm25('f', 'text', 'doc_id % 11 <> 0')} {_ranked('f', 'query_id', 15, 'doc_id')}"
+
 ORACLE_SQL = {
+    "bm25_kept_index": _KEPT,
+    "bm25_kept_index_top": _KEPT,
     "bm25_single_field": f"with {_TERMS}, {_bm25('f', 'text')} {_ranked('f', 'query_id', 15, 'doc_id')}",
     "bm25_multi_field_best": f"""with {_TERMS}, {_bm25('f', 'text')}, {_bm25('g', 'source')}, {_bm25('h', _DOC_NAME)},
       m as (select query_id, doc_id, round(max(score), 6) as score from (select * from f union all select query_id, doc_id, score * 2 from g union all select query_id, doc_id, score * 0.5 from h) group by all)
