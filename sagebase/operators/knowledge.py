@@ -15,10 +15,19 @@ def latest(rows: DataFrame, key: list[str], order: list) -> DataFrame:
     return rows.withColumn("nth", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("nth = 1").drop("nth")
 
 
-def draft_dedup(rows: DataFrame, key: str) -> DataFrame:
-    """The newest live draft of each (kb_id, key) stays; older ones are deleted softly."""
+#: The collation of names and terms in a store that ignores case and accents.
+BLIND = "UNICODE_CI_AI_RTRIM"
+
+
+def compared(name: str, collation: str | None) -> Column:
+    """A column as it is compared: by its bytes, or by a collation, in joins, groups and windows alike."""
+    return F.col(name) if collation is None else F.collate(F.col(name), collation)
+
+
+def draft_dedup(rows: DataFrame, key: str, collation: str | None = None) -> DataFrame:
+    """The newest live draft of each (kb_id, key) stays; older ones are deleted softly. Under a collation keys that it holds equal are one."""
     draft = (F.col("status") == "DRAFT") & ~F.col("deleted")
-    w = Window.partitionBy("kb_id", key, draft).orderBy(F.desc("id"))
+    w = Window.partitionBy("kb_id", compared(key, collation), draft).orderBy(F.desc("id"))
     return rows.withColumn("deleted", F.col("deleted") | (draft & (F.row_number().over(w) > 1)))
 
 
@@ -218,10 +227,23 @@ def without_drafts(entries: DataFrame, documents: DataFrame) -> DataFrame:
     return rows.withColumn("deleted", F.col("deleted") | (F.col("again").isNotNull() & (F.col("status") == "DRAFT"))).drop("again")
 
 
-def replaced_uploads(documents: DataFrame, uploads: DataFrame) -> DataFrame:
-    """The newest document of the same name (in any case) that each upload (kb_id, file_name) replaces: kb_id, file_name, id."""
-    held = documents.select("kb_id", F.lower("file_name").alias("key"), "id").groupBy("kb_id", "key").agg(F.max("id").alias("id"))
-    return uploads.withColumn("key", F.lower("file_name")).join(held, ["kb_id", "key"]).select("kb_id", "file_name", "id")
+def named(column: str, collation: str | None) -> Column:
+    """A file's name as it is compared: in lower case, or by a collation."""
+    return F.lower(column) if collation is None else compared(column, collation)
+
+
+def replaced_uploads(documents: DataFrame, uploads: DataFrame, collation: str | None = None) -> DataFrame:
+    """The newest document of the same name (in any case, or by a collation) that each upload (kb_id, file_name) replaces: kb_id, file_name, id."""
+    held = documents.select("kb_id", named("file_name", collation).alias("key"), "id").groupBy("kb_id", "key").agg(F.max("id").alias("id"))
+    return uploads.withColumn("key", named("file_name", collation)).join(held, ["kb_id", "key"]).select("kb_id", "file_name", "id")
+
+
+def term_lookup(terms: DataFrame, words: DataFrame, collation: str | None = None) -> DataFrame:
+    """The live term of a base that each word (kb_id, word) names, itself or by an alias, the newest of several: kb_id, word, id."""
+    every = F.array_union(F.array("term"), names(F.col("aliases")))
+    held = terms.where("not deleted").select("kb_id", F.explode(every).alias("name"), "id")
+    held = held.groupBy("kb_id", compared("name", collation).alias("key")).agg(F.max("id").alias("id"))
+    return words.withColumn("key", compared("word", collation)).join(held, ["kb_id", "key"]).select("kb_id", "word", "id")
 
 
 def rename_verdicts(documents: DataFrame, renames: DataFrame) -> DataFrame:

@@ -62,12 +62,12 @@ def faithfulness(claims: Column) -> Column:
     return F.when(F.size(valid) > 0, F.round(F.size(good) / F.size(valid), 6)).otherwise(1.0)
 
 
-def retry_decision(has_evidence: Column, score: Column, retry: Column, no_improvement: Column, contradicted: Column) -> Column:
+def retry_decision(has_evidence: Column, score: Column, retry: Column, no_improvement: Column, contradicted: Column, max_retry: int = MAX_RETRY) -> Column:
     """fallback without evidence; answer at the threshold; retry while tries are left and help; then partial or refuse."""
     return (
         F.when(~has_evidence, "fallback")
         .when(score >= THRESHOLD, "answer")
-        .when((retry < MAX_RETRY) & ~no_improvement, "retry")
+        .when((retry < max_retry) & ~no_improvement, "retry")
         .when(~contradicted & (score >= PARTIAL_FLOOR), "partial")
         .otherwise("refuse")
     )

@@ -156,3 +156,66 @@ def gaps(events: DataFrame, gap: int = SESSION_GAP) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     new = F.coalesce(F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(w)) >= gap * 1_000_000, F.lit(True))
     return events.withColumn("session", F.sum(new.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def stream_with_timers(events: DataFrame, key: list[str], kind: tuple, answer: str, value: str | None = None, late: str = "10 minutes", ttl_ms: int | None = None) -> DataFrame:
+    """The form of `folded` whose state ends by itself: the key, event_id, ts and the answer.
+
+    An event waits (in a map by time) until the watermark has passed it; a timer wakes its key then, so events that come out of order within `late` are
+    answered in the order of their time. Another timer drops the key's state once it is as good as none. With `ttl_ms` nothing waits: events are
+    answered at once, in the order of time inside a micro-batch, and state that isn't touched lives so long by the machine's clock.
+    """
+    from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+
+    step, first, state_schema, seconds = kind
+    rows = events.select(*key, "event_id", "ts", (F.col(value) if value else F.lit(None).cast("boolean")).alias("value_")).withWatermark("ts", late)
+    kinds = dict(rows.dtypes)
+    schema = ", ".join(f"{c} {kinds[c]}" for c in (*key, "event_id", "ts")) + f", {answer} boolean"
+    columns = [*key, "event_id", "ts", answer]
+    plain = lambda v: v.to_pydatetime() if isinstance(v, pd.Timestamp) else v
+
+    class Fold(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
+            self.state = handle.getValueState("state", state_schema, ttl_ms)
+            self.last = None if ttl_ms else handle.getValueState("last", "ts timestamp")
+            self.waiting = None if ttl_ms else handle.getMapState("waiting", f"ts timestamp, event_id {kinds['event_id']}", "value_ boolean")
+
+        def walked(self, own: tuple, found: list[tuple]) -> Iterator[pd.DataFrame]:
+            """Answers to events (ts, event_id, value) in their order; the state after them is kept."""
+            held = self.state.get() if self.state.exists() else None
+            now, out = (first if held is None else tuple(pd.Timestamp(v) if f is None and v is not None else v for v, f in zip(held, first, strict=True))), []
+            for ts, event_id, v in found:
+                now, answered = step(now, ts, v)
+                out.append((*own, event_id, ts, answered))
+            if out:
+                self.state.update(tuple(plain(v) for v in now))
+                yield pd.DataFrame(out, columns=columns)
+
+        def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+            found = [(ts, event_id, None if v is None or pd.isna(v) else bool(v)) for pdf in rows for event_id, ts, v in pdf[["event_id", "ts", "value_"]].itertuples(index=False)]
+            if ttl_ms:
+                yield from self.walked(key, sorted(found, key=lambda e: e[:2]))
+                return
+            for ts, event_id, v in found:
+                self.waiting.updateValue((plain(ts), event_id), (v,))
+                self.handle.registerTimer(int(ts.timestamp() * 1000) + 1)
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            due = pd.Timestamp(timerValues.getCurrentWatermarkInMs(), unit="ms")
+            held = sorted((pd.Timestamp(ts).tz_localize(None), event_id, v[0]) for (ts, event_id), v in self.waiting.iterator())
+            found = [e for e in held if e[0] < due]
+            yield from self.walked(key, found)
+            for ts, event_id, _ in found:
+                self.waiting.removeKey((plain(ts), event_id))
+            if found:
+                self.last.update((plain(found[-1][0]),))
+                self.handle.registerTimer(int(found[-1][0].timestamp() * 1000) + 1000 * seconds + 1)
+            elif self.last.exists() and due > pd.Timestamp(self.last.get()[0]).tz_localize(None) + pd.Timedelta(seconds=seconds):
+                self.state.clear()
+                self.last.clear()
+
+        def close(self) -> None:
+            pass
+
+    return rows.groupBy(*key).transformWithStateInPandas(Fold(), schema, "Append", "ProcessingTime" if ttl_ms else "EventTime")
