@@ -123,15 +123,3 @@ def test_paraphrase_at_the_end_of_a_text():
         if k % 4 == 0:
             codes = np.array([encoded.vocab.get(decontaminate.normal(w), 0) for w in t.split()])
             assert verify.check(k // 4 % 12, codes, (len(codes) - 92) // decontaminate.HALF * decontaminate.HALF) != (0.0, 0.0), k
-
-
-# ---- whole texts ----
-
-
-def test_code_fences_of_whole_texts(spark, tmp_path):
-    from sagebase.plans import text
-
-    rows = [(k, "\n".join(f"line {j} of {k}" for j in range(n))) for k, n in enumerate((1, 30, 400))]
-    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    got = {(r.doc_id, r.title): r.content for r in text.code_fences(spark, str(tmp_path)).collect()}
-    assert got == {k: v for i, t in rows for k, v in {(i, "prose"): "intro", (i, "code"): f"```py\n{t}\n```"}.items()} | {(i, "prose"): "end" for i, _ in rows}
