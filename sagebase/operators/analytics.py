@@ -168,3 +168,10 @@ def message_counts(sessions: DataFrame, messages: DataFrame) -> DataFrame:
 def without_keys(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     """Rows without those of some keys."""
     return rows.join(gone.select(key).distinct(), key, "left_anti")
+
+
+def found(rows: DataFrame, keys: DataFrame, by: list[str], order: list, where: Column | None = None, first: int | None = None) -> DataFrame:
+    """Rows of some keys in an order, with their position from 1 in their key: all of each, or the first so many. keys: the columns `by`, each key once; nulls find nothing."""
+    rows = (rows if where is None else rows.where(where)).join(keys.select(*by), by, "left_semi")
+    out = rows.withColumn("position", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+    return out if first is None else out.where(F.col("position") <= first)

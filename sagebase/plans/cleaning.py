@@ -176,6 +176,19 @@ ORACLE_SQL = {
       where len(list_intersect(a.g, b.g)) / (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g))) >= 0.9"""),
     "long_line_duplicate_c3": oracle(f"""with {_LINES}, t as (select doc_id, seq, {_TRIM.format('content')} as line from rc)
       select distinct t.doc_id, t.seq from t join rc b on t.doc_id = b.doc_id and b.seq < t.seq and length(t.line) >= 80 and contains(b.content, t.line)"""),
+    "judged_chunks": oracle(rf"""with rc as (select doc_id, seq, content from v_chunk), w as (select *, lag(content) over (partition by doc_id order by seq) as pr, lead(content) over (partition by doc_id order by seq) as nx, {_TRIM.format('content')} as t from rc),
+      sh as (select doc_id, seq, content, t, contains(content, '|') or regexp_matches(content, '[A-Za-z一-龥]{{2,}}\s*[：:]\s*\d+') or (regexp_matches(t, '^(图|Fig\.?|表|Table)\s*\d+[.、:：\-]?\s*\S+') and length(t) >= 40) or regexp_matches(t, '^(#{{1,6}}\s+[^\n]+|\*\*[^\n]+\*\*[ \t]*)$')
+        or coalesce(pr <> '' and length(right(pr, 40)) < length(content) and starts_with(content, right(pr, 40)), false) or coalesce(content <> '' and length(right(content, 40)) < length(nx) and starts_with(nx, right(content, 40)), false) as shielded,
+        coalesce({_RULE}, case when regexp_matches(t, '^表\s*\d+') and length(t) <= 20 and not contains(content, '|') then 'B2' when regexp_matches(t, '^(图|Fig\.?|表|Table)\s*\d+[.、:：\-]?\s*\S+') and length(t) <= 30 then 'B1'
+          when t <> '' and {_TRIM.format(r"regexp_replace(content, '!\[[^\]]*\]\([^)]*\)|<img[^>]*>', '', 'g')")} = '' then 'B3' end) as early from w),
+      x as (select doc_id, seq, {_KEY.format('content')} as key from rc), y as (select *, count(*) over (partition by doc_id) as n, count(*) over (partition by doc_id, key) as times, row_number() over (partition by doc_id, key order by seq) as nth from x),
+      g as (select doc_id, seq, length(content) as n, list_distinct(list_transform(range(1, length(content) - 1), lambda i: substring(content, i, 3))) as g from rc where length(content) >= 3),
+      ln as (select doc_id, seq, {_TRIM.format('line')} as line from (select doc_id, seq, unnest(string_split(content, chr(10))) as line from rc)),
+      late as (select doc_id, seq, min(rule) as late from (select doc_id, seq, 'C1' as rule from y where key <> '' and times / n >= 0.6 and nth > 1
+        union all select a.doc_id, a.seq, 'C2' from g a join g b on a.doc_id = b.doc_id and b.seq < a.seq and abs(a.n - b.n) * 10 <= a.n * 3 where len(list_intersect(a.g, b.g)) / (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g))) >= 0.9
+        union all select l.doc_id, l.seq, 'C3' from ln l join rc b on l.doc_id = b.doc_id and b.seq < l.seq and length(l.line) >= 80 and contains(b.content, l.line)) group by all),
+      jd as (select case when not coalesce(shielded, false) then coalesce(early, late) end as rule from sh left join late using (doc_id, seq))
+      select rule, {_DISP} as disposition, count(*) as n from jd group by all"""),
     "disposition_counts": oracle(f"with {_FRAG}, r as (select {_RULE} as rule from fr) select rule, {_DISP} as disposition, count(*) as n from r group by all"),
     "kept_dropped_seq": oracle(f"with {_FRAG}, r as (select doc_id, line_no as seq, {_RULE} as rule from fr), d as (select doc_id, seq, {_DISP} as disposition from r) select *, row_number() over (partition by doc_id order by case disposition when 'AUTO_DROP' then 1 else 0 end, seq) as new_seq from d"),
 }

@@ -152,6 +152,11 @@ _EV = "ev as (select *, row_number() over (partition by query_id order by pos) a
 _REFUSED = Q.REFUSED_INJECTION
 
 ORACLE_SQL = {
+    "rerank_scored": oracle("""with e as (select query_id, pos, score, case when coalesce(source_type, 'CHUNK') = 'CHUNK' then 'CHUNK' else 'OTHER' end as part,
+        case when coalesce(doc_name, '') <> '' then '文档：' || doc_name || '；' else '' end || case when coalesce(title, '') <> '' and title is distinct from doc_name then '章节：' || title || '；' else '' end as prefix, content from v_evidence),
+      r as (select *, row_number() over (partition by query_id, part order by score desc, pos) as old, count(*) over (partition by query_id, part) as n, case when part = 'CHUNK' then 6 else 4 end as quota from e),
+      s as (select *, case when n <= quota then score else (length(case when prefix = '' then '' else prefix || chr(10) end || coalesce(content, '')) % 17) / 16 end as again from r where old <= 20)
+      select query_id, pos, rank::int as rank, round(again, 6) as score from (select *, row_number() over (partition by query_id, part order by again desc, old) as rank from s) where rank <= quota"""),
     "route_json_object": oracle("select id, case k when 0 then '{\"fragments\": [{\"text\": \"' || t || '\", \"intent\": \"business\"}, {\"text\": \" {hi} \", \"intent\": \"Chitchat\"}, {\"text\": 3, \"intent\": \"BUSINESS\"}]}' when 1 then '{\"fragments\": [{\"text\": \"' || t || '\", \"intent\": \"INJECTED\"}]}' when 4 then '{\"a\": {\"b\": \"}\"}}' end as object from v_reply"),
     "route_fragments_parsed": oracle("""select id, 0 as pos, t as text, 'BUSINESS' as intent, false as injection from v_reply where k = 0 and trim(t) <> ''
       union all select id, case when trim(t) <> '' then 1 else 0 end, '{hi}', 'CHITCHAT', false from v_reply where k = 0

@@ -183,8 +183,10 @@ def title_models(spark, sf):
 
 
 def agent_update(spark, sf):
-    agents = frame(spark, sf, "benchmark").where("item_id % 3 > 0").select(F.col("item_id").alias("kb_id"), F.lit("old").alias("name"), F.lit("p").alias("system_prompt"), F.lit(0.5).alias("verify_threshold"), F.lit(1).alias("max_retry"))
-    requests = frame(spark, sf, "benchmark").where("item_id % 4 > 0").select(F.col("item_id").alias("kb_id"), F.when(F.col("item_id") % 4 == 1, " ").otherwise("new").alias("name"), F.when(F.col("item_id") % 4 == 2, "q").alias("system_prompt"), F.when(F.col("item_id") % 4 == 3, F.lit(0.9)).alias("verify_threshold"), F.lit(None).cast("int").alias("max_retry"))
+    k = F.col("item_id")
+    agents = frame(spark, sf, "benchmark").where("item_id % 3 > 0").select(k.alias("kb_id"), F.lit("old").alias("name"), F.lit("d").alias("description"), F.lit("p").alias("system_prompt"), F.lit(0.5).alias("verify_threshold"), F.lit(1).alias("max_retry"), F.lit(4).alias("recent_rounds"), F.when(k % 5 > 0, 2).alias("summary_interval_rounds"))
+    none = F.lit(None)
+    requests = frame(spark, sf, "benchmark").where("item_id % 4 > 0").select(k.alias("kb_id"), F.concat(F.lit("b"), k.cast("string")).alias("kb_name"), F.when(k % 4 == 1, "\t ").otherwise("new").alias("name"), F.when(k % 4 == 1, "e").alias("description"), F.when(k % 4 == 2, "q").alias("system_prompt"), F.when(k % 4 == 3, F.lit(0.9)).alias("verify_threshold"), none.cast("int").alias("max_retry"), F.when(k % 7 == 0, 11).when(k % 7 == 1, 2).alias("recent_rounds"), F.when(k % 7 == 2, 9).alias("summary_interval_rounds"))
     return P.agent_updates(agents, requests)
 
 
@@ -234,11 +236,13 @@ def session_counts(spark, sf):
 
 
 def point_finders(spark, sf):
-    """Finders by key: the terms of a base, the groups of a workspace, the newest task of a name."""
-    by_kb = frame(spark, sf, "v_term").where("kb_id = 1 and not deleted").select(F.lit("kb").alias("finder"), F.col("id").cast("long").alias("id"))
-    groups = frame(spark, sf, "v_group").where("workspace_id = 2").select(F.lit("group").alias("finder"), F.col("group_id").cast("long").alias("id"))
-    named = frame(spark, sf, "v_term").where("term = 'Brand#11'").groupBy("term").agg(F.max("id").alias("id")).select(F.lit("name").alias("finder"), F.col("id").cast("long").alias("id"))
-    return by_kb.unionByName(groups).unionByName(named)
+    """Finders by key: the live terms of each base, the groups of each workspace, the newest term of each name."""
+    bases, spaces = frame(spark, sf, "v_document").select("kb_id").distinct(), frame(spark, sf, "v_kb").select("workspace_id").distinct()
+    terms = N.found(frame(spark, sf, "v_term"), bases, ["kb_id"], [F.desc("id")], ~F.col("deleted"))
+    groups = N.found(frame(spark, sf, "v_group"), spaces, ["workspace_id"], ["group_id"])
+    newest = N.found(frame(spark, sf, "v_term"), frame(spark, sf, "v_term").select("term").distinct(), ["term"], [F.desc("id")], first=1)
+    row = lambda df, name, c: df.select(F.lit(name).alias("finder"), F.col(c).cast("long").alias("id"), "position")
+    return row(terms, "kb", "id").unionByName(row(groups, "group", "group_id")).unionByName(row(newest, "name", "id"))
 
 
 QUERIES = {
@@ -296,7 +300,15 @@ ORACLE_SQL = {
     "title_models": oracle("""with m as (select id, workspace_id, ['CHAT', 'TITLE', 'EMBEDDING'][id % 3 + 1] as k, case when id % 7 = 0 then 'TITLE' else usage_name end as u, enabled, is_default from v_model),
       r as (select *, case when k = 'CHAT' and u = 'TITLE' then 0 when k = 'TITLE' and u = 'TITLE' then 1 when k = 'TITLE' and u is null then 2 when k = 'TITLE' and is_default then 3 when k = 'CHAT' and u = 'GENERATE' then 4 when k = 'CHAT' and u is null then 5 when k = 'CHAT' and is_default then 6 when k = 'CHAT' then 7 end as o from m where enabled)
       select workspace_id, id from (select *, row_number() over (partition by workspace_id order by o, id) as n from r where o is not null) where n = 1"""),
-    "agent_update": "select item_id as kb_id, case when item_id % 4 in (2, 3) then 'new' when item_id % 3 > 0 then 'old' else '默认 Agent' end as name, case when item_id % 4 = 2 then 'q' when item_id % 3 > 0 then 'p' else '' end as system_prompt, case when item_id % 4 = 3 then 0.9 when item_id % 3 > 0 then 0.5 else 0.7 end::double as verify_threshold, case when item_id % 3 > 0 then 1 else 2 end as max_retry from benchmark where item_id % 3 > 0 or item_id % 4 > 0",
+    "agent_update": """with a as (select item_id as kb_id, item_id % 3 > 0 as known, item_id % 4 > 0 as asked, item_id % 4 as k4, item_id % 7 as k7, item_id % 5 as k5, 'b' || item_id::varchar as b from benchmark where item_id % 3 > 0 or item_id % 4 > 0),
+      o as (select *, case when known then 'old' else '默认 Agent' end as o_name, case when known then 'd' else '知识库「' || b || '」的默认问答 Agent' end as o_description,
+        case when known then 'p' else '你是「' || b || '」知识库的智能问答助手。回答必须基于知识库证据，不编造、不推测；证据不足时如实说明；与知识库无关的问题可简短闲聊，但不涉及知识库内容。' end as o_prompt,
+        case when known then 0.5 else 0.7 end as o_threshold, case when known then 1 else 2 end as o_retry, case when known then 4 else 3 end as o_rounds, case when not known then 3 when k5 > 0 then 2 end as o_interval from a),
+      w as (select *, case when asked and k4 > 1 then 'new' else o_name end as w_name, case when asked and k4 = 1 then 'e' else o_description end as w_description, case when asked and k4 = 2 then 'q' else o_prompt end as w_prompt,
+        case when asked and k4 = 3 then 0.9 else o_threshold end as w_threshold, case when asked and k7 = 0 then 11 when asked and k7 = 1 then 2 else o_rounds end as w_rounds, case when asked and k7 = 2 then 9 else o_interval end as w_interval from o),
+      r as (select *, case when asked and coalesce(w_rounds, 3) > 10 then 'rounds' when asked and coalesce(w_interval, 3) > coalesce(w_rounds, 3) then 'interval' end as refused from w)
+      select kb_id, case when refused is null then w_name else o_name end as name, case when refused is null then w_description else o_description end as description, case when refused is null then w_prompt else o_prompt end as system_prompt,
+        case when refused is null then w_threshold else o_threshold end::double as verify_threshold, o_retry as max_retry, case when refused is null then w_rounds else o_rounds end as recent_rounds, case when refused is null then w_interval else o_interval end as summary_interval_rounds, refused from r""",
     "error_messages": "select item_id, ['问答失败，请稍后重试', '文本生成 调用 超时', '模型服务调用超时或连接中断，请稍后重试', '向量化 调用 failed', '模型服务调用超时或连接中断，请稍后重试', 'other'][item_id % 6 + 1] as shown from benchmark",
     "feedback_window": "select item_id, least(greatest(item_id * 37 - 40, 1), 365)::int as days from benchmark",
     "dislike_total": oracle("select s.kb_id, count(*) as total from v_message m join v_session s on s.id = m.session_id where feedback = 'DOWN' group by 1"),
@@ -308,5 +320,7 @@ ORACLE_SQL = {
       select conv_id as session_id, turn, 'USER' as role, md5(text) as digest, null as refs, null::double as verify_score, null::int as missing, false as interrupted from t
       union all select conv_id, turn, 'ASSISTANT', md5('re ' || text), case when k < 2 then '[]' else '[1]' end, case when k >= 2 then round(k / 4.0, 6) end, case when k > 2 then least(480, 3 * length(text)) end, k < 2 from t where k > 0"""),
     "session_counts": oracle("select s.id, s.message_count + coalesce(sum(case when c.role = 'user' then case when (c.conv_id + c.turn) % 5 > 0 then 2 else 1 end end), 0)::bigint as message_count from v_session s left join conversations c on c.conv_id = s.id group by s.id, s.message_count"),
-    "point_finders": oracle("select 'kb' as finder, id from v_term where kb_id = 1 and not deleted union all select 'group', group_id from v_group where workspace_id = 2 union all select 'name', max(id) from v_term where term = 'Brand#11' having count(*) > 0"),
+    "point_finders": oracle("""select 'kb' as finder, id, row_number() over (partition by kb_id order by id desc) as position from v_term where not deleted and kb_id in (select kb_id from v_document)
+      union all select 'group', group_id, row_number() over (partition by workspace_id order by group_id) from v_group where workspace_id in (select workspace_id from v_kb)
+      union all select 'name', max(id), 1 from v_term group by term"""),
 }

@@ -156,6 +156,11 @@ _PAGES = "pg as (select doc_id, page_num, string_agg(line, chr(10) order by line
 _EST = r"coalesce((length({0}) - length(regexp_replace({0}, '[一-鿿㐀-䶿　-〿＀-￯]', '', 'g')) + ceil(length(regexp_replace(regexp_replace({0}, '[一-鿿㐀-䶿　-〿＀-￯]', '', 'g'), '[\s\x0b]', '', 'g')) / 4.0))::int, 0)"
 
 ORACLE_SQL = {
+    "sentence_chunks": rf"""with s as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^。！？!?；;]*[。！？!?；;]|[^。！？!?；;]+') as ss from documents),
+      p as (select doc_id, list_filter(list_transform(list_reduce(list_prepend([''], list_transform(ss, lambda x: [x])), lambda a, b:
+        case when length(b[1]) > {S.SIZE} then list_concat(list_concat(a, list_transform(range(0, ceil(length(b[1]) / {S.SIZE})::bigint), lambda i: substring(b[1], i * {S.SIZE} + 1, {S.SIZE}))), [''])
+          when a[-1] <> '' and length(a[-1]) + length(b[1]) > {S.SIZE} then list_concat(a, b) else list_concat(a[1:len(a) - 1], [a[-1] || b[1]]) end), lambda x: {_TRIM.format('x')}), lambda x: x <> '') as ps from s)
+      select doc_id, (k - 1)::int as seq, '' as title, ps[k] as content from p, unnest(range(1, len(ps) + 1)) u(k)""",
     "tables_extracted": "select doc_id, 0 as seq, '' as title, case doc_id % 3 when 0 then '表1-2 units' || chr(10) || '| a | 列2 |' || chr(10) || '| --- | --- |' || chr(10) || '| 1 | 2 |' || chr(10) || '| 1 | 3 |' when 1 then '| 列1 | 列2 | 列3 |' || chr(10) || '| --- | --- | --- |' || chr(10) || '| x | y | z |' else '| h | i |' || chr(10) || '| --- | --- |' || chr(10) || '| 1 |  |' || chr(10) || '| --- | --- |' end as content from documents where text is not null",
     "code_fences": "select doc_id, s as seq, case s when 1 then 'code' else 'prose' end as title, case s when 0 then 'intro' when 1 then '```py' || chr(10) || text || chr(10) || '```' else 'end' end as content from documents, unnest([0, 1, 2]) u(s)",
     "heading_level": oracle(rf"""with x as (select doc_id, line_no, case line_no % 7 when 0 then '## ' when 1 then '第3章 ' when 2 then '一、' when 3 then '1.2 ' when 4 then '3 ' else '' end || line as line from v_line), y as (select *, {_TRIM.format('line')} as t from x)

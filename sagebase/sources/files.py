@@ -13,6 +13,7 @@ from pyspark.sql.types import StringType
 from sagebase.functions import text as T
 from sagebase.operators import html as H
 from sagebase.operators import segment as S
+from sagebase.sources import store
 
 # How each kind is read. Cloud kinds need a parser of the caller's.
 ROUTES = {"txt": "plain", "md": "markdown", "html": "html", "pdf": "cloud", "docx": "cloud", "pptx": "slides", "xlsx": "sheets", "xls": "sheets"}
@@ -35,6 +36,41 @@ def storage_path(storage_type: Column, key: Column, roots: dict[str, str]) -> Co
     return F.concat(root, F.lit("/"), key)
 
 
+class Blobs:
+    """Blobs by the store of their row and their key. A store that isn't configured is an error; nothing falls back to another one."""
+
+    def __init__(self, spark: SparkSession, roots: dict[str, str]):
+        self.spark, self.roots = spark, roots
+
+    def path(self, storage_type: str | None, key: str) -> str:
+        root = self.roots.get(storage_type or "local")
+        if root is None:
+            raise ValueError(f"no such store: {storage_type}")
+        return f"{root}/{key}"
+
+    def put(self, storage_type: str | None, key: str, content: bytes) -> None:
+        """Writes a blob, in place of one that is there."""
+        store.put(self.spark, self.path(storage_type, key), content, overwrite=True)
+
+    def get(self, storage_type: str | None, key: str) -> bytes | None:
+        return store.get(self.spark, self.path(storage_type, key))
+
+    def delete(self, storage_type: str | None, key: str) -> bool:
+        """Removes a blob; one that isn't there is no error."""
+        return store.delete(self.spark, self.path(storage_type, key))
+
+    def read(self, rows: DataFrame) -> DataFrame:
+        """Rows (storage_type, key and more) with the bytes of their blobs, null where there is none. Spark reads the files; only their paths are joined."""
+        named = rows.withColumn("path", storage_path(F.col("storage_type"), F.col("key"), self.roots))
+        held = None
+        for root in dict.fromkeys(self.roots.values()):
+            part = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreMissingFiles", "true").load(root).select("path", F.col("content").alias("bytes"))
+            held = part if held is None else held.unionByName(part)
+        plain = lambda c: F.regexp_replace(c, "^[a-z0-9]+:/+", "/")  # noqa: E731  file:/x, file:///x and /x are one
+        held = held.select(plain(F.col("path")).alias("found"), "bytes")
+        return named.join(held, plain(F.col("path")) == F.col("found"), "left").drop("found", "path")
+
+
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     """path, kind, route and content (UTF-8; null for binary kinds) of every file below a folder. Files of unknown kinds have no route."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)

@@ -173,3 +173,17 @@ def test_workbooks_to_tables_by_brute_force(spark):
 def test_parsers_of_files(spark, folder):
     found = files.parsed(files.read_files(spark, folder), ooxml.PARSERS).collect()
     assert {r.path.rsplit("/", 1)[1] for r in found} == {"a.xlsx", "B.XLSX", "c.txt", "d.pptx"}
+
+
+def test_blobs_by_their_store(spark, tmp_path):
+    roots = {"local": str(tmp_path / "a"), "minio": "file://" + str(tmp_path / "b")}
+    blobs = files.Blobs(spark, roots)
+    for store, key, content in ((None, "1/raw/x.txt", b"one"), ("local", "1/raw/y.txt", b"two"), ("minio", "1/raw/x.txt", b"three"), ("minio", "z", b"")):
+        blobs.put(store, key, content)
+    blobs.put("local", "1/raw/y.txt", b"new")
+    assert blobs.get("local", "1/raw/x.txt") == b"one" and blobs.get(None, "1/raw/y.txt") == b"new" and blobs.get("minio", "none") is None
+    with pytest.raises(ValueError):
+        blobs.put("ftp", "x", b"")
+    rows = spark.createDataFrame([(1, None, "1/raw/x.txt"), (2, "local", "1/raw/y.txt"), (3, "minio", "1/raw/x.txt"), (4, "minio", "gone"), (5, "ftp", "x"), (6, "minio", "z")], "id int, storage_type string, key string")
+    assert {r.id: None if r.bytes is None else bytes(r.bytes) for r in blobs.read(rows).collect()} == {1: b"one", 2: b"new", 3: b"three", 4: None, 5: None, 6: b""}
+    assert blobs.delete("minio", "z") and not blobs.delete("minio", "z")
