@@ -261,3 +261,60 @@ def test_held_out_texts_teach_nothing(spark):
     rows = [(i, "text of one kind", "aa" if zlib.crc32(str(i).encode()) % 3 == 1 else "bb") for i in range(60)]
     net = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     assert net.classes == ["bb"]
+
+
+def lcs(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before = 0
+        for j, y in enumerate(b):
+            before, row[j + 1] = row[j + 1], before + 1 if x == y else max(row[j], row[j + 1])
+    return row[-1]
+
+
+def brute_leak(item, text):
+    """Whether a text leaks an item, by table: the best stretch of one and a half times the item's length, and the item's last quarter."""
+    m = len(item)
+    if m < 8:
+        return any(text[a : a + m] == item for a in range(len(text) - m + 1))
+    best = max((lcs(item, text[a : a + m + m // 2 + 4]) for a in range(len(text))), default=0)
+    last = item[-max(3, m // 4) :]
+    return best / m >= 0.8 or best / m >= 0.6 and lcs(last, text) / len(last) >= 0.5
+
+
+def test_leaks_by_brute_force(spark):
+    """Every pair of the exhaustive search, decided by plain tables; texts of up to 64 words are one passage."""
+    from sagebase.llm import decontaminate
+
+    rng = random.Random(12)
+    words = [f"{a}{b}" for a in ("ka", "to", "ri", "mu", "se") for b in ("n", "l", "st", "rk", "p", "x")]
+    items = [[rng.choice(words) for _ in range(n)] for n in (3, 7, 8, 12, 20, 20, 33)]
+    docs = []
+    for k in range(160):
+        item = items[k % len(items)]
+        share = rng.choice([0.3, 0.55, 0.62, 0.7, 0.8, 0.9, 1.0])
+        kept = [w for w in item if rng.random() < share] if len(item) >= 8 else item[: len(item) - (k % 3 == 0)]
+        for _ in range(rng.randint(0, 4)):
+            kept.insert(rng.randint(0, len(kept)), f"zz{rng.randrange(9)}")
+        docs.append((k, ([f"qq{rng.randrange(50)}" for _ in range(rng.randint(0, 12))] + kept + [f"yy{rng.randrange(50)}" for _ in range(rng.randint(0, 8))])[:64]))
+    want = {(k, i) for k, t in docs for i, item in enumerate(items) if brute_leak(item, t)}
+    df = spark.createDataFrame([(k, " ".join(t).title()) for k, t in docs], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w) + ".") for i, w in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(df, bench, cosine=-1).collect()}
+    assert got == want and 40 < len(want) < 160
+
+
+def test_leaks_of_odd_tables(spark):
+    """Repeated rows, very long texts, and columns of either side that clash."""
+    from sagebase.llm import decontaminate
+
+    rng = random.Random(13)
+    filler = [f"w{rng.randrange(3000)}" for _ in range(60_000)]
+    item = [f"bench{k}" for k in range(30)]
+    rows = [(1, " ".join(filler[:40_000] + item + filler[40_000:]), "x", 1, 0.1), (2, " ".join(filler), "x", 1, 0.1), (3, " ".join(item), "x", 1, 0.1), (3, " ".join(item), "x", 1, 0.1), (None, None, "x", 1, 0.1)]
+    rows += [(10 + k, " ".join(filler[k * 200 : k * 200 + 150]), "x", 1, 0.1) for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, item_id string, codes int, cosine double")
+    bench = spark.createDataFrame([(5, " ".join(item), 7, "c"), (5, " ".join(item), 8, "c"), (6, "", 9, "c"), (None, None, 1, "c")], "item_id long, text string, doc_id long, codes string")
+    got = sorted((r.doc_id, r.item_id, r.first_word) for r in decontaminate.leaks(docs, bench).collect())
+    assert {(d, i) for d, i, _ in got} == {(1, 5), (3, 5)}
+    assert sum(d == 3 for d, _, _ in got) >= 2 and all(39_900 < w < 40_100 for d, _, w in got if d == 1)
