@@ -60,7 +60,7 @@ class Blobs:
         return store.delete(self.spark, self.path(storage_type, key))
 
     def read(self, rows: DataFrame) -> DataFrame:
-        """Rows (storage_type, key and more) with the bytes of their blobs, null where there is none. Spark reads the files; only their paths are joined."""
+        """Rows (storage_type, key and more) with the bytes of their blobs, null where there is none or an empty one (which Spark's reader passes over). Only paths are joined."""
         named = rows.withColumn("path", storage_path(F.col("storage_type"), F.col("key"), self.roots))
         held = None
         for root in dict.fromkeys(self.roots.values()):
