@@ -17,8 +17,8 @@ K1, B, RRF_K = 1.2, 0.75, 60
 FIELDS = {"content": 1.0, "title": 2.0, "doc_name": 0.5}
 SOURCE_QUOTA = {"CHUNK": 15, "BUSINESS": 8, "QA": 8}
 RERANK_CHUNKS, RERANK_OTHERS, RERANK_DOCS = 6, 4, 20
-#: Query terms that go to the tasks inside the plan, at most.
-TERMS = 20_000
+#: Query terms that go to the tasks inside the plan, at most; pairs of a query and a term that are broadcast, at most.
+TERMS, PAIRS = 20_000, 100_000
 #: Query vectors that go to the tasks at once, and rows of the index that they are scored with.
 QUERY_BLOCK, STEP_ROWS = 4096, 1024
 
@@ -41,14 +41,18 @@ def bm25_fields(docs: DataFrame, queries: DataFrame, fields: list[str]) -> DataF
     wanted = queries.select("term").distinct()
     few = [r.term for r in wanted.limit(TERMS + 1).collect()]  # TERMS and one at most
     if len(few) <= TERMS:
-        own = sized.withColumn("terms", F.filter("terms", lambda t: t.isin(few)))
-        hits = own.where(F.size("terms") > 0).select("doc_id", "field", "len", F.explode("terms").alias("term"))
+        # Dealt by document once, terms still in arrays: counts, weights and sums of a document need no other exchange.
+        own = sized.withColumn("terms", F.filter("terms", lambda t: t.isin(few))).where(F.size("terms") > 0).repartition("doc_id")
+        hits = own.select("doc_id", "field", "len", F.explode("terms").alias("term"))
     else:
         hits = sized.select("doc_id", "field", "len", F.explode("terms").alias("term")).join(wanted, "term")
     postings = hits.groupBy("field", "term", "doc_id").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
-    frequency = postings.groupBy("field", "term").agg(F.count("*").alias("df"))
-    weights = postings.join(frequency.join(F.broadcast(stats), "field"), ["field", "term"])  # stats: one row a field
-    scored = queries.join(weights.select("field", "term", "doc_id", bm25_weight().alias("w")), "term")
+    frequency = postings.groupBy("field", "term").agg(F.count("*").alias("df")).join(F.broadcast(stats), "field")  # stats: one row a field
+    small = len(few) <= TERMS and queries.limit(PAIRS + 1).count() <= PAIRS
+    if len(few) <= TERMS:
+        frequency = F.broadcast(frequency)  # TERMS rows a field at most
+    weights = postings.join(frequency, ["field", "term"]).select("field", "term", "doc_id", bm25_weight().alias("w"))
+    scored = weights.join(F.broadcast(queries) if small else queries, "term")
     return scored.groupBy("query_id", "doc_id", "field").agg(F.round(F.sum("w"), 6).alias("score"))
 
 
