@@ -19,8 +19,8 @@ SOURCE_QUOTA = {"CHUNK": 15, "BUSINESS": 8, "QA": 8}
 RERANK_CHUNKS, RERANK_OTHERS, RERANK_DOCS = 6, 4, 20
 #: Query terms that go to the tasks inside the plan, at most; pairs of a query and a term that are broadcast, at most.
 TERMS, PAIRS = 20_000, 100_000
-#: Query vectors that go to the tasks at once, and rows of the index that they are scored with.
-QUERY_BLOCK, STEP_ROWS = 4096, 1024
+#: Query vectors that a task has at once, rows of the index that they are scored with, rows of a part of the index, and tasks of blocks and parts at most.
+QUERY_BLOCK, STEP_ROWS, PART_ROWS, PAIR_TASKS = 4096, 1024, 262_144, 20_000
 
 
 def bm25_weight() -> Column:
@@ -96,40 +96,87 @@ class Best:
         self.rows = q[keep], i[keep], s[keep]
 
 
+def unit_rows(vectors: pa.Array) -> np.ndarray:
+    x = np.asarray(vectors.flatten(), dtype=float).reshape(len(vectors), -1)
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+
+
 def cosine_top(index: DataFrame, queries: DataFrame, k: int, id_col: str = "chunk_id", vector: str = "embedding") -> DataFrame:
-    """query_id, id, score and rank of the k nearest by cosine, exactly: the queries go in blocks against all rows, and each task gives its k best for each.
+    """query_id, id, score and rank of the k nearest by cosine, exactly: every query against all rows, each task gives its k best for each.
 
-    queries: query_id and a vector. A block is QUERY_BLOCK rows, whatever their number, and STEP_ROWS rows of the index are scored at once; ids are whole numbers.
+    queries: query_id and a vector; ids are whole numbers; rows and queries without a vector find nothing. Up to QUERY_BLOCK queries go to the tasks of one scan.
+    More are rows like others: dealt to blocks, of which each meets every part of the index by key. A task has one block in memory and walks the part's rows behind it.
     """
-    out, block = None, []
-
-    def one(rows: list) -> DataFrame:
-        ids = np.array([r[0] for r in rows])
-        unit = np.array([r[1] for r in rows], float)
-        unit /= np.maximum(np.linalg.norm(unit, axis=1, keepdims=True), 1e-300)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            best = Best(unit, k)
-            for batch in batches:
-                batch = batch.filter(batch.column(1).is_valid())
-                for a in range(0, batch.num_rows, STEP_ROWS):
-                    part = batch.slice(a, STEP_ROWS)
-                    x = np.asarray(part.column(1).flatten(), dtype=float).reshape(part.num_rows, -1)
-                    best.add(np.asarray(part.column(0), dtype=np.int64), x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300))
-            q, i, s = best.rows
-            yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(i), pa.array(s)], names=["query_id", id_col, "score"])
-
-        return index.select(F.col(id_col).cast("long").alias(id_col), vector).mapInArrow(run, f"query_id long, {id_col} long, score double")
-
-    for r in queries.toLocalIterator():
-        block.append((r[0], r[1]))
-        if len(block) == QUERY_BLOCK:
-            out = one(block) if out is None else out.unionByName(one(block))
-            block = []
-    if block or out is None:
-        last = one(block) if block else index.sparkSession.createDataFrame([], f"query_id long, {id_col} long, score double")
-        out = last if out is None else out.unionByName(last)
-    return top(out, ["query_id"], k, tie=id_col)
+    names = queries.columns
+    asked = queries.select(F.col(names[0]).cast("long").alias("id"), F.col(names[1]).cast("array<double>").alias("vector")).where("vector is not null")
+    rows = index.select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector")).where("vector is not null")
+    few = asked.limit(QUERY_BLOCK + 1).toArrow().combine_chunks()  # a block and one row at most
+    found = _scanned(rows, few, k) if few.num_rows <= QUERY_BLOCK else _dealt(rows, asked, k)
+    return top(found.withColumnRenamed("id", id_col), ["query_id"], k, tie=id_col)
+
+
+def _steps(best: Best, batch: pa.RecordBatch) -> None:
+    for a in range(0, batch.num_rows, STEP_ROWS):
+        part = batch.slice(a, STEP_ROWS)
+        best.add(np.asarray(part.column("id"), dtype=np.int64), unit_rows(part.column("vector")))
+
+
+def _results(best: Best, ids: np.ndarray) -> pa.RecordBatch:
+    q, i, s = best.rows
+    return pa.RecordBatch.from_arrays([pa.array(ids[q], pa.int64()), pa.array(i, pa.int64()), pa.array(s, pa.float64())], names=["query_id", "id", "score"])
+
+
+def _scanned(rows: DataFrame, few: pa.Table, k: int) -> DataFrame:
+    """One block of queries in every task of one scan."""
+    ids = np.asarray(few["id"].combine_chunks(), dtype=np.int64)
+    unit = unit_rows(few["vector"].combine_chunks()) if few.num_rows else np.zeros((0, 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = Best(unit, k)
+        for batch in batches:
+            if len(ids):
+                _steps(best, batch)
+        yield _results(best, ids)
+
+    return rows.mapInArrow(run, "query_id long, id long, score double")
+
+
+def _dealt(rows: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """Blocks of queries against parts of the index: sorted so that a block's queries come before the part's rows, which are walked and not kept."""
+    blocks, parts = (max(1, -(-df.count() // most)) for df, most in ((asked, QUERY_BLOCK), (rows, PART_ROWS)))
+
+    def spread(df: DataFrame, side: int, own: str, n: int, other: str, m: int) -> DataFrame:
+        dealt = df.withColumn(own, F.pmod(F.xxhash64("id", "vector"), F.lit(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+        return dealt.select("block", "part", F.lit(side).alias("side"), "id", "vector")
+
+    both = spread(asked, 0, "block", blocks, "part", parts).unionByName(spread(rows, 1, "part", parts, "block", blocks))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, asked_here, best, ids = None, [], None, np.zeros(0, np.int64)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([np.asarray(batch.column(c), dtype=np.int64) for c in ("block", "part", "side")])
+            cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                pair, side, run_of = (keys[0, a], keys[1, a]), keys[2, a], batch.slice(a, b - a)
+                if pair != now:
+                    if best is not None:
+                        yield _results(best, ids)
+                    now, asked_here, best = pair, [], None
+                if side == 0:
+                    asked_here.append(run_of)
+                elif asked_here:
+                    if best is None:
+                        ids = np.concatenate([np.asarray(r.column("id"), dtype=np.int64) for r in asked_here])
+                        best = Best(np.concatenate([unit_rows(r.column("vector")) for r in asked_here]), k)
+                    _steps(best, run_of)
+        if best is not None:
+            yield _results(best, ids)
+
+    # As many tasks as there are pairs of a block and a part, up to a bound: a task takes several pairs one after the other.
+    sorted_ = both.repartition(min(blocks * parts, PAIR_TASKS), "block", "part").sortWithinPartitions("block", "part", "side")
+    return sorted_.mapInArrow(run, "query_id long, id long, score double")
 
 
 def of_source(source: str) -> Column:

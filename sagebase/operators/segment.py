@@ -7,6 +7,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -366,14 +367,31 @@ def segmented(rows: DataFrame, id_col: str, text_col: str, split) -> DataFrame:
 
 
 def chunk_documents(pages: DataFrame, id_col: str = "doc_id", size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
-    """Pieces of documents given as pages (id, page_num, markdown): tail and headings go from page to page. One shuffle by document."""
-    kind = pages.schema[id_col].dataType.simpleString()
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        carry, stack, out = "", (), []
-        for page, markdown in pdf.sort_values("page_num")[["page_num", "markdown"]].itertuples(index=False):
-            pieces, carry, stack = chunk_page(markdown or "", size, overlap, carry, stack)
-            out += [(pdf[id_col].iloc[0], len(out) + k, page, title, content) for k, (title, content) in enumerate(pieces)]
-        return pd.DataFrame(out, columns=[id_col, "seq", "page_num", "title", "content"])
+    """Pieces of documents given as pages (id, page_num, markdown): tail and headings go from page to page. One shuffle by document.
 
-    return pages.select(id_col, "page_num", "markdown").groupBy(id_col).applyInPandas(run, f"{id_col} {kind}, seq int, page_num int, title string, content string")
+    Pages are walked in order: a task holds one batch of them and one document's tail and headings, however long the document is. Pages without a number come last.
+    """
+    kind = pages.schema[id_col].dataType.simpleString()
+    result = f"{id_col} {kind}, seq int, page_num int, title string, content string"
+    own = pages.select(id_col, F.col("page_num").cast("int").alias("page_num"), "markdown")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, carry, stack, seq = (), "", (), 0  # () is no document
+        for batch in batches:
+            ids, seqs, nums, titles, contents = [], [], [], [], []
+            for doc, page, markdown in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if doc != now:
+                    now, carry, stack, seq = doc, "", (), 0
+                pieces, carry, stack = chunk_page(markdown or "", size, overlap, carry, stack)
+                for title, content in pieces:
+                    ids.append(doc)
+                    seqs.append(seq)
+                    nums.append(page)
+                    titles.append(title)
+                    contents.append(content)
+                    seq += 1
+            columns = [pa.array(ids, batch.column(0).type), pa.array(seqs, pa.int32()), pa.array(nums, pa.int32()), pa.array(titles, pa.string()), pa.array(contents, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=[id_col, "seq", "page_num", "title", "content"])
+
+    ordered = own.repartition(id_col).sortWithinPartitions(F.col(id_col), F.col("page_num").asc_nulls_last(), F.col("markdown"))
+    return ordered.mapInArrow(run, result)

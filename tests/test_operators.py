@@ -205,3 +205,38 @@ def test_saved_errors_and_poor_pages(spark):
 
     row = spark.range(1).select(text.text_poor(F.lit(" \n")).alias("a"), text.text_poor(F.lit("x" * 50)).alias("b"), text.friendly_error(F.lit("stream 调用 I/O error")).alias("c")).first()
     assert (row.a, row.b, row.c) == (True, False, "模型服务调用超时或连接中断，请稍后重试")
+
+
+def test_long_lines_inside_longer_ones_of_a_long_document(spark):
+    """Every chunk of one document begins alike; lines stand at the beginning, in the middle and at the end of earlier ones, or in later ones only."""
+    rng = random.Random(6)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    head = "2024-05-01 00:00:00 INFO the same beginning of every line of this long document, which is all of it "
+    rows, planted = [], set()
+    for seq in range(1500):
+        rows.append((1, seq, head + word(90)))
+    for k, (a, b) in enumerate([(0, 80), (0, 150), (40, 140), (100, 190), (110, 190), (5, 184)]):
+        rows.append((1, 2000 + k, rows[10 * k + 7][2][a:b]))
+        planted.add((1, 2000 + k))
+    inside_later = word(120)
+    rows += [(1, 3000, inside_later), (1, 3001, "x" + inside_later + "y"), (2, 1, rows[7][2]), (2, 0, "é𝄞" * 60), (2, 5, "  " + ("é𝄞" * 50) + "\n短"), (3, 0, None), (3, 1, "")]
+    planted.add((2, 5))
+    got = {tuple(r) for r in clean.long_line_duplicates(spark.createDataFrame(rows, "doc_id long, seq int, content string")).collect()}
+    text = {(d, s): t or "" for d, s, t in rows}
+    want = {a for a in text if any(len(x.strip()) >= 80 and any(b[0] == a[0] and b[1] < a[1] and x.strip() in text[b] for b in text) for x in text[a].split("\n"))}
+    assert got == want and planted <= want
+
+
+def test_nearest_of_many_queries_by_blocks(spark, monkeypatch):
+    """Queries beyond one block are dealt like rows and find what one scan finds, ties and rows of equal ids included."""
+    rng = random.Random(8)
+    rows = [(k, [round(rng.gauss(0, 1), 1) for _ in range(4)]) for k in range(900)] + [(2000 + k, [1.0, 1.0, 0.0, 0.0]) for k in range(60)] + [(3000, None)]
+    index = spark.createDataFrame(rows, "chunk_id long, embedding array<double>")
+    queries = spark.createDataFrame([*[(k, v) for k, v in rows if k % 7 == 0], (5000, [1.0, 1.0, 0.0, 0.0]), (5001, None)], "query_id long, embedding array<double>")
+    got = lambda: sorted(tuple(r) for r in retrieve.cosine_top(index, queries, 5).select("query_id", "chunk_id", "score", "rank").collect())
+    one_scan = got()
+    monkeypatch.setattr(retrieve, "QUERY_BLOCK", 20)
+    monkeypatch.setattr(retrieve, "PART_ROWS", 100)
+    assert got() == one_scan and len(one_scan) == 5 * sum(1 for k, v in rows if k % 7 == 0 and v) + 5
+    none = spark.createDataFrame([], "query_id long, embedding array<double>")
+    assert retrieve.cosine_top(index, none, 5).collect() == [] and retrieve.cosine_top(index.where("chunk_id < 0"), queries, 5).collect() == []

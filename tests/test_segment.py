@@ -114,3 +114,24 @@ def test_code_groups_have_no_blank_ends():
 
 def test_long_sentences_stand_alone():
     assert segment.sentences("短。" + "长" * 25 + "。又短。", 10) == ["短。", "长" * 10, "长" * 10, "长" * 5 + "。", "又短。"]
+
+
+def test_pages_of_documents_are_walked_in_order(spark):
+    """Documents of many pages, dealt over partitions and batches, give what one walk over their pages gives."""
+    pages = [(d, p, f"# Head {p % 5}\n\n" + " ".join(f"w{d}.{p}.{i}" for i in range(60 + 40 * (p % 4)))) for d in (3, 1, None) for p in range(40)]
+    pages += [(7, None, "the last page"), (7, 1, "the first page"), (8, 1, None), (9, 1, "")]
+    df = spark.createDataFrame(pages, "doc_id long, page_num int, markdown string").repartition(5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = sorted((tuple(r) for r in segment.chunk_documents(df).collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = []
+    for d in (1, 3, 7, 8, 9, None):
+        carry, stack, n = "", (), 0
+        for _, page, text in sorted((p for p in pages if p[0] == d), key=lambda p: (p[1] is None, p[1] or 0)):
+            pieces, carry, stack = segment.chunk_page(text or "", segment.SIZE, segment.OVERLAP, carry, stack)
+            for title, content in pieces:
+                want.append((d, n, page, title, content))
+                n += 1
+    assert got == want and len(want) > 100
