@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from sagebase.functions import text as T
 
@@ -20,6 +25,10 @@ IMAGES = r"!\[[^\]]*\]\([^)]*\)|<img[^>]*>"
 HEADER_SHARE, HEADER_CHARS, HEADER_WINDOW = 0.8, 50, 3
 SHORT, FIGURE_TITLE_CHARS, FIGURE_CONTENT, TABLE_TITLE_CHARS = 10, 30, 40, 20
 TEMPLATE_SHARE, SIMILARITY, LONG_LINE, TAIL, HEAD_PAGES = 0.6, 0.9, 80, 40, 5
+#: Long lines of a document that are compared with all its earlier chunks, at most.
+FEW_LINES = 1000
+#: Characters whose hash can be an anchor of a long line; factors of the hash (odd numbers).
+ANCHOR, FACTOR, MIX = 32, np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 AUTO_DROP, SUSPECT = ("A1", "A2", "A5", "C1"), ("A3", "A4", "B1", "B2", "B3", "C2", "C3", "P5")
 
 
@@ -141,21 +150,69 @@ def near_duplicates(chunks: DataFrame) -> DataFrame:
     return scored.select("doc_id", "seq").distinct().unionByName(repeats).distinct()
 
 
+def anchors_of(text: str) -> np.ndarray:
+    """Hashes that stand for a line of LONG_LINE characters or more: of each stretch of LONG_LINE the least hash of its runs of ANCHOR characters.
+
+    A line that holds another has all of the other's anchors, and neighbouring stretches mostly have the same one, so they are few.
+    """
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    hashes = np.zeros(len(points) - ANCHOR + 1, np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(ANCHOR):  # Horner's rule for all places at once
+            hashes = hashes * FACTOR + points[k : len(points) - ANCHOR + 1 + k]
+        hashes = (hashes ^ (hashes >> np.uint64(29))) * MIX  # so that the least ones aren't those of certain characters
+    wide, filled = LONG_LINE - ANCHOR + 1, 1
+    while filled < wide:  # least of stretches that double, up to `wide`
+        step = min(filled, wide - filled)
+        hashes = np.minimum(hashes[:-step], hashes[step:])
+        filled += step
+    return np.unique(hashes).view(np.int64)
+
+
+def anchored(lines: DataFrame, text: str) -> DataFrame:
+    """Adds the array `anchors` to lines of LONG_LINE characters or more; row-local."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [anchors_of(t) for t in batch.column(text).to_pylist()]
+            offsets = np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32)
+            values = np.concatenate([*found, np.zeros(0, np.int64)])
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*batch.schema.names, "anchors"])
+
+    return lines.mapInArrow(run, StructType([*lines.schema.fields, StructField("anchors", ArrayType(LongType()))]))
+
+
 def long_line_duplicates(chunks: DataFrame) -> DataFrame:
     """C3: chunks with a line of LONG_LINE characters or more that occurs inside an earlier chunk of the document.
 
-    Whole lines that occur before are found by their hashes; the others are looked for in earlier chunks that have a longer line.
+    Whole lines that occur before are found by their hashes. In documents of up to FEW_LINES such lines the others are looked for in all earlier chunks that have a
+    longer line. In documents of more they are looked for by their anchors: a line of which one anchor is in no earlier longer line is in none; what is left meets the
+    earlier chunks that have its rarest anchor. Both ways find the same, but lines of a long document aren't compared with all its chunks.
     """
-    lines = chunks.select("doc_id", "seq", F.explode(F.split("content", "\n")).alias("line")).withColumn("line", T.jtrim(F.col("line"))).where(F.length("line") >= LONG_LINE)
+    raw = chunks.select("doc_id", "seq", F.explode(F.split("content", "\n")).alias("raw")).where(F.length("raw") >= LONG_LINE)
+    lines = raw.select("doc_id", "seq", T.jtrim(F.col("raw")).alias("line")).where(F.length("line") >= LONG_LINE)
     keyed = lines.select("doc_id", "seq", "line", F.xxhash64("line").alias("key")).distinct()
     first = keyed.groupBy("doc_id", "key").agg(F.min("seq").alias("first"))
     marked = keyed.join(first, ["doc_id", "key"])
     equal = marked.where(F.col("first") < F.col("seq")).select("doc_id", "seq").distinct()
-    rest = marked.where(F.col("first") == F.col("seq")).select("doc_id", "seq", "line")
+    rest = marked.where(F.col("first") == F.col("seq")).select("doc_id", "seq", "line", "key")
     longest = F.array_max(F.transform(F.split("content", "\n"), F.length))
     earlier = chunks.select("doc_id", F.col("seq").alias("seq2"), F.col("content").alias("other"), longest.alias("longest")).where(F.col("longest") > LONG_LINE)
-    inside = rest.join(earlier, "doc_id").where((F.col("seq2") < F.col("seq")) & (F.col("longest") > F.length("line")) & F.col("other").contains(F.col("line")))
-    return equal.unionByName(inside.select("doc_id", "seq")).distinct()
+    long = raw.groupBy("doc_id").agg(F.count("*").alias("lines")).where(F.col("lines") > FEW_LINES).select("doc_id")
+    direct = rest.join(long, "doc_id", "left_anti").join(earlier, "doc_id").where((F.col("seq2") < F.col("seq")) & (F.col("longest") > F.length("line")) & F.col("other").contains(F.col("line")))
+    rest, raw = rest.join(long, "doc_id", "left_semi"), raw.join(long, "doc_id", "left_semi")
+    places = anchored(raw.where(F.length("raw") > LONG_LINE), "raw").select("doc_id", "seq", F.explode("anchors").alias("anchor")).distinct()
+    places = places.where("doc_id is not null and seq is not null and anchor is not null")  # said here, so that both uses are one exchange
+    known = places.groupBy("doc_id", "anchor").agg(F.count("*").alias("times"), F.min("seq").alias("earliest"))
+    sought = anchored(rest, "line").withColumn("n", F.size("anchors"))
+    met = sought.select("doc_id", "seq", "key", "n", F.explode("anchors").alias("anchor")).join(known, ["doc_id", "anchor"]).where(F.col("earliest") < F.col("seq"))
+    rarest = met.groupBy("doc_id", "seq", "key").agg(F.count("*").alias("found"), F.first("n").alias("n"), F.min(F.struct("times", "anchor"))["anchor"].alias("anchor")).where("found = n")
+    at = places.withColumnRenamed("seq", "seq2")
+    pairs = rarest.join(at, ["doc_id", "anchor"]).where(F.col("seq2") < F.col("seq")).select("doc_id", "seq", "key", "seq2")
+    other = chunks.select("doc_id", F.col("seq").alias("seq2"), F.col("content").alias("other"))
+    inside = pairs.join(rest, ["doc_id", "seq", "key"]).join(other, ["doc_id", "seq2"]).where(F.col("other").contains(F.col("line")))
+    return equal.unionByName(direct.select("doc_id", "seq")).unionByName(inside.select("doc_id", "seq")).distinct()
 
 
 def judged(chunks: DataFrame, title: str | None = None) -> DataFrame:
