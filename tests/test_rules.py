@@ -107,3 +107,34 @@ def test_code_fences_of_whole_texts(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {(r.doc_id, r.title): r.content for r in text.code_fences(spark, str(tmp_path)).collect()}
     assert got == {k: v for i, t in rows for k, v in {(i, "prose"): "intro", (i, "code"): f"```py\n{t}\n```"}.items()} | {(i, "prose"): "end" for i, _ in rows}
+
+
+def test_permissions_move_arrays_of_users_not_pairs(spark):
+    """200 bases and 3,000 users give 600,000 rows, which arise after the last join; the counts are those of the rows, also where a user is there twice or has no name."""
+    from sagebase.operators import access as P
+
+    kbs = spark.range(200).selectExpr("id as kb_id", "0 as workspace_id", "id * 3 as created_by", "if(id % 2 = 0, 'RESTRICTED', 'PUBLIC') as visibility")
+    members = spark.range(3000).selectExpr("if(id = 2999, null, id) as user_id", "0 as workspace_id", "case when id % 50 = 0 then 'OWNER' when id % 3 = 0 then 'EDITOR' when id % 7 = 1 then null else 'MEMBER' end as role")
+    members = members.unionByName(members.where("user_id in (1, 6)"))
+    grants = spark.range(4000).selectExpr("id * 7 % 200 as kb_id", "if(id % 2 = 0, 'GROUP', 'USER') as grantee_type", "if(id % 2 = 0, id % 5, id % 2900) as grantee_id", "if(id % 3 = 0, 'EDIT', 'VIEW') as permission")
+    groups = spark.range(4).selectExpr("id as group_id", "cast(id div 3 as int) as workspace_id")
+    own = spark.range(3000).selectExpr("id % 5 as group_id", "id as user_id").unionByName(spark.range(0, 3000, 4).selectExpr("(id + 1) % 5 as group_id", "id as user_id"))
+    got = P.permissions(kbs, members, grants, groups, own)
+    pairs = kbs.join(members, "workspace_id")
+    level = "max(if(permission = 'EDIT', 2, 1)) as r"
+    u = grants.where("grantee_type = 'USER'").groupBy("kb_id", F.col("grantee_id").alias("user_id")).agg(F.expr(level))
+    g = grants.where("grantee_type = 'GROUP'").join(groups, F.col("grantee_id") == F.col("group_id")).join(own, "group_id").groupBy("kb_id", "workspace_id", "user_id").agg(F.expr(level).alias("g"))
+    want = pairs.join(u, ["kb_id", "user_id"], "left").join(g, ["kb_id", "workspace_id", "user_id"], "left").selectExpr(
+        "kb_id", "user_id", "case when role in ('OWNER', 'ADMIN') or created_by = user_id then 'EDIT' when visibility <> 'RESTRICTED' then if(role = 'EDITOR', 'EDIT', 'VIEW') when greatest(r, g) = 2 then 'EDIT' when greatest(r, g) = 1 then 'VIEW' end as permission")
+    assert got.count() == 200 * 3002 and got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+    assert P.group_grants(grants, groups, own).exceptAll(g.selectExpr("kb_id", "workspace_id", "user_id", "g as rank")).isEmpty()
+    assert P.group_grants(grants, groups, own).count() == g.count()
+    seen = want.where("permission is not null").groupBy("user_id").agg(F.expr("count(*) as n"), F.expr("sum(if(permission = 'EDIT', 1, 0)) as editable"))
+    counts = P.permission_counts(kbs, members, grants, groups, own, by="user_id")
+    assert counts.exceptAll(seen).isEmpty() and counts.count() == seen.count()
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" in plan and plan.index("Generate") < plan.index("Join")  # pairs arise above all joins
+    by_base = P.permission_counts(kbs, members, grants, groups, own, by="kb_id")
+    assert by_base.agg(F.sum("n")).first()[0] == 200 * 3002
+    plan = counts._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode(users" not in plan  # counts make no pairs
