@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +26,8 @@ SAMPLE_ROWS, SAMPLE_BYTES, TURNS, CENTRES = 20_000, 32 << 20, 8, 4096
 PART_ROWS = 4096
 #: Candidates of a query for its second look: so many, or so many times k.
 LEAST_CANDIDATES, CANDIDATES_A_RESULT = 50, 5
+#: When every row is looked at: queries and rows (or bytes of rows) that meet in a task, and what rounding to six digits may move.
+EXACT_QUERIES, EXACT_ROWS, EXACT_BYTES, SLACK = 4096, 65_536, 32 << 20, 2e-6
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -115,7 +118,7 @@ class VectorIndex:
                     continue
                 x = unit(matrix(batch.column(1)))
                 near = x @ shared.value.T
-                n = near.shape[1] if probes == 0 else min(probes, near.shape[1])
+                n = min(probes, near.shape[1])
                 cells = np.argpartition(-near, n - 1, axis=1)[:, :n]
                 at = np.repeat(np.arange(len(x)), n)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(cells.ravel().astype(np.int32)), pa.array(list(x), pa.list_(pa.float64())).take(pa.array(at))], names=["query_id", "cell", "vector"])
@@ -132,7 +135,7 @@ class VectorIndex:
             out = []
             for a in range(0, len(q), 256):
                 score = q[a : a + 256] @ x.T
-                if probes and score.shape[1] > many:
+                if score.shape[1] > many:
                     best = np.argpartition(-score, many - 1, axis=1)[:, :many]
                 else:
                     best = np.broadcast_to(np.arange(score.shape[1]), score.shape)
@@ -145,12 +148,48 @@ class VectorIndex:
         codes = self.spark.read.schema("id long, code binary, low double, step double, part int, cell int").parquet(f"{self.path}/codes")
         if only is not None:
             codes = codes.join(only.select(F.col(only.columns[0]).cast("long").alias("id")).distinct(), "id", "left_semi")
-        found = targets.groupBy("cell", "part").cogroup(codes.groupBy("cell", "part")).applyInArrow(met, "query_id long, id long, score double")
-        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-        candidates = found.withColumn("place", rank).where(F.col("place") <= many) if probes else found
+        if probes:
+            found = targets.groupBy("cell", "part").cogroup(codes.groupBy("cell", "part")).applyInArrow(met, "query_id long, id long, score double")
+            rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+            candidates = found.withColumn("place", rank).where(F.col("place") <= many)
+        else:
+            candidates = self.possible(asked, codes, shared, k)
         vectors = self.spark.read.schema("id long, vector array<double>").parquet(f"{self.path}/placed")
         unit_queries = asked.select("query_id", F.col("vector").alias("asked"))
         dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
         looked = candidates.select("query_id", "id").join(unit_queries, "query_id").join(vectors, "id")
         exact = looked.select("query_id", "id", F.round(dot(F.col("asked"), F.col("vector")) / F.sqrt(dot(F.col("asked"), F.col("asked"))), 6).alias("score"))
         return R.top(exact, ["query_id"], k, tie="id")
+
+    def possible(self, asked: DataFrame, codes: DataFrame, shared: Broadcast, k: int) -> DataFrame:
+        """query_id and id of every row that may be among the k nearest of a query. Blocks of queries meet parts of all rows; a row's code is off by half a step in each
+        dimension at most, so what its score could be at best is below what k others have at least, or it is given."""
+        n, wide = asked.count(), shared.value.shape[1]
+        blocks = max(1, math.ceil(n / EXACT_QUERIES))
+        parts = max(1, math.ceil(codes.count() / max(1, min(EXACT_ROWS, EXACT_BYTES // (8 * max(1, wide))))))
+
+        def met(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+            names = ("query_id", "id", "least", "most")
+            if not left.num_rows or not right.num_rows:
+                return pa.table({c: pa.array([], pa.int64() if c.endswith("id") else pa.float64()) for c in names})
+            q = unit(matrix(left["vector"].combine_chunks()))
+            code = np.frombuffer(b"".join(right["code"].to_pylist()), np.uint8).reshape(right.num_rows, -1)
+            low, step = (np.asarray(right[c].combine_chunks())[:, None] for c in ("low", "step"))
+            x = shared.value[np.asarray(right["cell"].combine_chunks())] + low + code * step
+            off = math.sqrt(wide) * step[:, 0] / 2 + SLACK
+            ids, own, out = np.asarray(right["id"].combine_chunks()), np.asarray(left["query_id"].combine_chunks()), []
+            for a in range(0, len(q), 64):
+                score = q[a : a + 64] @ x.T
+                least = score - off
+                floor = np.partition(least, -k, axis=1)[:, -k][:, None] if least.shape[1] > k else np.full((len(score), 1), -np.inf)
+                at, row = np.nonzero(~(score + off < floor))
+                out.append((own[a + at], ids[row], least[at, row], score[at, row] + off[row]))
+            return pa.table({c: np.concatenate([o[j] for o in out]) for j, c in enumerate(names)})
+
+        block, part = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"), F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")
+        left = asked.withColumn("block", block).withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        right = codes.select("id", "code", "low", "step", "cell", part.alias("share")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        found = left.groupBy("block", "share").cogroup(right.groupBy("block", "share")).applyInArrow(met, "query_id long, id long, least double, most double")
+        own = Window.partitionBy("query_id")
+        found = found.withColumn("place", F.row_number().over(own.orderBy(F.desc("least"))))
+        return found.withColumn("floor", F.min(F.when(F.col("place") == k, F.col("least"))).over(own)).where("floor is null or most >= floor").select("query_id", "id")

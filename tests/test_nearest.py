@@ -60,3 +60,19 @@ def test_odd_vectors(spark, tmp_path):
         empty.centres()
     empty.build(df.limit(0))
     assert empty.top(spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, v array<double>"), 3).count() == 0
+
+
+def test_exact_search_moves_what_may_be_near(spark, vectors, tmp_path, monkeypatch):
+    """Blocks of queries meet parts of rows; of 1.8 million pairs less than a twentieth is given on, ties included."""
+    monkeypatch.setattr(nearest, "EXACT_QUERIES", 100)
+    monkeypatch.setattr(nearest, "EXACT_ROWS", 2000)
+    given, whole = [], nearest.VectorIndex.possible
+    monkeypatch.setattr(nearest.VectorIndex, "possible", lambda *a: given.append(whole(*a)) or given[-1])
+    x = np.vstack([vectors, np.repeat(vectors[:1], 40, axis=0)])
+    index = nearest.VectorIndex(spark, str(tmp_path / "index"))
+    index.build(frame(spark, x), centres=64)
+    some = np.arange(0, 6000, 20)
+    queries = frame(spark, x[some], some).select(F.col("chunk_id").alias("query_id"), "embedding")
+    want = rows(R.cosine_top(frame(spark, x), queries, 10).withColumnRenamed("chunk_id", "id"))
+    assert rows(index.top(queries, 10, probes=0)) == want
+    assert given[0].count() < len(some) * len(x) / 20
