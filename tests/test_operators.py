@@ -166,6 +166,24 @@ def test_repeats_and_long_lines_by_plain_loops(spark):
     assert {tuple(r) for r in clean.long_line_duplicates(df).collect()} == c3 and len(c3) > 10
 
 
+def test_near_duplicates_move_sketches(spark, monkeypatch):
+    """Short and long documents give the same by sketches and by first trigrams; a chunk gives one row to be paired, not one for each of its first trigrams."""
+    rng = random.Random(9)
+    rows = []
+    for d in range(12):
+        base = ["".join(rng.choice("abcdefghij é字𝄞") for _ in range(rng.choice([3, 40, 800]))) for _ in range(4)]
+        for seq in range(12):
+            t = list(rng.choice(base))
+            for _ in range(rng.choice([0, 1, 3, 12, 30])):
+                t[rng.randrange(len(t))] = rng.choice("xyz")
+            rows.append((d, seq, "".join(t)))
+    df = spark.createDataFrame([*rows, (1, 99, None), (1, 98, "ab")], "doc_id long, seq int, content string")
+    direct = {tuple(r) for r in clean.near_duplicates(df).collect()}
+    assert clean.sketched(df.where("length(content) >= 3").withColumn("key", F.xxhash64("content"))).count() == len(rows)
+    monkeypatch.setattr(clean, "FEW_CHUNKS", 0)
+    assert {tuple(r) for r in clean.near_duplicates(df).collect()} == direct and len(direct) > 20
+
+
 def test_nearest_by_plain_loops(spark):
     rng = random.Random(5)
     rows = [(k, [round(rng.gauss(0, 1), 1) for _ in range(4)]) for k in range(3000)] + [(3000 + k, [1.0, 1.0, 0.0, 0.0]) for k in range(20)]
