@@ -109,10 +109,12 @@ def test_code_fences_of_whole_texts(spark, tmp_path):
     assert got == {k: v for i, t in rows for k, v in {(i, "prose"): "intro", (i, "code"): f"```py\n{t}\n```"}.items()} | {(i, "prose"): "end" for i, _ in rows}
 
 
-def test_permissions_move_arrays_of_users_not_pairs(spark):
+def test_permissions_move_arrays_of_users_not_pairs(spark, monkeypatch):
     """200 bases and 3,000 users give 600,000 rows, which arise after the last join; the counts are those of the rows, also where a user is there twice or has no name."""
     from sagebase.operators import access as P
 
+    monkeypatch.setattr(P, "BLOCK_USERS", 50)  # several arrays of a kind, several deals of bases
+    monkeypatch.setattr(P, "BLOCK_BASES", 30)
     kbs = spark.range(200).selectExpr("id as kb_id", "0 as workspace_id", "id * 3 as created_by", "if(id % 2 = 0, 'RESTRICTED', 'PUBLIC') as visibility")
     members = spark.range(3000).selectExpr("if(id = 2999, null, id) as user_id", "0 as workspace_id", "case when id % 50 = 0 then 'OWNER' when id % 3 = 0 then 'EDITOR' when id % 7 = 1 then null else 'MEMBER' end as role")
     members = members.unionByName(members.where("user_id in (1, 6)"))
