@@ -34,57 +34,60 @@ class Reference:
         return f"reference {self.table}({', '.join(self.columns)}) -> {self.target}({', '.join(self.target_columns)})"
 
 
-def key_counts(df: DataFrame, sets: list[tuple[str, ...]]) -> DataFrame:
-    """set_no, key (texts of the set's columns as JSON) and n rows of each key without nulls, for several sets of columns in one pass: grouping sets over the
-    columns that any of them names."""
-    columns = list(dict.fromkeys(c for s in sets for c in s))
-    narrow = df.select(*[F.col(f"`{c}`").cast("string").alias(f"c{k}") for k, c in enumerate(columns)])
-    at = {c: f"c{k}" for k, c in enumerate(columns)}
-    # Which columns are in a row's set, as bits: the first column is the highest one.
-    grouped = narrow.groupingSets([[F.col(at[c]) for c in s] for s in sets], *[F.col(at[c]) for c in columns]).agg(F.count("*").alias("n"), F.grouping_id().alias("left_out"))
-    out = None
-    for no, s in enumerate(sets):
-        mask = sum(1 << (len(columns) - 1 - k) for k, c in enumerate(columns) if c not in s)
-        own = F.when(F.col("left_out") == mask, F.struct(F.lit(no).alias("set_no"), F.when(~_any_null([at[c] for c in s]), F.to_json(F.array(*[F.col(at[c]) for c in s]))).alias("key")))
-        out = own if out is None else F.coalesce(out, own)
-    return grouped.select(out.alias("x"), "n").select("x.set_no", "x.key", "n").where("key is not null")
-
-
-def _any_null(columns: list[str]):
+#: Keys of a task, about; parts that the rows of one key are counted in.
+KEYS_A_TASK, SALTS = 500_000, 16
+
+
+def keys(df: DataFrame, sets: dict[str, tuple[str, ...]]) -> DataFrame:
+    """slot and key of each row for several sets of columns (by slot) in one pass: the column's text, or the columns' texts as JSON; keys with nulls are left out."""
+    text = lambda c: F.col(f"`{c}`").cast("string")
+    key = lambda s: text(s[0]) if len(s) == 1 else F.when(~_any_null(s), F.to_json(F.array(*map(text, s))))
+    wide = df.select(*[key(s).alias(slot) for slot, s in sets.items()])
+    return wide.unpivot([], list(sets), "slot", "key").where("key is not null")
+
+
+def _any_null(columns: tuple[str, ...]):
     out = F.lit(False)
     for c in columns:
-        out = out | F.col(c).isNull()
+        out = out | F.col(f"`{c}`").isNull()
+    return out
+
+
+def _families(rules: list[Unique | Reference]) -> list[list[tuple[str, tuple[str, ...]]]]:
+    """Sets of columns (table, columns) that references connect."""
+    out: list[list[tuple[str, tuple[str, ...]]]] = []
+    for rule in rules:
+        sides = [(rule.table, rule.columns), *([(rule.target, rule.target_columns)] if isinstance(rule, Reference) else [])]
+        met = [f for f in out if any(s in f for s in sides)]
+        out = [f for f in out if f not in met] + [list(dict.fromkeys([*(s for f in met for s in f), *sides]))]
     return out
 
 
-def violations(tables: dict[str, DataFrame], rules: list[Unique | Reference]) -> DataFrame:
+def violations(tables: dict[str, DataFrame], rules: list[Unique | Reference], size: int = KEYS_A_TASK) -> DataFrame:
     """rule, key and n: a key that several rows have, and how many; or one that nothing refers to, and how many rows have it.
 
-    Keys are compared as texts, so columns of two number types match. Only keys and their counts are shuffled; a key of any number of rows is one row
-    of each task before that. Sides of a reference meet by key in one aggregation, without a join.
+    Keys are compared as texts, so columns of two number types match. The sides of references meet by key in one aggregation, without a join. Keys are dealt to
+    as many tasks as their number asks for, so that a task holds about `size`, however large the tables are; rows of one key are counted in parts first.
     """
-    sides: dict[str, dict[tuple[str, ...], list[tuple[str, str]]]] = {}
+    families = _families(rules)
+    place = {s: (f, k) for f, family in enumerate(families) for k, s in enumerate(family)}
+    rows, total = None, None
+    for table in dict.fromkeys(t for t, _ in place):
+        part = keys(tables[table], {f"{f}_{k}": columns for (t, columns), (f, k) in place.items() if t == table})
+        held = tables[table].select(F.lit(sum(t == table for t, _ in place)).alias("n")).groupBy("n").count()
+        rows, total = (part, held) if rows is None else (rows.unionByName(part), total.unionByName(held))
+    n = max(1, -(-(total.select(F.sum(F.col("n") * F.col("count"))).first()[0] or 0) // size))
+    at = F.split("slot", "_")
+    dealt = rows.select(at[0].cast("int").alias("family"), at[1].cast("int").alias("side"), "key", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int").alias("salt"))
+    counts = dealt.repartition(n, "family", "key", "salt").groupBy("family", "key", "salt", "side").agg(F.count("*").alias("n"))
+    of = [F.sum(F.when(F.col("side") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in range(max(map(len, families)))]
+    met = counts.repartition(n, "family", "key").groupBy("family", "key").agg(*of)
+    found = []
     for rule in rules:
-        if isinstance(rule, Unique):
-            sides.setdefault(rule.table, {}).setdefault(rule.columns, []).append((rule.name, "own"))
-        else:
-            sides.setdefault(rule.table, {}).setdefault(rule.columns, []).append((rule.name, "from"))
-            sides.setdefault(rule.target, {}).setdefault(rule.target_columns, []).append((rule.name, "to"))
-    rows = None
-    for table, sets in sides.items():
-        # Sets in any order of the same columns would be one grouping set: each has to be there once.
-        different = list({frozenset(s): s for s in sets}.values())
-        counts = key_counts(tables[table], different)
-        uses = [(no, name, side) for no, s in enumerate(different) for other, named in sets.items() if other == s for name, side in named]
-        uses = F.array(*[F.struct(F.lit(no).alias("no"), F.lit(name).alias("rule"), F.lit(side).alias("side")) for no, name, side in uses])
-        part = counts.select("key", "n", "set_no", F.inline(uses)).where("set_no = no").select("rule", "side", "key", "n")
-        again = [s for s in sets if s not in different]
-        for s in again:  # the same columns in another order
-            more = key_counts(tables[table], [s])
-            for name, side in sets[s]:
-                part = part.unionByName(more.select(F.lit(name).alias("rule"), F.lit(side).alias("side"), "key", "n"))
-        rows = part if rows is None else rows.unionByName(part)
-    of = lambda side: F.coalesce(F.sum(F.when(F.col("side") == side, F.col("n"))), F.lit(0))
-    met = rows.groupBy("rule", "key").agg(of("own").alias("own"), of("from").alias("from"), of("to").alias("to"))
-    n = F.when(F.col("own") > 1, F.col("own")).when((F.col("from") > 0) & (F.col("to") == 0), F.col("from"))
-    return met.select("rule", "key", n.alias("n")).where("n is not null")
+        f, own = place[rule.table, rule.columns]
+        broken = F.col(f"n{own}") > (1 if isinstance(rule, Unique) else 0)
+        if isinstance(rule, Reference):
+            broken = broken & (F.col(f"n{place[rule.target, rule.target_columns][1]}") == 0)
+        key = F.to_json(F.array("key")) if len(rule.columns) == 1 else F.col("key")
+        found.append(F.when((F.col("family") == f) & broken, F.struct(F.lit(rule.name).alias("rule"), key.alias("key"), F.col(f"n{own}").alias("n"))))
+    return met.select(F.inline(F.array_compact(F.array(*found))))

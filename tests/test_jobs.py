@@ -191,6 +191,19 @@ def test_one_scan_for_all_rules_of_a_table(spark, tmp_path):
     assert found.count() == 7 + 21 + 3
 
 
+def test_keys_are_dealt_by_their_number(spark):
+    rows = spark.range(4000).selectExpr("id", "id % 2 as hot", "id % 1000 as x")
+    rules = [N.Unique("t", ("id",)), N.Unique("t", ("x",)), N.Reference("t", ("hot",), "u", ("k",)), N.Reference("u", ("k",), "t", ("x",))]
+    tables = {"t": rows, "u": spark.createDataFrame([(0,), (5000,)], "k long")}
+    dealt = N.violations(tables, rules, size=500)
+    parts = [len(p) for p in dealt.rdd.glom().collect()]
+    assert len(parts) == 25 and max(parts) < 200  # 12,004 keys, however many partitions a shuffle has
+    got = {tuple(r) for r in dealt.collect()}
+    name = [r.name for r in rules]
+    assert got == {(name[1], f'["{k}"]', 4) for k in range(1000)} | {(name[2], '["1"]', 2000), (name[3], '["5000"]', 1)}
+    assert got == {tuple(r) for r in N.violations(tables, rules).collect()}
+
+
 def test_jdbc_round_trip(spark):
     url = "jdbc:derby:memory:round;create=true"
     with jdbc.connection(spark, url) as c:
