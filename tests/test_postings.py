@@ -102,3 +102,25 @@ def test_of_two_writers_one_wins(spark, tmp_path, monkeypatch):
     queries = spark.createDataFrame([(1, "a"), (1, "c")], "query_id int, term string")
     assert {r.doc_id for r in index.bm25(queries).collect()} == {1, 2}
     assert index.manifest()["version"] == 2
+
+
+def test_documents_are_dealt_by_their_tokens(spark, tmp_path, monkeypatch):
+    """However many partitions a shuffle has, a task's share of documents stays the same; scores too."""
+    docs = {k: (" ".join(WORDS[: 1 + k % 40]), "w1") for k in range(400)}
+    queries = spark.createDataFrame([(q, w) for q in range(6) for w in WORDS[q : q + 9]], "query_id int, term string")
+    index = postings.Index(spark, str(tmp_path / "index"), ["body", "title"], buckets=4)
+    index.upsert(frame(spark, docs))
+    want = [rows(f(), "query_id", "doc_id", "score") for f in (lambda: R.bm25_fields(frame(spark, docs), queries, ["body"]), lambda: index.bm25(queries).where("field = 'body'"), lambda: index.top(queries, "body", 7))]
+    monkeypatch.setattr(R, "TOKENS_A_TASK", 500)
+    monkeypatch.setattr(postings, "CHARS_A_TASK", 1500)
+    index.upsert(frame(spark, docs))
+    fresh = R.bm25_fields(frame(spark, docs), queries, ["body"])
+    kept = index.bm25(queries).where("field = 'body'")
+    for found in (fresh, kept):
+        parts = [len({r.doc_id for r in p}) for p in found.rdd.glom().collect()]
+        assert len(parts) >= 16 and max(parts) < 70, parts
+    assert [rows(f, "query_id", "doc_id", "score") for f in (fresh, kept, index.top(queries, "body", 7))] == want
+    written = [f for d, _, names in os.walk(tmp_path / "index" / "postings") if "segment=2" in d for f in names if f.endswith(".parquet")]
+    assert len(written) > 10
+    index.compact()
+    assert rows(index.top(queries, "body", 7), "query_id", "doc_id", "score") == want[2]
