@@ -6,9 +6,10 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.pandas.types import to_arrow_type
 
 from sagebase.functions import text as T
 from sagebase.operators import html as H
@@ -146,11 +147,12 @@ def footers(slides: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def slide_pieces(slides: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """One piece for each slide that isn't blank: id, page_num, title, content."""
+    """One piece for each slide that isn't blank: id, page_num, title, content. Titles are made of STEP_ROWS slides at once."""
+    rows = slides.where(~T.blank(F.col("markdown"))).join(footers(slides, id_col), id_col, "left").select(id_col, "page_num", "markdown", "footer")
+    kinds = [f.dataType for f in rows.schema[:2]]
+    schema = pa.schema([(id_col, to_arrow_type(kinds[0])), ("page_num", to_arrow_type(kinds[1])), ("title", pa.string()), ("content", pa.string())])
 
-    @F.pandas_udf(StringType())
-    def title(markdown: pd.Series, footer: pd.Series) -> pd.Series:
-        return pd.Series([slide_title(m, None if pd.isna(f) else f) for m, f in zip(markdown, footer, strict=True)], dtype=object)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from S.packed(((i, page, slide_title(markdown, footer), markdown) for i, page, markdown, footer in S.in_steps(batches)), schema)
 
-    rows = slides.where(~T.blank(F.col("markdown"))).join(footers(slides, id_col), id_col, "left")
-    return rows.select(id_col, "page_num", title("markdown", "footer").alias("title"), F.col("markdown").alias("content"))
+    return rows.mapInArrow(run, f"`{id_col}` {kinds[0].simpleString()}, page_num {kinds[1].simpleString()}, title string, content string")

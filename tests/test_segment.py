@@ -135,3 +135,19 @@ def test_pages_of_documents_are_walked_in_order(spark):
                 want.append((d, n, page, title, content))
                 n += 1
     assert got == want and len(want) > 100
+
+
+def test_pieces_leave_in_bounded_batches(monkeypatch):
+    """However many pieces a batch of texts gives, a task has a part of them at once."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(segment, "STEP_CHARS", 1000)
+    given = [pa.RecordBatch.from_arrays([pa.array(range(a, a + 300)), pa.array(["x" * 50] * 299 + [None])], names=["id", "text"]) for a in (0, 300)]
+    taken = []
+    rows = (taken.append(i) or (i, k, text) for i, text in segment.in_steps(iter(given)) for k in range(3))
+    out = segment.packed(rows, pa.schema([("id", pa.int64()), ("k", pa.int32()), ("text", pa.string())]))
+    first = next(out)
+    assert first.num_rows <= 10 and len(taken) <= 10
+    rest = [first, *out]
+    assert max(b.num_rows for b in rest) <= 16 and sum(b.num_rows for b in rest) == 1800
+    assert [r for b in rest for r in zip(*(c.to_pylist() for c in b.columns))] == [(i, k, None if i % 300 == 299 else "x" * 50) for i in range(600) for k in range(3)]
