@@ -36,20 +36,21 @@ def dense(cells: DataFrame, merges: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def header_rows(grid: DataFrame, keys: list[str]) -> DataFrame:
-    """The first row of each sheet with more than one cell that isn't blank: keys, header."""
+    """The first row of each sheet with more than one cell that isn't blank: keys, header. Cells do for the grid, as places without one are blank."""
     full = grid.groupBy(*keys, "r").agg(F.count(F.when(~T.blank(F.col("value")), 1)).alias("n")).where("n > 1")
     return full.groupBy(*keys).agg(F.min("r").alias("header"))
 
 
-def expanded(grid: DataFrame, merges: DataFrame, keys: list[str]) -> DataFrame:
+def expanded(grid: DataFrame, merges: DataFrame, keys: list[str], cells: DataFrame | None = None) -> DataFrame:
     """Merged regions: one column's value goes down its rows; other regions keep their first cell, and the rest is empty and frozen.
 
-    Regions are spread to their places, so the join is by place.
+    Regions are spread to their places, so the join is by place. Where the cells are given, first values are looked up there and the grid is made once.
     """
     m = merges.where("r1 < r2 or c1 < c2").withColumn("down", (F.col("c1") == F.col("c2")) & (F.col("r1") < F.col("r2")))
-    top = m.join(grid.select(*keys, F.col("r").alias("r1"), F.col("c").alias("c1"), F.col("value").alias("first")), [*keys, "r1", "c1"])
+    held = grid if cells is None else cells
+    top = m.join(held.select(*keys, F.col("r").alias("r1"), F.col("c").alias("c1"), F.col("value").alias("first")), [*keys, "r1", "c1"], "inner" if cells is None else "left")
     places = top.withColumn("r", F.explode(F.sequence("r1", "r2"))).withColumn("c", F.explode(F.sequence("c1", "c2"))).where("r <> r1 or c <> c1")
-    places = places.select(*keys, "r", "c", F.when(F.col("down"), F.col("first")).otherwise(F.lit("")).alias("new"), (~F.col("down")).alias("frozen"))
+    places = places.select(*keys, "r", "c", F.when(F.col("down"), F.coalesce("first", F.lit(""))).otherwise(F.lit("")).alias("new"), (~F.col("down")).alias("frozen"))
     rows = grid.join(places, [*keys, "r", "c"], "left")
     return rows.select(*keys, "r", "c", F.coalesce("new", "value").alias("value"), F.coalesce("frozen", F.lit(False)).alias("frozen"))
 
@@ -59,9 +60,8 @@ def filled(grid: DataFrame, headers: DataFrame, keys: list[str]) -> DataFrame:
     rows = grid.join(headers, keys, "left")
     column = Window.partitionBy(*keys, "c").orderBy("r")
     starts = (F.col("value") != "") | F.col("frozen") | F.coalesce(F.col("r") == F.col("header") + 1, F.lit(False))
-    rows = rows.withColumn("run", F.sum(starts.cast("int")).over(column.rowsBetween(Window.unboundedPreceding, 0)))
-    first = F.first("value").over(Window.partitionBy(*keys, "c", "run").orderBy("r").rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("value", first).select(*keys, "r", "c", "value")
+    above = F.last(F.when(starts, F.col("value")), ignorenulls=True).over(column.rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("value", F.coalesce(above, F.lit(""))).select(*keys, "r", "c", "value")
 
 
 def sheet_tables(grid: DataFrame, keys: list[str]) -> DataFrame:
@@ -105,4 +105,4 @@ def sheet_pieces(tables: DataFrame, keys: list[str], size: int = S.SIZE) -> Data
 def parsed_sheets(cells: DataFrame, merges: DataFrame, keys: list[str]) -> DataFrame:
     """From cells and merged regions to tables; the header row is looked up before regions are expanded."""
     grid = dense(cells, merges, keys)
-    return sheet_tables(filled(expanded(grid, merges, keys), header_rows(grid, keys), keys), keys)
+    return sheet_tables(filled(expanded(grid, merges, keys, cells), header_rows(cells, keys), keys), keys)

@@ -258,3 +258,22 @@ def test_nearest_of_many_queries_by_blocks(spark, monkeypatch):
     assert got() == one_scan and len(one_scan) == 5 * sum(1 for k, v in rows if k % 7 == 0 and v) + 5
     none = spark.createDataFrame([], "query_id long, embedding array<double>")
     assert retrieve.cosine_top(index, none, 5).collect() == [] and retrieve.cosine_top(index.where("chunk_id < 0"), queries, 5).collect() == []
+
+
+def test_grid_is_made_once(spark):
+    """Headers and first values of regions come from the cells, fills take one window; results are those from the grid."""
+    cells = spark.createDataFrame([(1, 0, 1, "a"), (1, 2, 0, None), (1, 2, 3, "b"), (1, 2, 2, "d"), (2, 0, 0, "c"), (2, 1, 1, "e"), (2, 1, 0, " ")], "sheet long, r int, c int, value string")
+    merges = spark.createDataFrame([(2, 0, 0, 1, 0), (1, 0, 1, 2, 1), (1, 1, 0, 3, 0), (1, 3, 2, 4, 3)], "sheet long, r1 int, c1 int, r2 int, c2 int")
+    dense, keys = grid.dense(cells, merges, ["sheet"]), ["sheet"]
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(grid.header_rows(cells, keys)) == rows(grid.header_rows(dense, keys)) == [(1, 2)]
+    spread = grid.expanded(dense, merges, keys, cells)
+    assert rows(spread) == rows(grid.expanded(dense, merges, keys)) and {(1, 1, 1, "a", False), (1, 2, 0, "", False), (1, 4, 3, "", True), (2, 1, 0, "c", False)} <= set(rows(spread))
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    filled = grid.filled(spread, grid.header_rows(cells, keys), keys)
+    assert plan(filled).count("Window [") == 1 and plan(filled).count("sequence(0, rows") == 1
+    above, want = {}, []
+    for sheet, c, r, value, frozen in sorted((s, c, r, v, f) for s, r, c, v, f in rows(spread)):
+        above[sheet, c] = value if value or frozen or (sheet, r) == (1, 3) or (sheet, c) not in above else above[sheet, c]
+        want.append((sheet, r, c, above[sheet, c]))
+    assert rows(filled) == sorted(want)
