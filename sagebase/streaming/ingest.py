@@ -31,9 +31,10 @@ class Ingest:
         new = latest.select("doc_id", "row.arrived", "row.text")
         known = self.documents.read().select("doc_id", F.col("arrived").alias("known"))
         new = new.join(known, "doc_id", "left").where("known is null or arrived > known").drop("known")
-        pieces = S.fixed_width(new, "doc_id", "text", self.width).select("doc_id", "seq", "content").join(new.select("doc_id", "arrived"), "doc_id")
-        counts = pieces.groupBy("doc_id").agg(F.count("*").cast("int").alias("chunks"))
-        rows = new.select("doc_id", "arrived").join(counts, "doc_id", "left").select("doc_id", F.coalesce("chunks", F.lit(0)).alias("chunks"), "arrived")
+        # The arrival goes with the id, and a text's length says how many chunks it has: texts meet nothing but what is known.
+        named = new.select(F.struct("doc_id", "arrived").alias("id"), "text")
+        pieces = S.fixed_width(named, "id", "text", self.width).select("id.doc_id", "seq", "content", "id.arrived")
+        rows = new.select("doc_id", F.ceil(F.length("text") / self.width).cast("int").alias("chunks"), "arrived")
         self.chunks.upsert(pieces, write_id=write_id)
         self.documents.upsert(rows, write_id=write_id)
 

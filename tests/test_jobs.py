@@ -158,6 +158,17 @@ def test_an_extraction_job_goes_on(spark, tmp_path):
     assert size() == after
 
 
+def test_ingest_joins_texts_once(spark, tmp_path, monkeypatch):
+    held, given = Ingest(spark, str(tmp_path / "in"), width=10, buckets=2), {}
+    held.add(spark.createDataFrame([(1, "a" * 25, 1)], "doc_id long, text string, arrived long"))
+    for table in ("chunks", "documents"):
+        monkeypatch.setattr(getattr(held, table), "upsert", lambda rows, write_id=None, table=table: given.update({table: rows}))
+    held.add(spark.createDataFrame([(1, "b" * 20, 2), (2, None, 1), (3, "c" * 21, 1)], "doc_id long, text string, arrived long"))
+    assert all(df._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1 for df in given.values())  # with what is known
+    assert sorted(map(tuple, given["documents"].collect())) == [(1, 2, 2), (2, 0, 1), (3, 3, 1)]
+    assert sorted(map(tuple, given["chunks"].collect())) == [(1, 0, "b" * 10, 2), (1, 1, "b" * 10, 2), (3, 0, "c" * 10, 1), (3, 1, "c" * 10, 1), (3, 2, "c", 1)]
+
+
 def test_rules_by_brute_force(spark):
     rng = random.Random(4)
     value = lambda: rng.choice([None, 1, 2, 3, 4, 5, 6, 7, 8, 9])
