@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -260,6 +261,45 @@ def test_nearest_of_many_queries_by_blocks(spark, monkeypatch):
     assert retrieve.cosine_top(index, none, 5).collect() == [] and retrieve.cosine_top(index.where("chunk_id < 0"), queries, 5).collect() == []
 
 
+def test_nearest_each_block_meets_each_part_in_a_task_of_its_own(spark, monkeypatch):
+    """No task has more pairs of queries and rows than a block and a part, whatever their number; in a scan, rows are dealt where splits hold too many."""
+    rng = random.Random(9)
+    index = spark.createDataFrame([(k, [rng.gauss(0, 1) for _ in range(4)]) for k in range(1500)], "chunk_id long, embedding array<float>")
+    queries = index.where("chunk_id % 10 = 0").select(F.col("chunk_id").alias("query_id"), "embedding")
+    given, top = [], retrieve.top
+    monkeypatch.setattr(retrieve, "top", lambda found, *a, **k: given.append(found) or top(found, *a, **k))
+    want = sorted(tuple(r) for r in retrieve.cosine_top(index, queries, 5).collect())
+    monkeypatch.setattr(retrieve, "QUERY_BLOCK", 50)
+    monkeypatch.setattr(retrieve, "PART_ROWS", 500)
+    assert sorted(tuple(r) for r in retrieve.cosine_top(index, queries, 5).collect()) == want and len(want) == 150 * 5
+    tasks = given[1].groupBy(F.spark_partition_id().alias("task"), "query_id").count().collect()
+    assert len({r.task for r in tasks}) == 9 and len(tasks) == 150 * 3 and max(r["count"] for r in tasks) == 5  # 3 blocks and 3 parts
+    monkeypatch.setattr(retrieve, "QUERY_BLOCK", 150)
+    assert sorted(tuple(r) for r in retrieve.cosine_top(index, queries, 5).collect()) == want
+    assert given[2].select(F.spark_partition_id().alias("task")).distinct().count() == 3  # more than the session's parallelism
+
+
+def test_nearest_looks_in_single_precision_and_decides_in_double(monkeypatch):
+    """Scores that differ in the sixth digit, rows that are equal, far ids first, steps of any size and rows with unknown numbers."""
+    monkeypatch.setattr(retrieve, "EXACT_NUMBERS", 1000)
+    rng = np.random.default_rng(3)
+    q = rng.normal(size=(7, 48))
+    x = np.vstack([rng.normal(size=(500, 48)), q[rng.integers(0, 7, 900)] + rng.normal(scale=1e-3, size=(900, 48)), np.repeat(q[:2], 300, axis=0)])
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    q, x = unit(q), unit(x)
+    x[rng.integers(0, 500, 30), 5] = np.nan
+    ids = rng.permutation(len(x)) + 10**12
+    score = np.round(q @ x.T, 6)
+    for k in (1, 40, 250, 3000):
+        want = [sorted((-s, i) for s, i in zip(row.tolist(), ids.tolist(), strict=True) if s == s)[:k] for row in score]
+        for order in (np.argsort(-ids), np.argsort(ids), rng.permutation(len(x))):
+            best = retrieve.Best(q, k)
+            for part in np.split(order, [3, 90, 700, 701]):
+                best.add(ids[part], x[part])
+            found = retrieve._results(best, np.arange(7)).to_pylist()
+            assert [[(-r["score"], r["id"]) for r in found if r["query_id"] == j] for j in range(7)] == want
+
+
 def test_grid_is_made_once(spark):
     """Headers and first values of regions come from the cells, fills take one window; results are those from the grid."""
     cells = spark.createDataFrame([(1, 0, 1, "a"), (1, 2, 0, None), (1, 2, 3, "b"), (1, 2, 2, "d"), (2, 0, 0, "c"), (2, 1, 1, "e"), (2, 1, 0, " ")], "sheet long, r int, c int, value string")
