@@ -40,6 +40,8 @@ KEYS_A_TASK, SHINGLES_A_TASK, BLOCK_SHINGLES = 2 << 20, 1 << 19, 1 << 20
 ROUNDS, PIVOTS, APART, PIVOT_BYTES, NEAR = 3, 16, 4, 32 << 20, 0.7
 #: Pivots cut a region if their regions hold so many times its shingles at most.
 REPLICAS = 1.5
+#: What would be on disk at once goes in turns: of so many shingles each, but TURNS of all that is there at most.
+TURN_SHINGLES, TURNS = 16 << 20, 8
 #: Sets that a task compares one by one; the part of a region that its largest Voronoi region may hold, else it isn't cut.
 FEW, CUT = 16, 0.7
 U = np.uint64
@@ -270,6 +272,13 @@ def region_links(members: DataFrame, keys: list[str], link: int = LINK) -> DataF
     return members.select(*keys, "doc_id", "shingles", *(c for c in ("anchor",) if c in members.columns)).groupBy(*keys).applyInArrow(join, "a long, b long")
 
 
+def in_turns(rows: DataFrame, keys: list[str], shingles: int, whole: int) -> Iterator[DataFrame]:
+    """The rows in parts, dealt by their keys: `shingles` is what they move, `whole` what all texts hold. The last turn of many is no larger than the first."""
+    turns = -(-shingles // max(TURN_SHINGLES, whole // TURNS)) if shingles else 1
+    for k in range(turns):
+        yield rows if turns == 1 else rows.where(F.pmod(F.xxhash64(*keys, F.lit("turn")), F.lit(turns)) == k)
+
+
 KEY_BITS = 40
 
 
@@ -286,27 +295,22 @@ def unpacked_keys(blob: pa.Scalar) -> np.ndarray:
 
 
 def packed_docs(doc: np.ndarray) -> bytes:
-    """Numbers of ascending documents, one for each key: as runs if that is shorter, else plainly, in 4 bytes if they fit. Runs begin with their number; the forms are
-    told apart by their first byte."""
-    kind = "<u4" if not len(doc) or doc[-1] < 1 << 32 else "<i8"
-    head = np.flatnonzero(np.diff(doc, prepend=-1))
-    if kind == "<u4" and 2 * len(head) < len(doc):
-        return b"R" + doc[head].astype(kind).tobytes() + np.diff(np.append(head, len(doc))).astype(kind).tobytes()
-    return (b"N" if kind == "<u4" else b"W") + doc.astype(kind).tobytes()
+    """Numbers of ascending documents, one for each key, as steps of a byte; longer steps stand behind (8 bytes each), so what a key takes doesn't grow with the tasks."""
+    step = np.diff(doc, prepend=0)
+    return np.minimum(step, 255).astype(np.uint8).tobytes() + step[step >= 255].astype("<i8").tobytes()
 
 
 def unpacked_docs(blob: pa.Scalar, n: int) -> np.ndarray:
-    raw = blob.as_py()
-    if raw[:1] == b"R":
-        doc, times = np.frombuffer(raw, "<u4", offset=1).reshape(2, -1)
-        return np.repeat(doc.astype(np.int64), times)
-    return np.frombuffer(raw, "<u4" if raw[:1] == b"N" else "<i8", n, 1).astype(np.int64)
+    raw = blob.as_buffer()
+    step = np.frombuffer(raw, np.uint8, n).astype(np.int64)
+    step[step == 255] = np.frombuffer(raw, "<i8", offset=n)
+    return np.cumsum(step)
 
 
-def candidates(rows: DataFrame, keyed: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray]], parts: int) -> DataFrame:
+def candidates(rows: DataFrame, keyed: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray]], parts: int, turn: int = 0, turns: int = 1) -> DataFrame:
     """Links (a, b) between documents that share a key, as stars around the least of each task; `keyed` gives a batch's keys and their documents.
 
-    Keys are dealt to `parts` tasks; they move, packed, and aren't written.
+    Keys are dealt to `parts` tasks; they move, packed, and aren't written. Of several turns each moves the keys of some of these tasks.
     """
 
     def dissect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -326,6 +330,9 @@ def candidates(rows: DataFrame, keyed: Callable[[pa.RecordBatch], tuple[np.ndarr
 
         for batch in batches:
             key, doc = keyed(batch)
+            if turns > 1:
+                mine = key % U(parts) % U(turns) == U(turn)
+                key, doc = key[mine], doc[mine]
             if len(key):
                 held.append((key, doc))
             if sum(len(k) for k, _ in held) >= 1 << 20:
@@ -347,13 +354,14 @@ def candidates(rows: DataFrame, keyed: Callable[[pa.RecordBatch], tuple[np.ndarr
     return rows.mapInArrow(tidied(dissect), "part int, base long, keys binary, docs binary").groupBy("part").applyInArrow(stars, "a long, b long")
 
 
-def refined(members: DataFrame, scratch: Scratch, link: int) -> DataFrame:
-    """The members with large regions keyed once more, by four of six parts: what only a common passage joined falls apart. Links keep their ends in one region."""
+def refined(members: DataFrame, scratch: Scratch, link: int, whole: int) -> tuple[DataFrame, list[DataFrame]]:
+    """The members with large regions keyed once more, by four of six parts: what only a common passage joined falls apart. Links keep their ends in one region.
+    Only these are written anew; also the tables that hold the members."""
     sizes = members.groupBy("region").agg(F.sum("n").alias("total")).where(F.col("total") > SHINGLES_A_TASK)
     large = scratch.write(sizes, "large")
     total = large.agg(F.sum("total")).first()[0]
     if not total:
-        return members
+        return members, [members]
     big = members.join(large.select("region"), "region")
 
     def keyed(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -364,11 +372,12 @@ def refined(members: DataFrame, scratch: Scratch, link: int) -> DataFrame:
         return mix64(key + region[owner]), np.asarray(column(batch, "doc_id"), dtype=np.int64)[owner]
 
     parts = parts_for(members.sparkSession, total * 10 * (100 - link) / (100 + link), KEYS_A_TASK)
-    finer = components(candidates(big.select("region", "doc_id", "n", "shingles"), keyed, parts), scratch, reduced=True).select(F.col("node").alias("doc_id"), F.col("root").alias("finer"))
-    out = big.join(finer, "doc_id").select(F.col("finer").alias("region"), "doc_id", "n", "shingles")
-    out = scratch.write(members.join(large.select("region"), "region", "left_anti").select("region", "doc_id", "n", "shingles").unionByName(out), "refined")
-    scratch.drop(members)
-    return out
+    # Some 22 bytes of keys for a shingle (15 choices of parts): in a turn half of what all sets hold. A turn finds all keys again, so they are few.
+    turns = -(-22 * total // max(8 * TURN_SHINGLES, 4 * whole))
+    found = scratch.write_in_turns((candidates(big.select("region", "doc_id", "n", "shingles"), keyed, parts, k, turns) for k in range(turns)), "candidates")
+    finer = components(found, scratch, reduced=True).select(F.col("node").alias("doc_id"), F.col("root").alias("finer"))
+    small = scratch.write_in_turns((some.join(finer, "doc_id").select(F.col("finer").alias("region"), "doc_id", "n", "shingles") for some in in_turns(big, ["doc_id"], total, whole)), "refined")
+    return members.join(large.select("region"), "region", "left_anti").select("region", "doc_id", "n", "shingles").unionByName(small), [members, small]
 
 
 def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, link: int = LINK) -> DataFrame:
@@ -426,9 +435,11 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     kept = regions.select(F.col("node").alias("doc_id"), F.col("root").alias("region")).join(copies.select(F.col("a").alias("doc_id")), "doc_id", "left_anti")
     several = kept.groupBy("region").agg(F.count("*").alias("n")).where("n > 1").select("region")
     kept = scratch.write(kept.join(several, "region"), "kept")
-    members = source.join(kept.hint("merge"), "doc_id")
-    members = scratch.write(members.select("region", "doc_id", "text").mapInArrow(tidied(shingled), "region long, doc_id long, n long, shingles binary").where("n > 0"), "members")
-    links = verified(refined(members, scratch, link), scratch, link)
+    # Texts move in turns, so that they and the sets that are written aren't on disk at once.
+    whole = slim.agg(F.sum("n_shingles")).first()[0] or 0
+    members = (some.join(kept.hint("merge"), "doc_id").select("region", "doc_id", "text").mapInArrow(tidied(shingled), "region long, doc_id long, n long, shingles binary").where("n > 0") for some in in_turns(source, ["doc_id"], whole, whole))
+    members = scratch.write_in_turns(members, "members")
+    links = verified(*refined(members, scratch, link, whole), scratch, link)
     tree = components(links.unionByName(copies), scratch, reduced=True)
     out = slim.select("doc_id", "n_shingles").join(tree, F.col("doc_id") == F.col("node"), "left")
     return out.select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
@@ -463,38 +474,41 @@ class Pivots:
             yield ids[k], bool(near[k]), float(far[k])
 
 
-def in_blocks(active: DataFrame, link: int) -> DataFrame:
-    """Exact links of regions that no pivot cuts: every pair of blocks is a task."""
+def in_blocks(active: DataFrame, link: int, scratch: Scratch, whole: int) -> DataFrame:
+    """Exact links of regions that no pivot cuts: every pair of blocks is a task. A text moves once for each block, so pairs go in turns."""
     blocks = active.withColumn("blocks", F.ceil(2 * F.col("total") / BLOCK_SHINGLES).cast("int"))
     blocks = blocks.withColumn("mine", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     blocks = blocks.withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other"))
-    return region_links(blocks, ["cell", "i", "j"], link)
+    moved = blocks.agg(F.sum("n")).first()[0] or 0
+    return scratch.write_in_turns((region_links(some, ["cell", "i", "j"], link) for some in in_turns(blocks, ["cell", "i", "j"], moved, whole)), "links")
 
 
-def verified(members: DataFrame, scratch: Scratch, link: int = LINK) -> DataFrame:
+def verified(members: DataFrame, held: list[DataFrame], scratch: Scratch, link: int = LINK) -> DataFrame:
     """Exact links inside regions, as many as connect what belongs together: small regions in a task each, larger ones cut by pivots turn by turn; what pivots
-    don't cut (texts about as far from all of them lie in all windows) goes by blocks."""
-    found, before = [], members
+    don't cut (texts about as far from all of them lie in all windows) goes by blocks. held: the tables that the members lie in; they are dropped once large regions are cut."""
+    found, before = [], held
     columns = ["cell", "doc_id", "n", "shingles", "anchor"]
     active = members.select(F.col("region").alias("cell"), "doc_id", "n", "shingles", F.lit(None).cast("long").alias("anchor"))
+    whole = members.agg(F.sum("n")).first()[0] or 0
     for turn in range(ROUNDS + 1):
         # Texts that one pivot links need no comparison with each other.
         sizes = active.groupBy("cell").agg(F.sum("n").alias("total"), F.count("*").alias("rows"), F.sum(F.col("anchor").isNull().cast("long")).alias("loose")).where("rows > 1 and loose > 0")
         sizes = scratch.write(sizes, "sizes")
-        small = sizes.where(F.col("total") <= SHINGLES_A_TASK).select("cell")
-        found.append(scratch.write(region_links(active.join(small, "cell"), ["cell"], link), "links"))
+        small = sizes.where(F.col("total") <= SHINGLES_A_TASK).select("cell", "total")
+        moved = small.agg(F.sum("total")).first()[0] or 0
+        found.append(scratch.write_in_turns((region_links(some.join(small.select("cell"), "cell"), ["cell"], link) for some in in_turns(active, ["cell"], moved, whole)), "links"))
         large = sizes.where(F.col("total") > SHINGLES_A_TASK)
         if not large.limit(1).count():
             break
         active = active.join(large.select("cell", "total", "loose"), "cell")
         if turn == ROUNDS:
-            found.append(scratch.write(in_blocks(active, link), "links"))
+            found.append(in_blocks(active, link, scratch, whole))
             break
         rows, near, drawn = with_pivots(active, columns, turn, link, scratch)
         placed = rows.mapInArrow(tidied(place_sizes(near)), "cell long, placed long").groupBy("cell").agg(F.sum("placed").alias("placed"))
         verdicts = scratch.write(large.join(placed, "cell").select("cell", (F.col("placed") <= REPLICAS * F.col("total")).alias("cut")), "verdicts")
         if verdicts.where("not cut").limit(1).count():
-            found.append(scratch.write(in_blocks(active.join(verdicts.where("not cut").select("cell"), "cell"), link), "links"))
+            found.append(in_blocks(active.join(verdicts.where("not cut").select("cell"), "cell"), link, scratch, whole))
         measured = rows.join(verdicts.where("cut").select("cell"), "cell").mapInArrow(tidied(place_rows(near)), "cell long, doc_id long, n long, shingles binary, anchor long, now boolean, far double")
         measured = scratch.write(measured, "measured")
         found.append(scratch.write(measured.where("now and anchor <> doc_id").select(F.col("doc_id").alias("a"), F.col("anchor").alias("b")), "links"))
@@ -502,8 +516,8 @@ def verified(members: DataFrame, scratch: Scratch, link: int = LINK) -> DataFram
         nearest = measured.where("anchor is null").groupBy("cell").agg(F.min("far").alias("nearest"))
         reach = ~F.col("now") | (F.col("far") >= F.col("nearest") - (1 - link / 100 + 1e-9))
         left = scratch.write(measured.join(nearest, "cell").where(reach).select(*columns), "active")
-        scratch.drop(measured, drawn, before)
-        active = before = left
+        scratch.drop(measured, drawn, *before)
+        active, before = left, [left]
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)

@@ -473,3 +473,25 @@ def test_splitting_tree_is_exact():
     leaves = list(mixing.split(counts, room, np.random.default_rng(1)))
     assert [s for s, _ in leaves] == list(range(6))
     assert (sum(q for _, q in leaves) == counts).all() and [int(q.sum()) for _, q in leaves] == room.tolist()
+
+
+def test_shingles_move_in_turns(spark, monkeypatch):
+    """What texts, regions and pairs of blocks move at once is bounded: no query writes more than a turn, and the links stay the same."""
+    moved, write = [], shingles.in_turns
+    monkeypatch.setattr(shingles, "TURN_SHINGLES", 200)
+    monkeypatch.setattr(shingles, "SHINGLES_A_TASK", 300)
+    monkeypatch.setattr(shingles, "BLOCK_SHINGLES", 300)
+    monkeypatch.setattr(shingles, "ROUNDS", 1)
+    monkeypatch.setattr(shingles, "in_turns", lambda *a: moved.append(list(write(*a))) or iter(moved[-1]))
+    rows = shingle_rows()
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert rows_of(shingles.near_duplicate_components(df)) == brute_shingles(rows)
+    assert len(moved) >= 4 and max(map(len, moved)) >= shingles.TURNS - 1
+
+
+def test_documents_of_keys_take_a_byte():
+    """Also where few keys of a document go to one task, or numbers jump: that many tasks share the keys makes no key longer."""
+    for doc in (np.arange(0, 3000, 3), np.array([0, 0, 0, 254, 509, 765, 1 << 33, (1 << 33) + 1, 1 << 41]), np.zeros(0, np.int64)):
+        blob = shingles.packed_docs(doc)
+        assert shingles.unpacked_docs(pa.scalar(blob, pa.binary()), len(doc)).tolist() == doc.tolist()
+        assert len(blob) <= len(doc) + 8 * int((np.diff(doc, prepend=0) >= 255).sum())
