@@ -261,3 +261,18 @@ def test_names_under_a_collation(spark):
     words = spark.createDataFrame([(1, "MULLER"), (1, "muhle"), (1, "mueller"), (2, "X "), (2, "y")], "kb_id int, word string")
     assert {(r.word, r.id) for r in K.term_lookup(terms, words, K.BLIND).collect()} == {("MULLER", 2), ("muhle", 1), ("mueller", 1), ("X ", 4)}
     assert K.term_lookup(terms, words).count() == 0
+
+
+def test_a_merge_moves_rows_once(spark, tmp_path):
+    """Old and new rows meet where they are written: by one exchange, and of equal keys the new row counts, the greatest of several, also under nulls."""
+    from sagebase.operators import keyed
+
+    held, plans = keyed.KeyedTable(spark, str(tmp_path / "t"), "id long, part_no int, content string", ["id", "part_no"], 4), []
+    replace = held.replace
+    held.replace = lambda before, touched, rows: (plans.append(rows._jdf.queryExecution().executedPlan().toString()), replace(before, touched, rows))
+    held.upsert(spark.createDataFrame([(1, 1, "z"), (1, 1, "a"), (2, 1, "old"), (None, 1, "n"), (3, None, "m")], "id long, part_no int, content string"))
+    held.upsert(spark.createDataFrame([(2, 1, "new"), (2, 1, "mid"), (None, 1, "a"), (4, 0, None)], "id long, part_no int, content string"))
+    want = {(1, 1, "z"), (2, 1, "new"), (None, 1, "a"), (3, None, "m"), (4, 0, None)}
+    assert {tuple(r) for r in held.read().collect()} == want and held.read().count() == len(want)
+    assert [p.count("Exchange ") for p in plans] == [1, 1]
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
