@@ -152,3 +152,18 @@ def test_files_of_permissions_are_small(spark, tmp_path):
     P.group_grants(grants, groups, own).coalesce(1).write.parquet(str(tmp_path / "out"))
     size = sum(p.stat().st_size for p in (tmp_path / "out").glob("*.parquet"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == 1_200_000 and size < 0.2 * 1_200_000
+
+
+def test_judged_texts_move_by_document(spark):
+    """Marks move to the chunks, not texts to the marks: what is judged lies together by document, so numbering it moves nothing more."""
+    from sagebase.operators import clean
+
+    rows = [(d, k, f"chunk {'abc'[k % 3 if d else 0]} of words that are long enough " * 4) for d in range(6) for k in range(9)] + [(7, 0, None), (7, 1, "x"), (7, None, "no place"), (None, 1, "no document")]
+    chunks = spark.createDataFrame(rows, "doc_id long, seq int, content string")
+    judged = clean.judged(chunks)
+    joins = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+    assert joins(clean.numbered(judged)) == joins(judged)
+    got = {(r.doc_id, r.seq): r.rule for r in judged.collect()}
+    assert len(got) == len(rows) and judged.columns == ["doc_id", "seq", "content", "rule", "disposition"]
+    late = {(r.doc_id, r.seq): c for c, f in (("C3", clean.long_line_duplicates), ("C2", clean.near_duplicates), ("C1", clean.templates)) for r in f(chunks).collect()}
+    assert set(late.values()) == {"C1", "C2"} and all(got[k] == c for k, c in late.items()) and got[7, 0] == "A1" and got[7, 1] == "A4" and got[None, 1] is None
